@@ -154,8 +154,11 @@ class Codec:
         self.transducer = MergeTransducer(ranks)
         self.words = _Words(self.transducer)
 
+    def stream(self, text: str | None) -> Iterator[int]:
+        return chain.from_iterable(map(self.words.__getitem__, self.split(text))) if text else iter(())
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text)))) if text else []
+        return list(self.stream(text))
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text as soon as their bytes make whole characters."""

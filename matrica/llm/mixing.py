@@ -17,6 +17,8 @@ from matrica.session import cut_lineage
 BUCKETS = 8192
 #: Labelled documents of a source that the classifier is fitted on, at most in expectation.
 SAMPLE_PER_SOURCE = 300
+#: Levels of a stored posterior: equal ones share a rate, so the fit runs over their sums.
+LEVELS = 64
 #: Steps of the projected gradient at most, and the relative residual at which it stops.
 STEPS, CLOSE = 30, 1e-3
 #: Bins of one pass of the rounding threshold; two passes resolve their square.
@@ -40,9 +42,7 @@ class DomainClassifier:
     def posterior(self, ids: np.ndarray) -> np.ndarray:
         if not len(ids):
             return np.full(self.log.shape[1], 1 / self.log.shape[1])
-        seen = np.bincount(ids % BUCKETS, minlength=BUCKETS)
-        at = np.flatnonzero(seen)
-        score = seen[at] @ self.log[at] / np.sqrt(len(ids))
+        score = self.log[ids % BUCKETS].sum(0) / np.sqrt(len(ids))
         post = np.exp(score - score.max())
         return post / post.sum()
 
@@ -53,12 +53,12 @@ def fit_domains(df: DataFrame, row_id: str, text: str, source: str, names: Seque
     Counts are summed on Spark; the driver gets the table of BUCKETS counts per source.
     """
     place = {s: i for i, s in enumerate(names)}
-    labelled = df.select(F.col(text).alias("text"), F.col(source).alias("source"), F.xxhash64(row_id).alias("h")).where(F.col("source").isin(*names) & (F.length("text") > 0))
+    labelled = df.select(F.col(text).alias("text"), F.col(source).alias("source"), F.xxhash64(row_id).alias("h")).where(F.col("source").isin(*names))
     known = labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()
     if not known:
         raise ValueError("no labelled documents to learn the sources from")
     rates = F.create_map(*[F.lit(x) for r in known for x in (r["source"], sample / r["n"] * 1_000_000)])
-    chosen = labelled.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(rates, "source")).select("text", "source")
+    chosen = labelled.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(rates, "source")).where("text <> ''").select("text", "source")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, totals = load_codec(tokenizer, folder), np.zeros((len(place), BUCKETS), dtype=np.int64)
@@ -75,7 +75,11 @@ def fit_domains(df: DataFrame, row_id: str, text: str, source: str, names: Seque
 
 
 def soft_membership(df: DataFrame, row_id: str, text: str, source: str, names: Sequence[str], classifier: DomainClassifier, *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """row_id, source, n_tokens, domains (array<float>): each document's size in tokens and domain posteriors."""
+    """row_id, source, n_tokens, domains: each document's size in tokens and domain posteriors.
+
+    domains (binary) holds the posteriors in steps of 1/LEVELS, one byte per source, which keeps them narrow and lets
+    documents with equal ones be summed.
+    """
     shared = df.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,13 +87,19 @@ def soft_membership(df: DataFrame, row_id: str, text: str, source: str, names: S
         for pdf in batches:
             sizes, posts = [], []
             for t in pdf["text"]:
-                ids = np.array(codec.encode(t), dtype=np.int64)
+                ids = np.fromiter(codec.stream(t), dtype=np.int32)
                 sizes.append(len(ids))
-                posts.append(model.posterior(ids).astype(np.float32))
+                posts.append(np.round(model.posterior(ids) * LEVELS).astype(np.uint8).tobytes())
             yield pd.DataFrame({row_id: pdf[row_id], "source": pdf["source"], "n_tokens": sizes, "domains": posts})
 
     rows = df.select(row_id, F.col(source).alias("source"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"`{row_id}` {dict(rows.dtypes)[row_id]}, source string, n_tokens bigint, domains array<float>")
+    return rows.mapInPandas(run, f"`{row_id}` {dict(rows.dtypes)[row_id]}, source string, n_tokens bigint, domains binary")
+
+
+def _posteriors(stored: pd.Series) -> np.ndarray:
+    """Stored posteriors as rows that sum to 1."""
+    levels = np.frombuffer(b"".join(stored), dtype=np.uint8).reshape(len(stored), -1).astype(float)
+    return levels / np.maximum(levels.sum(1, keepdims=True), 1)
 
 
 def _rates(posts: np.ndarray, caps: np.ndarray, steps: Sequence[np.ndarray]) -> np.ndarray:
@@ -128,7 +138,7 @@ def _sum_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], s
         out = np.zeros(width)
         for pdf in batches:
             if len(pdf):
-                posts = np.stack(pdf["domains"].to_numpy()).astype(np.float64)
+                posts = _posteriors(pdf["domains"])
                 r = _rates(posts, pdf["source"].map(caps).fillna(1).to_numpy(dtype=float), steps)
                 out += (r * pdf["n_tokens"].to_numpy()) @ posts
         yield pd.DataFrame({"d": np.arange(width, dtype=np.int32), "t": out})
@@ -155,8 +165,7 @@ def mix_sources(df: DataFrame, row_id: str, text: str, source: str, targets: Seq
     """
     names = [t.source for t in targets]
     empty = df.select(row_id, F.lit("").alias("source"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
-    have = df.where(F.col(source).isin(*names) & (F.length(text) > 0)) if names else df.limit(0)
-    if have.isEmpty():
+    if not names or df.where(F.col(source).isin(*names) & (F.col(text) != "")).isEmpty():
         return empty
     model = fit_domains(df, row_id, text, source, names, sample=sample, tokenizer=tokenizer, folder=folder)
     members = cut_lineage(soft_membership(df, row_id, text, source, names, model, tokenizer=tokenizer, folder=folder).where("n_tokens > 0"))
@@ -172,17 +181,18 @@ def mix_sources(df: DataFrame, row_id: str, text: str, source: str, targets: Seq
     goal = {t.source: t.share / whole * size for t in live}
     goals = np.array([goal.get(n, 0.0) for n in names])
 
-    domains = _sum_rates(members, names, {}, [np.full(len(names), 1e9)])  # rate 1 for all: the domains' tokens
-    steps = fit_rates(members, names, caps, goals, domains)
+    alike = cut_lineage(members.groupBy("source", "domains").agg(F.sum("n_tokens").alias("n_tokens")))  # equal posteriors have equal rates
+    domains = _sum_rates(alike, names, {}, [np.full(len(names), 1e9)])  # rate 1 for all: the domains' tokens
+    steps = fit_rates(alike, names, caps, goals, domains)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            r = _rates(np.stack(pdf["domains"].to_numpy()).astype(np.float64), pdf["source"].map(caps).to_numpy(dtype=float), steps) if len(pdf) else np.empty(0)
+            r = _rates(_posteriors(pdf["domains"]), pdf["source"].map(caps).to_numpy(dtype=float), steps) if len(pdf) else np.empty(0)
             yield pd.DataFrame({row_id: pdf[row_id], "source": pdf["source"], "n_tokens": pdf["n_tokens"], "soft": r})
 
     labelled = members.where(F.col("source").isin([t.source for t in live]))
     soft = cut_lineage(labelled.mapInPandas(rates, f"`{row_id}` {dict(members.dtypes)[row_id]}, source string, n_tokens bigint, soft double"))
-    shifts = _label_shifts(soft, caps, goal)
+    shifts = _label_shifts(cut_lineage(soft.groupBy("source", "soft").agg(F.sum("n_tokens").alias("n_tokens"))), caps, goal)
     by_source = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))]), "source")
     rate = F.least(F.greatest(F.col("soft") + by_source(shifts), F.lit(0.0)), by_source(caps))
     rated = soft.withColumn("rate", rate)
