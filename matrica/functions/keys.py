@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrica.session import cut_lineage
+
 #: Rows of one key that one task may hold; keys with more are split.
 HOT_ROWS = 200_000
 
@@ -43,3 +45,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataF
     under which callers broadcast them.
     """
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(*keys)
+
+
+#: Rows (of under 100 bytes) up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe join with a table that is written and counted first, and broadcast up to BROADCAST_ROWS rows.
+
+    Spares a shuffle of a large left side; a larger right side takes the shuffled join.
+    """
+    right = cut_lineage(right)
+    return join_null_safe(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)

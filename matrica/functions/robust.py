@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS, hot_keys, join_null_safe
+from matrica.functions.keys import BROADCAST_ROWS, HOT_ROWS, hot_keys, join_counted, join_null_safe
 from matrica.session import cut_lineage
 
 #: Bins of one narrowing step over a hot group.
@@ -55,13 +55,23 @@ def _hot_medians(rows: DataFrame, keys: list[str], into: str, limit: int) -> Dat
     return picked.unionByName(single).groupBy(*keys).agg(F.avg("v").alias(into), F.first("n").alias("n"))
 
 
-def with_median_mad(df: DataFrame, keys: Sequence[str], value: str, *, hot_limit: int = HOT_ROWS) -> DataFrame:
-    """df with med, mad and n of ``value`` over its group; both medians exact, nulls left out."""
+def median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, hot_limit: int = HOT_ROWS) -> DataFrame:
+    """keys and med_<c>, mad_<c>, n_<c> per group for several columns, all exact, nulls left out; in two passes."""
     keys = list(keys)
-    med = cut_lineage(grouped_median(df, keys, value, "med", hot_limit=hot_limit))
-    off = join_null_safe(df, med, keys).withColumn("__off", F.abs(F.col(value) - F.col("med")))
-    mad = grouped_median(off, keys, "__off", "mad", hot_limit=hot_limit).drop("n")
-    return join_null_safe(df, join_null_safe(med, mad, keys), keys)
+    values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*keys, F.explode(values).alias("e")).select(*keys, "e.*").where("x is not null")
+    by = [*keys, "metric"]
+    med = cut_lineage(grouped_median(long, by, "x", "med", hot_limit=hot_limit))
+    near = F.broadcast(med) if med.count() <= BROADCAST_ROWS else med
+    off = join_null_safe(long, near, by).withColumn("off", F.abs(F.col("x") - F.col("med")))
+    both = join_null_safe(med, grouped_median(off, by, "off", "mad", hot_limit=hot_limit).drop("n"), by)
+    own = lambda what, c: F.max(F.when(F.col("metric") == c, F.col(what))).alias(f"{what}_{c}")
+    return both.groupBy(*keys).agg(*[own(what, c) for c in columns for what in ("med", "mad", "n")])
+
+
+def with_median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, hot_limit: int = HOT_ROWS) -> DataFrame:
+    """df with med_<c>, mad_<c> and n_<c> of each column over its group."""
+    return join_counted(df, median_mad(df, keys, columns, hot_limit=hot_limit), list(keys))
 
 
 def robust_z(value: Column, med: Column, mad: Column) -> Column:

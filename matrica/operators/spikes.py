@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS, join_null_safe
+from matrica.functions.keys import HOT_ROWS, join_counted, join_null_safe
 from matrica.functions.robust import MAD_TO_SD, with_median_mad
 from matrica.session import cut_lineage
 
@@ -109,8 +109,8 @@ def flag_readings(
     rows = df.select(F.col(row_id).alias("row_id"), F.col(series).alias("series"), F.col(group).alias("group"), F.col(order).cast("bigint").alias("pos"), F.col(value).cast("double").alias("value"))
     bad = (x < 0) | F.isnan(x) | (x == float("inf"))
     rows = rows.withColumn("impossible", bad).withColumn("level", F.when(~bad, F.log10(x + 1)))
-    rows = with_median_mad(rows, ["series", "group"], "level", hot_limit=hot_limit)
-    off, sd = F.col("level") - F.col("med"), MAD_TO_SD * F.col("mad")
+    rows = with_median_mad(rows, ["series", "group"], ["level"], hot_limit=hot_limit)
+    off, sd = F.col("level") - F.col("med_level"), MAD_TO_SD * F.col("mad_level")
     score = F.when(sd > 0, off / sd).when(off == 0, 0.0).when(off.isNotNull(), F.signum(off) * float("inf"))
     rows = rows.withColumn("score", score)
 
@@ -120,12 +120,12 @@ def flag_readings(
     stuck = stuck_runs(runs, stuck_length).withColumn("stuck", F.lit(True))
     spikes = phase_space_spikes(runs, limit=limit, max_iterations=max_iterations).groupBy("series", "pos").agg(F.min("iteration").alias("iteration"))
 
-    rows = join_null_safe(join_null_safe(rows, stuck, ["series", "pos"]), spikes, ["series", "pos"])
+    rows = join_counted(join_counted(rows, stuck, ["series", "pos"]), spikes, ["series", "pos"])
     alone = F.abs("score") > limit  # the value axis of the ellipsoid, for rows without a place and without spread
     iteration = F.coalesce("iteration", F.when(alone & (F.col("pos").isNull() | (F.abs("score") == float("inf"))), 1))
     return rows.where(x.isNotNull()).select(
         "row_id", "series", "group", "impossible", F.coalesce("stuck", F.lit(False)).alias("stuck"),
-        F.when(~F.col("impossible"), iteration).alias("spike_iteration"), "score", F.when(~F.col("impossible"), F.col("n")).alias("n_group"),
+        F.when(~F.col("impossible"), iteration).alias("spike_iteration"), "score", F.when(~F.col("impossible"), F.col("n_level")).alias("n_group"),
     )
 
 
