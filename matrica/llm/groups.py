@@ -15,6 +15,8 @@ def _relabel(rows: DataFrame, column: str, mapping: DataFrame, hot_limit: int) -
     At most edges/hot_limit vertices are hot, so that mapping has a bounded size.
     """
     names = rows.columns
+    if mapping.where(F.col("degree") > hot_limit).isEmpty():
+        return rows.join(mapping.select(F.col("vertex").alias(column), "hook"), column).select(*[F.col("hook").alias(column) if c == column else F.col(c) for c in names])
     new = [F.col("hook").alias(column) if c == column else F.col(c) for c in names]
     hot = mapping.where(F.col("degree") > hot_limit).select(F.col("vertex").alias(column), "hook")
     cold = mapping.where(F.col("degree") <= hot_limit).select(F.col("vertex").alias(column), "hook")
