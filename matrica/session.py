@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,23 +27,31 @@ def get_spark(app: str = "matrica", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; a private folder only where one JVM runs everything."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared spark.checkpoint.dir; a private folder only where one JVM runs everything."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir", "")
-    if not shared:
+    folder = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not folder:
         if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = sc.getCheckpointDir()
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the written rows; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from it; survives lost executors.
+
+    A written table, and not checkpoint(), as a checkpoint hands the constraints of its plan on, which grow without
+    bound over the rounds of an iteration, and as a table's size is known to the planner. It goes when the
+    application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
