@@ -110,3 +110,9 @@ def flag_pca_outliers(scores: DataFrame, *, limit: float = 3.5, hot_limit: int =
     out = with_median_mad(cut_lineage(out), [], ["pca_distance"], hot_limit=hot_limit)
     out = out.withColumn("pca_robust_z", robust_z(F.col("pca_distance"), F.col("med_pca_distance"), F.col("mad_pca_distance"))).drop("med_pca_distance", "mad_pca_distance", "n_pca_distance")
     return out.withColumn("outlier_pca", F.coalesce(F.abs("pca_robust_z") > limit, F.lit(False)))
+
+
+def pc1_order_rho(scores: DataFrame, samples: DataFrame, *, hot_limit: int | None = HOT_ROWS) -> DataFrame:
+    """One row: absolute Spearman of the first component with the run order; NULL under three samples."""
+    rows = scores.join(samples.select("sample", "run_order"), "sample").withColumn("all", F.lit(1))
+    return spearman(rows, ["all"], "PC1", "run_order", "rho", hot_limit=hot_limit).select(F.when(F.col("n") >= 3, F.abs("rho")).alias("abs_pc1_order_rho"), "n")

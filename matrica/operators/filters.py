@@ -119,3 +119,8 @@ def handoff_counts(review: DataFrame) -> DataFrame:
 def any_of(columns: Sequence[str]) -> Column:
     """True where one of the boolean columns is."""
     return reduce(Column.__or__, [F.coalesce(F.col(c), F.lit(False)) for c in columns])
+
+
+def without_warnings(features: DataFrame, columns: Sequence[str] = ("carryover_flag", "blank_veto")) -> DataFrame:
+    """Features that none of the warning flags marks."""
+    return features.where(~any_of(columns))

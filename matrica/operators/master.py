@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,33 @@ def modelling_subset(master: DataFrame, chosen: str, labelled: str, n_background
     rows = master.withColumn("kind", kind)
     background = rows.where("kind = 'background'").orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n_background)
     return rows.where("kind <> 'background'").unionByName(background)
+
+
+def handoff(query: DataFrame, targets: DataFrame | None, *, sequence: str = "glycan_sequence", keys: Sequence[str] = ("feature", "sample"), tier: str = "target_tier") -> tuple[DataFrame, str]:
+    """(query with the targets' tier, mode). The mode follows from the columns at hand, when the plan is built.
+
+    'provisional' without targets, 'id' over the first shared key column, 'sequence' over the sequence, else
+    'no_mapping'; rows without a target keep a NULL tier. Targets must not repeat the key; a repeated one gives its
+    smallest tier.
+    """
+    if targets is None:
+        return query.withColumn(tier, F.lit(None).cast("string")), "provisional"
+    shared = [k for k in keys if k in query.columns and k in targets.columns]
+    on, mode = (shared[0], "id") if shared else (sequence, "sequence") if sequence in targets.columns else (None, "no_mapping")
+    if on is None:
+        return query.withColumn(tier, F.lit(None).cast("string")), mode
+    return query.join(targets.groupBy(on).agg(F.min(tier).alias(tier)), on, "left"), mode
+
+
+def validation_feasibility(df: DataFrame, tasks: dict[str, Column]) -> DataFrame:
+    """task, n_eligible, fraction: the rows on which each validation task can be run, in one scan."""
+    parts = F.array(*[F.struct(F.lit(k).alias("task"), F.count_if(F.coalesce(c, F.lit(False))).alias("n_eligible")) for k, c in tasks.items()])
+    sums = df.agg(parts.alias("t"), F.count(F.lit(1)).alias("n"))
+    return sums.select(F.explode("t").alias("t"), "n").select("t.*", F.coalesce(F.try_divide(F.col("t.n_eligible"), F.col("n")), F.lit(0.0)).alias("fraction"))
+
+
+def balanced_sample(df: DataFrame, label: str, *, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """About ``n`` rows of each label, by a hash of the key below the label's rate; all rows of smaller labels."""
+    rates = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__l")).agg((F.lit(float(n)) / F.count(F.lit(1))).alias("__rate"))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return df.join(rates, F.col(label) == F.col("__l")).where(place < F.col("__rate")).drop("__l", "__rate")

@@ -58,3 +58,25 @@ def priority_score(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
     score = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
     tier = F.when(F.col("priority_score") >= 0.65, "A").when(F.col("priority_score") >= 0.45, "B").otherwise("C")
     return parts.withColumn("priority_score", score).withColumn("priority_tier", tier)
+
+
+def token_presence(neighbours: DataFrame, tokens: DataFrame, *, key: str, token: str = "token", n: int = 10) -> DataFrame:
+    """anchor, token, n_rows, rank: in how many of the anchor and its neighbours a token occurs, the first ``n``."""
+    members = neighbours.select("anchor", F.col("neighbor").alias("member")).unionByName(neighbours.select("anchor", F.col("anchor").alias("member")).distinct())
+    rows = members.join(tokens.select(F.col(key).alias("member"), F.col(token).alias("token")).distinct(), "member")
+    counts = rows.groupBy("anchor", "token").agg(F.count(F.lit(1)).alias("n_rows"))
+    order = Window.partitionBy("anchor").orderBy(F.desc("n_rows"), "token")  # at most k + 1 members an anchor
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def top_means(neighbours: DataFrame, values: DataFrame, *, key: str, columns: Sequence[str], n: int = 8) -> DataFrame:
+    """anchor, column, mean, rank: the columns with the largest positive means over an anchor's neighbours."""
+    means = neighbours.join(values.select(F.col(key).alias("neighbor"), *columns), "neighbor").groupBy("anchor").agg(*[F.avg(c).alias(c) for c in columns])
+    rows = means.unpivot("anchor", list(columns), "column", "mean").where("mean > 0")
+    order = Window.partitionBy("anchor").orderBy(F.desc(F.round("mean", 9)), "column")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def bipartite_edges(support: DataFrame, top: int = 5) -> DataFrame:
+    """anchor, protein, weight of the first ``top`` supports of each anchor."""
+    return support.where(F.col("rank") <= top).select("anchor", "protein", F.col("support").alias("weight"))

@@ -117,3 +117,40 @@ def token_counts(df: DataFrame, row_id: str, tokens: str, *, max_n: int = 1, min
     if min_df > 1:
         counts = counts.join(counts.groupBy("token").count().where(F.col("count") >= min_df).select("token"), "token", "left_semi")
     return counts.select(row_id, "token", "n")
+
+
+#: Names with their counts in any notation: 'Hex': 5, Hex=5, Hex(5), Hex 5, ('Hex', 5).
+COMPOSITION_ITEM = r"""([\p{L}][\p{L}\p{N}_-]*)["']?\s*(?:[:=,(]|\s)\s*(\d+)"""
+COMPOSITION_PARTS = ("Hex", "HexNAc", "dHex", "Neu5Ac", "Neu5Gc", "HexA")
+
+
+def parse_composition(column: str) -> Column:
+    """array<struct<name, n>> of a composition text, names in lower case with summed counts, in name order.
+
+    Null, blank and unreadable texts give an empty array.
+    """
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(COMPOSITION_ITEM), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(COMPOSITION_ITEM), F.lit(2)).cast("array<bigint>").alias("n"))
+    total = lambda name: F.aggregate(F.filter(pairs, lambda p: p["name"] == name), F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"])
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"])))
+    return F.transform(names, lambda name: F.struct(name.alias("name"), total(name).alias("n")))
+
+
+def composition_features(df: DataFrame, row_id: str, column: str, parts: Sequence[str] = COMPOSITION_PARTS) -> DataFrame:
+    """row_id, comp_<part> counts (0 where absent), comp_total, and fucose and sialic shares (0 without residues)."""
+    out = df.withColumn("__c", parse_composition(column))
+    own = lambda part: F.coalesce(F.get(F.filter("__c", lambda p: p["name"] == part.lower()), F.lit(0))["n"], F.lit(0)).alias(f"comp_{part}")
+    total = F.aggregate("__c", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"])
+    out = out.select(row_id, *map(own, parts), total.alias("comp_total"))
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("comp_total")), F.lit(0.0))
+    return out.withColumn("fucose_share", share(F.col("comp_dHex"))).withColumn("sialic_share", share(F.col("comp_Neu5Ac") + F.col("comp_Neu5Gc")))
+
+
+def split_plausible(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with a plausible sequence, the others)."""
+    return df.where(plausible_sequence(column)), df.where(~plausible_sequence(column))
+
+
+def sequence_qc(df: DataFrame, column: str) -> DataFrame:
+    """plausible and n_rows, n_distinct of each kind."""
+    return df.groupBy(plausible_sequence(column).alias("plausible")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(column).alias("n_distinct"))

@@ -613,3 +613,57 @@ def priority_scores(spark: SparkSession, sf: str) -> DataFrame:
     parts = layers.join(overlap, "anchor").withColumn("confidence", neighborhood.distance_score(F.col("mean_distance"), 1.0))
     out = neighborhood.priority_score(parts, {"confidence": 0.4, "general_fraction": 0.4, "jaccard": 0.2})
     return rounded(out.select("anchor", "confidence", "priority_score", "priority_tier"), 5)
+
+
+@_query
+def composition_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sequences.composition_features(read_table(spark, sf, "glycan_list"), "gly_id", "composition"))
+
+
+@_query
+def sequence_qc(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.sequence_qc(_sequences(spark, sf), "glycan_sequence")
+
+
+@_query
+def handoff_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the redundancy table with the smallest relation type of their representative, by sequence mode."""
+    matches = read_table(spark, sf, "feature_redundancy")
+    targets = matches.where("representative_feature is not null").select(F.col("representative_feature").alias("feature"), F.col("relation_type").alias("target_tier"))
+    out, _ = master.handoff(read_table(spark, sf, "feature_metadata").select("feature"), targets)
+    return out.groupBy("target_tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def validation_feasibility(spark: SparkSession, sf: str) -> DataFrame:
+    present = {c: F.col(c).isNotNull() for c in ("composition", "tissue_species", "tissue_sample")}
+    return rounded(master.validation_feasibility(_sequences(spark, sf), present | {"n_glycan": sequences.likely_n_glycan("glycan_sequence")}))
+
+
+@_query
+def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of a sample that takes all rows of labels with fewer than the asked number."""
+    return master.balanced_sample(read_table(spark, sf, "embeddings"), "label", key="vec_id", n=100_000_000).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def token_presence(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = model.binding(spark, sf).select("vec_id", F.col("protein").alias("token"))
+    return neighborhood.token_presence(_neighbours(spark, sf), tokens, key="vec_id", n=3)
+
+
+@_query
+def bipartite_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(neighborhood.bipartite_edges(neighborhood.weighted_support(_neighbours(spark, sf), model.binding(spark, sf), key="vec_id"), 3))
+
+
+@_query
+def warning_free_features(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.without_warnings(_filtered(spark, sf)).select("feature")
+
+
+@_query
+def pc1_drift(spark: SparkSession, sf: str) -> DataFrame:
+    obs = model.observations(spark, sf)
+    brands = [r["feature"] for r in model.features(spark, sf).select("feature").orderBy("feature").limit(4096).collect()]
+    return rounded(feature_qc.pc1_order_rho(feature_qc.principal_components(obs, brands, 1)[0], model.samples(spark, sf)))

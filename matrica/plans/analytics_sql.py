@@ -252,4 +252,14 @@ s AS (SELECT vec_id, label, min(d) FILTER (WHERE other = label) AS a, min(d) FIL
     "context_layers": _CONTEXT + f" SELECT anchor, n_neighbors, {_r('mean_distance max_distance general_fraction disease_fraction specific_fraction')}, CASE WHEN specific_fraction >= 0.2 AND general_fraction >= 0.5 THEN 'specific_context' WHEN disease_fraction >= 0.2 AND general_fraction >= 0.5 THEN 'disease_context' WHEN general_fraction >= 0.5 THEN 'general_context' ELSE 'weak_context' END AS profile FROM ctx",
     "protein_support": _KNN + f", {_BIND}, pre AS (SELECT vec_id AS neighbor, protein, avg(binding_value) AS v, count(*) AS n FROM bind GROUP BY 1, 2), s AS (SELECT anchor, protein, sum(1 / neighbor_rank) AS support, avg(v) AS mean_value, sum(n)::BIGINT AS n_rows FROM knn JOIN pre USING (neighbor) GROUP BY 1, 2) SELECT anchor, protein, round(support, 6) AS support, round(mean_value, 6) AS mean_value, n_rows, row_number() OVER (PARTITION BY anchor ORDER BY round(support, 9) DESC, protein) AS rank FROM s QUALIFY rank <= 4",
     "priority_scores": _CONTEXT + _ROBUST + ", s AS (SELECT anchor, greatest(0, 1 - least(round(mean_distance, 6), 1)) AS confidence, round(general_fraction, 6) AS g, round(jaccard, 6) AS j FROM ctx JOIN robust USING (anchor)), t AS (SELECT *, confidence * 0.4 + g * 0.4 + j * 0.2 AS priority_score FROM s) SELECT anchor, round(confidence, 5) AS confidence, round(priority_score, 5) AS priority_score, CASE WHEN priority_score >= 0.65 THEN 'A' WHEN priority_score >= 0.45 THEN 'B' ELSE 'C' END AS priority_tier FROM t",
+    "composition_features": r"""WITH i AS (SELECT gly_id, unnest(regexp_extract_all(lower(composition), '([\p{L}][\p{L}\p{N}_-]*)["'']?\s*(?:[:=,(]|\s)\s*(\d+)', 1)) AS name, unnest(regexp_extract_all(lower(composition), '([\p{L}][\p{L}\p{N}_-]*)["'']?\s*(?:[:=,(]|\s)\s*(\d+)', 2))::BIGINT AS n FROM glycan_list),
+g AS (SELECT gly_id, """ + ", ".join(f"coalesce(sum(n) FILTER (WHERE name = '{p.lower()}'), 0)::BIGINT AS \"comp_{p}\"" for p in ("Hex", "HexNAc", "dHex", "Neu5Ac", "Neu5Gc", "HexA")) + """, coalesce(sum(n), 0)::BIGINT AS comp_total FROM glycan_list LEFT JOIN i USING (gly_id) GROUP BY 1)
+SELECT *, round(coalesce("comp_dHex" / nullif(comp_total, 0), 0), 6) AS fucose_share, round(coalesce(("comp_Neu5Ac" + "comp_Neu5Gc") / nullif(comp_total, 0), 0), 6) AS sialic_share FROM g""",
+    "sequence_qc": _SEQ + rf""" SELECT NOT regexp_matches(lower(s), 'http|undefined|unknown|array\(|dtype|none,|nan,') AND (regexp_matches(s, '(?i)({_RES})') OR regexp_matches(s, '\[[^\]]*\]')) AS plausible, count(*) AS n_rows, count(DISTINCT s) AS n_distinct FROM (SELECT glycan_sequence AS s FROM seq) GROUP BY 1""",
+    "handoff_tiers": "WITH t AS (SELECT representative_feature AS feature, min(relation_type) AS target_tier FROM feature_redundancy WHERE representative_feature IS NOT NULL GROUP BY 1) SELECT target_tier, count(*) AS n FROM feature_metadata LEFT JOIN t USING (feature) GROUP BY 1",
+    "validation_feasibility": _SEQ + " " + " UNION ALL ".join(f"SELECT '{t}' AS task, count(*) FILTER (WHERE {c}) AS n_eligible, round(count(*) FILTER (WHERE {c}) / count(*), 6) AS fraction FROM seq" for t, c in (*((c, f"{c} IS NOT NULL") for c in ("composition", "tissue_species", "tissue_sample")), ("n_glycan", _CORE.replace("contains(s,", "contains(glycan_sequence,")))),
+    "balanced_sample": "SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
+    "token_presence": _KNN + f", {_BIND}, m AS (SELECT anchor, neighbor AS member FROM knn UNION ALL SELECT DISTINCT anchor, anchor FROM knn), t AS (SELECT anchor, protein AS token, count(DISTINCT member) AS n_rows FROM m JOIN bind ON vec_id = member GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n_rows DESC, token) AS rank FROM t QUALIFY rank <= 3",
+    "bipartite_edges": _KNN + f", {_BIND}, pre AS (SELECT DISTINCT vec_id AS neighbor, protein FROM bind), s AS (SELECT anchor, protein, sum(1 / neighbor_rank) AS w FROM knn JOIN pre USING (neighbor) GROUP BY 1, 2) SELECT anchor, protein, round(w, 6) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY round(w, 9) DESC, protein) <= 3",
+    "warning_free_features": _FILTER + " SELECT feature FROM filtered WHERE NOT carryover_flag AND NOT blank_veto",
 }
