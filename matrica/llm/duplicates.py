@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
-from matrica.llm.terms import COMPOSITION_ITEM
+from matrica.operators.sequences import COMPOSITION_ITEM
 from matrica.session import cut_lineage
 
 #: Parts into which the rows of a hot key are salted.
@@ -23,13 +23,15 @@ def letters_and_digits(column: str) -> Column:
 def composition_key(column: str) -> Column:
     """The names (in lower case) of a composition text with their summed counts, sorted; '' for null and blank texts.
 
-    A text without any counted name is represented by its letters and digits.
+    A text without any counted name is represented by its letters and digits; counts of over 36 digits stand as
+    written.
     """
     names = F.regexp_extract_all(F.lower(F.col(column)), F.lit(COMPOSITION_ITEM), F.lit(1))
     counts = F.regexp_extract_all(F.lower(F.col(column)), F.lit(COMPOSITION_ITEM), F.lit(2))
     pairs = F.arrays_zip(names.alias("name"), counts.alias("n"))
-    total = lambda name: F.aggregate(F.filter(pairs, lambda p: p["name"] == name), F.lit(0).cast("decimal(38,0)"), lambda acc, p: (acc + p["n"].cast("decimal(37,0)")).cast("decimal(38,0)"))
-    items = F.transform(F.array_sort(F.array_distinct(names)), lambda name: F.concat(name, F.lit("="), total(name).cast("string")))
+    total = lambda name: F.aggregate(F.filter(pairs, lambda p: p["name"] == name), F.lit(0).cast("decimal(38,0)"), lambda acc, p: (acc + p["n"].try_cast("decimal(36,0)")).cast("decimal(38,0)"))
+    digits = lambda name: F.array_join(F.array_sort(F.transform(F.filter(pairs, lambda p: p["name"] == name), lambda p: p["n"])), "+")
+    items = F.transform(F.array_sort(F.array_distinct(names)), lambda name: F.concat(name, F.lit("="), F.coalesce(total(name).cast("string"), digits(name))))
     plain = F.concat(F.lit("?"), letters_and_digits(column))
     blank = F.col(column).isNull() | (F.regexp_replace(F.col(column), r"\s+", "") == "")
     return F.when(blank, "").when(F.size(names) > 0, F.array_join(items, ";")).otherwise(plain)

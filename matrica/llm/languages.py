@@ -172,6 +172,8 @@ class LanguageModel:
         A text without a whole sentence has one segment of 0 sentences, with the likeliest language of its letters;
         a text without letters has none.
         """
+        if not self.languages:
+            return [[] for _ in texts]
         out, group, size = [], [], 0
         for text in texts:
             parts = sentences(text) if text else []
@@ -218,14 +220,15 @@ def fit_languages(df: DataFrame, text: str, label: str, *, key: str, sample: int
     """A model fitted on at most ``sample`` labelled documents of each language, in expectation.
 
     The sample is drawn by a hash of ``key`` at a rate that the label's count sets, and is read whole. n-gram counts
-    are summed on Spark; only the table of counts, of fixed size, comes to the driver. As labels may be wrong and
+    are summed on Spark; only the table of counts, of fixed size, comes to the driver. Without labelled documents the
+    model knows no language and finds no segments. As labels may be wrong and
     documents mixed, each further round counts sentences under the language that the last model gives them.
     """
     labelled = df.select(F.col(text).alias("text"), language_of(label).alias("lang"), F.xxhash64(F.col(key)).alias("h")).where("lang is not null and length(text) > 0")
     known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] >= min_documents}
-    if not known:
-        raise ValueError("no labelled documents to learn languages from")
     languages = sorted(known)
+    if not known:
+        return LanguageModel(languages, np.zeros((ORDERS * BUCKETS, 0)))
     rates = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, sample / n * 1_000_000)])
     chosen = labelled.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(rates, "lang")).select("text", "lang")
     model = None

@@ -12,8 +12,9 @@ from matrica.llm.groups import connected_groups
 from matrica.llm.languages import document_languages, fit_languages, language_of, language_segments
 from matrica.llm.mixing import Target, mix_sources, mixture_shares
 from matrica.llm.quantiles import build_sketches, grouped_quantiles, merge_sketches, rank_check, sketch_quantiles
-from matrica.llm.terms import COMPOSITION_ITEM, mark_terms, ngram_counts
+from matrica.llm.terms import mark_terms, ngram_counts
 from matrica.operators.packed import split_packed
+from matrica.operators.sequences import COMPOSITION_ITEM
 from matrica.sources import read_table
 
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -27,8 +28,8 @@ def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     per_batch = per_batch.withColumn("measure", F.lit("total_signal"))
     keys = ["measure", "class", "batch"]
     # A batch is one more level of the merge tree: groups of batches first, then the whole class.
-    level = per_batch.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(32 * 32)).cast("int"))
-    per_class = merge_sketches(level, ["measure", "class"], 32 * 32).withColumn("batch", F.lit(None).cast("bigint"))
+    level = per_batch.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(32**3)).cast("int"))
+    per_class = merge_sketches(level, ["measure", "class"], 32**3).withColumn("batch", F.lit(None).cast("bigint"))
     medians = read_table(spark, sf, "threshold_table")
     table = merge_sketches(build_sketches(medians, ["class"], "median"), ["class"], medians.rdd.getNumPartitions())
     table = table.withColumn("measure", F.lit("threshold_median")).withColumn("batch", F.lit(None).cast("bigint"))
@@ -39,8 +40,8 @@ def p2_months(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of total_signal per class over all months, merged from sketches of the months."""
     metrics = read_table(spark, sf, "sample_metrics").withColumn("month", F.date_format("computed_at", "yyyy-MM"))
     months = merge_sketches(build_sketches(metrics, ["class", "month"], "total_signal"), ["class", "month"], metrics.rdd.getNumPartitions())
-    level = months.withColumn("part", F.pmod(F.xxhash64("month"), F.lit(32 * 32)).cast("int"))
-    return sketch_quantiles(merge_sketches(level, ["class"], 32 * 32), ["class"], PERCENTILES)
+    level = months.withColumn("part", F.pmod(F.xxhash64("month"), F.lit(32**3)).cast("int"))
+    return sketch_quantiles(merge_sketches(level, ["class"], 32**3), ["class"], PERCENTILES)
 
 
 def p2_error_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,7 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_table(spark, sf, "mix_targets").orderBy("source").limit(1000).collect()
+    rows = read_table(spark, sf, "mix_targets").orderBy("source").collect()  # a short list that does not grow
     targets = [Target(r["source"], r["target_share"], r["max_repeats"]) for r in rows]
     return mix_sources(read_table(spark, sf, "documents"), "doc_id", "text", "source", targets)
 

@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names with their counts in any notation of a composition text: 'Hex': 5, Hex=5, Hex(5), Hex 5, ('Hex', 5).
-COMPOSITION_ITEM = r"""([\p{L}][\p{L}\p{N}_-]*)["']?\s*(?:[:=,(]|\s)\s*(\d+)"""
-
 
 def sorted_suffixes(records: DataFrame, tokens: str, max_n: int) -> DataFrame:
     """suffix (at most max_n tokens), shared, weight: all suffixes of all records.
