@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
 from matrica.functions.stats import spearman
+from matrica.session import cut_lineage
+
+#: Reference standards at most; the list is broadcast.
+MOST_STANDARDS = 10_000
 
 
 def detection_rates(obs: DataFrame, groups: dict[str, Sequence[str]], *, threshold: float = 0.0) -> DataFrame:
@@ -59,7 +63,11 @@ def blank_carryover(obs: DataFrame, blank: Sequence[str], *, hot_limit: int | No
 
 def match_standards(features: DataFrame, standards: DataFrame, *, ppm: float = 5000.0, rt: float = 90.0) -> DataFrame:
     """The nearest feature of every standard by |ppm| / tolerance + |rt difference| / tolerance, and whether it is
-    within both tolerances. The standards are a short list; features meet it once, with a partial minimum per standard."""
+    within both tolerances. The standards are a short list (ValueError over MOST_STANDARDS); features meet it once,
+    with a partial minimum per standard."""
+    standards = cut_lineage(standards)
+    if standards.count() > MOST_STANDARDS:
+        raise ValueError(f"more than {MOST_STANDARDS} standards")
     s = F.broadcast(standards.select(F.col("compound_id"), F.col("mz").alias("s_mz"), F.col("rt").alias("s_rt")))
     near = features.select("feature", "mz", "rt").join(s, F.col("mz").isNotNull() & F.col("rt").isNotNull())
     near = near.withColumn("ppm_error", (F.col("mz") - F.col("s_mz")) / F.col("s_mz") * 1e6).withColumn("rt_error", F.col("rt") - F.col("s_rt"))

@@ -37,12 +37,14 @@ def cosine_neighbours(vectors: DataFrame, anchors: DataFrame, k: int, *, key: st
             for rows, anchors_ in zip(pdf["rows"], pdf["block"]):
                 ids, m = matrix(rows)
                 a_ids, a = matrix(anchors_)
-                d = 1 - a @ m.T if a.shape[1] == m.shape[1] else np.ones((len(a), len(m)))
-                d = np.where(a_ids[:, None] == ids[None, :], np.inf, np.round(d, 12))
-                for i, row in enumerate(d):
-                    best = np.lexsort((ids, row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({"anchor": a_ids[i], "neighbor": ids[best], "cosine_distance": row[best]})
+                by_id = np.argsort(ids, kind="stable")  # then a stable sort puts the smaller key first among ties
+                ids, m = ids[by_id], m[by_id]
+                d = np.round(1 - a @ m.T, 12) if a.shape[1] == m.shape[1] else np.ones((len(a), len(m)))
+                d[a_ids[:, None] == ids[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                far = np.take_along_axis(d, best, axis=1)
+                keep = np.isfinite(far)
+                yield pd.DataFrame({"anchor": np.broadcast_to(a_ids[:, None], best.shape)[keep], "neighbor": ids[best][keep], "cosine_distance": far[keep]})
 
     # Every block of anchors must see every row: packed blocks against packed chunks, not rows against rows.
     met = parts.join(packed.select("block"), F.lit(True)).mapInPandas(nearest, "anchor bigint, neighbor bigint, cosine_distance double")

@@ -127,11 +127,11 @@ COMPOSITION_PARTS = ("Hex", "HexNAc", "dHex", "Neu5Ac", "Neu5Gc", "HexA")
 def parse_composition(column: str) -> Column:
     """array<struct<name, n>> of a composition text, names in lower case with summed counts, in name order.
 
-    Null, blank and unreadable texts give an empty array.
+    Null, blank and unreadable texts give an empty array; a count that fits no bigint counts 0.
     """
     text = F.lower(F.coalesce(F.col(column), F.lit("")))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(COMPOSITION_ITEM), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(COMPOSITION_ITEM), F.lit(2)).cast("array<bigint>").alias("n"))
-    total = lambda name: F.aggregate(F.filter(pairs, lambda p: p["name"] == name), F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"])
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(COMPOSITION_ITEM), F.lit(1)).alias("name"), F.transform(F.regexp_extract_all(text, F.lit(COMPOSITION_ITEM), F.lit(2)), lambda n: n.try_cast("bigint")).alias("n"))
+    total = lambda name: F.aggregate(F.filter(pairs, lambda p: p["name"] == name), F.lit(0).cast("bigint"), lambda acc, p: acc + F.coalesce(p["n"], F.lit(0)))
     names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"])))
     return F.transform(names, lambda name: F.struct(name.alias("name"), total(name).alias("n")))
 

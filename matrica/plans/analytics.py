@@ -144,7 +144,7 @@ def qc_pairwise_corr(spark: SparkSession, sf: str) -> DataFrame:
 def pca_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Principal components of the samples, distances and flags."""
     obs = model.observations(spark, sf)
-    brands = [r["feature"] for r in model.features(spark, sf).select("feature").orderBy("feature").limit(4096).collect()]
+    brands = model.feature_names(spark, sf)
     scores, _ = feature_qc.principal_components(obs, brands, 2)
     placed = scores.join(model.samples(spark, sf).select("sample", "class"), "sample")
     return sample_qc.centroid_distance(feature_qc.flag_pca_outliers(placed), ["PC1", "PC2"])
@@ -415,7 +415,7 @@ def selection_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 def _benchmark(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     obs = views.processing_view(model.observations(spark, sf), "tic_log1p")
-    brands = [r["feature"] for r in model.features(spark, sf).select("feature").orderBy("feature").limit(4096).collect()]
+    brands = model.feature_names(spark, sf)
     rows = evidence.task_rows(obs, _tasks(spark)).groupBy("task_name", "sample", "positive").pivot("feature", brands).agg(F.first("intensity"))
     folds = models.fold_table(evidence.task_rows(model.samples(spark, sf), _tasks(spark)).select("task_name", "sample", "positive"), repeats=2)
     return models.cross_validate(rows, folds, brands, space="main", k_best=10)
@@ -665,5 +665,5 @@ def warning_free_features(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def pc1_drift(spark: SparkSession, sf: str) -> DataFrame:
     obs = model.observations(spark, sf)
-    brands = [r["feature"] for r in model.features(spark, sf).select("feature").orderBy("feature").limit(4096).collect()]
+    brands = model.feature_names(spark, sf)
     return rounded(feature_qc.pc1_order_rho(feature_qc.principal_components(obs, brands, 1)[0], model.samples(spark, sf)))

@@ -15,6 +15,8 @@ BLANK, QC, DQC, BIO = ["AFRICA"], ["AMERICA"], ["ASIA"], ["EUROPE", "MIDDLE EAST
 CLASSES = [*BLANK, *QC, *DQC, *BIO]
 #: Intensity above which a feature counts as detected.
 THRESHOLD = 700.0
+#: Columns of a wide matrix at most.
+MOST_COLUMNS = 4096
 TASKS = [("EUROPE", "MIDDLE EAST"), ("ASIA", "EUROPE"), ("AMERICA", "ASIA")]
 GROUPS = {"biological": BIO, "qc_like": [*QC, *DQC], "blank": BLANK}
 
@@ -39,6 +41,14 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("mz"), F.avg("p_size").alias("rt"))
 
 
+def feature_names(spark: SparkSession, sf: str) -> list[str]:
+    """Names of all features, for wide matrices; ValueError over MOST_COLUMNS."""
+    names = [r["feature"] for r in features(spark, sf).select("feature").where("feature is not null").orderBy("feature").take(MOST_COLUMNS + 1)]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} features for a wide matrix")
+    return names
+
+
 def standards(spark: SparkSession, sf: str) -> DataFrame:
     """compound_id, mz, rt of every part type."""
     return read_table(spark, sf, "part").groupBy(F.col("p_type").alias("compound_id")).agg(F.avg("p_retailprice").alias("mz"), F.avg("p_size").alias("rt"))
