@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS, join_counted, join_null_safe
+from matrica.functions.keys import BROADCAST_ROWS, HOT_ROWS, join_counted, join_null_safe
 from matrica.functions.robust import MAD_TO_SD, with_median_mad
 from matrica.session import cut_lineage
 
@@ -49,7 +49,7 @@ def stuck_runs(runs: DataFrame, min_length: int = 5) -> DataFrame:
     local = join_null_safe(local, ends, ["series", "piece"]).withColumn("seg", F.when((F.col("seg") == F.col("first_seg")) & F.col("joins").isNotNull(), F.col("joins")).otherwise(F.col("seg")))
     local = local.where(F.col("value").isNotNull()).select("series", "pos", "seg")
     long = local.groupBy("series", "seg").agg(F.count(F.lit(1)).alias("len")).where(F.col("len") >= min_length).select("series", "seg")
-    return join_null_safe(local, long, ["series", "seg"], "left_semi").select("series", "pos")
+    return join_counted(local, long, ["series", "seg"], "left_semi").select("series", "pos")
 
 
 def phase_space_spikes(runs: DataFrame, *, limit: float = 6.0, max_iterations: int = 3) -> DataFrame:
@@ -76,7 +76,8 @@ def phase_space_spikes(runs: DataFrame, *, limit: float = 6.0, max_iterations: i
         if found is not None and now.isEmpty():
             break
         found = now if found is None else found.unionByName(now)
-        left = join_null_safe(left, now.select("series", "pos"), ["series", "pos"], "left_anti")
+        gone = now.select("series", "pos")
+        left = join_null_safe(left, F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["series", "pos"], "left_anti")
     return found
 
 
