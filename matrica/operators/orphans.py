@@ -127,13 +127,13 @@ def orphan_cascade(relations: Sequence[Relation], references: Sequence[Reference
             further = []
             for ref in inner:
                 parent = tables[ref.parent]
-                fresh = new.where(F.col("table_name") == parent.name).select(F.col("row_id").alias(parent.row_id))
+                fresh = new.where(F.col("table_name") == parent.name).select("row_id")
                 if ref.parent not in parents:
                     continue
-                own = parent.df.select(tidy_key(parent.key).alias("key"), F.col(parent.row_id).cast("bigint").alias(parent.row_id)).where("key is not null")
-                dead = orphans.where(F.col("table_name") == parent.name).select(F.col("row_id").alias(parent.row_id)).distinct()
-                touched = own.join(fresh, parent.row_id, "left_semi").select("key").distinct()
-                alive = own.join(dead, parent.row_id, "left_anti").select("key").distinct()
+                own = parent.df.select(tidy_key(parent.key).alias("key"), F.col(parent.row_id).cast("bigint").alias("row_id")).where("key is not null")
+                dead = orphans.where(F.col("table_name") == parent.name).select("row_id").distinct()
+                touched = own.join(fresh, "row_id", "left_semi").select("key").distinct()
+                alive = own.join(dead, "row_id", "left_anti").select("key").distinct()
                 gone = touched.join(alive, "key", "left_anti")
                 further.append(child_rows(ref).join(gone, "key", "left_semi").select(*columns))
             step = reduce(DataFrame.unionByName, further).dropDuplicates(["table_name", "row_id"])

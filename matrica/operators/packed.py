@@ -15,7 +15,7 @@ _SPAN = (
     rf"(?![^{_AROUND}])"
 )
 _DELIMITER = r"[,;|\t\r\n\x{FF0C}\x{FF1B}\x{3001}]|(?<=[\s\x{A0}\x{3000}])/(?=[\s\x{A0}\x{3000}]|$)"
-_OUTER = r"^[\s\x{A0}\x{3000}\x{FEFF}]+|[\s\x{A0}\x{3000}\x{FEFF}]+$"
+_OUTER = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 _NOTHING = ("", "[]", "()", "{}", "nan", "None")
 # Placeholder marks; an escape keeps them apart from the same characters in a text.
 _OPEN, _CLOSE, _ESCAPE = "\ue000", "\ue001", "\ue002"

@@ -33,7 +33,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @_query
 def frozen_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Acquired biological samples, one row each."""
-    return matrix.subset_samples(read_table(spark, sf, "acquisition_list").select("sample", "class", "batch", "run_order"), classes=["Dunn", "French", "LMU"])
+    out = matrix.subset_samples(read_table(spark, sf, "acquisition_list").select("sample", "class", "batch", "run_order"), classes=["Dunn", "French", "LMU"])
+    return out.withColumn("run_order", F.col("run_order").cast("double"))
 
 
 @_query

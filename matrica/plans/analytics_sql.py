@@ -156,7 +156,7 @@ evm AS (SELECT task_name, feature, median(x) FILTER (WHERE positive) AS pos_medi
   avg((raw > {_T})::INT) FILTER (WHERE positive) AS pos_detection_rate, avg((raw > {_T})::INT) FILTER (WHERE NOT positive) AS neg_detection_rate FROM ev GROUP BY 1, 2)"""
 
 ORACLE = {
-    "frozen_samples": "SELECT sample, class, batch, run_order FROM (SELECT sample, class, batch, run_order, row_number() OVER (PARTITION BY sample ORDER BY batch NULLS FIRST, run_order NULLS FIRST, class NULLS FIRST) AS r FROM acquisition_list WHERE class IN ('Dunn', 'French', 'LMU')) WHERE r = 1",
+    "frozen_samples": "SELECT sample, class, batch, run_order::DOUBLE AS run_order FROM (SELECT sample, class, batch, run_order, row_number() OVER (PARTITION BY sample ORDER BY batch NULLS FIRST, run_order NULLS FIRST, class NULLS FIRST) AS r FROM acquisition_list WHERE class IN ('Dunn', 'French', 'LMU')) WHERE r = 1",
     "inventory_pivot": "SELECT batch, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS \"{c}\"" for c in ("B", "SS", "dQC", "QC", "Dunn", "French", "LMU")) + " FROM acquisition_list WHERE batch IS NOT NULL AND class IS NOT NULL GROUP BY 1",
     "inventory_counts": "SELECT batch, class, count(*) AS n_samples, coalesce(list_position(['B', 'SS', 'dQC', 'QC', 'Dunn', 'French', 'LMU'], class), 8) AS class_rank FROM acquisition_list WHERE batch IS NOT NULL AND class IS NOT NULL GROUP BY 1, 2",
     "missing_orders": "WITH o AS (SELECT DISTINCT batch, run_order AS pos FROM acquisition_list WHERE run_order IS NOT NULL), n AS (SELECT batch, pos, lead(pos) OVER (PARTITION BY batch ORDER BY pos) AS nx FROM o) SELECT batch, pos + 1 AS first_missing, nx - 1 AS last_missing FROM n WHERE nx > pos + 1",

@@ -1,7 +1,7 @@
 """How the star-schema tables play the parts of the feature-matrix model in the registered queries.
 
 sample: supplier; class: its region; batch: odd or even supplier; run_order: its key; feature: part brand; intensity:
-revenue in thousands. sequence-like and vector tables are glycan_list and embeddings. Every table is read whole.
+revenue in UNITs. sequence-like and vector tables are glycan_list and embeddings. Every table is read whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ BLANK, QC, DQC, BIO = ["AFRICA"], ["AMERICA"], ["ASIA"], ["EUROPE", "MIDDLE EAST
 CLASSES = [*BLANK, *QC, *DQC, *BIO]
 #: Intensity above which a feature counts as detected.
 THRESHOLD = 700.0
+#: No round decimal divisor, so that no sum lies on the border of two rounded values and hangs on the order of adding.
+UNIT = 997.0
 #: Columns of a wide matrix at most.
 MOST_COLUMNS = 4096
 TASKS = [("EUROPE", "MIDDLE EAST"), ("ASIA", "EUROPE"), ("AMERICA", "ASIA")]
@@ -31,7 +33,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """sample, feature, intensity with the sample's class, batch and run_order."""
     brand = read_table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("feature"))
-    revenue = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000).alias("x"))
+    revenue = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / UNIT).alias("x"))
     sums = revenue.join(brand, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("sample"), "feature").agg(F.sum("x").alias("intensity"))
     return sums.join(samples(spark, sf), "sample")
 
@@ -66,7 +68,7 @@ SAMPLES_SQL = """samples AS (
   SELECT s_suppkey AS sample, r_name AS class, 1 + s_suppkey % 2 AS batch, s_suppkey AS run_order
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 OBS_SQL = f"""WITH {SAMPLES_SQL},
-sums AS (SELECT l_suppkey AS sample, p_brand AS feature, sum(l_extendedprice * (1 - l_discount) / 1000) AS intensity
+sums AS (SELECT l_suppkey AS sample, p_brand AS feature, sum(l_extendedprice * (1 - l_discount) / {UNIT}) AS intensity
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 obs AS (SELECT * FROM sums JOIN samples USING (sample)),
 feats AS (SELECT p_brand AS feature, avg(p_retailprice) AS mz, avg(p_size) AS rt FROM part GROUP BY 1)
