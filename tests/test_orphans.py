@@ -53,3 +53,12 @@ def test_empty_tables_and_null_times(spark):
     assert sorted((r["row_id"], r["ref_period"] or "") for r in rows) == [(1, ""), (1, ""), (2, "2024-01")]
     relations[1] = Relation("child", child.limit(0), "id", None, "key")
     assert orphan_cascade(relations, [Reference("child", "k", "root")]).count() == 0
+
+
+def test_clashing_columns_and_nulls_everywhere(spark):
+    schema = "row_id bigint, key string, at timestamp_ntz, table_name string, kind string, parent string, depth int"
+    child = frame(spark, [(1, "a", day(1), "t", "k", "p", 9), (None, "b", day(1), None, None, None, None), (None, None, None, None, None, None, None)], schema)
+    root = frame(spark, [(7, "A ", day(0), None), (None, None, None, None)], "key bigint, sample string, start timestamp_ntz, end timestamp_ntz")
+    relations = [Relation("root", root, "key", "sample", None, "start", "end"), Relation("child", child, "row_id", "key", "at"), Relation("low", child, "row_id", None, "at")]
+    rows = orphan_cascade(relations, [Reference("child", "key", "root"), Reference("low", "key", "child")]).collect()
+    assert [(r["table_name"], r["row_id"], r["kind"]) for r in rows if r["kind"] == "direct"] == [("child", None, "direct")]

@@ -41,3 +41,9 @@ def test_positions_limits_and_long_texts(spark):
     assert sorted((r["pos"], r["item"]) for r in rows.where("id = 1").collect()) == [(1, "a"), (1, "a"), (2, "b"), (2, "b")]
     assert rows.where("id = 2 and field = 'f'").count() == 50_000
     assert explode_packed(df.limit(0), "id", ["f"]).count() == 0
+
+
+def test_escaped_quotes_in_long_texts(spark):
+    text = '"' + 'a ""b"" ' * 400 + '", "c"'
+    items = split_packed(spark.createDataFrame([(text, "kept")], "text string, spans string"), "text").first()
+    assert items["items"] == [('a "b" ' * 400).strip(), "c"] and items["spans"] == "kept"
