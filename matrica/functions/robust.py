@@ -69,6 +69,23 @@ def median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, ho
     return both.groupBy(*keys).agg(*[own(what, c) for c in columns for what in ("med", "mad", "n")])
 
 
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column], *, hot_limit: int = HOT_ROWS) -> DataFrame:
+    """keys and one exact median per named column, nulls left out; groups without any value have no row.
+
+    In place of median aggregates wherever a group may hold a large share of the rows (see grouped_median).
+    """
+    keys = list(keys)
+    each = F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("x")) for name, value in values.items()])
+    long = df.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+    found = grouped_median(long, [*keys, "metric"], "x", "m", hot_limit=hot_limit)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == name, F.col("m"))).alias(name) for name in values])
+
+
+def with_medians(stats: DataFrame, df: DataFrame, keys: Sequence[str], values: dict[str, Column], *, hot_limit: int = HOT_ROWS) -> DataFrame:
+    """stats (one row per group of df) with the medians of its groups."""
+    return join_null_safe(stats, medians(df, keys, values, hot_limit=hot_limit), list(keys))
+
+
 def with_median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """df with med_<c>, mad_<c> and n_<c> of each column over its group."""
     return join_counted(df, median_mad(df, keys, columns, hot_limit=hot_limit), list(keys))

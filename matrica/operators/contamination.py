@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
+from matrica.functions.robust import with_medians
 from matrica.functions.stats import spearman
+from matrica.operators.spikes import PIECE, neighbours_along
 from matrica.session import cut_lineage
 
 #: Reference standards at most; the list is broadcast.
@@ -34,17 +36,19 @@ def detection_summary(rates: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Per class: mean and median detection rate of the features, and the shares of at least 0.70 and 0.90."""
     rows = rates.where(F.col("class_group").isin(*classes))
     share = lambda limit: F.avg((F.col("detection_rate") >= limit).cast("int"))
+    # One rate per feature and class: a group is as large as the list of features.
     return rows.groupBy(F.col("class_group").alias("class")).agg(F.avg("detection_rate").alias("mean_rate"), F.median("detection_rate").alias("median_rate"), share(0.7).alias("share_70"), share(0.9).alias("share_90"))
 
 
-def contamination_metrics(obs: DataFrame, blank: Sequence[str], control: Sequence[str], biological: Sequence[str], *, ratio: float = 1.0, min_rate: float = 0.1, threshold: float = 0.0) -> DataFrame:
+def contamination_metrics(obs: DataFrame, blank: Sequence[str], control: Sequence[str], biological: Sequence[str], *, ratio: float = 1.0, min_rate: float = 0.1, threshold: float = 0.0, hot_limit: int = HOT_ROWS) -> DataFrame:
     """Per feature: mean, median and detection rate in blanks, controls and biological samples, the ratios of blank
     means (plus 1) to the others and their logarithms, and whether blanks dominate."""
-    x, aggs = F.col("intensity"), []
+    x, aggs, middle = F.col("intensity"), [], {}
     for name, classes in (("blank", blank), ("qc", control), ("bio", biological)):
         own = F.when(F.col("class").isin(*classes), x)
-        aggs += [F.avg(own).alias(f"{name}_mean"), F.median(own).alias(f"{name}_median"), F.avg((own > threshold).cast("int")).alias(f"{name}_detection_rate")]
-    out = obs.groupBy("feature").agg(*aggs)
+        middle[f"{name}_median"] = own
+        aggs += [F.avg(own).alias(f"{name}_mean"), F.avg((own > threshold).cast("int")).alias(f"{name}_detection_rate")]
+    out = with_medians(obs.groupBy("feature").agg(*aggs), obs, ["feature"], middle, hot_limit=hot_limit)
     for other in ("qc", "bio"):
         out = out.withColumn(f"blank_to_{other}_ratio", (F.col("blank_mean") + 1) / (F.col(f"{other}_mean") + 1)).withColumn(f"log10_blank_to_{other}", F.log10(f"blank_to_{other}_ratio"))
     dominant = (F.col("blank_to_qc_ratio") >= ratio) & (F.col("blank_to_bio_ratio") >= ratio) & (F.col("blank_detection_rate") >= min_rate)
@@ -55,8 +59,8 @@ def blank_carryover(obs: DataFrame, blank: Sequence[str], *, hot_limit: int | No
     """feature, carryover_rho, n_blank_contexts: Spearman of a blank's log intensity with the log total signal of the
     sample before it in the batch (by row, whatever the gap). Blanks without a predecessor are left out."""
     totals = obs.groupBy("sample", "batch", "run_order", "class").agg(F.sum("intensity").alias("total"))
-    order = Window.partitionBy("batch").orderBy("run_order", "sample")
-    before = totals.withColumn("previous", F.log1p(F.lag("total").over(order))).where(F.col("class").isin(*blank) & F.col("previous").isNotNull())
+    runs = totals.select("sample", "class", "total", F.col("batch").alias("series"), F.floor(F.col("run_order") / PIECE).alias("piece"), F.struct("run_order", "sample").alias("pos"))
+    before = neighbours_along(runs, F.col("total")).withColumn("previous", F.log1p("before.v")).where(F.col("class").isin(*blank) & F.col("previous").isNotNull())
     rows = obs.join(before.select("sample", "previous"), "sample").withColumn("x", F.log1p("intensity"))
     return spearman(rows, ["feature"], "x", "previous", "carryover_rho", hot_limit=hot_limit).withColumnRenamed("n", "n_blank_contexts")
 
@@ -76,9 +80,9 @@ def match_standards(features: DataFrame, standards: DataFrame, *, ppm: float = 5
     return best.select("compound_id", "b.feature", "b.score", "b.ppm_error", "b.rt_error", ((F.abs("b.ppm_error") <= ppm) & (F.abs("b.rt_error") <= rt)).alias("within_tolerance"))
 
 
-def track_standards(obs: DataFrame, matches: DataFrame) -> DataFrame:
+def track_standards(obs: DataFrame, matches: DataFrame, *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """compound_id, feature, batch, class: count, mean, median and mean log10(x + 1) of the matched features."""
     rows = obs.join(matches.select("compound_id", "feature"), "feature").withColumn("log10_intensity", F.log10(F.col("intensity") + 1))
-    return rows.groupBy("compound_id", "feature", "batch", "class").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("intensity").alias("mean_intensity"), F.median("intensity").alias("median_intensity"), F.avg("log10_intensity").alias("mean_log10")
-    )
+    rows, keys = cut_lineage(rows), ["compound_id", "feature", "batch", "class"]
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("intensity").alias("mean_intensity"), F.avg("log10_intensity").alias("mean_log10"))
+    return with_medians(stats, rows, keys, {"median_intensity": F.col("intensity")}, hot_limit=hot_limit)

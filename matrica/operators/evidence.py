@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
+from matrica.functions.robust import with_medians
 from matrica.functions.stats import bh_adjust, erfc, mann_whitney
 
 
@@ -32,10 +33,11 @@ def univariate_evidence(obs: DataFrame, tasks: DataFrame, *, value: str = "inten
     rows = task_rows(obs, tasks)
     side = lambda c, s: F.when(F.col("positive") == s, F.col(c))
     stats = rows.groupBy("task_name", "feature").agg(
-        F.median(side(value, True)).alias("pos_median"), F.median(side(value, False)).alias("neg_median"), (F.avg(side(value, True)) - F.avg(side(value, False))).alias("mean_difference"),
-        F.median(side(raw, True)).alias("pos_raw_median"), F.median(side(raw, False)).alias("neg_raw_median"),
+        (F.avg(side(value, True)) - F.avg(side(value, False))).alias("mean_difference"),
         F.avg((side(raw, True) > threshold).cast("int")).alias("pos_detection_rate"), F.avg((side(raw, False) > threshold).cast("int")).alias("neg_detection_rate"),
     )
+    middle = {"pos_median": side(value, True), "neg_median": side(value, False), "pos_raw_median": side(raw, True), "neg_raw_median": side(raw, False)}
+    stats = with_medians(stats, rows, ["task_name", "feature"], middle, hot_limit=hot_limit or HOT_ROWS)
     u = mann_whitney(rows, ["task_name", "feature"], value, "positive", hot_limit=hot_limit).withColumn("p_value", erfc(F.col("z") / F.sqrt(F.lit(2.0))))
     out = bh_adjust(stats.join(u, ["task_name", "feature"]), ["task_name"], "p_value")
     out = out.withColumn("log2_ratio", F.log2((F.col("pos_raw_median") + 1) / (F.col("neg_raw_median") + 1))).withColumn("best_auc", F.greatest("auc", 1 - F.col("auc")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
-from matrica.functions.robust import robust_z, with_median_mad
+from matrica.functions.robust import medians, robust_z, with_median_mad, with_medians
 from matrica.functions.stats import average_rank, pearson, spearman
 from matrica.operators.matrix import wide_matrix
 from matrica.session import cut_lineage
@@ -29,9 +29,10 @@ def qc_feature_metrics(obs: DataFrame, classes: Sequence[str], *, threshold: flo
     x = F.col("intensity")
     stats = rows.groupBy("feature").agg(
         F.count(x).alias(f"{prefix}_n"), F.avg((x > threshold).cast("double")).alias(f"{prefix}_detection_rate"), F.avg(x).alias(f"{prefix}_mean"),
-        F.median(x).alias(f"{prefix}_median"), F.stddev_samp(x).alias(f"{prefix}_sd"),
+        F.stddev_samp(x).alias(f"{prefix}_sd"),
     )
     stats = stats.withColumn(f"{prefix}_cv", percent_cv(F.col(f"{prefix}_sd"), F.col(f"{prefix}_mean")))
+    stats = with_medians(stats, rows, ["feature"], {f"{prefix}_median": x}, hot_limit=hot_limit or HOT_ROWS)
     drift = spearman(rows.withColumn("__log", F.log1p("intensity")), ["feature"], "__log", "run_order", f"{prefix}_drift", hot_limit=hot_limit).drop("n")
     return stats.join(drift, "feature", "left")
 
@@ -105,7 +106,8 @@ def principal_components(obs: DataFrame, features: Sequence[str], k: int = 2, *,
 
 def flag_pca_outliers(scores: DataFrame, *, limit: float = 3.5, hot_limit: int = HOT_ROWS) -> DataFrame:
     """Add the distance to the median point of the first two components, its robust z and a flag."""
-    centre = scores.agg(F.median("PC1").alias("m1"), F.median("PC2").alias("m2"))
+    scores = cut_lineage(scores)
+    centre = medians(scores, [], {"m1": F.col("PC1"), "m2": F.col("PC2")}, hot_limit=hot_limit)
     out = scores.crossJoin(F.broadcast(centre)).withColumn("pca_distance", F.hypot(F.col("PC1") - F.col("m1"), F.col("PC2") - F.col("m2"))).drop("m1", "m2")
     out = with_median_mad(cut_lineage(out), [], ["pca_distance"], hot_limit=hot_limit)
     out = out.withColumn("pca_robust_z", robust_z(F.col("pca_distance"), F.col("med_pca_distance"), F.col("mad_pca_distance"))).drop("med_pca_distance", "mad_pca_distance", "n_pca_distance")

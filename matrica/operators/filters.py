@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import HOT_ROWS
+from matrica.functions.robust import with_medians
 from matrica.operators.feature_qc import percent_cv
 from matrica.operators.matrix import key_values
 
@@ -20,16 +22,17 @@ def row_median(columns: Sequence[Column]) -> Column:
     return F.when(n > 0, (low + high) / 2)
 
 
-def detected_only_stats(obs: DataFrame, by: Sequence[str], *, threshold: float = 0.0) -> DataFrame:
+def detected_only_stats(obs: DataFrame, by: Sequence[str], *, threshold: float = 0.0, hot_limit: int = HOT_ROWS) -> DataFrame:
     """Statistics over the values above the threshold: count, rate over all, mean, median, CV%, sd of the logarithm.
 
     Nothing detected gives NULLs; one detected value gives its mean and median and no spread.
     """
     x = F.when(F.col("intensity") > threshold, F.col("intensity"))
     out = obs.groupBy(*by).agg(
-        F.count(x).alias("n_detected"), (F.count(x) / F.count(F.lit(1))).alias("detection_rate"), F.avg(x).alias("mean"), F.median(x).alias("median"),
+        F.count(x).alias("n_detected"), (F.count(x) / F.count(F.lit(1))).alias("detection_rate"), F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("sd"), F.stddev_samp(F.log1p(x)).alias("log_sd"),
     )
+    out = with_medians(out, obs, list(by), {"median": x}, hot_limit=hot_limit)
     return out.withColumn("cv", percent_cv(F.col("sd"), F.col("mean"))).drop("sd")
 
 

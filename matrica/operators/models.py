@@ -7,12 +7,17 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrica.session import cut_lineage
+
 MODELS = ("logreg_l1", "linear_svm")
+#: Samples of a task up to which one Spark group fits a fold.
+MOST_SAMPLES = 20_000
 
 
 def fold_table(samples: DataFrame, *, repeats: int = 10, folds: int = 5, seed: int = 42, by: Sequence[str] = ("task_name", "positive")) -> DataFrame:
@@ -54,9 +59,13 @@ def cross_validate(rows: DataFrame, folds: DataFrame, features: Sequence[str], *
     """(metrics per fold, coefficients per fold) of all tasks, models, repeats and folds.
 
     rows: task_name, sample, positive and the features in wide form. The task's samples are sent to each fold's
-    group, which standardises, keeps the k best features by F statistic and fits a small model in numpy; a task
-    holds the samples of two classes of one study. Missing values are 0.
+    group, which standardises, keeps the k best features by F statistic and fits a small model in numpy: the studies
+    have many small fits. A task of more than MOST_SAMPLES samples does not fit one group and raises ValueError;
+    cross_validate_large fits it on Spark. Missing values are 0.
     """
+    large = rows.groupBy("task_name").count().where(F.col("count") > MOST_SAMPLES).take(1)
+    if large:
+        raise ValueError(f"{large[0]['task_name']} has more than {MOST_SAMPLES} samples; use cross_validate_large")
     keys = "task_name string, feature_space string, model_name string, repeat int, fold int"
     vector = F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features])
     wide = rows.select("task_name", "sample", "positive", vector.alias("x"))
@@ -89,6 +98,32 @@ def cross_validate(rows: DataFrame, folds: DataFrame, features: Sequence[str], *
     return fitted.drop("chosen", "coefficient"), pairs.select("task_name", "feature_space", "model_name", "repeat", "fold", F.col("c.chosen").alias("feature"), "c.coefficient")
 
 
+def cross_validate_large(rows: DataFrame, folds: DataFrame, features: Sequence[str], *, space: str, models: Sequence[str] = MODELS, k_best: int = 20) -> DataFrame:
+    """Metrics per fold as cross_validate gives them, with each fit a Spark ML job over the distributed rows.
+
+    The loop runs over tasks, repeats, folds and models, whose number does not grow with the rows.
+    """
+    spark, plan = rows.sparkSession, folds.select("task_name", "repeat", "fold").distinct().orderBy("task_name", "repeat", "fold").collect()
+    filled = rows.na.fill(0.0, list(features)).withColumn("label", F.col("positive").cast("double"))
+    out = []
+    for task, repeat, fold in plan:
+        own = folds.where((F.col("task_name") == task) & (F.col("repeat") == repeat)).select("sample", F.col("fold").alias("own"))
+        data = cut_lineage(filled.where(F.col("task_name") == task).join(own, "sample"))
+        train, test = data.where(F.col("own") != fold), data.where(F.col("own") == fold)
+        n, p = train.agg(F.count(F.lit(1)), F.sum("label")).first()
+        if not p or p == n:
+            continue
+        train = train.withColumn("weight", F.when(F.col("positive"), n / (2 * p)).otherwise(n / (2 * (n - p))))
+        for name in models:
+            scored = linear_pipeline(features, name, k_best=k_best, n_rows=n).fit(train).transform(test)
+            auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label").evaluate(scored)
+            hit, guess = F.col("label") == 1, F.col("prediction") == 1
+            r = scored.agg(F.count_if(hit & guess).alias("tp"), F.count_if(~hit & guess).alias("fp"), F.count_if(hit & ~guess).alias("fn"), F.count_if(~hit & ~guess).alias("tn")).first()
+            rate = lambda a, b: a / b if b else 0.0
+            out.append((task, space, name, repeat, fold, auc, (rate(r["tp"], r["tp"] + r["fn"]) + rate(r["tn"], r["tn"] + r["fp"])) / 2, rate(2 * r["tp"], 2 * r["tp"] + r["fp"] + r["fn"])))
+    return spark.createDataFrame(out, "task_name string, feature_space string, model_name string, repeat int, fold int, auroc double, balanced_accuracy double, f1 double")
+
+
 def benchmark_summary(metrics: DataFrame) -> DataFrame:
     """Means and standard deviations over the folds."""
     return metrics.groupBy("task_name", "feature_space", "model_name").agg(

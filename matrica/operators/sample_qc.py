@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS, join_counted
-from matrica.functions.robust import robust_z, robust_z_or_sd, with_median_mad
+from matrica.functions.robust import medians, robust_z, robust_z_or_sd, with_median_mad, with_medians
 from matrica.functions.stats import spearman
 from matrica.session import cut_lineage
 
@@ -32,7 +32,7 @@ def sample_metrics(obs: DataFrame, by: Sequence[str] = ("sample",), threshold: f
 def class_profile_spearman(obs: DataFrame, *, hot_limit: int | None = HOT_ROWS) -> DataFrame:
     """sample and spearman_corr_to_class_median: each sample against the median log profile of its class."""
     logged = obs.withColumn("x", F.log1p("intensity"))
-    profile = logged.groupBy("class", "feature").agg(F.median("x").alias("m"))
+    profile = medians(logged, ["class", "feature"], {"m": F.col("x")}, hot_limit=hot_limit or HOT_ROWS)
     return spearman(logged.join(profile, ["class", "feature"]), ["sample"], "x", "m", "spearman_corr_to_class_median", hot_limit=hot_limit).drop("n")
 
 
@@ -48,27 +48,29 @@ def flag_outliers(metrics: DataFrame, columns: Sequence[str] = OUTLIER_METRICS,
     return out.withColumn("any_outlier_flag", reduce(Column.__or__, [F.col(f"outlier_{c}") for c in columns]))
 
 
-def sample_summary(metrics: DataFrame) -> DataFrame:
+def sample_summary(metrics: DataFrame, *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """Sample counts, medians and means per batch and class; null batches and classes are left out."""
-    return metrics.where("batch is not null and class is not null").groupBy("batch", "class").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.median("total_signal").alias("median_total_signal"), F.avg("total_signal").alias("mean_total_signal"),
-        F.median("detected_features").alias("median_detected_features"), F.avg("detected_features").alias("mean_detected_features"), F.median("zero_fraction").alias("median_zero_fraction"),
-    )
+    rows = metrics.where("batch is not null and class is not null")
+    stats = rows.groupBy("batch", "class").agg(F.count(F.lit(1)).alias("n_samples"), F.avg("total_signal").alias("mean_total_signal"), F.avg("detected_features").alias("mean_detected_features"))
+    return with_medians(stats, rows, ["batch", "class"], {f"median_{c}": F.col(c) for c in ("total_signal", "detected_features", "zero_fraction")}, hot_limit=hot_limit)
 
 
-def threshold_sensitivity(obs: DataFrame, thresholds: Sequence[float] = (0, 1, 10, 100, 1000)) -> DataFrame:
+def threshold_sensitivity(obs: DataFrame, thresholds: Sequence[float] = (0, 1, 10, 100, 1000), *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """class, batch, threshold and mean, median, min and max of the samples' detection rates, in one scan."""
     x = F.coalesce("intensity", F.lit(0.0))
     rates = obs.groupBy("sample", "class", "batch").agg(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), (F.count_if(x > t) / F.count(F.lit(1))).alias("rate")) for t in thresholds]).alias("r"))
     rows = rates.select("class", "batch", F.explode("r").alias("r")).select("class", "batch", "r.*")
-    return rows.groupBy("class", "batch", "threshold").agg(F.avg("rate").alias("mean_rate"), F.median("rate").alias("median_rate"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"))
+    rows, keys = cut_lineage(rows), ["class", "batch", "threshold"]
+    stats = rows.groupBy(*keys).agg(F.avg("rate").alias("mean_rate"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"))
+    return with_medians(stats, rows, keys, {"median_rate": F.col("rate")}, hot_limit=hot_limit)
 
 
-def centroid_distance(scores: DataFrame, components: Sequence[str], by: str = "class") -> DataFrame:
+def centroid_distance(scores: DataFrame, components: Sequence[str], by: str = "class", *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """Add pca_distance_to_class_centroid: Euclidean distance to the class medians of the components."""
-    centre = scores.groupBy(by).agg(*[F.median(c).alias(f"__{c}") for c in components])
+    scores = cut_lineage(scores)
+    centre = medians(scores, [by], {f"__{c}": F.col(c) for c in components}, hot_limit=hot_limit)
     squares = reduce(Column.__add__, [F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in components])
-    return scores.join(centre, by).withColumn("pca_distance_to_class_centroid", F.sqrt(squares)).drop(*[f"__{c}" for c in components])
+    return join_counted(scores, centre, [by]).withColumn("pca_distance_to_class_centroid", F.sqrt(squares)).drop(*[f"__{c}" for c in components])
 
 
 def review_samples(metrics: DataFrame, *, low: Sequence[str], high: Sequence[str], decisive: Sequence[str], z: float = 3.0, by: str = "class", hot_limit: int = HOT_ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ from matrica.session import cut_lineage
 PIECE = 65_536
 
 
-def _carry(runs: DataFrame, value: Column) -> DataFrame:
+def neighbours_along(runs: DataFrame, value: Column) -> DataFrame:
     """Add before and after (structs of v): the neighbours' values along the series, across piece borders."""
     piece = Window.partitionBy("series", "piece").orderBy("pos")
     whole = Window.partitionBy("series").orderBy("piece")
@@ -64,7 +64,7 @@ def phase_space_spikes(runs: DataFrame, *, limit: float = 6.0, max_iterations: i
     left = runs.where(F.col("u").isNotNull()).select("series", "piece", "pos", "u")
     found = None
     for iteration in range(1, max_iterations + 1):
-        near = _carry(left, F.col("u")).withColumn("d1", F.col("u") - F.col("before.v")).withColumn("d2", F.col("after.v") - 2 * F.col("u") + F.col("before.v"))
+        near = neighbours_along(left, F.col("u")).withColumn("d1", F.col("u") - F.col("before.v")).withColumn("d2", F.col("after.v") - 2 * F.col("u") + F.col("before.v"))
         scale = lambda c: MAD_TO_SD * F.percentile_approx(F.abs(F.col(c)), 0.5, 10_000)
         spread = near.groupBy("series").agg(scale("d1").alias("s1"), scale("d2").alias("s2"))
         term = lambda v, s: F.coalesce(F.pow(F.try_divide(F.col(v), s * F.lit(limit)), 2), F.lit(0.0))

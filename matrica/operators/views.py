@@ -8,13 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import HOT_ROWS
+from matrica.functions.robust import medians
 from matrica.functions.stats import spearman
 from matrica.operators.feature_qc import percent_cv, sample_correlations
+from matrica.session import cut_lineage
 
 VIEWS = ("raw", "log1p", "tic_log1p", "median_log1p")
 
 
-def processing_view(obs: DataFrame, method: str) -> DataFrame:
+def processing_view(obs: DataFrame, method: str, *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """obs with intensity replaced by the view; ValueError for an unknown one.
 
     tic_log1p: over the sample's sum, times the median of the positive sums; a sample without signal is 0.
@@ -33,8 +36,9 @@ def processing_view(obs: DataFrame, method: str) -> DataFrame:
         raise ValueError(f"unknown view {method}")
     sizes = obs.groupBy("sample").agg(size.alias("__size"))
     sizes = sizes.withColumn("__size", F.when(F.col("__size") > 0, F.col("__size")))
-    centre = sizes.agg(F.median("__size").alias("__centre"))
-    scaled = obs.join(sizes, "sample").crossJoin(F.broadcast(centre))
+    sizes = cut_lineage(sizes)
+    centre = medians(sizes, [], {"__centre": F.col("__size")}, hot_limit=hot_limit)
+    scaled = obs.join(sizes, "sample").join(F.broadcast(centre), F.lit(True), "left")  # one row
     value = F.coalesce(F.log1p(F.col("intensity") / F.col("__size") * F.col("__centre")), F.lit(0.0))
     return scaled.withColumn("intensity", value).drop("__size", "__centre")
 
@@ -50,7 +54,7 @@ def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequenc
     pairs = sample_correlations(views, control, by=["view"])
     qc = pairs.groupBy("view").agg(F.median("rho").alias("qc_median_rho"), F.min("rho").alias("qc_min_rho"))
     bio = views.where(F.col("class").isin(*biological))
-    profile = bio.groupBy("view", "class", "feature").agg(F.median("intensity").alias("m"))
+    profile = medians(bio, ["view", "class", "feature"], {"m": F.col("intensity")})
     close = spearman(bio.join(profile, ["view", "class", "feature"]), ["view", "sample"], "intensity", "m")
     bio_rho = close.groupBy("view").agg(F.median("rho").alias("bio_median_rho"), F.min("rho").alias("bio_min_rho"))
     totals = views.where(F.col("class").isin(*control)).groupBy("view", "sample").agg(F.sum("intensity").alias("t"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrica.functions.robust import medians
 from matrica.functions.stats import bh_adjust, mann_whitney
 from matrica.operators import blocks, contamination, evidence, feature_qc, filters, knn, master, matrix, models, neighborhood, pairs, sample_qc, sequences, views
 from matrica.plans import model
@@ -390,8 +391,8 @@ def decision_pivot(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def class_profiles(spark: SparkSession, sf: str) -> DataFrame:
     obs = model.observations(spark, sf)
-    medians = obs.where(F.col("class").isin(*BIO, *DQC)).groupBy("feature", "class").agg((F.median("intensity") / 1000).alias("median"))
-    out = evidence.class_profile(medians, _evidence(spark, sf), ["ASIA", "EUROPE", "MIDDLE EAST"])
+    middle = medians(obs.where(F.col("class").isin(*BIO, *DQC)), ["feature", "class"], {"median": F.col("intensity") / 1000})
+    out = evidence.class_profile(middle, _evidence(spark, sf), ["ASIA", "EUROPE", "MIDDLE EAST"])
     return rounded(out.withColumnRenamed("median_MIDDLE EAST", "median_MIDDLE_EAST"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrica.session import cut_lineage
 from matrica.sources import read_table
 
 BLANK, QC, DQC, BIO = ["AFRICA"], ["AMERICA"], ["ASIA"], ["EUROPE", "MIDDLE EAST"]
@@ -31,11 +32,12 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """sample, feature, intensity with the sample's class, batch and run_order."""
+    """sample, feature, intensity with the sample's class, batch and run_order; written once, as operators read it in
+    several branches."""
     brand = read_table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("feature"))
     revenue = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / UNIT).alias("x"))
     sums = revenue.join(brand, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("sample"), "feature").agg(F.sum("x").alias("intensity"))
-    return sums.join(samples(spark, sf), "sample")
+    return cut_lineage(sums.join(samples(spark, sf), "sample"))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

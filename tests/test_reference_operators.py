@@ -168,3 +168,16 @@ def test_cross_validation_separates_separable_classes(spark):
     metrics, coefficients = models.cross_validate(df, folds, ["good", "noise"], space="s", k_best=2)
     assert metrics.count() == 10 and metrics.where("auroc < 1").isEmpty()
     assert "good" in {r["feature"] for r in coefficients.collect()}
+    some = folds.where("fold = 0")
+    large = models.cross_validate_large(df, some.unionByName(folds.where("fold <> 0").withColumn("fold", F.lit(1))), ["good", "noise"], space="s")
+    assert large.count() == 4 and large.where("auroc < 0.95").isEmpty()
+
+
+def test_hot_medians_equal_plain_ones(spark):
+    from matrica.functions.robust import medians
+
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.round(F.randn(3) * 50).alias("x"), F.when(F.col("id") % 5 == 0, F.rand(4)).alias("y"), F.lit(1).alias("metric"))
+    plain = medians(df, ["k"], {"mx": F.col("x"), "my": F.col("y")})
+    hot = medians(df, ["k"], {"mx": F.col("x"), "my": F.col("y")}, hot_limit=100)
+    assert rows(plain, "k", "mx", "my") == rows(hot, "k", "mx", "my") == rows(df.groupBy("k").agg(F.median("x").alias("mx"), F.median("y").alias("my")), "k", "mx", "my")
+    assert medians(df, [], {"m": F.col("x")}).count() == 1
