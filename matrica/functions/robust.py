@@ -16,17 +16,18 @@ BINS = 4096
 MAD_TO_SD = 1.4826
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median", *, hot_limit: int = HOT_ROWS) -> DataFrame:
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median", *, hot_limit: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Exact median of ``value`` per group: keys, ``into``, n (non-null values). NULL keys form groups of their own.
 
     Nulls are left out; NaN must not occur. Groups of up to ``hot_limit`` values use the median aggregate. Larger
     ones are narrowed by histograms: each step counts BINS bins per group with map-side partial counts and keeps the
     bin that holds the wanted rank, until at most ``hot_limit`` values remain there, which are then ranked. The
-    result is the same either way (the mean of the two middle values).
+    result is the same either way (the mean of the two middle values). hot: the keys of the larger groups, where the
+    caller has them.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    hot = cut_lineage(hot_keys(rows, keys, hot_limit))
+    hot = cut_lineage(hot_keys(rows, keys, hot_limit)) if hot is None else hot
     plain = lambda d: d.groupBy(*keys).agg(F.median("v").alias(into), F.count("v").alias("n"))
     if hot.isEmpty():
         return plain(rows)
@@ -58,13 +59,18 @@ def _hot_medians(rows: DataFrame, keys: list[str], into: str, limit: int) -> Dat
 def median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, hot_limit: int = HOT_ROWS) -> DataFrame:
     """keys and med_<c>, mad_<c>, n_<c> per group for several columns, all exact, nulls left out; in two passes."""
     keys = list(keys)
-    values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])
-    long = df.select(*keys, F.explode(values).alias("e")).select(*keys, "e.*").where("x is not null")
-    by = [*keys, "metric"]
-    med = cut_lineage(grouped_median(long, by, "x", "med", hot_limit=hot_limit))
+    if len(columns) == 1:
+        long, by = df.select(*keys, F.col(columns[0]).cast("double").alias("x")).where("x is not null"), keys
+    else:
+        values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])
+        long, by = df.select(*keys, F.explode(values).alias("e")).select(*keys, "e.*").where("x is not null"), [*keys, "metric"]
+    hot = cut_lineage(hot_keys(long, by, hot_limit))  # deviations have the groups of their values
+    med = cut_lineage(grouped_median(long, by, "x", "med", hot_limit=hot_limit, hot=hot))
     near = F.broadcast(med) if med.count() <= BROADCAST_ROWS else med
     off = join_null_safe(long, near, by).withColumn("off", F.abs(F.col("x") - F.col("med")))
-    both = join_null_safe(med, grouped_median(off, by, "off", "mad", hot_limit=hot_limit).drop("n"), by)
+    both = join_null_safe(med, grouped_median(off, by, "off", "mad", hot_limit=hot_limit, hot=hot).drop("n"), by)
+    if len(columns) == 1:
+        return both.select(*keys, *[F.col(what).alias(f"{what}_{columns[0]}") for what in ("med", "mad", "n")])
     own = lambda what, c: F.max(F.when(F.col("metric") == c, F.col(what))).alias(f"{what}_{c}")
     return both.groupBy(*keys).agg(*[own(what, c) for c in columns for what in ("med", "mad", "n")])
 
