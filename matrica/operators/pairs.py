@@ -77,6 +77,42 @@ def relation_types(pairs: DataFrame) -> DataFrame:
     return out.withColumn("relation_type", kind).where("relation_type is not null")
 
 
+def cell_pairs(rows: DataFrame, widths: tuple[float, float], keep: Sequence[str]) -> DataFrame:
+    """Candidate pairs (a_*, b_*) of rows whose mz and rt lie within the two widths, each once, a's mass not larger.
+
+    Both ranges are cut into cells of these widths; a row meets its own and the next mass cell, and there its own, the
+    last and the next cell of time, by an equi-join. ``keep`` starts with the name and holds mz.
+    """
+    m, t = (F.floor(F.col(c) / (w * 1.000001)).cast("bigint") for c, w in zip(("mz", "rt"), widths))
+    base = rows.where(F.col("mz").isNotNull() & F.col("rt").isNotNull())
+    a = base.select(*[F.col(c).alias(f"a_{c}") for c in keep], F.explode(F.array(m, m + 1)).alias("cell_m"), t.alias("t"))
+    a = a.withColumn("cell_t", F.explode(F.array(F.col("t") - 1, F.col("t"), F.col("t") + 1))).drop("t")
+    b = base.select(*[F.col(c).alias(f"b_{c}") for c in keep], m.alias("cell_m"), t.alias("cell_t"))
+    later = (F.col("b_mz") > F.col("a_mz")) | ((F.col("b_mz") == F.col("a_mz")) & (F.col(f"b_{keep[0]}") > F.col(f"a_{keep[0]}")))
+    return a.join(b, ["cell_m", "cell_t"]).where(later).drop("cell_m", "cell_t")
+
+
+def redundancy_edges(features: DataFrame, obs: DataFrame | None = None) -> DataFrame:
+    """feature_a, feature_b, delta_mz, delta_rt, rho and the relation of every related pair of features (feature, mz, rt).
+
+    With ``obs``, all pairs of features are correlated, as rho alone relates some; that is a row per pair and sample.
+    Without, rho is NULL and the candidates are those of the mass and time rules, each over its own range: masses
+    within 0.02 for isomers, and within 30 at times within 20 for adducts. feature_a has the smaller mass.
+    """
+    rows = features.select("feature", "mz", "rt")
+    deltas = [F.col("a_feature").alias("feature_a"), F.col("b_feature").alias("feature_b"), (F.col("b_mz") - F.col("a_mz")).alias("delta_mz"), (F.col("b_rt") - F.col("a_rt")).alias("delta_rt")]
+    if obs is None:
+        timed, keep = rows.where("mz > 0 and rt is not null"), ["feature", "mz", "rt"]
+        isomers = range_pairs(timed, "mz", 0.02 * 1.000001, keep).select(*deltas).where((F.col("delta_mz") <= 0.02) & (F.abs("delta_rt") >= 5))
+        adducts = cell_pairs(timed, (30.0, 20.0), keep).select(*deltas).where((F.abs("delta_rt") <= 20) & F.col("delta_mz").between(0.5, 30))
+        return relation_types(isomers.unionByName(adducts).withColumn("rho", F.lit(None).cast("double")))  # the two exclude each other
+    a, b = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
+    first = lambda side: F.struct(F.coalesce(f"{side}_mz", F.lit(float("inf"))), f"{side}_feature")
+    every = a.join(b, first("a") < first("b")).select(*deltas)
+    rho = pair_correlations(every, obs, {"all": None}).select("feature_a", "feature_b", "rho")
+    return relation_types(every.join(rho, ["feature_a", "feature_b"], "left"))
+
+
 def clusters(nodes: DataFrame, edges: DataFrame, *, node: str = "feature", a: str = "feature_a", b: str = "feature_b") -> DataFrame:
     """node and cluster (the smallest node reachable) of every node, by spreading minima with pointer jumping.
 

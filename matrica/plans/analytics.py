@@ -231,12 +231,8 @@ def pair_correlations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    metadata = read_table(spark, sf, "feature_metadata")
-    near = pairs.isomer_pairs(metadata, ppm=20.0, min_rt=0.0)
-    mass = metadata.select(F.col("feature").alias("f"), "mz")
-    a, b = mass.withColumnRenamed("mz", "ma"), mass.withColumnRenamed("mz", "mb")
-    rows = near.join(a, near["feature_a"] == a["f"]).drop("f").join(b, near["feature_b"] == b["f"]).drop("f")
-    return pairs.relation_types(rows.select("feature_a", "feature_b", (F.col("mb") - F.col("ma")).alias("delta_mz"), "delta_rt", F.lit(None).cast("double").alias("rho")))
+    """Related features by mass and time; no table has their intensities, so rho is NULL."""
+    return pairs.redundancy_edges(read_table(spark, sf, "feature_metadata"))
 
 
 @_query
