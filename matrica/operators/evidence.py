@@ -61,6 +61,17 @@ def selection_stability(coefficients: DataFrame, n_folds: int) -> DataFrame:
     )
 
 
+def tier_features(features: DataFrame, evidence: DataFrame, stability: DataFrame, *, model: str = "logreg_l1") -> DataFrame:
+    """Add best_auc, n_significant (tasks with a significant q), max_frequency and max_sign of ``model`` to features.
+
+    The last two are the largest selection frequency and sign consistency over tasks; 0 for a feature never selected.
+    """
+    tests = evidence.groupBy("feature").agg(F.max("best_auc").alias("best_auc"), F.count_if("significant").alias("n_significant"))
+    stable = stability.where(F.col("model_name") == model).groupBy("feature").agg(F.max("selection_frequency").alias("max_frequency"), F.max("sign_consistency").alias("max_sign"))
+    out = features.join(tests, "feature", "left").join(stable, "feature", "left")
+    return out.na.fill(0, ["n_significant"]).na.fill(0.0, ["max_frequency", "max_sign"])
+
+
 def feature_tiers(features: DataFrame, *, first_auc: float = 0.90, second_auc: float = 0.85) -> DataFrame:
     """Add tier to features with is_representative, high_confidence, warning, n_significant, best_auc, max_frequency
     and max_sign, and cluster; a member of a cluster with a tier 1 or 2 representative supports it."""

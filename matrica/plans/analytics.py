@@ -13,6 +13,7 @@ from matrica.operators import blocks, contamination, evidence, feature_qc, filte
 from matrica.plans import model
 from matrica.plans.analytics_sql import ORACLE
 from matrica.plans.model import BIO, BLANK, CLASSES, DQC, GROUPS, QC, TASKS, THRESHOLD
+from matrica.session import cut_lineage
 from matrica.sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,10 +364,17 @@ def cluster_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _features_for_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    base = _evidence(spark, sf).groupBy("feature").agg(F.max("best_auc").alias("best_auc"), F.count_if(F.col("p_value") < 0.3).alias("n_significant"))
-    filtered = _filtered(spark, sf).select("feature", "high_confidence", (F.col("blank_veto") | F.col("carryover_flag")).alias("warning"), "retained_main")
-    out = base.join(filtered, "feature").withColumn("cluster", F.substring("feature", 1, 7))
-    return out.withColumn("is_representative", F.col("retained_main")).withColumn("max_frequency", F.col("best_auc")).withColumn("max_sign", F.lit(1.0))
+    """Features with the evidence of their tiers; clusters and representatives are those of the retained ones."""
+    filtered = cut_lineage(_filtered(spark, sf))
+    kept = filtered.where("retained_main").select("feature", "mz", "rt", "high_confidence", "qc_cv", "d_ratio_log", "bio_detection_rate_max")
+    obs = model.observations(spark, sf).join(kept.select("feature"), "feature")
+    edges = pairs.redundancy_edges(kept, obs).where("is_isomer or is_adduct or is_near_duplicate")
+    order = [~F.col("high_confidence"), F.col("qc_cv").isNull(), F.col("qc_cv"), F.col("d_ratio_log").isNull(), F.col("d_ratio_log"), -F.col("bio_detection_rate_max")]
+    members = pairs.pick_representatives(pairs.clusters(kept, edges).join(kept, "feature"), order)
+    members = members.select("feature", "cluster", (F.col("redundancy_role") != "member").alias("is_representative"))
+    flags = filtered.select("feature", "high_confidence", (F.col("blank_veto") | F.col("carryover_flag")).alias("warning"), "retained_main")
+    out = flags.join(members, "feature", "left").withColumn("cluster", F.coalesce("cluster", "feature")).withColumn("is_representative", F.coalesce("is_representative", F.lit(False)))
+    return evidence.tier_features(out, _evidence(spark, sf), selection_stability(spark, sf))
 
 
 def _tiers(spark: SparkSession, sf: str) -> DataFrame:
