@@ -67,27 +67,27 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return features.join(groups, "feature", "left").select("feature", F.coalesce("g", "feature").alias("group_feature"))
 
 
-def _terms(spark: SparkSession, sf: str, max_n: int) -> DataFrame:
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
     records = read_table(spark, sf, "glycan_list")
     lower = lambda c: F.transform(c, lambda x: F.lower(x))
     species = split_packed(records.select("tissue_species"), "tissue_species").select(F.lit("tissue_species").alias("field"), lower("items").alias("terms"))
     names = records.select(F.lit("composition").alias("field"), lower(F.regexp_extract_all("composition", F.lit(COMPOSITION_ITEM), F.lit(1))).alias("terms"))
-    counted = [ngram_counts(rows, "terms", max_n=max_n).withColumn("field", F.lit(field)) for field, rows in (("tissue_species", species), ("composition", names))]
+    counted = [ngram_counts(rows, "terms").withColumn("field", F.lit(field)) for field, rows in (("tissue_species", species), ("composition", names))]
     return mark_terms(counted[0].unionByName(counted[1]), records.agg(F.count(F.lit(1)).alias("total")))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _terms(spark, sf, 1).where("mark is not null").select("field", F.col("ngram")[0].alias("term"), "mark")
+    return _terms(spark, sf).where("n = 1 and mark is not null").select("field", F.col("ngram")[0].alias("term"), "mark")
 
 
 def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and records of every term."""
-    return _terms(spark, sf, 1).select("field", F.col("ngram")[0].alias("term"), "occurrences", "records", "mark")
+    return _terms(spark, sf).where("n = 1").select("field", F.col("ngram")[0].alias("term"), "occurrences", "records", "mark")
 
 
 def p5_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences and records of all runs of up to three terms."""
-    return _terms(spark, sf, 3).select("field", F.array_join("ngram", " | ").alias("term"), "n", "occurrences", "records", "mark")
+    """Occurrences and records of all runs of terms, of every length."""
+    return _terms(spark, sf).select("field", F.array_join("ngram", " | ").alias("term"), "n", "occurrences", "records", "mark")
 
 
 def _collapsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

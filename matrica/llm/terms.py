@@ -9,27 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sorted_suffixes(records: DataFrame, tokens: str, max_n: int) -> DataFrame:
-    """suffix (at most max_n tokens), shared, weight: all suffixes of all records.
+def sorted_suffixes(records: DataFrame, tokens: str, max_n: int | None = None) -> DataFrame:
+    """suffix (whole, or at most max_n tokens), shared, weight: all suffixes of all records.
 
     Within each record the suffixes are sorted; ``shared`` is the length of the prefix that a suffix has in common
     with its predecessor of the same record, so every prefix up to that length is a repetition within the record.
     Equal rows are counted together before any sorting, so a hot term is one row.
     """
-    cut = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.slice(F.col(tokens), i, F.lit(max_n)))
+    cut = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.slice(F.col(tokens), i, F.size(tokens) if max_n is None else F.lit(max_n)))
     rows = records.where(F.size(tokens) > 0).select(F.array_sort(cut).alias("s"))
 
     def common(x, i):  # noqa: ANN001, ANN202
         before = F.get(F.col("s"), i - 1)
-        same = [((F.size(x) >= k) & (F.size(before) >= k) & (F.slice(x, 1, k) == F.slice(before, 1, k))).cast("int") for k in range(1, max_n + 1)]
-        return F.when(i > 0, sum(same[1:], same[0])).otherwise(0)
+        length = F.least(F.size(x), F.size(before))
+        differs = F.array_position(F.zip_with(F.slice(x, 1, length), F.slice(before, 1, length), lambda a, b: a.eqNullSafe(b)), False)
+        return F.when(i > 0, F.when(differs > 0, differs - 1).otherwise(length)).otherwise(0).cast("int")
 
     each = F.transform("s", lambda x, i: F.struct(x.alias("suffix"), common(x, i).alias("shared")))
     return rows.select(F.explode(each).alias("e")).groupBy("e.suffix", "e.shared").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def ngram_counts(records: DataFrame, tokens: str, *, max_n: int = 1) -> DataFrame:
-    """ngram (array), n, occurrences, records of every n-gram of up to max_n tokens of an array column.
+def ngram_counts(records: DataFrame, tokens: str, *, max_n: int | None = None) -> DataFrame:
+    """ngram (array), n, occurrences, records of every n-gram of an array column, of any length or
+    of up to max_n tokens.
 
     The distinct suffixes are range-partitioned and sorted. Each task walks them once; where the common prefix with
     the predecessor falls below k, the interval of one k-gram ends and its occurrences and within-record
@@ -41,7 +43,8 @@ def ngram_counts(records: DataFrame, tokens: str, *, max_n: int = 1) -> DataFram
 
     def intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple = ()
-        occurrences, repeats = [0] * max_n, [0] * max_n
+        occurrences: list[int] = []
+        repeats: list[int] = []
         for pdf in batches:
             done = []
             for suffix, shared, weight in zip(pdf["suffix"], pdf["shared"], pdf["weight"]):
@@ -52,6 +55,9 @@ def ngram_counts(records: DataFrame, tokens: str, *, max_n: int = 1) -> DataFram
                 for k in range(common, len(last)):
                     done.append((list(last[: k + 1]), k + 1, occurrences[k], repeats[k]))
                     occurrences[k] = repeats[k] = 0
+                deeper = [0] * (len(suffix) - len(occurrences))
+                occurrences += deeper
+                repeats += deeper
                 for k in range(len(suffix)):
                     occurrences[k] += weight
                     repeats[k] += weight if k < shared else 0
