@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +54,18 @@ def stuck_runs(runs: DataFrame, min_length: int = 5) -> DataFrame:
     return join_counted(local, long, ["series", "seg"], "left_semi").select("series", "pos")
 
 
-def phase_space_spikes(runs: DataFrame, *, limit: float = 6.0, max_iterations: int = 3) -> DataFrame:
+def phase_space_spikes(runs: DataFrame, *, limit: float = 6.0, max_iterations: int | None = None) -> DataFrame:
     """Positions (series, pos, iteration) whose (u, first, second difference) lies outside a robust ellipsoid.
 
     runs: series, piece, pos, u, the reading in robust standard deviations of its own group. The half axes are
     ``limit`` robust standard deviations: 1 for u, and for the differences those of the series, from its median
     absolute difference (percentile_approx with accuracy 10 000). A difference that does not exist, or has no
-    spread, adds nothing. Flagged positions are taken out and the differences formed anew, until none is found or
-    ``max_iterations`` is reached.
+    spread, adds nothing. Flagged positions are taken out and the differences formed anew, until none is found (or
+    ``max_iterations`` is reached, if given). A series without a find in one round has none in the next.
     """
-    left = runs.where(F.col("u").isNotNull()).select("series", "piece", "pos", "u")
-    found = None
-    for iteration in range(1, max_iterations + 1):
+    base = left = runs.where(F.col("u").isNotNull()).select("series", "piece", "pos", "u")
+    found, n_found = None, 0
+    for iteration in count(1) if max_iterations is None else range(1, max_iterations + 1):
         near = neighbours_along(left, F.col("u")).withColumn("d1", F.col("u") - F.col("before.v")).withColumn("d2", F.col("after.v") - 2 * F.col("u") + F.col("before.v"))
         scale = lambda c: MAD_TO_SD * F.percentile_approx(F.abs(F.col(c)), 0.5, 10_000)
         spread = near.groupBy("series").agg(scale("d1").alias("s1"), scale("d2").alias("s2"))
@@ -73,11 +75,14 @@ def phase_space_spikes(runs: DataFrame, *, limit: float = 6.0, max_iterations: i
         if max_iterations == 1:
             return now
         now = cut_lineage(now)
-        if found is not None and now.isEmpty():
+        n_now = now.count()
+        if found is not None and not n_now:
             break
         found = now if found is None else found.unionByName(now)
-        gone = now.select("series", "pos")
-        left = join_null_safe(left, F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["series", "pos"], "left_anti")
+        n_found += n_now
+        small = F.broadcast if n_found <= BROADCAST_ROWS else lambda df: df
+        going = join_null_safe(base, small(now.select("series").distinct()), ["series"], "left_semi")
+        left = join_null_safe(going, small(found.select("series", "pos")), ["series", "pos"], "left_anti")
     return found
 
 
@@ -92,7 +97,7 @@ def flag_readings(
     limit: float = 6.0,
     min_group: int = 12,
     stuck_length: int = 5,
-    max_iterations: int = 3,
+    max_iterations: int | None = None,
     piece: int = PIECE,
     hot_limit: int = HOT_ROWS,
 ) -> DataFrame:
@@ -100,10 +105,10 @@ def flag_readings(
 
     impossible: negative, NaN or infinite. stuck: in a row of at least ``stuck_length`` neighbouring runs of one series with
     exactly the same value; rows with one order value are one run, a run whose rows disagree or lack a value ends the
-    row. spike_iteration: the phase-space round that flagged the row's run. score: robust standard deviations of
+    row. spike_iteration: the phase-space round that flagged the row's run, 1 where the row alone leaves
+    the value axis. score: robust standard deviations of
     log10(value + 1) off the median of its series and group (over all possible readings; infinite where the group
-    has no spread and the reading is off the median). Rows without order take part in the group's median only and
-    are spikes where the value axis alone leaves the ellipsoid. Null series and groups form a series and a group of
+    has no spread and the reading is off the median). Rows without order take part in the group's median only. Null series and groups form a series and a group of
     their own; rows with a null value are left out; repeated rows are each reported.
     """
     x = F.col("value")
@@ -122,8 +127,8 @@ def flag_readings(
     spikes = phase_space_spikes(runs, limit=limit, max_iterations=max_iterations).groupBy("series", "pos").agg(F.min("iteration").alias("iteration"))
 
     rows = join_counted(join_counted(rows, stuck, ["series", "pos"]), spikes, ["series", "pos"])
-    alone = F.abs("score") > limit  # the value axis of the ellipsoid, for rows without a place and without spread
-    iteration = F.coalesce("iteration", F.when(alone & (F.col("pos").isNull() | (F.abs("score") == float("inf"))), 1))
+    alone = F.abs("score") > limit  # the value axis of the ellipsoid, which each row leaves by itself whatever its run's average
+    iteration = F.when(alone, 1).otherwise(F.col("iteration"))
     return rows.where(x.isNotNull()).select(
         "row_id", "series", "group", "impossible", F.coalesce("stuck", F.lit(False)).alias("stuck"),
         F.when(~F.col("impossible"), iteration).alias("spike_iteration"), "score", F.when(~F.col("impossible"), F.col("n_level")).alias("n_group"),
