@@ -66,7 +66,7 @@ def compare_qc(obs: DataFrame, first: Sequence[str], second: Sequence[str], *, l
     return out.withColumn("concentration_sensitive", F.col("qc_stable") & ~F.col("dqc_stable"))
 
 
-def sample_correlations(obs: DataFrame, classes: Sequence[str], *, method: str = "spearman", by: Sequence[str] = ()) -> DataFrame:
+def sample_correlations(obs: DataFrame, classes: Sequence[str], *, method: str = "spearman", by: Sequence[str] = (), hot_limit: int | None = HOT_ROWS) -> DataFrame:
     """sample_a < sample_b and rho over the features both have, on log intensities, for the samples of small classes.
 
     The result has a row per pair of control samples, which is what is asked for; within a feature the pairs are
@@ -77,7 +77,7 @@ def sample_correlations(obs: DataFrame, classes: Sequence[str], *, method: str =
     by = list(by)
     rows = obs.where(F.col("class").isin(*classes) & F.col("intensity").isNotNull()).select(*by, "sample", "feature", F.log1p("intensity").alias("x"))
     if method == "spearman":  # a dense matrix: ranks over all features of a sample
-        rows = average_rank(rows, [*by, "sample"], "x", "r").select(*by, "sample", "feature", F.col("r").alias("x"))
+        rows = average_rank(rows, [*by, "sample"], "x", "r", hot_limit=hot_limit).select(*by, "sample", "feature", F.col("r").alias("x"))
     a = rows.withColumnRenamed("sample", "sample_a").withColumnRenamed("x", "xa")
     b = rows.withColumnRenamed("sample", "sample_b").withColumnRenamed("x", "xb")
     pairs = a.join(b, [*by, "feature"]).where("sample_a < sample_b")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import HOT_ROWS
 from matrica.functions.stats import average_rank, pearson
 from matrica.session import cut_lineage
 
@@ -54,13 +55,13 @@ def adduct_pairs(features: DataFrame, *, rt: float = 0.15, tolerance: float = 0.
     )
 
 
-def pair_correlations(pairs: DataFrame, obs: DataFrame, subsets: dict[str, Sequence[str] | None], *, method: str = "spearman") -> DataFrame:
+def pair_correlations(pairs: DataFrame, obs: DataFrame, subsets: dict[str, Sequence[str] | None], *, method: str = "spearman", hot_limit: int | None = HOT_ROWS) -> DataFrame:
     """feature_a, feature_b, subset, n, rho: correlations of log intensities over subsets of samples (by class; None:
     all). NULL under three samples or where a side is constant."""
     member = F.array_compact(F.array(*[F.when(F.lit(True) if c is None else F.col("class").isin(*c), F.lit(n)) for n, c in subsets.items()]))
     rows = obs.where(F.col("intensity").isNotNull()).select("sample", "feature", F.log1p("intensity").alias("x"), F.explode(member).alias("subset"))
     if method == "spearman":
-        rows = average_rank(rows, ["subset", "feature"], "x", "r").select("sample", "feature", "subset", F.col("r").alias("x"))
+        rows = average_rank(rows, ["subset", "feature"], "x", "r", hot_limit=hot_limit).select("sample", "feature", "subset", F.col("r").alias("x"))
     a = rows.select(F.col("feature").alias("feature_a"), "subset", "sample", F.col("x").alias("xa"))
     b = rows.select(F.col("feature").alias("feature_b"), "subset", "sample", F.col("x").alias("xb"))
     joined = pairs.select("feature_a", "feature_b").join(a, "feature_a").join(b, ["feature_b", "subset", "sample"])

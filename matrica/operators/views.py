@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matrica.functions.keys import HOT_ROWS
 from matrica.functions.robust import medians
 from matrica.functions.stats import spearman
-from matrica.operators.feature_qc import percent_cv, sample_correlations
+from matrica.operators.feature_qc import pc1_order_rho, percent_cv, principal_components, sample_correlations
 from matrica.session import cut_lineage
 
 VIEWS = ("raw", "log1p", "tic_log1p", "median_log1p")
@@ -48,9 +48,10 @@ def all_views(obs: DataFrame, methods: Sequence[str] = VIEWS) -> DataFrame:
     return reduce(DataFrame.unionByName, [processing_view(obs, m).withColumn("view", F.lit(m)) for m in methods])
 
 
-def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequence[str]) -> DataFrame:
+def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Per view: median and least correlation of control samples, median and least correlation of biological samples
-    with their class median, and CV% of the control samples' total signal."""
+    with their class median, CV% of the control samples' total signal, and of their first principal component the
+    absolute Spearman with the run order and the explained variance (NULL under three samples or two varying features)."""
     pairs = sample_correlations(views, control, by=["view"])
     qc = pairs.groupBy("view").agg(F.median("rho").alias("qc_median_rho"), F.min("rho").alias("qc_min_rho"))
     bio = views.where(F.col("class").isin(*biological))
@@ -59,4 +60,12 @@ def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequenc
     bio_rho = close.groupBy("view").agg(F.median("rho").alias("bio_median_rho"), F.min("rho").alias("bio_min_rho"))
     totals = views.where(F.col("class").isin(*control)).groupBy("view", "sample").agg(F.sum("intensity").alias("t"))
     signal = totals.groupBy("view").agg(percent_cv(F.stddev_samp("t"), F.avg("t")).alias("qc_signal_cv"))
-    return qc.join(bio_rho, "view").join(signal, "view")
+    parts = []
+    for name in [r["view"] for r in views.select("view").distinct().collect()]:  # a short list
+        own = views.where((F.col("view") == name) & F.col("class").isin(*control))
+        scores, shares = principal_components(own, features, 2, log=False)
+        if len(shares) == 2:
+            rho = pc1_order_rho(scores, own.select("sample", "run_order").distinct())
+            parts.append(rho.where("n >= 3").select(F.lit(name).alias("view"), "abs_pc1_order_rho", F.lit(float(shares[0])).alias("pc1_variance")))
+    empty = views.select("view", F.lit(None).cast("double").alias("abs_pc1_order_rho"), F.lit(None).cast("double").alias("pc1_variance")).limit(0)
+    return qc.join(bio_rho, "view").join(signal, "view").join(reduce(DataFrame.unionByName, parts, empty), "view", "left")

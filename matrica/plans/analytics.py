@@ -138,9 +138,8 @@ def qc_vs_dqc(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def qc_pairwise_corr(spark: SparkSession, sf: str) -> DataFrame:
-    """Pearson correlations of the control features over samples, by feature pairs of brands."""
-    obs = model.observations(spark, sf).select(F.col("feature").alias("sample"), F.col("sample").alias("feature"), "class", "intensity")
-    return rounded(feature_qc.sample_correlations(obs, QC, method="pearson"))
+    """Pearson correlations of all pairs of control samples over the features."""
+    return rounded(feature_qc.sample_correlations(model.observations(spark, sf), QC, method="pearson"))
 
 
 @_query
@@ -169,10 +168,9 @@ for _name in ("log1p", "tic_log1p", "median_log1p"):
 
 @_query
 def view_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of the views; control samples are correlated within one region."""
-    obs = model.observations(spark, sf)
-    every = views.all_views(obs).select("view", F.col("feature").alias("sample"), F.col("sample").alias("feature"), "class", "intensity")
-    return rounded(views.evaluate_views(every, QC, BIO), 5)
+    """Scores of the views over control and biological samples."""
+    every = cut_lineage(views.all_views(model.observations(spark, sf)))
+    return rounded(views.evaluate_views(every, QC, BIO, model.feature_names(spark, sf)), 5)
 
 
 # Detection, contamination, carry-over, standards
