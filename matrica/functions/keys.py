@@ -13,6 +13,16 @@ from matrica.session import cut_lineage
 HOT_ROWS = 200_000
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the given columns, each evaluated once per row however often it is used later.
+
+    Catalyst copies the expression of a column into every use of it, and lambdas evaluate each copy per element; it
+    does not look into the rows of a one-element array. Columns of df with such a name are replaced.
+    """
+    rest = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def tidy_key(name: str | Column, *, upper: bool = False) -> Column:
     """A key without outer blanks and tabs and without regard to case; blank becomes NULL."""
     column = F.col(name) if isinstance(name, str) else name

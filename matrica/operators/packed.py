@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import once
+
 # What may stand around a quoted span, what parts values, and texts that hold none.
 _AROUND = r"\[\](){},;|/\s\x{FF0C}\x{FF1B}\x{3001}\x{A0}\x{3000}"
 _SPAN = (
@@ -26,9 +28,11 @@ def _strip(c: Column) -> Column:
 
 
 def _unwrap(c: Column) -> Column:
+    """c without enclosing brackets; c is used twice, so it should be a plain column or lambda variable."""
+    inner = c
     for a, b in ("[]", "()", "{}"):
-        c = F.regexp_replace(c, rf"(?s)^\{a}([^\{a}\{b}]*)\{b}$", "$1")
-    return _strip(c)
+        inner = F.regexp_replace(inner, rf"(?s)^\{a}([^\{a}\{b}]*)\{b}$", "$1")
+    return F.when(F.substring(c, 1, 1).isin("[", "(", "{"), _strip(inner)).otherwise(c)
 
 
 def _hide(c: Column) -> Column:
@@ -38,9 +42,10 @@ def _hide(c: Column) -> Column:
 
 
 def _show(c: Column) -> Column:
+    shown = c
     for i, mark in ((2, _CLOSE), (1, _OPEN), (0, _ESCAPE)):
-        c = F.replace(c, F.lit(f"{_ESCAPE}{i}"), F.lit(mark))
-    return c
+        shown = F.replace(shown, F.lit(f"{_ESCAPE}{i}"), F.lit(mark))
+    return F.when(c.contains(_ESCAPE), shown).otherwise(c)
 
 
 def _unquote(span: Column) -> Column:
@@ -49,6 +54,10 @@ def _unquote(span: Column) -> Column:
     return F.regexp_replace(F.replace(inner, F.concat(quote, quote), quote), r"""\\(["'\\])""", "$1")
 
 
+def _mark(i: Column) -> Column:
+    return F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))
+
+
 def split_packed(df: DataFrame, column: str, into: str = "items") -> DataFrame:
     """Add ``into``: the values of a packed text in order, as array<string>; an empty array where it holds none.
 
@@ -57,23 +66,31 @@ def split_packed(df: DataFrame, column: str, into: str = "items") -> DataFrame:
     blanks, the blank between two quoted spans), and the spans are put back by array lookup. An apostrophe within a
     word opens no span. Values lose outer white space, enclosing brackets and quotes; escaped and doubled quotes are
     restored; empty values are dropped. Null, blank, ``[]``, ``nan`` and ``None`` texts hold no value.
+    Each step is evaluated once per text; texts without quotes or brackets skip theirs.
     """
     text, spans, flat = f"__{into}_text", f"__{into}_spans", f"__{into}_flat"
-    out = df.withColumn(text, _hide(_strip(F.col(column))))
-    out = out.withColumn(text, F.when(~F.col(text).isin(*_NOTHING), F.col(text)))
-    out = out.withColumn(spans, F.regexp_extract_all(F.col(text), F.lit(_SPAN), F.lit(0)))
-    mark = lambda i: F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))
-    pieces = F.transform(F.split(F.col(text), _SPAN, -1), lambda x, i: F.when(i < F.size(spans), F.concat(x, mark(i))).otherwise(x))
-    out = out.withColumn(flat, F.regexp_replace(_unwrap(F.array_join(pieces, "")), rf"{_CLOSE}\s+{_OPEN}", f"{_CLOSE},{_OPEN}"))
+    none = F.array().cast("array<string>")
+    out = once(df, **{text: _strip(F.col(f"`{column}`"))})
+    marked = F.when(F.col(text).rlike(f"[{_OPEN}{_CLOSE}{_ESCAPE}]"), _hide(F.col(text))).otherwise(F.col(text))
+    out = once(out, **{text: F.when(~F.col(text).isin(*_NOTHING), marked)})
+    out = once(out, **{spans: F.when(F.col(text).rlike("[\"']"), F.regexp_extract_all(F.col(text), F.lit(_SPAN), F.lit(0))).otherwise(none)})
+    pieces = F.transform(F.split(F.col(text), _SPAN, -1), lambda x, i: F.when(i < F.size(spans), F.concat(x, _mark(i))).otherwise(x))
+    out = once(out, **{flat: F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(F.col(text))})
+    out = once(out, **{flat: _unwrap(F.col(flat))})
+    parted = F.when(F.size(spans) > 0, F.regexp_replace(F.col(flat), rf"{_CLOSE}\s+{_OPEN}", f"{_CLOSE},{_OPEN}")).otherwise(F.col(flat))
 
     def restore(item: Column) -> Column:
         alone = F.regexp_extract(item, rf"^{_OPEN}(\d+){_CLOSE}$", 1)
-        inside = F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), item, lambda acc, i: F.replace(acc, mark(i), F.get(F.col(spans), i)))
-        return F.when(alone != "", _strip(_unquote(F.get(F.col(spans), alone.cast("int"))))).when(item.contains(_OPEN), inside).otherwise(item)
-
-    items = F.transform(F.split(F.col(flat), _DELIMITER, -1), lambda x: _show(restore(_unwrap(_strip(x)))))
+        numbers = F.regexp_extract_all(item, F.lit(rf"{_OPEN}(\d+){_CLOSE}"), F.lit(1))
+        inside = F.aggregate(numbers, item, lambda acc, i: F.replace(acc, _mark(i), F.get(F.col(spans), i.cast("int"))))
+        whole = F.when(alone != "", _strip(_unquote(F.get(F.col(spans), alone.cast("int"))))).otherwise(inside)
+        return F.when(item.contains(_OPEN), whole).otherwise(item)
+
+    items = F.split(parted, _DELIMITER, -1)
+    for step in (_strip, _unwrap, restore, _show):  # one transform each, so that a step's result is a variable of the next
+        items = F.transform(items, step)
     items = F.filter(items, lambda x: x != "")
-    return out.withColumn(into, F.coalesce(items, F.array().cast("array<string>"))).drop(text, spans, flat)
+    return once(out, **{into: F.coalesce(items, none)}).drop(text, spans, flat)
 
 
 def explode_packed(df: DataFrame, row_id: str, fields: Sequence[str], *, at_least: int = 1) -> DataFrame:
