@@ -52,8 +52,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataF
     """Keys with more than ``limit`` rows.
 
     Counted exactly with map-side partial counts. At most rows/limit keys come out, which is the size bound
-    under which callers broadcast them.
+    under which callers broadcast them. Without keys all rows are one group, for which a row with ``__all`` stands.
     """
+    if not keys:
+        return df.agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(F.lit(1).alias("__all"))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(*keys)
 
 
@@ -68,3 +70,18 @@ def join_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """
     right = cut_lineage(right)
     return join_null_safe(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, limit: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has one row per key, where a few keys may hold much of left.
+
+    Keys with more than ``limit`` rows of left, at most rows/limit of them, are joined by broadcast, so no task gets
+    such a key; the others by a shuffled join.
+    """
+    hot = cut_lineage(hot_keys(left, [key], limit))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    split = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    warm = split.where("__hot").drop("__hot").join(few, key, how)
+    return warm.unionByName(split.where("__hot is null").drop("__hot").join(right, key, how))

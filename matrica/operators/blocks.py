@@ -7,11 +7,33 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import PCA, MaxAbsScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import SparseVector as MllibSparse
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrica.functions.linear import MOST_COLUMNS, singular_vectors
+from matrica.operators.sequences import COMPOSITION_PARTS, interpretable_tokens, joined_labels, token_counts
+from matrica.session import cut_lineage
+
+
+def composition_block(master: DataFrame, row_id: str) -> DataFrame:
+    """row_id, col, val: the 22 numeric columns of composition and statistics of a canonical master; NULL counts 0."""
+    parts = [f"comp_{p}" for p in COMPOSITION_PARTS if p not in ("GalNAc", "GlcNAc")]
+    totals = ["comp_total_residues", "comp_fucose_total", "comp_sialic_total", "comp_fucose_ratio", "comp_sialic_ratio", "comp_hexnac_to_hex_ratio"]
+    columns = [*parts, *totals, "branch_count", "unknown_count", "residue_count", "fucose_count", "sialic_count"]
+    wide = master.select(row_id, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    return wide.unpivot(row_id, columns, "col", "val")
+
+
+def token_block(master: DataFrame, row_id: str, sequence: str = "canonical_sequence", *, max_n: int = 2, min_df: int = 1) -> DataFrame:
+    """row_id, col, val: counts of the sequence tokens and of runs of up to ``max_n`` of them, as ``tok__<token>``."""
+    counts = token_counts(interpretable_tokens(master.select(row_id, sequence), sequence), row_id, "tokens", max_n=max_n, min_df=min_df)
+    return counts.select(row_id, F.concat(F.lit("tok__"), "token").alias("col"), F.col("n").cast("double").alias("val"))
+
+
+def metadata_block(master: DataFrame, row_id: str, columns: Sequence[str] = ("tissue_sample_norm", "tissue_species_norm", "disease_norm"), *, min_count: int = 25) -> DataFrame:
+    """row_id, col, val: one column per label of joined metadata with at least ``min_count`` rows."""
+    return onehot_block(master.select(row_id, *[joined_labels(c).alias(c) for c in columns]), row_id, columns, min_count=min_count)
+
 
 def onehot_block(df: DataFrame, row_id: str, columns: Sequence[str], *, min_count: int = 25) -> DataFrame:
     """row_id, col, val: one column ``name::label`` per label of array columns with at least ``min_count`` rows."""
@@ -37,24 +59,21 @@ def block_summary(block: DataFrame, row_id: str) -> DataFrame:
 def reduce_block(block: DataFrame, row_id: str, k: int) -> DataFrame:
     """row_id and embedding (array): each column over its largest absolute value, then a truncated SVD.
 
-    The number of columns must be bounded (see the block builders); rows are distributed. k is at most one less than rows and
-    columns. A row's embedding is its product with the right singular vectors.
+    k is at most one less than rows and columns; where that leaves fewer than two, the scaled columns themselves, in
+    name order. A row's embedding is its product with the right singular vectors. Rows are distributed, and blocks of
+    many columns are iterated (see functions.linear).
     """
-    names = block.select("col").distinct().withColumn("j", F.row_number().over(Window.orderBy("col")) - 1)
-    width = names.count()
-    scale = block.groupBy("col").agg(F.max(F.abs("val")).alias("m"))
-    entries = block.join(F.broadcast(names), "col").join(F.broadcast(scale), "col").groupBy(row_id, "j").agg(F.sum(F.try_divide(F.col("val"), F.when(F.col("m") > 0, F.col("m")))).alias("v"))
-    rows = entries.where("v <> 0").groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))
-    k = max(1, min(k, rows.count() - 1, width - 1))
-    matrix = RowMatrix(rows.select("e").rdd.map(lambda r: MllibSparse(width, [(int(x["j"]), float(x["v"])) for x in r["e"]])))
-    right = matrix.computeSVD(k).V.toArray()
-    shared = rows.sparkSession.sparkContext.broadcast(right)
-
-    @F.pandas_udf("array<double>")
-    def project(e):  # noqa: ANN001, ANN202
-        return e.map(lambda x: np.sum([i["v"] * shared.value[i["j"]] for i in x], axis=0).tolist())
-
-    return rows.select(row_id, project("e").alias("embedding"))
+    block = cut_lineage(block.groupBy(row_id, "col").agg(F.sum("val").alias("val")))
+    sizes = block.groupBy("col").agg(F.max(F.abs("val")).alias("m"))
+    width, n = sizes.count(), block.select(row_id).distinct().count()
+    most = min(k, n - 1, width - 1)
+    if most < 2:  # at most two columns, or two rows
+        names = [r["col"] for r in sizes.select("col").orderBy("col").collect()] if width <= 2 else [r["col"] for r in sizes.orderBy("col").take(MOST_COLUMNS)]
+        scaled = block.join(F.broadcast(sizes), "col").withColumn("val", F.coalesce(F.try_divide("val", F.when(F.col("m") > 0, F.col("m"))), F.lit(0.0)))
+        own = [F.coalesce(F.sum(F.when(F.col("col") == c, F.col("val"))), F.lit(0.0)) for c in names]
+        return scaled.groupBy(row_id).agg(F.array(*own).alias("embedding"))
+    scores, values, _ = singular_vectors(block, row_id, most, scale="max")
+    return scores.select(row_id, F.array(*[f"y{i}" for i in range(len(values))]).alias("embedding"))
 
 
 def fuse_embeddings(parts: Sequence[tuple[DataFrame, int]], row_id: str) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
+from matrica.functions.linear import pairwise_correlations, singular_vectors
 from matrica.functions.robust import medians, robust_z, with_median_mad, with_medians
-from matrica.functions.stats import average_rank, pearson, spearman
-from matrica.operators.matrix import wide_matrix
+from matrica.functions.stats import average_rank, spearman
+from matrica.operators.matrix import key_values
 from matrica.session import cut_lineage
 
 
@@ -54,7 +53,7 @@ def summarise_qc(metrics: DataFrame, *, limit: float = 30.0, prefix: str = "qc")
 
 
 def compare_qc(obs: DataFrame, first: Sequence[str], second: Sequence[str], *, limit: float = 30.0, threshold: float = 0.0) -> DataFrame:
-    """Metrics of two control sets side by side, with stability flags, the gap of CVs and of absolute drifts.
+    """Metrics of two control sets side by side, with stability flags, the gap of CVs and the distance of absolute drifts.
 
     concentration_sensitive: stable in the first and not in the second. A feature that only one set has keeps NULLs
     for the other.
@@ -62,46 +61,45 @@ def compare_qc(obs: DataFrame, first: Sequence[str], second: Sequence[str], *, l
     a, b = qc_feature_metrics(obs, first, threshold=threshold, prefix="qc"), qc_feature_metrics(obs, second, threshold=threshold, prefix="dqc")
     stable = lambda p: F.coalesce(F.col(f"{p}_cv") < limit, F.lit(False)).alias(f"{p}_stable")
     out = a.join(b, "feature", "full").select("*", stable("qc"), stable("dqc"))
-    out = out.withColumn("cv_gap", F.col("dqc_cv") - F.col("qc_cv")).withColumn("drift_gap", F.abs(F.col("dqc_drift")) - F.abs(F.col("qc_drift")))
+    out = out.withColumn("cv_gap", F.col("dqc_cv") - F.col("qc_cv")).withColumn("drift_gap", F.abs(F.abs("dqc_drift") - F.abs("qc_drift")))
     return out.withColumn("concentration_sensitive", F.col("qc_stable") & ~F.col("dqc_stable"))
 
 
-def sample_correlations(obs: DataFrame, classes: Sequence[str], *, method: str = "spearman", by: Sequence[str] = (), hot_limit: int | None = HOT_ROWS) -> DataFrame:
-    """sample_a < sample_b and rho over the features both have, on log intensities, for the samples of small classes.
+def compare_summary(compared: DataFrame, *, hot_limit: int = HOT_ROWS) -> DataFrame:
+    """metric and value: features, stable ones by either set, both and one, and median CVs and absolute drifts."""
+    counts = {
+        "n_features": F.count_distinct("feature"), "n_qc_stable": F.count_if("qc_stable"), "share_qc_stable": F.avg(F.col("qc_stable").cast("int")), "n_dqc_stable": F.count_if("dqc_stable"),
+        "share_dqc_stable": F.avg(F.col("dqc_stable").cast("int")), "n_stable_in_both": F.count_if(F.col("qc_stable") & F.col("dqc_stable")), "n_concentration_sensitive": F.count_if("concentration_sensitive"),
+    }
+    middle = {f"median_{p}_cv": F.col(f"{p}_cv") for p in ("qc", "dqc")} | {f"median_abs_{p}_drift": F.abs(f"{p}_drift") for p in ("qc", "dqc")}
+    medians_ = medians(compared, [], middle, hot_limit=hot_limit)
+    return key_values(compared, counts).unionByName(medians_.unpivot([], list(middle), "metric", "value"))
 
-    The result has a row per pair of control samples, which is what is asked for; within a feature the pairs are
-    formed by a join on the feature.
-    """
+
+def sample_correlations(obs: DataFrame, classes: Sequence[str], *, method: str = "spearman", by: Sequence[str] = (), hot_limit: int | None = HOT_ROWS) -> DataFrame:
+    """by, sample_a < sample_b, rho and n: correlations of log intensities of all pairs of samples of the classes, over the
+    features that both have. The result has a row per pair, which is what is asked for; it comes from products of
+    blocks of samples."""
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method}")
     by = list(by)
     rows = obs.where(F.col("class").isin(*classes) & F.col("intensity").isNotNull()).select(*by, "sample", "feature", F.log1p("intensity").alias("x"))
     if method == "spearman":  # a dense matrix: ranks over all features of a sample
         rows = average_rank(rows, [*by, "sample"], "x", "r", hot_limit=hot_limit).select(*by, "sample", "feature", F.col("r").alias("x"))
-    a = rows.withColumnRenamed("sample", "sample_a").withColumnRenamed("x", "xa")
-    b = rows.withColumnRenamed("sample", "sample_b").withColumnRenamed("x", "xb")
-    pairs = a.join(b, [*by, "feature"]).where("sample_a < sample_b")
-    return pairs.groupBy(*by, "sample_a", "sample_b").agg(pearson(F.col("xa"), F.col("xb")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    out = pairwise_correlations(cut_lineage(rows), "feature", "sample", "x", by=by)
+    return out.select(*by, F.col("a").alias("sample_a"), F.col("b").alias("sample_b"), "rho", "n")
 
 
-def principal_components(obs: DataFrame, features: Sequence[str], k: int = 2, *, log: bool = True, scale: bool = True) -> tuple[DataFrame, np.ndarray]:
+def principal_components(obs: DataFrame, k: int = 2, *, log: bool = True, scale: bool = True) -> tuple[DataFrame, np.ndarray]:
     """(sample with PC1..PCk, explained variance ratios) of the samples by features matrix.
 
     Missing cells are 0. Columns are centred and, if asked, divided by their population standard deviation; constant ones are
-    left out. The covariance is summed on Spark; only a features by features matrix is decomposed.
+    left out. The covariance is summed on Spark from the long form; k is at most the number of varying features.
     """
     value = F.coalesce(F.log1p("intensity") if log else F.col("intensity"), F.lit(0.0))
-    wide = wide_matrix(obs.withColumn("intensity", value), features).na.fill(0.0)
-    stats = wide.agg(*[F.struct(F.avg(f"`{f}`").alias("m"), F.stddev_pop(f"`{f}`").alias("s")).alias(f) for f in features]).first()
-    kept = [f for f in features if stats[f]["s"] and stats[f]["s"] > 0]
-    k = min(k, len(kept))
-    if not k:
-        return wide.select("sample"), np.zeros(0)
-    scaled = wide.select("sample", *[((F.col(f"`{f}`") - stats[f]["m"]) / (stats[f]["s"] if scale else 1.0)).alias(f"c{i}") for i, f in enumerate(kept)])
-    vectors = VectorAssembler(inputCols=[f"c{i}" for i in range(len(kept))], outputCol="v").transform(scaled).select("sample", "v")
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    scores = model.transform(vectors).select("sample", vector_to_array("p").alias("p"))
-    return scores.select("sample", *[F.col("p")[i].alias(f"PC{i + 1}") for i in range(k)]), model.explainedVariance.toArray()
+    cells = obs.select("sample", F.col("feature").alias("col"), value.alias("val")).where("col is not null")
+    scores, values, total = singular_vectors(cut_lineage(cells.groupBy("sample", "col").agg(F.first("val").alias("val"))), "sample", k, centre=True, scale="sd" if scale else None)
+    return scores.select("sample", *[F.col(f"y{i}").alias(f"PC{i + 1}") for i in range(len(values))]), values / total if total else values
 
 
 def flag_pca_outliers(scores: DataFrame, *, limit: float = 3.5, hot_limit: int = HOT_ROWS) -> DataFrame:
@@ -114,7 +112,8 @@ def flag_pca_outliers(scores: DataFrame, *, limit: float = 3.5, hot_limit: int =
     return out.withColumn("outlier_pca", F.coalesce(F.abs("pca_robust_z") > limit, F.lit(False)))
 
 
-def pc1_order_rho(scores: DataFrame, samples: DataFrame, *, hot_limit: int | None = HOT_ROWS) -> DataFrame:
-    """One row: absolute Spearman of the first component with the run order; NULL under three samples."""
+def pc1_order_rho(scores: DataFrame, samples: DataFrame, shares: Sequence[float] = (), *, hot_limit: int | None = HOT_ROWS) -> DataFrame:
+    """One row: absolute Spearman of the first component with the run order (NULL under three samples), the samples, and
+    the first of the given variance shares."""
     rows = scores.join(samples.select("sample", "run_order"), "sample").withColumn("all", F.lit(1))
-    return spearman(rows, ["all"], "PC1", "run_order", "rho", hot_limit=hot_limit).select(F.when(F.col("n") >= 3, F.abs("rho")).alias("abs_pc1_order_rho"), "n")
+    return spearman(rows, ["all"], "PC1", "run_order", "rho", hot_limit=hot_limit).select(F.when(F.col("n") >= 3, F.abs("rho")).alias("abs_pc1_order_rho"), "n", F.lit(float(shares[0]) if len(shares) else None).cast("double").alias("pc1_variance"))

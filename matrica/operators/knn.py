@@ -16,13 +16,15 @@ BLOCK = 2048
 def cosine_neighbours(vectors: DataFrame, anchors: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """anchor, neighbor, cosine_distance, neighbor_rank: the k nearest other rows of each anchor, exactly.
 
-    Anchors are packed into blocks of ``block`` rows; each partition of the vectors meets each block once, as one
+    Anchors are packed into blocks of about ``block`` rows by hash, however sparse their keys; each partition of the vectors meets each block once, as one
     matrix product, and hands on only its k best per anchor, so the pairs are never formed as rows. The partial
     lists then merge by anchor. A row is no neighbour of itself; ties go to the smaller key. Null and zero vectors
     have distance 1 to all others; null keys are left out.
     """
     both = lambda d: d.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    packed = both(anchors).withColumn("b", F.floor(F.col("id") / block)).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("block"))
+    asked = both(anchors)
+    blocks = max(1, -(-asked.count() // block))
+    packed = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("block"))
     parts = both(vectors).withColumn("p", F.spark_partition_id())
     parts = parts.withColumn("chunk", F.floor(F.monotonically_increasing_id() / block)).groupBy("p", "chunk").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("rows")
 
@@ -60,6 +62,15 @@ def label_purity(neighbours: DataFrame, labels: DataFrame, *, key: str = "vec_id
     return per.groupBy("label").agg(F.avg("p").alias("purity"), F.count(F.lit(1)).alias("n"))
 
 
+def label_set_purity(neighbours: DataFrame, sets: DataFrame, *, key: str = "id", members: str = "members") -> DataFrame:
+    """One row, purity and n: over anchors with labels, the mean share of neighbours that have a label in common."""
+    own = sets.where(F.size(members) > 0).select(F.col(key).alias("anchor"), F.col(members).alias("a"))
+    other = sets.select(F.col(key).alias("neighbor"), F.col(members).alias("b"))
+    rows = neighbours.join(own, "anchor").join(other, "neighbor", "left")
+    per = rows.groupBy("anchor").agg(F.avg(F.coalesce(F.arrays_overlap("a", "b"), F.lit(False)).cast("int")).alias("p"))
+    return per.agg(F.avg("p").alias("purity"), F.count(F.lit(1)).alias("n"))
+
+
 def neighbour_overlap(first: DataFrame, second: DataFrame) -> DataFrame:
     """anchor, n_shared, jaccard of two neighbour tables, over the anchors that either has."""
     a = first.groupBy("anchor").agg(F.collect_set("neighbor").alias("a"))
@@ -73,7 +84,7 @@ def set_relevance(neighbours: DataFrame, sets: DataFrame, *, key: str = "id", me
     own = sets.where(F.size(members) > 0).select(F.col(key).alias("anchor"), F.array_distinct(members).alias("a"))
     other = sets.select(F.col(key).alias("neighbor"), F.array_distinct(members).alias("b"))
     rows = neighbours.join(own, "anchor").join(other, "neighbor")
-    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))  # a is never empty
     return rows.groupBy("anchor").agg(F.avg(jaccard).alias("mean_jaccard"), F.count(F.lit(1)).alias("n_neighbors"))
 
 

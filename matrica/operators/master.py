@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import join_null_safe, once
+from matrica.operators.matrix import key_values
+from matrica.operators.sequences import SYNONYMS, canonical_exact, canonical_topology, joined_values, likely_n_glycan, normalise_text, plausible_sequence, sequence_statistics, with_composition_features
+from matrica.sources.tables import resolve_column
+
+# Synonyms of the protein column, and numeric types.
+PROTEIN = ("protein", "lectin", "target", "gene", "name", "protein_name")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 def grouped_reference(tables: Sequence[DataFrame], columns: Sequence[str], *, key: str = "glycan_sequence") -> DataFrame:
     """One row per sequence over tables in order of precedence: first non-null value of each column, the largest
@@ -26,6 +35,101 @@ def canonical_master(reference: DataFrame, query: DataFrame, columns: Sequence[s
     return out.select(key, *[F.coalesce(f"q_{c}", f"r_{c}").alias(c) for c in columns], "source_names", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("is_n_glycan", "in_query", "in_reference")])
 
 
+def standardise_binding(df: DataFrame) -> DataFrame:
+    """glycan_sequence, protein, binding_value of a binding table in long or wide form.
+
+    Long: columns for sequence and protein (by synonym) and values in the first numeric column, 1 where there is none.
+    Wide: a protein column and one numeric column per sequence, NULL cells left out. ValueError for any other form.
+    Null-like names are left out.
+    """
+    protein = resolve_column(df, PROTEIN)
+    sequence = resolve_column(df, SYNONYMS["sequence"])
+    numeric = [c for c, kind in df.dtypes if kind in NUMERIC or kind.startswith("decimal")]
+    if sequence and protein:
+        values = [c for c in numeric if c not in (sequence, protein)]
+        value = F.col(f"`{values[0]}`").cast("double") if values else F.lit(1.0)
+        out = df.select(normalise_text(f"`{sequence}`").alias("glycan_sequence"), normalise_text(f"`{protein}`").alias("protein"), value.alias("binding_value"))
+    elif protein and numeric:
+        rows = df.select(normalise_text(f"`{protein}`").alias("protein"), *[F.col(f"`{c}`").cast("double").alias(c) for c in numeric])
+        out = rows.unpivot("protein", [f"`{c}`" for c in numeric], "glycan_sequence", "binding_value").where("binding_value is not null and not isnan(binding_value)")
+        out = out.select(normalise_text("glycan_sequence").alias("glycan_sequence"), "protein", "binding_value")
+    else:
+        raise ValueError("neither a long binding table nor a wide numeric one")
+    return out.where("glycan_sequence is not null and protein is not null")
+
+
+def canonical_features(master: DataFrame, binding: DataFrame) -> DataFrame:
+    """The canonical master: keys, joined metadata, statistics, composition features and binding of every sequence.
+
+    master: glycan_sequence (one row each), composition, tissue_sample, tissue_species, disease, is_n_glycan, in_query,
+    in_reference; binding: glycan_sequence, protein, binding_value. Binding is summed by canonical sequence and by
+    topology; sequences without any have zeros; a NULL key meets the NULL key.
+    """
+    keys = {"canonical_sequence": canonical_exact("glycan_sequence"), "topology_key": canonical_topology("glycan_sequence")}
+    out = joined_values(once(master, **keys), ["tissue_sample", "tissue_species", "disease"])
+    out = out.withColumn("likely_n_glycan", F.coalesce(likely_n_glycan("canonical_sequence"), F.lit(False)).cast("int")).withColumns(sequence_statistics("canonical_sequence"))
+    out = with_composition_features(out, "composition")
+    bound = once(binding, **keys)
+    rows, proteins = F.count(F.lit(1)), F.count_distinct("protein")
+    exact = bound.groupBy("canonical_sequence").agg(rows.alias("n_binding_rows"), proteins.alias("n_binding_proteins"), F.avg("binding_value").alias("mean_binding_value"), F.max("binding_value").alias("max_binding_value"))
+    topology = bound.groupBy("topology_key").agg(rows.alias("n_binding_rows_topology"), proteins.alias("n_binding_proteins_topology"))
+    out = join_null_safe(join_null_safe(out, exact, ["canonical_sequence"]), topology, ["topology_key"])
+    out = out.na.fill(0, ["n_binding_rows", "n_binding_proteins", "n_binding_rows_topology", "n_binding_proteins_topology"]).na.fill(0.0, ["mean_binding_value", "max_binding_value"])
+    flags = {"has_binding_exact": F.col("n_binding_rows") > 0, "has_binding_topology": F.col("n_binding_rows_topology") > 0}
+    out = out.withColumns({name: flag.cast("int") for name, flag in flags.items()})
+    return out.withColumn("discovered_flag", F.col("in_query").cast("int")).withColumn("reference_flag", F.col("in_reference").cast("int"))
+
+
+def master_summary(master: DataFrame) -> DataFrame:
+    """metric and value: sequences, found and bound ones, and the shares with metadata, over a canonical master."""
+    share = {f"fraction_with_{c}": F.avg(f"has_{c}") for c in ("tissue_sample", "tissue_species", "disease")}
+    return key_values(master, {
+        "n_unique_sequences": F.count_distinct("canonical_sequence"), "n_discovered": F.sum("discovered_flag"), "n_exact_binding": F.sum("has_binding_exact"),
+        **share, "fraction_likely_n_glycan": F.avg("likely_n_glycan"),
+    })
+
+
+def interpretation_set(master: DataFrame, *, supported: bool = True, plausible: bool = True) -> DataFrame:
+    """One row per canonical sequence that is plausible and, if asked, in the reference or the query table.
+
+    Of repeated canonical sequences the one with the smallest original text stays.
+    """
+    out = master
+    if plausible:
+        out = out.where(plausible_sequence("canonical_sequence"))
+    if supported:
+        out = out.where("reference_flag = 1 or discovered_flag = 1")
+    rest = [c for c in out.columns if c != "canonical_sequence"]
+    first = F.min_by(F.struct(*rest), "glycan_sequence")
+    return out.groupBy("canonical_sequence").agg(first.alias("f")).select("canonical_sequence", *[f"f.{c}" for c in rest])
+
+
+def interpretation_summary(rows: DataFrame) -> DataFrame:
+    """metric and value of an interpretation set: all rows and those of each kind."""
+    flags = {
+        "n_discovered": "discovered_flag", "n_reference": "reference_flag", "n_n_glycans": "is_n_glycan", "n_likely_n_glycans": "likely_n_glycan", "n_binding_exact": "has_binding_exact",
+        "n_species_labelled": "has_tissue_species", "n_sample_labelled": "has_tissue_sample", "n_disease_labelled": "has_disease",
+    }
+    return key_values(rows, {"n_total": F.count(F.lit(1))} | {name: F.coalesce(F.sum(c), F.lit(0)) for name, c in flags.items()})
+
+
+def audit_sources(sources: dict[str, DataFrame], columns: Sequence[str], *, key: str = "glycan_sequence") -> DataFrame:
+    """source, metric, value: rows, distinct keys and the share of rows with each column, of every source table.
+
+    Beside the sources, ``union`` counts the distinct keys of all, and ``<a> & <b>`` those that two share.
+    """
+    keys = {name: df.select(key).where(F.col(key).isNotNull()).distinct() for name, df in sources.items()}
+    parts = []
+    for name, df in sources.items():
+        share = {f"fraction_with_{c}": F.avg(F.col(c).isNotNull().cast("int")) for c in columns if c in df.columns}
+        parts.append(key_values(df, {"n_rows": F.count(F.lit(1)), "n_unique": F.count_distinct(key), **share}).select(F.lit(name).alias("source"), "metric", "value"))
+    held = reduce(DataFrame.unionByName, [k.withColumn("s", F.lit(i)) for i, k in enumerate(keys.values())]).groupBy(key).agg(F.collect_set("s").alias("s"))
+    names = list(sources)
+    both = {f"{a} & {b}": F.count_if(F.array_contains("s", i) & F.array_contains("s", j)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    shared = key_values(held, {"union": F.count(F.lit(1)), **both}).select(F.col("metric").alias("source"), F.lit("n_unique").alias("metric"), "value")
+    return reduce(DataFrame.unionByName, [*parts, shared])
+
+
 def binding_aggregates(master: DataFrame, binding: DataFrame, key: str, prefix: str) -> DataFrame:
     """master with the number of proteins and the mean and largest binding value of its key; NULL keys match NULL."""
     sums = binding.groupBy(F.col(key).alias("__key")).agg(F.count_distinct("protein").alias(f"{prefix}_n_proteins"), F.avg("binding_value").alias(f"{prefix}_mean"), F.max("binding_value").alias(f"{prefix}_max"))
@@ -80,7 +184,15 @@ def validation_feasibility(df: DataFrame, tasks: dict[str, Column]) -> DataFrame
 
 
 def balanced_sample(df: DataFrame, label: str, *, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """About ``n`` rows of each label, by a hash of the key below the label's rate; all rows of smaller labels."""
-    rates = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__l")).agg((F.lit(float(n)) / F.count(F.lit(1))).alias("__rate"))
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return df.join(rates, F.col(label) == F.col("__l")).where(place < F.col("__rate")).drop("__l", "__rate")
+    """At most ``n`` rows of each label, those that come first in a hash order of the key; all rows of smaller labels.
+
+    A row's place is found in two steps: an approximate cut of the hash leaves a little over ``n`` rows of each label,
+    and only those are ranked, so no task orders a whole label. Rows without label take no part.
+    """
+    turn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    sizes = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    # With a margin of six standard deviations the cut leaves n rows; ranked() below makes it n exactly.
+    share = F.least(F.lit(1.0), (n + 6 * F.sqrt(F.lit(float(n))) + 20) / F.col("__n"))
+    near = df.withColumn("__turn", turn).join(sizes, F.col(label) == F.col("__l")).where(F.col("__turn") < share * float(1 << 40))
+    place = F.row_number().over(Window.partitionBy("__l").orderBy("__turn", key))
+    return near.withColumn("__place", place).where(F.col("__place") <= n).drop("__l", "__n", "__turn", "__place")

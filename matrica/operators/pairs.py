@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS
+from matrica.functions.keys import HOT_ROWS, join_skewed
+from matrica.functions.linear import pairwise_correlations
 from matrica.functions.stats import average_rank, pearson
 from matrica.session import cut_lineage
 
@@ -69,12 +71,35 @@ def pair_correlations(pairs: DataFrame, obs: DataFrame, subsets: dict[str, Seque
     return out.withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 
-def relation_types(pairs: DataFrame) -> DataFrame:
-    """Add the relation flags of pairs (delta_mz, delta_rt, rho) and relation_type by priority; drops unrelated pairs."""
-    mz, rt, rho = F.abs("delta_mz"), F.abs("delta_rt"), F.abs("rho")
-    out = pairs.withColumn("is_isomer", (mz <= 0.02) & (rt >= 5)).withColumn("is_adduct", (rt <= 20) & mz.between(0.5, 30))
-    out = out.withColumn("is_near_duplicate", F.coalesce((rho >= 0.97) & (mz <= 5) & (rt <= 60), F.lit(False)))
-    kind = F.when(F.col("is_near_duplicate"), "near_duplicate").when(F.col("is_isomer"), "isomer").when(F.col("is_adduct"), "adduct").when(rho >= 0.95, "other")
+@dataclass(frozen=True)
+class RedundancyRules:
+    """Limits of the relations: masses and times within which they hold, and the correlations that report and join."""
+
+    isomer_mz: float = 0.02
+    isomer_rt: float = 5.0
+    adduct_rt: float = 20.0
+    adduct_least_mz: float = 0.5
+    adduct_most_mz: float = 30.0
+    duplicate_mz: float = 5.0
+    duplicate_rt: float = 60.0
+    report_rho: float = 0.95
+    join_rho: float = 0.97
+
+
+def relation_types(pairs: DataFrame, rules: RedundancyRules = RedundancyRules()) -> DataFrame:
+    """Add the relation flags of pairs (delta_mz, delta_rt, rho) and relation_type by priority; drops unrelated pairs.
+
+    A NULL difference or correlation meets no rule.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    mz, rt, rho = F.abs("delta_mz"), F.abs("delta_rt"), F.col("rho")
+    out = pairs.withColumns({
+        "is_isomer": yes((mz <= rules.isomer_mz) & (rt >= rules.isomer_rt)), "is_adduct": yes((rt <= rules.adduct_rt) & mz.between(rules.adduct_least_mz, rules.adduct_most_mz)),
+        "is_near_duplicate": yes((rho >= rules.join_rho) & (mz <= rules.duplicate_mz) & (rt <= rules.duplicate_rt)), "is_correlated": yes(rho >= rules.report_rho),
+    })
+    isomer, adduct, correlated = F.col("is_isomer"), F.col("is_adduct"), F.col("is_correlated")
+    kind = F.when(isomer & correlated, "candidate_isomer_correlated").when(isomer, "candidate_isomer").when(adduct & correlated, "candidate_isotope_or_adduct_correlated")
+    kind = kind.when(adduct, "candidate_isotope_or_adduct").when(F.col("is_near_duplicate"), "high_corr_near_duplicate").when(correlated, "high_corr_other")
     return out.withColumn("relation_type", kind).where("relation_type is not null")
 
 
@@ -93,41 +118,74 @@ def cell_pairs(rows: DataFrame, widths: tuple[float, float], keep: Sequence[str]
     return a.join(b, ["cell_m", "cell_t"]).where(later).drop("cell_m", "cell_t")
 
 
-def redundancy_edges(features: DataFrame, obs: DataFrame | None = None) -> DataFrame:
-    """feature_a, feature_b, delta_mz, delta_rt, rho and the relation of every related pair of features (feature, mz, rt).
+def redundancy_edges(features: DataFrame, obs: DataFrame | None = None, rules: RedundancyRules = RedundancyRules(), *, hot_limit: int | None = HOT_ROWS) -> DataFrame:
+    """feature_a, feature_b, delta_mz, delta_rt, rho and the relations of every related pair of features (feature, mz, rt).
 
-    With ``obs``, all pairs of features are correlated, as rho alone relates some; that is a row per pair and sample.
-    Without, rho is NULL and the candidates are those of the mass and time rules, each over its own range: masses
-    within 0.02 for isomers, and within 30 at times within 20 for adducts. feature_a has the smaller mass.
+    Candidates by mass and time come from each rule's own range by equi-joins over cells. With ``obs``, rho is the
+    Spearman correlation of the features over their common samples (ranked within each feature; all pairs, as blocks
+    of matrix products), and pairs with a high one are related whatever their mass; without, rho is NULL. feature_a
+    has the smaller mass, then the smaller name; a feature without mass or time is related by rho alone.
     """
-    rows = features.select("feature", "mz", "rt")
-    deltas = [F.col("a_feature").alias("feature_a"), F.col("b_feature").alias("feature_b"), (F.col("b_mz") - F.col("a_mz")).alias("delta_mz"), (F.col("b_rt") - F.col("a_rt")).alias("delta_rt")]
+    rows, keep = features.select("feature", "mz", "rt"), ["feature", "mz", "rt"]
+    ends = [F.col("a_feature").alias("feature_a"), F.col("b_feature").alias("feature_b")]
+    timed = rows.where("mz is not null and rt is not null")
+    isomer = (F.col("b_mz") - F.col("a_mz") <= rules.isomer_mz) & (F.abs(F.col("b_rt") - F.col("a_rt")) >= rules.isomer_rt)
+    isomers = range_pairs(timed, "mz", max(rules.isomer_mz, 1e-9) * 1.000001, keep).where(isomer).select(*ends)
+    adduct = (F.col("b_mz") - F.col("a_mz")).between(rules.adduct_least_mz, rules.adduct_most_mz) & (F.abs(F.col("b_rt") - F.col("a_rt")) <= rules.adduct_rt)
+    adducts = cell_pairs(timed, (rules.adduct_most_mz, rules.adduct_rt), keep).where(adduct).select(*ends)
+    related = isomers.unionByName(adducts)
+    if rules.isomer_mz >= rules.adduct_least_mz:  # else no pair is both
+        related = related.distinct()
     if obs is None:
-        timed, keep = rows.where("mz > 0 and rt is not null"), ["feature", "mz", "rt"]
-        isomers = range_pairs(timed, "mz", 0.02 * 1.000001, keep).select(*deltas).where((F.col("delta_mz") <= 0.02) & (F.abs("delta_rt") >= 5))
-        adducts = cell_pairs(timed, (30.0, 20.0), keep).select(*deltas).where((F.abs("delta_rt") <= 20) & F.col("delta_mz").between(0.5, 30))
-        return relation_types(isomers.unionByName(adducts).withColumn("rho", F.lit(None).cast("double")))  # the two exclude each other
-    a, b = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
-    first = lambda side: F.struct(F.coalesce(f"{side}_mz", F.lit(float("inf"))), f"{side}_feature")
-    every = a.join(b, first("a") < first("b")).select(*deltas)
-    rho = pair_correlations(every, obs, {"all": None}).select("feature_a", "feature_b", "rho")
-    return relation_types(every.join(rho, ["feature_a", "feature_b"], "left"))
-
-
-def clusters(nodes: DataFrame, edges: DataFrame, *, node: str = "feature", a: str = "feature_a", b: str = "feature_b") -> DataFrame:
+        placed = _placed(related, rows)
+        return relation_types(placed.withColumn("rho", F.lit(None).cast("double")), rules)
+    own = obs.join(rows.select("feature"), "feature", "left_semi").where(F.col("intensity").isNotNull())
+    ranked = average_rank(own.select("sample", "feature", "intensity"), ["feature"], "intensity", "r", hot_limit=hot_limit)
+    rho = cut_lineage(pairwise_correlations(ranked, "sample", "feature", "r").drop("n"))
+    asked = related.select(F.least("feature_a", "feature_b").alias("a"), F.greatest("feature_a", "feature_b").alias("b")).unionByName(rho.where(F.col("rho") >= rules.report_rho).select("a", "b")).distinct()
+    found = asked.join(rho, ["a", "b"], "left").select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "rho")
+    return relation_types(_placed(found, rows), rules)
+
+
+def _placed(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs with their differences, the feature with the smaller mass (then name) first."""
+    side = lambda s: features.select(*[F.col(c).alias(f"{c}_{s}" if c == "feature" else f"__{c}_{s}") for c in ("feature", "mz", "rt")])
+    out = pairs.join(side("a"), "feature_a").join(side("b"), "feature_b")
+    first = lambda s: F.struct(F.coalesce(f"__mz_{s}", F.lit(float("inf"))), f"feature_{s}")
+    turn = first("b") < first("a")
+    rest = [c for c in pairs.columns if c not in ("feature_a", "feature_b")]
+    delta = lambda c: F.when(turn, F.col(f"__{c}_a") - F.col(f"__{c}_b")).otherwise(F.col(f"__{c}_b") - F.col(f"__{c}_a")).alias(f"delta_{c}")
+    a, b = F.col("feature_a"), F.col("feature_b")
+    return out.select(F.when(turn, b).otherwise(a).alias("feature_a"), F.when(turn, a).otherwise(b).alias("feature_b"), delta("mz"), delta("rt"), *rest)
+
+
+def annotate_redundancy(features: DataFrame, obs: DataFrame | None, order: Sequence[Column], rules: RedundancyRules = RedundancyRules()) -> tuple[DataFrame, DataFrame]:
+    """(edges, features with cluster, size, representative, role and neighbour counts by relation).
+
+    Clusters join what isomer, adduct and near-duplicate rules relate, not what correlates otherwise. Representatives
+    come first by ``order``, then by name.
+    """
+    edges = cut_lineage(redundancy_edges(features, obs, rules))
+    grouped = clusters(features, edges.where("is_isomer or is_adduct or is_near_duplicate")).join(features, "feature")
+    out = pick_representatives(grouped, order).join(neighbour_counts(edges), "feature", "left")
+    return edges, out.na.fill(0, [f"n_{k}" for k in RELATIONS])
+
+
+def clusters(nodes: DataFrame, edges: DataFrame, *, node: str = "feature", a: str = "feature_a", b: str = "feature_b", hot_limit: int = HOT_ROWS) -> DataFrame:
     """node and cluster (the smallest node reachable) of every node, by spreading minima with pointer jumping.
 
     Every round a node takes the least label of its neighbours' labels, then the label of its label; rounds fall with
-    the logarithm of the longest chain in practice. Labels go to the shared folder between rounds.
+    the logarithm of the longest chain in practice. Labels go to the shared folder between rounds; vertices and labels
+    with more than ``hot_limit`` rows are joined by broadcast.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = cut_lineage(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut_lineage(links.select(F.col("u").alias("n")).distinct().withColumn("label", F.col("n")))
     while True:
-        least = links.join(labels.withColumnRenamed("n", "v"), "v").groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
-        near = labels.join(least, "n").select("n", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        least = join_skewed(links, labels.withColumnRenamed("n", "v"), "v", limit=hot_limit).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
+        near = cut_lineage(labels.join(least, "n").select("n", F.col("label").alias("old"), F.least("label", "m").alias("label")))
         jump = near.select(F.col("n").alias("label"), F.col("label").alias("far"))
-        step = cut_lineage(near.join(jump, "label", "left").select("n", "old", F.coalesce("far", "label").alias("label")))
+        step = cut_lineage(join_skewed(near, jump, "label", "left", limit=hot_limit).select("n", "old", F.coalesce("far", "label").alias("label")))
         labels = step.select("n", "label")
         if step.where("old <> label").isEmpty():
             break
@@ -147,11 +205,15 @@ def pick_representatives(members: DataFrame, order: Sequence[Column], *, node: s
     return out.withColumn("redundancy_role", role)
 
 
-def neighbour_counts(pairs: DataFrame) -> DataFrame:
-    """feature and its number of neighbours of each relation type."""
-    ends = pairs.select(F.col("feature_a").alias("feature"), "relation_type").unionByName(pairs.select(F.col("feature_b").alias("feature"), "relation_type"))
-    kinds = ("near_duplicate", "isomer", "adduct", "other")
-    return ends.groupBy("feature").agg(*[F.count_if(F.col("relation_type") == k).alias(f"n_{k}") for k in kinds])
+#: Relations that neighbours are counted by.
+RELATIONS = ("isomer", "adduct", "near_duplicate", "correlated")
+
+
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """feature and its number of neighbours by each relation (n_isomer, ...); a pair may have several."""
+    flags = [f"is_{k}" for k in RELATIONS]
+    ends = edges.select(F.col("feature_a").alias("feature"), *flags).unionByName(edges.select(F.col("feature_b").alias("feature"), *flags))
+    return ends.groupBy("feature").agg(*[F.count_if(f"is_{k}").alias(f"n_{k}") for k in RELATIONS])
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:

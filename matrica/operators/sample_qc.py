@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS, join_counted
+from matrica.functions.keys import HOT_ROWS, join_counted, join_null_safe
 from matrica.functions.robust import medians, robust_z, robust_z_or_sd, with_median_mad, with_medians
 from matrica.functions.stats import spearman
+from matrica.operators.feature_qc import principal_components
 from matrica.session import cut_lineage
 
 #: Metrics that outlier flags look at.
@@ -49,9 +50,10 @@ def flag_outliers(metrics: DataFrame, columns: Sequence[str] = OUTLIER_METRICS,
 
 
 def sample_summary(metrics: DataFrame, *, hot_limit: int = HOT_ROWS) -> DataFrame:
-    """Sample counts, medians and means per batch and class; null batches and classes are left out."""
+    """Sample counts, medians and means per batch and class, with the mean correlation to the class profile where the metrics
+    have one; null batches and classes are left out."""
     rows = metrics.where("batch is not null and class is not null")
-    stats = rows.groupBy("batch", "class").agg(F.count(F.lit(1)).alias("n_samples"), F.avg("total_signal").alias("mean_total_signal"), F.avg("detected_features").alias("mean_detected_features"))
+    stats = rows.groupBy("batch", "class").agg(F.count(F.lit(1)).alias("n_samples"), F.avg("total_signal").alias("mean_total_signal"), F.avg("detected_features").alias("mean_detected_features"), *[F.avg(c).alias(f"mean_{c}") for c in ("spearman_corr_to_class_median",) if c in rows.columns])
     return with_medians(stats, rows, ["batch", "class"], {f"median_{c}": F.col(c) for c in ("total_signal", "detected_features", "zero_fraction")}, hot_limit=hot_limit)
 
 
@@ -65,14 +67,31 @@ def threshold_sensitivity(obs: DataFrame, thresholds: Sequence[float] = (0, 1, 1
     return with_medians(stats, rows, keys, {"median_rate": F.col("rate")}, hot_limit=hot_limit)
 
 
-def centroid_distance(scores: DataFrame, components: Sequence[str], by: str = "class", *, hot_limit: int = HOT_ROWS) -> DataFrame:
-    """Add pca_distance_to_class_centroid: Euclidean distance to the class medians of the components."""
+def centroid_distance(scores: DataFrame, components: Sequence[str], by: str = "class") -> DataFrame:
+    """Add pca_distance_to_class_centroid: Euclidean distance to the class means of the components."""
     scores = cut_lineage(scores)
-    centre = medians(scores, [by], {f"__{c}": F.col(c) for c in components}, hot_limit=hot_limit)
-    squares = reduce(Column.__add__, [F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in components])
+    centre = scores.groupBy(by).agg(*[F.avg(c).alias(f"__{c}") for c in components])
+    squares = reduce(Column.__add__, [F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in components], F.lit(0.0))
     return join_counted(scores, centre, [by]).withColumn("pca_distance_to_class_centroid", F.sqrt(squares)).drop(*[f"__{c}" for c in components])
 
 
+def biological_review(raw: DataFrame, transformed: DataFrame, classes: Sequence[str], *, threshold: float = 10.0, z: float = 3.0, components: int = 5, hot_limit: int = HOT_ROWS) -> DataFrame:
+    """Review of the biological samples: signal and detection on raw intensities, coherence with the class and place
+    among the components on transformed ones. See review_samples for the flags; low coherence and a large distance
+    are the decisive ones."""
+    inside = lambda df: df.where(F.col("class").isin(*classes))
+    own = cut_lineage(inside(transformed))
+    n = own.select("sample").distinct().count()
+    scores, values = principal_components(own, min(components, max(1, n - 1)), log=False)
+    placed = centroid_distance(scores.join(own.select("sample", "class").distinct(), "sample"), [f"PC{i + 1}" for i in range(len(values))])
+    profile = medians(own, ["class", "feature"], {"m": F.col("intensity")}, hot_limit=hot_limit)
+    close = spearman(join_null_safe(own, profile, ["class", "feature"]), ["sample"], "intensity", "m", "corr_to_class_median", hot_limit=hot_limit).drop("n")
+    rows = sample_metrics(inside(raw), ["sample", "class"], threshold).join(close, "sample").join(placed.select("sample", "pca_distance_to_class_centroid"), "sample")
+    low, high = ["log10_total_signal_plus1", "detected_features", "corr_to_class_median"], ["zero_fraction", "pca_distance_to_class_centroid"]
+    rows = rows.select("sample", "class", *[F.col(c).cast("double").alias(c) for c in (*low, *high)])
+    return review_samples(rows, low=low, high=high, decisive=["corr_to_class_median", "pca_distance_to_class_centroid"], z=z, hot_limit=hot_limit)
+
+
 def review_samples(metrics: DataFrame, *, low: Sequence[str], high: Sequence[str], decisive: Sequence[str], z: float = 3.0, by: str = "class", hot_limit: int = HOT_ROWS) -> DataFrame:
     """Within-class robust z of the given metrics, one-sided flags, their number, recommend_exclude and review_tier.
 

@@ -48,7 +48,7 @@ def all_views(obs: DataFrame, methods: Sequence[str] = VIEWS) -> DataFrame:
     return reduce(DataFrame.unionByName, [processing_view(obs, m).withColumn("view", F.lit(m)) for m in methods])
 
 
-def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequence[str], features: Sequence[str]) -> DataFrame:
+def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequence[str]) -> DataFrame:
     """Per view: median and least correlation of control samples, median and least correlation of biological samples
     with their class median, CV% of the control samples' total signal, and of their first principal component the
     absolute Spearman with the run order and the explained variance (NULL under three samples or two varying features)."""
@@ -63,9 +63,9 @@ def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequenc
     parts = []
     for name in [r["view"] for r in views.select("view").distinct().collect()]:  # a short list
         own = views.where((F.col("view") == name) & F.col("class").isin(*control))
-        scores, shares = principal_components(own, features, 2, log=False)
+        scores, shares = principal_components(own, 2, log=False)
         if len(shares) == 2:
-            rho = pc1_order_rho(scores, own.select("sample", "run_order").distinct())
-            parts.append(rho.where("n >= 3").select(F.lit(name).alias("view"), "abs_pc1_order_rho", F.lit(float(shares[0])).alias("pc1_variance")))
+            rho = pc1_order_rho(scores, own.select("sample", "run_order").distinct(), shares)
+            parts.append(rho.where("n >= 3").select(F.lit(name).alias("view"), "abs_pc1_order_rho", "pc1_variance"))
     empty = views.select("view", F.lit(None).cast("double").alias("abs_pc1_order_rho"), F.lit(None).cast("double").alias("pc1_variance")).limit(0)
     return qc.join(bio_rho, "view").join(signal, "view").join(reduce(DataFrame.unionByName, parts, empty), "view", "left")

@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import once
 from matrica.functions.robust import medians
 from matrica.functions.stats import bh_adjust, mann_whitney
-from matrica.operators import blocks, contamination, evidence, feature_qc, filters, knn, master, matrix, models, neighborhood, pairs, sample_qc, sequences, views
+from matrica.operators import blocks, contamination, embeddings, evidence, feature_qc, filters, knn, master, matrix, models, neighborhood, pairs, sample_qc, sequences, views
 from matrica.plans import model
 from matrica.plans.analytics_sql import ORACLE
 from matrica.plans.model import BIO, BLANK, CLASSES, DQC, GROUPS, QC, TASKS, THRESHOLD
@@ -86,7 +87,9 @@ def metrics_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def sample_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sample_qc.sample_summary(sample_qc.sample_metrics(model.observations(spark, sf), ["sample", "class", "batch"], THRESHOLD)))
+    obs = model.observations(spark, sf)
+    metrics = sample_qc.sample_metrics(obs, ["sample", "class", "batch"], THRESHOLD).join(sample_qc.class_profile_spearman(obs), "sample")
+    return rounded(sample_qc.sample_summary(metrics))
 
 
 @_query
@@ -97,9 +100,7 @@ def class_profile_spearman(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def sample_review_flags(spark: SparkSession, sf: str) -> DataFrame:
     obs = model.observations(spark, sf)
-    rows = sample_qc.sample_metrics(obs, ["sample", "class"], THRESHOLD).join(sample_qc.class_profile_spearman(obs), "sample")
-    rows = rows.select("sample", "class", "log10_total_signal_plus1", F.col("detected_features").cast("double").alias("detected_features"), "spearman_corr_to_class_median", "zero_fraction")
-    out = sample_qc.review_samples(rows, low=["log10_total_signal_plus1", "detected_features", "spearman_corr_to_class_median"], high=["zero_fraction"], decisive=["spearman_corr_to_class_median"], z=2.0)
+    out = sample_qc.biological_review(obs, views.processing_view(obs, "tic_log1p"), BIO, threshold=THRESHOLD, z=2.0)
     return rounded(out, 4)
 
 
@@ -136,6 +137,11 @@ def qc_vs_dqc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feature_qc.compare_qc(model.observations(spark, sf), QC, DQC, threshold=THRESHOLD))
 
 
+@_query
+def qc_vs_dqc_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(feature_qc.compare_summary(feature_qc.compare_qc(model.observations(spark, sf), QC, DQC, threshold=THRESHOLD)))
+
+
 @_query
 def qc_pairwise_corr(spark: SparkSession, sf: str) -> DataFrame:
     """Pearson correlations of all pairs of control samples over the features."""
@@ -146,10 +152,10 @@ def qc_pairwise_corr(spark: SparkSession, sf: str) -> DataFrame:
 def pca_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Principal components of the samples, distances and flags."""
     obs = model.observations(spark, sf)
-    brands = model.feature_names(spark, sf)
-    scores, _ = feature_qc.principal_components(obs, brands, 2)
+    scores, _ = feature_qc.principal_components(obs, 2)
     placed = scores.join(model.samples(spark, sf).select("sample", "class"), "sample")
-    return sample_qc.centroid_distance(feature_qc.flag_pca_outliers(placed), ["PC1", "PC2"])
+    out = sample_qc.centroid_distance(feature_qc.flag_pca_outliers(placed), ["PC1", "PC2"])
+    return rounded(out.withColumns({c: F.abs(c) for c in ("PC1", "PC2")}), 5)  # a component's sign means nothing
 
 
 # Views
@@ -170,7 +176,7 @@ for _name in ("log1p", "tic_log1p", "median_log1p"):
 def view_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the views over control and biological samples."""
     every = cut_lineage(views.all_views(model.observations(spark, sf)))
-    return rounded(views.evaluate_views(every, QC, BIO, model.feature_names(spark, sf)), 5)
+    return rounded(views.evaluate_views(every, QC, BIO), 5)
 
 
 # Detection, contamination, carry-over, standards
@@ -239,6 +245,18 @@ def redundancy_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_edges(spark, sf).select("feature_a", "feature_b", "delta_mz", "delta_rt", "relation_type"))
 
 
+@_query
+def redundancy_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Related brands by mass, time and the correlations of their intensities."""
+    return rounded(pairs.redundancy_edges(model.features(spark, sf), model.observations(spark, sf), model.BRAND_RULES))
+
+
+@_query
+def redundancy_annotated(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters, representatives and neighbours of the brands."""
+    return pairs.annotate_redundancy(model.features(spark, sf), model.observations(spark, sf), [-F.col("mz")], model.BRAND_RULES)[1].drop("mz", "rt")
+
+
 @_query
 def redundancy_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.neighbour_counts(_edges(spark, sf))
@@ -444,22 +462,22 @@ def canonical_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def sequence_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sequences(spark, sf).withColumn("s", sequences.canonical_exact("glycan_sequence"))
+    rows = once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence"))
     stats = [c.cast("bigint").alias(n) for n, c in sequences.sequence_statistics("s").items()]
-    return rows.select("gly_id", *stats, sequences.likely_n_glycan("s").alias("likely_n_glycan"), sequences.plausible_sequence("s").alias("plausible"))
+    return rows.select("gly_id", *stats, sequences.likely_n_glycan("s").alias("likely_n_glycan"), sequences.plausible_sequence("s").alias("plausible"), sequences.shorten_label("s").alias("label"), sequences.mentions_cancer("tissue_sample").alias("cancer"))
 
 
 @_query
 def structural_families(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sequences(spark, sf).select(F.explode(sequences.structural_families("glycan_sequence")).alias("family"))
+    rows = once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence")).select(F.explode(sequences.structural_families("s")).alias("family"))
     return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and count of sequence tokens and their pairs."""
-    rows = _sequences(spark, sf).withColumn("tokens", sequences.interpretable_tokens("glycan_sequence"))
-    counts = sequences.token_counts(rows, "gly_id", "tokens", max_n=2, min_df=2)
+    rows = sequences.interpretable_tokens(once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence")), "s")
+    counts = sequences.token_counts(rows, "gly_id", "tokens", max_n=2)
     return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
@@ -492,6 +510,54 @@ def master_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("in_query", "in_reference").agg(F.count(F.lit(1)).alias("n"), F.count("composition").alias("n_composition"), F.count("tissue_species").alias("n_species"))
 
 
+def _canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return master.canonical_features(model.sequence_master(spark, sf), model.sequence_binding(spark, sf))
+
+
+@_query
+def canonical_master(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys, statistics, composition features and binding of every sequence of the master."""
+    packed = [c for f in ("tissue_species", "tissue_sample", "disease") for c in (f, f"{f}_norm", f"has_{f}")]
+    return rounded(_canonical(spark, sf).drop("glycan_sequence", "composition", "in_query", "in_reference", *packed))
+
+
+@_query
+def master_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The joined distinct values of species and sample of every sequence."""
+    columns = ["tissue_species_norm", "tissue_sample_norm", "disease_norm", "has_tissue_species", "has_tissue_sample", "has_disease"]
+    return _canonical(spark, sf).select("canonical_sequence", *columns)
+
+
+@_query
+def master_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(master.master_summary(_canonical(spark, sf)))
+
+
+@_query
+def interpretation_set(spark: SparkSession, sf: str) -> DataFrame:
+    return master.interpretation_set(_canonical(spark, sf)).select("canonical_sequence", "is_n_glycan", "likely_n_glycan", "has_binding_exact", "discovered_flag", "reference_flag")
+
+
+@_query
+def interpretation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return master.interpretation_summary(master.interpretation_set(_canonical(spark, sf)))
+
+
+@_query
+def source_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, distinct sequences and coverage of every source of glycan_list, and the sequences that sources share."""
+    rows = sequences.standardise_sequences(read_table(spark, sf, "glycan_list"), source_name="all", keep=["gly_id"])
+    named = rows.join(read_table(spark, sf, "glycan_list").select("gly_id", F.col("source_name").alias("s")), "gly_id")
+    sources = {name: named.where(F.col("s") == name) for name in ("glycan_list", *model.REFERENCES)}
+    return rounded(master.audit_sources(sources, ["composition", "tissue_sample", "tissue_species", "disease"]))
+
+
+@_query
+def binding_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean binding of every sequence and protein, from the standardised table."""
+    return rounded(model.sequence_binding(spark, sf).groupBy("glycan_sequence", "protein").agg(F.avg("binding_value").alias("mean_value"), F.count(F.lit(1)).alias("n")))
+
+
 @_query
 def overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _by_source(spark, sf)
@@ -626,7 +692,7 @@ def composition_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def sequence_qc(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.sequence_qc(_sequences(spark, sf), "glycan_sequence")
+    return sequences.sequence_qc(once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence")), "s")
 
 
 @_query
@@ -646,8 +712,52 @@ def validation_feasibility(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of a sample that takes all rows of labels with fewer than the asked number."""
-    return master.balanced_sample(read_table(spark, sf, "embeddings"), "label", key="vec_id", n=100_000_000).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """A sample of at most 20 vectors of each label, counted."""
+    chosen = master.balanced_sample(read_table(spark, sf, "embeddings"), "label", key="vec_id", n=20)
+    return chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_distinct"))
+
+
+# Embedding suites
+
+
+def _suite(spark: SparkSession, sf: str) -> tuple[DataFrame, embeddings.EmbeddingSuite]:
+    """Master and suite; rows are numbered by a hash of their sequence, which the anchors' divisibility needs."""
+    rows = master.interpretation_set(_canonical(spark, sf)).withColumn("row_id", F.xxhash64("canonical_sequence"))
+    rows = cut_lineage(rows)
+    binding = once(model.sequence_binding(spark, sf), canonical_sequence=sequences.canonical_exact("glycan_sequence")).join(rows.select("canonical_sequence", "row_id"), "canonical_sequence")
+    return rows, embeddings.build_suite(rows, binding, "row_id", metadata_min_count=10, binding_min_rows=20, top_proteins=8)
+
+
+_ANCHORS = "row_id % 20 = 0"
+
+
+@_query
+def composition_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of every column of the composition block."""
+    block = blocks.composition_block(_canonical(spark, sf), "canonical_sequence")
+    return rounded(block.groupBy("col").agg(F.sum("val").alias("total"), F.count_if(F.col("val") != 0).alias("n_active")), 4)
+
+
+@_query
+def embedding_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures of the five candidate embeddings."""
+    rows, suite = _suite(spark, sf)
+    return rounded(embeddings.evaluate_suite(suite, rows, anchors=_ANCHORS), 4)
+
+
+@_query
+def baseline_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    rows, suite = _suite(spark, sf)
+    return rounded(embeddings.evaluate_baselines({k: suite.raw[k] for k in ("composition", "sequence_token")}, rows, "row_id", anchors=_ANCHORS), 4)
+
+
+@_query
+def final_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    """Length and norm of every sequence's vector in the preferred embedding, over the found sequences."""
+    rows, suite = _suite(spark, sf)
+    kept = embeddings.filter_suite(suite, rows.where("discovered_flag = 1"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x))
+    return embeddings.embedding_of(kept, list(embeddings.CANDIDATES)[::-1]).select("row_id", F.size("embedding").alias("n_dimensions"), F.round(norm, 4).alias("norm"))
 
 
 @_query
@@ -669,5 +779,5 @@ def warning_free_features(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def pc1_drift(spark: SparkSession, sf: str) -> DataFrame:
     obs = model.observations(spark, sf)
-    brands = model.feature_names(spark, sf)
-    return rounded(feature_qc.pc1_order_rho(feature_qc.principal_components(obs, brands, 1)[0], model.samples(spark, sf)))
+    scores, shares = feature_qc.principal_components(obs, 2)
+    return rounded(feature_qc.pc1_order_rho(scores, model.samples(spark, sf), shares))

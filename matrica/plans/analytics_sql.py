@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from matrica.plans.model import CLASSES, OBS_SQL, SQL_BIO, SQL_BLANK, SQL_DQC, SQL_QC, THRESHOLD
+from matrica.operators.pairs import RELATIONS, RedundancyRules
+from matrica.plans.model import BRAND_RULES, CLASSES, OBS_SQL, SQL_BIO, SQL_BLANK, SQL_DQC, SQL_QC, THRESHOLD
 
 _T = THRESHOLD
 _METRICS = f"""m AS (SELECT sample, class, batch, sum(intensity) AS total_signal, log10(sum(intensity) + 1) AS log10_total_signal_plus1,
@@ -33,8 +34,34 @@ prof AS (SELECT class, feature, median(x) AS md FROM logged GROUP BY 1, 2),
 ranked AS (SELECT sample, {_rank("sample", "x")} AS rx, {_rank("sample", "md")} AS ry FROM logged JOIN prof USING (class, feature)),
 rho AS (SELECT sample, {_corr("rx", "ry")} AS spearman_corr_to_class_median FROM ranked GROUP BY 1)"""
 
-_LOW = ["log10_total_signal_plus1", "detected_features", "spearman_corr_to_class_median"]
-_ALL = [*_LOW, "zero_fraction"]
+def _components_of(rows: str, k: int) -> str:
+    """CTEs up to ``scores`` (sample, pc1, ...): components of ``rows`` (sample, feature, x) over standardised features.
+
+    The first vector is the column space of a high power of the covariance, got by squaring it; the next ones follow
+    after taking it out. Signs are arbitrary.
+    """
+    grid = f"""grid AS MATERIALIZED (SELECT sample, feature, coalesce(x, 0) AS x FROM (SELECT DISTINCT sample FROM {rows}) CROSS JOIN (SELECT DISTINCT feature FROM {rows}) LEFT JOIN {rows} USING (sample, feature)),
+norms AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM grid GROUP BY 1 HAVING min(x) < max(x)),
+zs AS MATERIALIZED (SELECT sample, feature, (x - m) / s AS z FROM grid JOIN norms USING (feature)),
+cov1 AS MATERIALIZED (SELECT a.feature AS i, b.feature AS j, sum(a.z * b.z) AS v FROM zs a JOIN zs b USING (sample) GROUP BY 1, 2)"""
+    parts = [grid]
+    for n in range(1, k + 1):
+        last = f"cov{n}"
+        for t in range(14):
+            parts.append(f"sq{n}_{t} AS MATERIALIZED (SELECT *, sum(v) FILTER (WHERE i = j) OVER () AS tr FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2))")
+            parts.append(f"pw{n}_{t} AS MATERIALIZED (SELECT i, j, v / tr AS v FROM sq{n}_{t})")
+            last = f"pw{n}_{t}"
+        parts.append(f"vec{n} AS MATERIALIZED (SELECT p.i AS feature, p.v / sqrt(d.v) AS w FROM {last} p JOIN (SELECT i, v FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1) d ON p.j = d.i)")
+        parts.append(f"cov{n + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - l.v * p.v AS v FROM cov{n} c JOIN {last} p USING (i, j), (SELECT sum(c.v * p.v) AS v FROM cov{n} c JOIN {last} p USING (i, j)) l)")
+        parts.append(f"sc{n} AS (SELECT sample, sum(z * w) AS pc{n} FROM zs JOIN vec{n} USING (feature) GROUP BY 1)")
+    joins = " ".join(f"JOIN sc{n} USING (sample)" for n in range(2, k + 1))
+    return ", ".join([*parts, f"scores AS MATERIALIZED (SELECT * FROM sc1 {joins})"])
+
+
+_LOW = ["log10_total_signal_plus1", "detected_features", "corr_to_class_median"]
+_HIGH = ["zero_fraction", "pca_distance_to_class_centroid"]
+_ALL = [*_LOW, *_HIGH]
+_TIC = "tic AS (SELECT sample, sum(intensity) AS z FROM obs GROUP BY 1), tic_all AS (SELECT median(z) AS c FROM tic WHERE z > 0), tview AS (SELECT obs.*, coalesce(ln(1 + intensity / CASE WHEN z > 0 THEN z END * c), 0) AS x FROM obs JOIN tic USING (sample), tic_all)"
 
 
 def _review() -> str:
@@ -42,13 +69,17 @@ def _review() -> str:
     mad = ", ".join(f"median(abs({c} - m_{c})) AS d_{c}" for c in _ALL)
     z = {c: f"CASE WHEN {c} IS NULL THEN NULL WHEN d_{c} > 0 THEN 0.6745 * ({c} - m_{c}) / d_{c} WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END" for c in _ALL}
     flags = {c: f"coalesce(z_{c} {'< -2' if c in _LOW else '> 2'}, false)" for c in _ALL}
-    return f"""{OBS_SQL}, {_METRICS}, {_PROFILE},
-b AS (SELECT sample, class, log10_total_signal_plus1, detected_features::DOUBLE AS detected_features, spearman_corr_to_class_median, zero_fraction FROM m JOIN rho USING (sample)),
+    pcs = range(1, 6)
+    return f"""{OBS_SQL}, {_METRICS}, {_TIC}, bio AS MATERIALIZED (SELECT sample, class, feature, x FROM tview WHERE class IN ({SQL_BIO})), {_components_of("bio", 5)},
+placed AS (SELECT sample, class, scores.* EXCLUDE (sample) FROM scores JOIN (SELECT DISTINCT sample, class FROM bio) USING (sample)), centre AS (SELECT class, {", ".join(f"avg(pc{i}) AS c{i}" for i in pcs)} FROM placed GROUP BY 1),
+far AS (SELECT sample, sqrt({" + ".join(f"(pc{i} - c{i}) ** 2" for i in pcs)}) AS pca_distance_to_class_centroid FROM placed JOIN centre USING (class)),
+prof AS (SELECT class, feature, median(x) AS md FROM bio GROUP BY 1, 2), ranked AS (SELECT sample, {_rank("sample", "x")} AS rx, {_rank("sample", "md")} AS ry FROM bio JOIN prof USING (class, feature)), rho AS (SELECT sample, {_corr("rx", "ry")} AS corr_to_class_median FROM ranked GROUP BY 1),
+b AS (SELECT sample, class, log10_total_signal_plus1, detected_features::DOUBLE AS detected_features, corr_to_class_median, zero_fraction, pca_distance_to_class_centroid FROM m JOIN rho USING (sample) JOIN far USING (sample)),
 med AS (SELECT class, {med} FROM b GROUP BY 1), mad AS (SELECT class, {mad} FROM b JOIN med USING (class) GROUP BY 1),
-zs AS (SELECT b.*, {", ".join(f"{v} AS z_{c}" for c, v in z.items())} FROM b JOIN med USING (class) JOIN mad USING (class)),
-fl AS (SELECT *, {", ".join(f"{v} AS flag_{c}" for c, v in flags.items())} FROM zs),
+zs5 AS (SELECT b.*, {", ".join(f"{v} AS z_{c}" for c, v in z.items())} FROM b JOIN med USING (class) JOIN mad USING (class)),
+fl AS (SELECT *, {", ".join(f"{v} AS flag_{c}" for c, v in flags.items())} FROM zs5),
 nf AS (SELECT *, {" + ".join(f"flag_{c}::INT" for c in _ALL)} AS n_review_flags FROM fl),
-ex AS (SELECT *, n_review_flags >= 3 AND flag_spearman_corr_to_class_median AS recommend_exclude FROM nf),
+ex AS (SELECT *, n_review_flags >= 3 AND (flag_corr_to_class_median OR flag_pca_distance_to_class_centroid) AS recommend_exclude FROM nf),
 review AS (SELECT sample, class, {", ".join(f"round({c}, 4) AS {c}" for c in _ALL)}, {", ".join(f"round(z_{c}, 4) AS {c}_robust_z_within_class" for c in _ALL)}, {", ".join(f"flag_{c}" for c in _ALL)}, n_review_flags, recommend_exclude,
   CASE WHEN recommend_exclude THEN 'strong_review' WHEN n_review_flags >= 2 THEN 'review' WHEN n_review_flags = 1 THEN 'minor_review' ELSE 'keep' END AS review_tier FROM ex)"""
 
@@ -115,23 +146,45 @@ _MATCH = f"""{OBS_SQL}, {_STAND},
 near AS (SELECT compound_id, feature, (mz - s_mz) / s_mz * 1e6 AS ppm_error, rt - s_rt AS rt_error, abs((mz - s_mz) / s_mz * 1e6) / 20000 + abs(rt - s_rt) / 1.0 AS score FROM feats, stds),
 matches AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY score, feature) = 1)"""
 
-_EDGES = """WITH f AS (SELECT * FROM feature_metadata WHERE mz > 0 AND rt IS NOT NULL),
+_PPM = """WITH f AS (SELECT * FROM feature_metadata WHERE mz > 0 AND rt IS NOT NULL),
 p0 AS (SELECT a.feature AS feature_a, b.feature AS feature_b, b.mz - a.mz AS delta_mz, b.rt - a.rt AS delta_rt
   FROM f a JOIN f b ON b.mz >= a.mz AND b.mz <= a.mz * 1.0000201 AND (b.mz > a.mz OR b.feature > a.feature)
-  WHERE (b.mz - a.mz) / ((a.mz + b.mz) / 2) * 1e6 <= 20),
-edges AS (SELECT *, abs(delta_mz) <= 0.02 AND abs(delta_rt) >= 5 AS is_isomer, abs(delta_rt) <= 20 AND abs(delta_mz) BETWEEN 0.5 AND 30 AS is_adduct FROM p0),
-typed AS (SELECT *, CASE WHEN is_isomer THEN 'isomer' ELSE 'adduct' END AS relation_type FROM edges WHERE is_isomer OR is_adduct)"""
-_CLUSTERS = _EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + """, ways AS (SELECT feature_a AS a, feature_b AS b FROM typed UNION SELECT feature_b, feature_a FROM typed),
-reach AS (SELECT a AS v, a AS w FROM ways UNION SELECT reach.v, ways.b FROM reach JOIN ways ON reach.w = ways.a),
-least_of AS (SELECT v, min(w) AS c FROM reach GROUP BY 1),
-clusters AS (SELECT feature, coalesce(c, feature) AS cluster FROM feature_metadata LEFT JOIN least_of ON v = feature)"""
+  WHERE (b.mz - a.mz) / ((a.mz + b.mz) / 2) * 1e6 <= 20)"""
+
+
+def _related(feats: str, rho: str, r: RedundancyRules) -> str:
+    """CTEs up to ``edges``: all related pairs of ``feats``; rho: a CTE (a, b, rho) with a < b, or an empty one."""
+    return f"""{rho},
+p0 AS (SELECT x.feature AS feature_a, y.feature AS feature_b, y.mz - x.mz AS delta_mz, y.rt - x.rt AS delta_rt, rho
+  FROM {feats} x JOIN {feats} y ON (coalesce(x.mz, 'inf'::DOUBLE), x.feature) < (coalesce(y.mz, 'inf'::DOUBLE), y.feature)
+  LEFT JOIN rho ON rho.a = least(x.feature, y.feature) AND rho.b = greatest(x.feature, y.feature)),
+p1 AS (SELECT *, coalesce(delta_mz <= {r.isomer_mz} AND abs(delta_rt) >= {r.isomer_rt}, false) AS is_isomer, coalesce(abs(delta_rt) <= {r.adduct_rt} AND delta_mz BETWEEN {r.adduct_least_mz} AND {r.adduct_most_mz}, false) AS is_adduct,
+  coalesce(rho >= {r.join_rho} AND delta_mz <= {r.duplicate_mz} AND abs(delta_rt) <= {r.duplicate_rt}, false) AS is_near_duplicate, coalesce(rho >= {r.report_rho}, false) AS is_correlated FROM p0),
+edges AS (SELECT *, CASE WHEN is_isomer AND is_correlated THEN 'candidate_isomer_correlated' WHEN is_isomer THEN 'candidate_isomer' WHEN is_adduct AND is_correlated THEN 'candidate_isotope_or_adduct_correlated'
+  WHEN is_adduct THEN 'candidate_isotope_or_adduct' WHEN is_near_duplicate THEN 'high_corr_near_duplicate' ELSE 'high_corr_other' END AS relation_type FROM p1 WHERE is_isomer OR is_adduct OR is_near_duplicate OR is_correlated)"""
+
+
+def _components(feats: str) -> str:
+    """CTEs up to ``clusters``: the smallest feature that each one reaches; labels spread along the edges and loops."""
+    return f"""ways AS (SELECT feature_a AS a, feature_b AS b FROM edges WHERE is_isomer OR is_adduct OR is_near_duplicate UNION SELECT feature_b, feature_a FROM edges WHERE is_isomer OR is_adduct OR is_near_duplicate UNION SELECT feature, feature FROM {feats}),
+spread AS (SELECT feature AS v, feature AS c, 0 AS i FROM {feats} UNION ALL SELECT w.b, min(s.c), s.i + 1 FROM spread s JOIN ways w ON s.v = w.a WHERE s.i < 300 GROUP BY w.b, s.i),
+clusters AS (SELECT v AS feature, c AS cluster FROM spread WHERE i = 300)"""
+
+
+_NO_RHO = "rho AS (SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS rho WHERE false)"
+_EDGES = "WITH RECURSIVE " + _related("feature_metadata", _NO_RHO, RedundancyRules())
+_CLUSTERS = _EDGES + ", " + _components("feature_metadata")
+_NEIGHBOURS = "ends AS (SELECT feature_a AS feature, edges.* FROM edges UNION ALL SELECT feature_b, edges.* FROM edges), near AS (SELECT feature, " + ", ".join(f"count(*) FILTER (WHERE is_{k}) AS n_{k}" for k in RELATIONS) + " FROM ends GROUP BY 1)"
+_BRAND_RHO = f"""ranks AS (SELECT sample, feature, {_rank("feature", "intensity")} AS x FROM obs),
+rho AS (SELECT p.feature AS a, q.feature AS b, {_corr("p.x", "q.x")} AS rho FROM ranks p JOIN ranks q ON p.sample = q.sample AND p.feature < q.feature GROUP BY 1, 2)"""
+_BRAND_EDGES = OBS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _related("feats", _BRAND_RHO, BRAND_RULES)
 
 _SEQ = """WITH nul AS (SELECT unnest(['', 'nan', 'None', 'NA']) AS x),
 seqs AS (SELECT gly_id, CASE WHEN trim(glycan, ' ') NOT IN (SELECT x FROM nul) THEN trim(glycan, ' ') END AS glycan_sequence,
   CASE WHEN trim(composition, ' ') NOT IN (SELECT x FROM nul) THEN trim(composition, ' ') END AS composition,
   CASE WHEN trim(tissue_species, ' ') NOT IN (SELECT x FROM nul) THEN trim(tissue_species, ' ') END AS tissue_species,
   CASE WHEN trim(tissue_sample, ' ') NOT IN (SELECT x FROM nul) THEN trim(tissue_sample, ' ') END AS tissue_sample,
-  CAST(NULL AS VARCHAR) AS disease, 'glycan_list' AS source_name, 0 AS is_n_glycan FROM glycan_list),
+  CAST(NULL AS VARCHAR) AS disease, 'glycan_list' AS source_name, 0 AS is_n_glycan, 'glycan' AS original_sequence_column FROM glycan_list),
 seq AS (SELECT * FROM seqs WHERE glycan_sequence IS NOT NULL)"""
 _SOURCES = r"""WITH g AS (SELECT *, regexp_replace(lower(glycan), '[^a-z0-9]', '', 'g') AS k FROM glycan_list),
 k AS (SELECT *, CASE WHEN source_name = 'df_glycan' THEN 0 ELSE 1 END AS rk, coalesce(source_name, 'none') AS src FROM g WHERE k <> '')"""
@@ -147,8 +200,48 @@ knn2 AS (SELECT * FROM d2 QUALIFY row_number() OVER (PARTITION BY anchor ORDER B
 s1 AS (SELECT anchor, list(neighbor) AS a FROM knn GROUP BY 1), s2 AS (SELECT anchor, list(neighbor) AS b FROM knn2 GROUP BY 1),
 robust AS (SELECT anchor, len(list_intersect(a, b)) AS n_shared, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS jaccard FROM s1 JOIN s2 USING (anchor))"""
 
-_RES = "Neu5Ac|Neu5Gc|GalNAc|GlcNAc|HexNAc|GlcA|Gal|Glc|Man|Fuc|Xyl|Hex"
-_CORE = "contains(s, 'Man(a1-3)') AND contains(s, 'Man(a1-6)') AND contains(s, 'Man(b1-4)') AND contains(s, 'GlcNAc(b1-4)GlcNAc')"
+_RES = "Neu5Ac|Neu5Gc|Kdn|GalNAc|GlcNAc|ManNAc|Gal|Glc|Man|Fuc|Xyl"
+_CORE = "contains(s, 'GlcNAc(b1-4)GlcNAc') AND contains(s, 'Man(b1-4)GlcNAc') AND contains(s, 'Man(a1-3)') AND contains(s, 'Man(a1-6)')"
+_EXACT = r"nullif(regexp_replace(glycan_sequence, '[\s\x{0B}\x{85}\p{Z}]+', '', 'g'), '')"
+_TOPOLOGY = r"nullif(regexp_replace(lower(regexp_replace(glycan_sequence, '\([^)]*\)', '', 'g')), '[^a-z0-9\[\]]', '', 'g'), '')"
+_PLAUSIBLE = r"""(s IS NOT NULL AND NOT (regexp_matches(lower(s), 'homo_sapiens|mus_musculus|bos_taurus|arabidopsis|virus|cell_line|blood|plasma|mucosa|seminal_fluid')
+  OR (starts_with(s, '[') AND contains(s, '][') AND NOT regexp_matches(s, 'GlcNAc|Gal|Man')))
+  AND (regexp_matches(s, 'GlcNAc|GalNAc|Neu5Ac|Neu5Gc|Kdn|Gal|Glc|Man|Fuc|Xyl|WURCS=|RES|;N') OR (contains(s, '(') AND contains(s, ')')) OR (contains(s, '[') AND contains(s, ']'))))"""
+_STATS = rf"""length(s) AS seq_length, len(regexp_extract_all(s, '\[')) AS branch_count, len(regexp_extract_all(s, '\?')) AS unknown_count, len(regexp_extract_all(s, '{_RES}')) AS residue_count,
+  len(regexp_extract_all(s, 'Fuc')) AS fucose_count, len(regexp_extract_all(s, 'Neu5Ac|Neu5Gc|Kdn')) AS sialic_count"""
+_CANCER = "cancer|carcinoma|adenocarcinoma|tumor|tumour|leukemia|leukaemia|lymphoma|myeloma|sarcoma|cholangiocarcinoma|melanoma|glioma"
+_PARTS = ("Hex", "HexNAc", "dHex", "Neu5Ac", "Neu5Gc", "Kdn", "Fuc", "Xyl", "Gal", "Glc", "Man", "GalNAc", "GlcNAc")
+
+
+def _comp(rows: str, key: str) -> str:
+    """CTE ``comp``: composition counts, totals and shares of ``rows`` (key, composition)."""
+    item = r"""'([\p{L}][\p{L}\p{N}_-]*)["'']?\s*(?:[:=,(]|\s)\s*(\d+)'"""
+    own = ", ".join(f"coalesce(sum(n) FILTER (WHERE name = '{p.lower()}'), 0)::BIGINT AS \"comp_{p}\"" for p in _PARTS)
+    return f"""ci AS (SELECT {key}, unnest(regexp_extract_all(lower(composition), {item}, 1)) AS name, unnest(regexp_extract_all(lower(composition), {item}, 2))::BIGINT AS n FROM {rows}),
+cg AS (SELECT {key}, {own}, coalesce(sum(n), 0)::BIGINT AS comp_total_residues FROM {rows} LEFT JOIN ci USING ({key}) GROUP BY 1),
+ct AS (SELECT *, "comp_dHex" + "comp_Fuc" AS comp_fucose_total, "comp_Neu5Ac" + "comp_Neu5Gc" + "comp_Kdn" AS comp_sialic_total FROM cg),
+comp AS (SELECT *, coalesce(comp_fucose_total / nullif(comp_total_residues, 0), 0) AS comp_fucose_ratio, coalesce(comp_sialic_total / nullif(comp_total_residues, 0), 0) AS comp_sialic_ratio, coalesce("comp_HexNAc" / nullif("comp_Hex", 0), 0) AS comp_hexnac_to_hex_ratio FROM ct)"""
+
+
+_SHARES = ("comp_fucose_ratio", "comp_sialic_ratio", "comp_hexnac_to_hex_ratio")
+_MASTER = _SEQ + f""", named AS (SELECT seq.*, CASE g.source_name WHEN 'df_glycan' THEN 1 WHEN 'n_glycans' THEN 2 ELSE 0 END AS rk FROM seq JOIN glycan_list g USING (gly_id)),
+mast AS (SELECT glycan_sequence, coalesce(min(composition) FILTER (WHERE rk = 0), arg_min(composition, (rk, composition)) FILTER (WHERE rk > 0 AND composition IS NOT NULL)) AS composition,
+  coalesce(min(tissue_species) FILTER (WHERE rk = 0), arg_min(tissue_species, (rk, tissue_species)) FILTER (WHERE rk > 0 AND tissue_species IS NOT NULL)) AS tissue_species,
+  coalesce(max((rk = 2)::INT) FILTER (WHERE rk > 0), 0) AS is_n_glycan, max((rk = 0)::INT) AS discovered_flag, max((rk > 0)::INT) AS reference_flag,
+  nullif(array_to_string(list_sort(list_distinct(list(CASE rk WHEN 1 THEN 'df_glycan' WHEN 2 THEN 'n_glycans' END) FILTER (WHERE rk > 0))), '|'), '') AS source_names FROM named GROUP BY 1),
+bnd AS (SELECT trim(glycan, ' ') AS glycan_sequence, 'P' || (l_suppkey % 10) AS protein, l_quantity AS binding_value FROM lineitem JOIN glycan_list ON l_partkey = gly_id WHERE trim(glycan, ' ') NOT IN (SELECT x FROM nul)),
+bk AS (SELECT *, {_EXACT} AS canonical_sequence, {_TOPOLOGY} AS topology_key FROM bnd),
+be AS (SELECT canonical_sequence, count(*) AS n_binding_rows, count(DISTINCT protein) AS n_binding_proteins, avg(binding_value) AS mean_binding_value, max(binding_value) AS max_binding_value FROM bk GROUP BY 1),
+bt AS (SELECT topology_key, count(*) AS n_binding_rows_topology, count(DISTINCT protein) AS n_binding_proteins_topology FROM bk GROUP BY 1),
+{_comp("mast", "glycan_sequence")},
+mk AS (SELECT *, {_EXACT} AS s, {_TOPOLOGY} AS t FROM mast JOIN comp USING (glycan_sequence)),
+canon AS (SELECT mk.s AS canonical_sequence, t AS topology_key, mk.* EXCLUDE (s, t), coalesce({_CORE}, false)::INT AS likely_n_glycan, {_STATS}, coalesce(n_binding_rows, 0) AS n_binding_rows, coalesce(n_binding_proteins, 0) AS n_binding_proteins,
+  coalesce(mean_binding_value, 0) AS mean_binding_value, coalesce(max_binding_value, 0) AS max_binding_value, coalesce(n_binding_rows_topology, 0) AS n_binding_rows_topology, coalesce(n_binding_proteins_topology, 0) AS n_binding_proteins_topology,
+  (coalesce(n_binding_rows, 0) > 0)::INT AS has_binding_exact, (coalesce(n_binding_rows_topology, 0) > 0)::INT AS has_binding_topology
+  FROM mk LEFT JOIN be ON mk.s IS NOT DISTINCT FROM be.canonical_sequence LEFT JOIN bt ON mk.t IS NOT DISTINCT FROM bt.topology_key),
+inter AS (SELECT canonical_sequence, arg_min(is_n_glycan, glycan_sequence) AS is_n_glycan, arg_min(likely_n_glycan, glycan_sequence) AS likely_n_glycan, arg_min(has_binding_exact, glycan_sequence) AS has_binding_exact, arg_min(discovered_flag, glycan_sequence) AS discovered_flag, arg_min(reference_flag, glycan_sequence) AS reference_flag
+  FROM canon WHERE {_PLAUSIBLE.replace("(s ", "(canonical_sequence ").replace("(s,", "(canonical_sequence,").replace("(s)", "(canonical_sequence)")} GROUP BY 1)"""
+_BLOCK = [*(f"comp_{p}" for p in _PARTS if p not in ("GalNAc", "GlcNAc")), "comp_total_residues", "comp_fucose_total", "comp_sialic_total", *_SHARES, "branch_count", "unknown_count", "residue_count", "fucose_count", "sialic_count"]
 _EV = f"""{OBS_SQL}, {_SIDES}, ev AS (SELECT task_name, feature, positive, intensity AS raw, ln(1 + intensity) AS x FROM obs JOIN tasks USING (class)),
 evm AS (SELECT task_name, feature, median(x) FILTER (WHERE positive) AS pos_median, median(x) FILTER (WHERE NOT positive) AS neg_median,
   avg(x) FILTER (WHERE positive) - avg(x) FILTER (WHERE NOT positive) AS mean_difference,
@@ -171,7 +264,7 @@ UNION ALL SELECT 'observations_without_feature', (SELECT count(*) FROM (SELECT f
     "sample_metrics": f"{OBS_SQL}, {_METRICS} SELECT sample, class, batch, detected_features, {_r('total_signal log10_total_signal_plus1 detection_rate zero_fraction mean_feature_intensity_nonzero')} FROM m",
     "sample_outliers": f"{OBS_SQL}, {_METRICS}" + _outliers("m", "sample, class, detected_features", ["log10_total_signal_plus1", "detected_features", "zero_fraction", "mean_feature_intensity_nonzero"], 4, _r("total_signal log10_total_signal_plus1 detection_rate zero_fraction mean_feature_intensity_nonzero", 4)),
     "metrics_outliers": "WITH m AS (SELECT row_id, detected_features::DOUBLE AS detected_features, zero_fraction FROM sample_metrics)" + _outliers("m", "row_id", ["detected_features", "zero_fraction"], 6, _r("detected_features zero_fraction")),
-    "sample_summary": f"{OBS_SQL}, {_METRICS}, s AS (SELECT batch, class, count(*) AS n_samples, median(total_signal) AS median_total_signal, avg(total_signal) AS mean_total_signal, median(detected_features) AS median_detected_features, avg(detected_features) AS mean_detected_features, median(zero_fraction) AS median_zero_fraction FROM m GROUP BY 1, 2) SELECT batch, class, n_samples, {_r('median_total_signal mean_total_signal median_detected_features mean_detected_features median_zero_fraction')} FROM s",
+    "sample_summary": f"{OBS_SQL}, {_METRICS}, {_PROFILE}, s AS (SELECT batch, class, count(*) AS n_samples, avg(spearman_corr_to_class_median) AS mean_spearman_corr_to_class_median, median(total_signal) AS median_total_signal, avg(total_signal) AS mean_total_signal, median(detected_features) AS median_detected_features, avg(detected_features) AS mean_detected_features, median(zero_fraction) AS median_zero_fraction FROM m JOIN rho USING (sample) GROUP BY 1, 2) SELECT batch, class, n_samples, {_r('mean_spearman_corr_to_class_median median_total_signal mean_total_signal median_detected_features mean_detected_features median_zero_fraction')} FROM s",
     "class_profile_spearman": f"{OBS_SQL}, {_PROFILE} SELECT sample, {_r('spearman_corr_to_class_median')} FROM rho",
     "sample_review_flags": _review() + " SELECT * FROM review",
     "handoff_sample_counts": _review() + " SELECT class, count(*) FILTER (WHERE NOT recommend_exclude) AS n_retained, count(*) FILTER (WHERE recommend_exclude) AS n_excluded, " + ", ".join(f"count(*) FILTER (WHERE review_tier = '{t}') AS n_{t}" for t in ("keep", "minor_review", "review", "strong_review")) + " FROM review GROUP BY 1",
@@ -179,8 +272,14 @@ UNION ALL SELECT 'observations_without_feature', (SELECT count(*) FROM (SELECT f
     "qc_feature_metrics": f"{OBS_SQL}, {_qc('qc', SQL_QC + ', ' + SQL_DQC)} SELECT feature, qc_n, {_r(' '.join('qc_' + c for c in _QC_COLUMNS.split()))} FROM qc_all",
     "qc_summary": f"{OBS_SQL}, {_qc('qc', SQL_QC)}, s AS (SELECT count(*) AS n_features, median(qc_cv) AS median_cv, avg(qc_cv) AS mean_cv, count(*) FILTER (WHERE qc_cv < 30) AS n_stable, avg(coalesce(qc_cv < 30, false)::INT) AS share_stable, median(qc_detection_rate) AS median_detection_rate FROM qc_all) SELECT n_features, n_stable, {_r('median_cv mean_cv share_stable median_detection_rate')} FROM s",
     "qc_batch_cv": f"{OBS_SQL} SELECT feature, batch, round(avg(intensity), 6) AS batch_mean, round(100 * stddev_samp(intensity) / avg(intensity), 6) AS batch_cv FROM obs WHERE class IN ({SQL_QC}) GROUP BY 1, 2",
-    "qc_vs_dqc": f"{OBS_SQL}, {_qc('qc', SQL_QC)}, {_qc('dqc', SQL_DQC)} SELECT feature, qc_n, dqc_n, {_r(' '.join(f'{p}_{c}' for p in ('qc', 'dqc') for c in _QC_COLUMNS.split()))}, coalesce(qc_cv < 30, false) AS qc_stable, coalesce(dqc_cv < 30, false) AS dqc_stable, round(dqc_cv - qc_cv, 6) AS cv_gap, round(abs(dqc_drift) - abs(qc_drift), 6) AS drift_gap, coalesce(qc_cv < 30, false) AND NOT coalesce(dqc_cv < 30, false) AS concentration_sensitive FROM qc_all FULL JOIN dqc_all USING (feature)",
-    "qc_pairwise_corr": f"{OBS_SQL}, q AS (SELECT feature AS f, sample AS s, ln(1 + intensity) AS x FROM obs WHERE class IN ({SQL_QC})) SELECT a.f AS sample_a, b.f AS sample_b, round({_corr('a.x', 'b.x')}, 6) AS rho, count(*) AS n FROM q a JOIN q b ON a.s = b.s AND a.f < b.f GROUP BY 1, 2",
+    "qc_vs_dqc": f"{OBS_SQL}, {_qc('qc', SQL_QC)}, {_qc('dqc', SQL_DQC)} SELECT feature, qc_n, dqc_n, {_r(' '.join(f'{p}_{c}' for p in ('qc', 'dqc') for c in _QC_COLUMNS.split()))}, coalesce(qc_cv < 30, false) AS qc_stable, coalesce(dqc_cv < 30, false) AS dqc_stable, round(dqc_cv - qc_cv, 6) AS cv_gap, round(abs(abs(dqc_drift) - abs(qc_drift)), 6) AS drift_gap, coalesce(qc_cv < 30, false) AND NOT coalesce(dqc_cv < 30, false) AS concentration_sensitive FROM qc_all FULL JOIN dqc_all USING (feature)",
+    "qc_vs_dqc_summary": f"{OBS_SQL}, {_qc('qc', SQL_QC)}, {_qc('dqc', SQL_DQC)}, c AS (SELECT feature, qc_n, dqc_n, qc_cv, dqc_cv, qc_drift, dqc_drift, coalesce(qc_cv < 30, false) AS qc_stable, coalesce(dqc_cv < 30, false) AS dqc_stable, round(abs(abs(dqc_drift) - abs(qc_drift)), 6) AS drift_gap, coalesce(qc_cv < 30, false) AND NOT coalesce(dqc_cv < 30, false) AS concentration_sensitive FROM qc_all FULL JOIN dqc_all USING (feature))" + """ SELECT unnest(['n_features', 'n_qc_stable', 'share_qc_stable', 'n_dqc_stable', 'share_dqc_stable', 'n_stable_in_both', 'n_concentration_sensitive', 'median_qc_cv', 'median_dqc_cv', 'median_abs_qc_drift', 'median_abs_dqc_drift']) AS metric,
+round(unnest([count(*), count(*) FILTER (WHERE qc_stable), avg(qc_stable::INT), count(*) FILTER (WHERE dqc_stable), avg(dqc_stable::INT), count(*) FILTER (WHERE qc_stable AND dqc_stable), count(*) FILTER (WHERE concentration_sensitive), median(qc_cv), median(dqc_cv), median(abs(qc_drift)), median(abs(dqc_drift))]::DOUBLE[]), 6) AS value FROM c""",
+    "qc_pairwise_corr": f"{OBS_SQL}, q AS (SELECT feature AS f, sample AS s, ln(1 + intensity) AS x FROM obs WHERE class IN ({SQL_QC})) SELECT a.s AS sample_a, b.s AS sample_b, round({_corr('a.x', 'b.x')}, 6) AS rho, count(*) AS n FROM q a JOIN q b ON a.f = b.f AND a.s < b.s GROUP BY 1, 2",
+    "pca_distances": f"{OBS_SQL}, lg AS (SELECT sample, feature, ln(1 + intensity) AS x FROM obs), {_components_of('lg', 2)}" + """, c AS (SELECT median(pc1) AS m1, median(pc2) AS m2 FROM scores), d AS (SELECT sample, class, pc1, pc2, sqrt((pc1 - m1) ** 2 + (pc2 - m2) ** 2) AS dist FROM scores JOIN samples USING (sample), c),
+dm AS (SELECT median(dist) AS md FROM d), da AS (SELECT median(abs(dist - md)) AS mad FROM d, dm), z AS (SELECT d.*, 0.6745 * (dist - md) / nullif(mad, 0) AS z FROM d, dm, da), g AS (SELECT class, avg(pc1) AS g1, avg(pc2) AS g2 FROM d GROUP BY 1)
+SELECT sample, class, round(abs(pc1), 5) AS "PC1", round(abs(pc2), 5) AS "PC2", round(dist, 5) AS pca_distance, round(z, 5) AS pca_robust_z, coalesce(abs(z) > 3.5, false) AS outlier_pca, round(sqrt((pc1 - g1) ** 2 + (pc2 - g2) ** 2), 5) AS pca_distance_to_class_centroid FROM z JOIN g USING (class)""",
+    "pc1_drift": f"{OBS_SQL}, lg AS (SELECT sample, feature, ln(1 + intensity) AS x FROM obs), {_components_of('lg', 1)}, r AS (SELECT {_rank('1', 'pc1')} AS rx, {_rank('1', 'run_order')} AS ry FROM scores JOIN samples USING (sample)), v AS (SELECT (SELECT sum(pc1 ** 2) FROM scores) / (SELECT sum(v) FROM cov1 WHERE i = j) AS share) SELECT round(abs({_corr('rx', 'ry')}), 6) AS abs_pc1_order_rho, count(*) AS n, round(any_value(share), 6) AS pc1_variance FROM r, v",
     "view_log1p": f"{OBS_SQL} SELECT sample, feature, round(ln(1 + intensity), 6) AS intensity FROM obs",
     "view_tic_log1p": f"{OBS_SQL}, s AS (SELECT sample, sum(intensity) AS z FROM obs GROUP BY 1), c AS (SELECT median(z) AS c FROM s WHERE z > 0) SELECT sample, feature, round(coalesce(ln(1 + intensity / CASE WHEN z > 0 THEN z END * c), 0), 6) AS intensity FROM obs JOIN s USING (sample), c",
     "view_median_log1p": f"{OBS_SQL}, s AS (SELECT sample, median(intensity) FILTER (WHERE intensity <> 0) AS z FROM obs GROUP BY 1), c AS (SELECT median(z) AS c FROM s WHERE z > 0) SELECT sample, feature, round(coalesce(ln(1 + intensity / CASE WHEN z > 0 THEN z END * c), 0), 6) AS intensity FROM obs JOIN s USING (sample), c",
@@ -190,7 +289,7 @@ UNION ALL SELECT 'observations_without_feature', (SELECT count(*) FROM (SELECT f
     "carryover": f"{OBS_SQL}, {_CARRY} SELECT feature, round(carryover_rho, 6) AS carryover_rho, n_blank_contexts FROM carry",
     "nearest_standard": f"{_MATCH} SELECT compound_id, feature, {_r('score ppm_error rt_error', 5)}, abs(ppm_error) <= 20000 AND abs(rt_error) <= 1 AS within_tolerance FROM matches",
     "standard_tracking": f"{_MATCH} SELECT compound_id, feature, batch, class, count(*) AS n, round(avg(intensity), 6) AS mean_intensity, round(median(intensity), 6) AS median_intensity, round(avg(log10(intensity + 1)), 6) AS mean_log10 FROM obs JOIN matches USING (feature) GROUP BY 1, 2, 3, 4",
-    "isomer_pairs": _EDGES + ", z AS (SELECT a.mz AS ma, b.mz AS mb, p0.* FROM p0 JOIN f a ON a.feature = feature_a JOIN f b ON b.feature = feature_b) SELECT feature_a, feature_b, round((mb - ma) / ((ma + mb) / 2) * 1e6, 6) AS delta_ppm, round(delta_rt, 6) AS delta_rt FROM z WHERE abs(delta_rt) >= 0.1",
+    "isomer_pairs": _PPM + ", z AS (SELECT a.mz AS ma, b.mz AS mb, p0.* FROM p0 JOIN f a ON a.feature = feature_a JOIN f b ON b.feature = feature_b) SELECT feature_a, feature_b, round((mb - ma) / ((ma + mb) / 2) * 1e6, 6) AS delta_ppm, round(delta_rt, 6) AS delta_rt FROM z WHERE abs(delta_rt) >= 0.1",
     "adduct_pairs": """WITH f AS (SELECT * FROM feature_metadata WHERE mz IS NOT NULL AND rt IS NOT NULL), s(i, shift, m) AS (VALUES (0, '13C1', 1.003355), (1, '13C2', 2.006710), (2, 'Na-H', 21.981943), (3, 'K-H', 37.955882), (4, 'O-like', 16.018724)),
 p AS (SELECT CASE WHEN a.mz > b.mz THEN b.feature ELSE a.feature END AS feature_a, CASE WHEN a.mz > b.mz THEN a.feature ELSE b.feature END AS feature_b, abs(b.mz - a.mz) AS delta_mz
   FROM f a JOIN f b ON b.rt >= a.rt AND b.rt - a.rt <= 9 AND (b.rt > a.rt OR b.feature > a.feature)),
@@ -200,8 +299,11 @@ SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, shift, round(e, 6)
 w AS (SELECT sample, feature, ln(1 + intensity) AS x, 'all' AS subset FROM obs UNION ALL SELECT sample, feature, ln(1 + intensity), 'biological' FROM obs WHERE class IN ({SQL_BIO})),
 r AS (SELECT sample, feature, subset, {_rank('subset, feature', 'x')} AS x FROM w)
 SELECT feature_a, feature_b, a.subset AS subset, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN {_corr('a.x', 'b.x')} END, 6) AS rho FROM bp JOIN r a ON a.feature = feature_a JOIN r b ON b.feature = feature_b AND a.subset = b.subset AND a.sample = b.sample GROUP BY 1, 2, 3""",
-    "redundancy_edges": _EDGES + " SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, round(delta_rt, 6) AS delta_rt, relation_type FROM typed",
-    "redundancy_neighbours": _EDGES + ", e AS (SELECT feature_a AS feature, relation_type FROM typed UNION ALL SELECT feature_b, relation_type FROM typed) SELECT feature, " + ", ".join(f"count(*) FILTER (WHERE relation_type = '{k}') AS n_{k}" for k in ("near_duplicate", "isomer", "adduct", "other")) + " FROM e GROUP BY 1",
+    "redundancy_edges": _EDGES + " SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, round(delta_rt, 6) AS delta_rt, relation_type FROM edges",
+    "redundancy_neighbours": _EDGES + ", " + _NEIGHBOURS + " SELECT * FROM near",
+    "redundancy_types": _BRAND_EDGES + " SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, round(delta_rt, 6) AS delta_rt, round(rho, 6) AS rho, is_isomer, is_adduct, is_near_duplicate, is_correlated, relation_type FROM edges",
+    "redundancy_annotated": _BRAND_EDGES + ", " + _components("feats") + ", " + _NEIGHBOURS + """, g AS (SELECT feature, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size, first_value(feature) OVER (PARTITION BY cluster ORDER BY mz DESC, feature) AS representative_feature FROM clusters JOIN feats USING (feature))
+SELECT feature, cluster, cluster_size, representative_feature, CASE WHEN cluster_size = 1 THEN 'singleton' WHEN feature = representative_feature THEN 'representative' ELSE 'member' END AS redundancy_role, """ + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in RELATIONS) + " FROM g LEFT JOIN near USING (feature)",
     "redundancy_clusters": _CLUSTERS + " SELECT feature, cluster FROM clusters",
     "representative_pick": _CLUSTERS + """, s AS (SELECT feature, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size, first_value(feature) OVER (PARTITION BY cluster ORDER BY mz_std NULLS LAST, feature) AS representative_feature FROM clusters JOIN feature_metadata USING (feature))
 SELECT *, CASE WHEN cluster_size = 1 THEN 'singleton' WHEN feature = representative_feature THEN 'representative' ELSE 'member' END AS redundancy_role FROM s""",
@@ -222,12 +324,17 @@ SELECT batch, class, threshold, p, CASE WHEN p IS NOT NULL THEN round(least(1, m
     "cluster_collapse": _CLUSTERS + """, c AS (SELECT cluster, m.* FROM clusters JOIN feature_metadata m USING (feature))
 SELECT cluster, arg_min(feature, (rt_std IS NOT NULL, coalesce(rt_std, 0), feature)) AS feature, round(arg_min(mz, (rt_std IS NOT NULL, coalesce(rt_std, 0), feature)) FILTER (WHERE mz IS NOT NULL), 6) AS mz, round(arg_min(rt, (rt_std IS NOT NULL, coalesce(rt_std, 0), feature)) FILTER (WHERE rt IS NOT NULL), 6) AS rt, count(*) AS n_members FROM c GROUP BY 1""",
     "standardise_strings": _SEQ + " SELECT * FROM seq",
-    "canonical_keys": _SEQ + r" SELECT gly_id, nullif(regexp_replace(glycan_sequence, '[ \t\n\r\f\v]+', '', 'g'), '') AS exact, nullif(regexp_replace(lower(regexp_replace(glycan_sequence, '\([^)]*\)', '', 'g')), '[^a-z0-9\[\]]', '', 'g'), '') AS topology FROM seq",
-    "sequence_statistics": _SEQ + rf""", q AS (SELECT gly_id, regexp_replace(glycan_sequence, '[ \t\n\r\f\v]+', '', 'g') AS s FROM seq)
-SELECT gly_id, length(s) AS seq_length, len(regexp_extract_all(s, '\[')) AS branch_count, len(regexp_extract_all(s, '\?')) AS unknown_count, len(regexp_extract_all(s, '{_RES}')) AS residue_count, len(regexp_extract_all(s, 'Fuc')) AS fucose_count, len(regexp_extract_all(s, 'Neu5Ac|Neu5Gc')) AS sialic_count,
-{_CORE} AS likely_n_glycan, NOT regexp_matches(lower(s), 'http|undefined|unknown|array\(|dtype|none,|nan,') AND (regexp_matches(s, '(?i)({_RES})') OR regexp_matches(s, '\[[^\]]*\]')) AS plausible FROM q""",
-    "structural_families": _SEQ + f""", f AS (SELECT list_filter([CASE WHEN {_CORE} THEN 'n_glycan_core' END, CASE WHEN regexp_matches(s, 'Neu5Ac|Neu5Gc') THEN 'sialylated' END, CASE WHEN contains(s, 'Fuc') THEN 'fucosylated' END, CASE WHEN contains(s, 'GlcA') THEN 'glucuronylated' END, CASE WHEN contains(s, 'Gal(b1-4)GlcNAc') THEN 'lacnac' END, CASE WHEN contains(s, '[') THEN 'branched' END], lambda x: x IS NOT NULL) AS l FROM (SELECT glycan_sequence AS s FROM seq)),
-u AS (SELECT unnest(CASE WHEN len(l) > 0 THEN l ELSE ['other'] END) AS family FROM f) SELECT family, count(*) AS n FROM u GROUP BY 1""",
+    "canonical_keys": _SEQ + f" SELECT gly_id, {_EXACT} AS exact, {_TOPOLOGY} AS topology FROM seq",
+    "sequence_statistics": _SEQ + f", q AS (SELECT gly_id, tissue_sample, {_EXACT} AS s FROM seq) SELECT gly_id, {_STATS}, {_CORE} AS likely_n_glycan, {_PLAUSIBLE} AS plausible, CASE WHEN s IS NULL THEN 'NA' WHEN length(s) > 55 THEN s[1:52] || '...' ELSE s END AS label, coalesce(regexp_matches(lower(tissue_sample), '{_CANCER}'), false) AS cancer FROM q",
+    "structural_families": _SEQ + f""", q AS (SELECT {_EXACT} AS s FROM seq), u AS (SELECT unnest([CASE WHEN {_CORE} THEN 'N-glycan-like' END, CASE WHEN regexp_matches(s, 'Neu5Ac|Neu5Gc|Kdn') THEN 'sialylated' END, CASE WHEN regexp_matches(s, 'Fuc|dHex') THEN 'fucosylated' END,
+CASE WHEN contains(s, 'GalNAc') THEN 'GalNAc-bearing' END, CASE WHEN contains(s, '?') THEN 'ambiguous-linkage' END, CASE WHEN contains(s, '[') THEN 'branched' END, CASE WHEN contains(s, 'GlcNAc(b1-4)GlcNAc') THEN 'core-GlcNAc' END]) AS family FROM q)
+SELECT family, count(*) AS n FROM u WHERE family IS NOT NULL GROUP BY 1""",
+    "token_counts": _SEQ + rf""", q AS (SELECT gly_id, regexp_extract_all(s, '{_RES}') AS r, regexp_extract_all(s, '\(([^)]+)\)', 1) AS l, s FROM (SELECT gly_id, coalesce({_EXACT}, '') AS s FROM seq)),
+t0 AS (SELECT gly_id, list_concat(list_concat(list_transform(r, lambda x: 'RES_' || x), list_transform(l, lambda x: 'LNK_' || x)), list_concat(list_concat(list_transform(regexp_extract_all(s, '\['), lambda x: 'BRANCH_OPEN'), list_transform(regexp_extract_all(s, '\]'), lambda x: 'BRANCH_CLOSE')),
+  list_transform(range(1, len(r)), lambda i: 'PAIR_' || r[i] || '__' || r[i + 1]))) AS t FROM q),
+t1 AS (SELECT gly_id, list_transform(t, lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}_]+$', '')) AS t FROM t0),
+g AS (SELECT gly_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS token FROM t1), c AS (SELECT gly_id, token, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT token, count(*) AS df, sum(n)::BIGINT AS tf FROM c GROUP BY 1""",
     "word_counts": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, token, count(*) AS n FROM w GROUP BY 1, 2) SELECT token, count(*) AS df, sum(n)::BIGINT AS tf FROM c GROUP BY 1 HAVING count(*) >= 2",
     "union_master": _SOURCES + """ SELECT k AS glycan_sequence, """ + ", ".join(f"arg_min({c}, (rk, {c})) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("composition", "tissue_species", "tissue_sample")) + ", 0 AS is_n_glycan, array_to_string(list_sort(list_distinct(list(src))), '|') AS source_names FROM k GROUP BY 1",
     "master_full_outer": _SOURCES + """, p AS (SELECT k, max((rk = 1)::INT) AS in_query, max((rk = 0)::INT) AS in_reference, max((composition IS NOT NULL)::INT) AS c, max((tissue_species IS NOT NULL)::INT) AS s FROM k GROUP BY 1)
@@ -252,13 +359,19 @@ s AS (SELECT vec_id, label, min(d) FILTER (WHERE other = label) AS a, min(d) FIL
     "context_layers": _CONTEXT + f" SELECT anchor, n_neighbors, {_r('mean_distance max_distance general_fraction disease_fraction specific_fraction')}, CASE WHEN specific_fraction >= 0.2 AND general_fraction >= 0.5 THEN 'specific_context' WHEN disease_fraction >= 0.2 AND general_fraction >= 0.5 THEN 'disease_context' WHEN general_fraction >= 0.5 THEN 'general_context' ELSE 'weak_context' END AS profile FROM ctx",
     "protein_support": _KNN + f", {_BIND}, pre AS (SELECT vec_id AS neighbor, protein, avg(binding_value) AS v, count(*) AS n FROM bind GROUP BY 1, 2), s AS (SELECT anchor, protein, sum(1 / neighbor_rank) AS support, avg(v) AS mean_value, sum(n)::BIGINT AS n_rows FROM knn JOIN pre USING (neighbor) GROUP BY 1, 2) SELECT anchor, protein, round(support, 6) AS support, round(mean_value, 6) AS mean_value, n_rows, row_number() OVER (PARTITION BY anchor ORDER BY round(support, 9) DESC, protein) AS rank FROM s QUALIFY rank <= 4",
     "priority_scores": _CONTEXT + _ROBUST + ", s AS (SELECT anchor, greatest(0, 1 - least(round(mean_distance, 6), 1)) AS confidence, round(general_fraction, 6) AS g, round(jaccard, 6) AS j FROM ctx JOIN robust USING (anchor)), t AS (SELECT *, confidence * 0.4 + g * 0.4 + j * 0.2 AS priority_score FROM s) SELECT anchor, round(confidence, 5) AS confidence, round(priority_score, 5) AS priority_score, CASE WHEN priority_score >= 0.65 THEN 'A' WHEN priority_score >= 0.45 THEN 'B' ELSE 'C' END AS priority_tier FROM t",
-    "composition_features": r"""WITH i AS (SELECT gly_id, unnest(regexp_extract_all(lower(composition), '([\p{L}][\p{L}\p{N}_-]*)["'']?\s*(?:[:=,(]|\s)\s*(\d+)', 1)) AS name, unnest(regexp_extract_all(lower(composition), '([\p{L}][\p{L}\p{N}_-]*)["'']?\s*(?:[:=,(]|\s)\s*(\d+)', 2))::BIGINT AS n FROM glycan_list),
-g AS (SELECT gly_id, """ + ", ".join(f"coalesce(sum(n) FILTER (WHERE name = '{p.lower()}'), 0)::BIGINT AS \"comp_{p}\"" for p in ("Hex", "HexNAc", "dHex", "Neu5Ac", "Neu5Gc", "HexA")) + """, coalesce(sum(n), 0)::BIGINT AS comp_total FROM glycan_list LEFT JOIN i USING (gly_id) GROUP BY 1)
-SELECT *, round(coalesce("comp_dHex" / nullif(comp_total, 0), 0), 6) AS fucose_share, round(coalesce(("comp_Neu5Ac" + "comp_Neu5Gc") / nullif(comp_total, 0), 0), 6) AS sialic_share FROM g""",
-    "sequence_qc": _SEQ + rf""" SELECT NOT regexp_matches(lower(s), 'http|undefined|unknown|array\(|dtype|none,|nan,') AND (regexp_matches(s, '(?i)({_RES})') OR regexp_matches(s, '\[[^\]]*\]')) AS plausible, count(*) AS n_rows, count(DISTINCT s) AS n_distinct FROM (SELECT glycan_sequence AS s FROM seq) GROUP BY 1""",
+    "composition_features": "WITH " + _comp("glycan_list", "gly_id") + " SELECT * EXCLUDE (comp_fucose_ratio, comp_sialic_ratio, comp_hexnac_to_hex_ratio), " + ", ".join(f"round({c}, 6) AS {c}" for c in _SHARES) + " FROM comp",
+    "canonical_master": _MASTER + " SELECT * EXCLUDE (glycan_sequence, composition, tissue_species, mean_binding_value, max_binding_value, comp_fucose_ratio, comp_sialic_ratio, comp_hexnac_to_hex_ratio), " + ", ".join(f"round({c}, 6) AS {c}" for c in (*_SHARES, "mean_binding_value", "max_binding_value")) + " FROM canon",
+    "interpretation_set": _MASTER + " SELECT * FROM inter",
+    "composition_block": _MASTER + ", cb AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, round(sum(\"{c}\"), 4)::DOUBLE AS total, count(*) FILTER (WHERE \"{c}\" <> 0) AS n_active FROM canon" for c in _BLOCK) + ") SELECT * FROM cb",
+    "binding_long": _MASTER + " SELECT glycan_sequence, protein, round(avg(binding_value), 6) AS mean_value, count(*) AS n FROM bnd GROUP BY 1, 2",
+    "source_audit": _SEQ + """, n AS (SELECT seq.*, g.source_name AS src FROM seq JOIN glycan_list g USING (gly_id)), k AS (SELECT glycan_sequence, bool_or(src = 'glycan_list') AS a, bool_or(src = 'df_glycan') AS b, bool_or(src = 'n_glycans') AS c FROM n WHERE src IS NOT NULL GROUP BY 1),
+p AS (SELECT src, count(*) AS n_rows, count(DISTINCT glycan_sequence) AS n_unique, count(composition) / count(*) AS f1, count(tissue_sample) / count(*) AS f2, count(tissue_species) / count(*) AS f3 FROM n WHERE src IS NOT NULL GROUP BY 1)
+SELECT src AS source, unnest(['n_rows', 'n_unique', 'fraction_with_composition', 'fraction_with_tissue_sample', 'fraction_with_tissue_species', 'fraction_with_disease']) AS metric, round(unnest([n_rows, n_unique, f1, f2, f3, 0]::DOUBLE[]), 6) AS value FROM p
+UNION ALL SELECT unnest(['union', 'glycan_list & df_glycan', 'glycan_list & n_glycans', 'df_glycan & n_glycans']), 'n_unique', unnest([count(*), count(*) FILTER (WHERE a AND b), count(*) FILTER (WHERE a AND c), count(*) FILTER (WHERE b AND c)]::DOUBLE[]) FROM k""",
+    "sequence_qc": _SEQ + f" SELECT {_PLAUSIBLE} AS plausible, count(*) AS n_rows, count(DISTINCT s) AS n_distinct FROM (SELECT {_EXACT} AS s FROM seq) GROUP BY 1",
     "handoff_tiers": "WITH t AS (SELECT representative_feature AS feature, min(relation_type) AS target_tier FROM feature_redundancy WHERE representative_feature IS NOT NULL GROUP BY 1) SELECT target_tier, count(*) AS n FROM feature_metadata LEFT JOIN t USING (feature) GROUP BY 1",
     "validation_feasibility": _SEQ + " " + " UNION ALL ".join(f"SELECT '{t}' AS task, count(*) FILTER (WHERE {c}) AS n_eligible, round(count(*) FILTER (WHERE {c}) / count(*), 6) AS fraction FROM seq" for t, c in (*((c, f"{c} IS NOT NULL") for c in ("composition", "tissue_species", "tissue_sample")), ("n_glycan", _CORE.replace("contains(s,", "contains(glycan_sequence,")))),
-    "balanced_sample": "SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
+    "balanced_sample": "SELECT label, least(count(*), 20) AS n, least(count(*), 20) AS n_distinct FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
     "token_presence": _KNN + f", {_BIND}, m AS (SELECT anchor, neighbor AS member FROM knn UNION ALL SELECT DISTINCT anchor, anchor FROM knn), t AS (SELECT anchor, protein AS token, count(DISTINCT member) AS n_rows FROM m JOIN bind ON vec_id = member GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n_rows DESC, token) AS rank FROM t QUALIFY rank <= 3",
     "bipartite_edges": _KNN + f", {_BIND}, pre AS (SELECT DISTINCT vec_id AS neighbor, protein FROM bind), s AS (SELECT anchor, protein, sum(1 / neighbor_rank) AS w FROM knn JOIN pre USING (neighbor) GROUP BY 1, 2) SELECT anchor, protein, round(w, 6) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY round(w, 9) DESC, protein) <= 3",
     "warning_free_features": _FILTER + " SELECT feature FROM filtered WHERE NOT carryover_flag AND NOT blank_veto",

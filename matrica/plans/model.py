@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrica.operators import master, sequences
+from matrica.operators.pairs import RedundancyRules
 from matrica.session import cut_lineage
 from matrica.sources import read_table
 
@@ -21,6 +23,8 @@ UNIT = 997.0
 #: Columns of a wide matrix at most.
 MOST_COLUMNS = 4096
 TASKS = [("EUROPE", "MIDDLE EAST"), ("ASIA", "EUROPE"), ("AMERICA", "ASIA")]
+#: Limits at which every relation occurs among the brands, whose masses and correlations are close to each other.
+BRAND_RULES = RedundancyRules(isomer_mz=0.8, isomer_rt=2.0, adduct_rt=1.0, adduct_least_mz=1.0, adduct_most_mz=4.0, duplicate_mz=6.0, duplicate_rt=3.0, report_rho=0.05, join_rho=0.08)
 GROUPS = {"biological": BIO, "qc_like": [*QC, *DQC], "blank": BLANK}
 
 
@@ -63,6 +67,25 @@ def binding(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "lineitem").select(F.col("l_partkey").alias("vec_id"), F.concat(F.lit("P"), F.col("l_suppkey") % 10).alias("protein"), F.col("l_quantity").alias("binding_value"))
 
 
+#: Sources of glycan_list that play the reference tables, with whether they hold N-glycans; all others are the query table.
+REFERENCES = {"df_glycan": False, "n_glycans": True}
+
+
+def sequence_master(spark: SparkSession, sf: str) -> DataFrame:
+    """The canonical master of glycan_list: reference sources united, the others full-joined to them."""
+    rows, columns = read_table(spark, sf, "glycan_list"), ["composition", "tissue_species", "tissue_sample", "disease"]
+    own = lambda d, name, flag: sequences.standardise_sequences(d, source_name=name, n_glycan=flag)
+    reference = master.grouped_reference([own(rows.where(F.col("source_name") == name), name, flag) for name, flag in REFERENCES.items()], columns)
+    query = rows.where(~F.coalesce(F.col("source_name").isin(*REFERENCES), F.lit(False)))
+    return master.canonical_master(reference, master.grouped_reference([own(query, "glycan_list", False)], columns), columns)
+
+
+def sequence_binding(spark: SparkSession, sf: str) -> DataFrame:
+    """glycan_sequence, protein, binding_value: the bindings of the vector with a sequence's number."""
+    rows = read_table(spark, sf, "glycan_list").select(F.col("gly_id").alias("vec_id"), F.col("glycan").alias("glycan_sequence"))
+    return master.standardise_binding(binding(spark, sf).join(rows, "vec_id").select("glycan_sequence", "protein", "binding_value"))
+
+
 _LIST = lambda names: ", ".join(f"'{n}'" for n in names)
 SQL_BLANK, SQL_QC, SQL_DQC, SQL_BIO = map(_LIST, (BLANK, QC, DQC, BIO))
 
