@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often ``use`` names it: the variable of a lambda over one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tidy_key(name: str | Column, *, upper: bool = False) -> Column:
     """A key without outer blanks and tabs and without regard to case; blank becomes NULL."""
     column = F.col(name) if isinstance(name, str) else name
