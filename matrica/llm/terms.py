@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import let, once
+
 
 def sorted_suffixes(records: DataFrame, tokens: str, max_n: int | None = None) -> DataFrame:
     """suffix (whole, or at most max_n tokens), shared, weight: all suffixes of all records.
@@ -17,13 +19,16 @@ def sorted_suffixes(records: DataFrame, tokens: str, max_n: int | None = None) -
     Equal rows are counted together before any sorting, so a hot term is one row.
     """
     cut = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.slice(F.col(tokens), i, F.size(tokens) if max_n is None else F.lit(max_n)))
-    rows = records.where(F.size(tokens) > 0).select(F.array_sort(cut).alias("s"))
+    rows = once(records.select(F.col(tokens).alias(tokens)), **{tokens: F.col(tokens)}).where(F.size(tokens) > 0)
+    rows = once(rows, s=F.array_sort(cut))
 
     def common(x, i):  # noqa: ANN001, ANN202
-        before = F.get(F.col("s"), i - 1)
-        length = F.least(F.size(x), F.size(before))
-        differs = F.array_position(F.zip_with(F.slice(x, 1, length), F.slice(before, 1, length), lambda a, b: a.eqNullSafe(b)), False)
-        return F.when(i > 0, F.when(differs > 0, differs - 1).otherwise(length)).otherwise(0).cast("int")
+        def with_before(before):  # noqa: ANN001, ANN202
+            length = F.least(F.size(x), F.size(before))
+            differs = F.array_position(F.zip_with(x, before, lambda a, b: a.eqNullSafe(b)), False)
+            return let(differs, lambda d: F.when((d > 0) & (d <= length), d - 1).otherwise(length))
+
+        return F.when(i > 0, let(F.get(F.col("s"), i - 1), with_before)).otherwise(0).cast("int")
 
     each = F.transform("s", lambda x, i: F.struct(x.alias("suffix"), common(x, i).alias("shared")))
     return rows.select(F.explode(each).alias("e")).groupBy("e.suffix", "e.shared").agg(F.count(F.lit(1)).alias("weight"))
