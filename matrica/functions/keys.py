@@ -77,16 +77,16 @@ def join_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return join_null_safe(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, limit: int = HOT_ROWS) -> DataFrame:
-    """left joined with right, which has one row per key, where a few keys may hold much of left.
+def join_skewed(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner", *, limit: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has one row per key, where a few keys may hold much of left. NULL matches nothing.
 
     Keys with more than ``limit`` rows of left, at most rows/limit of them, are joined by broadcast, so no task gets
     such a key; the others by a shuffled join.
     """
-    hot = cut_lineage(hot_keys(left, [key], limit))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = cut_lineage(hot_keys(left, keys, limit))
     if hot.isEmpty():
-        return left.join(right, key, how)
-    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    split = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
-    warm = split.where("__hot").drop("__hot").join(few, key, how)
-    return warm.unionByName(split.where("__hot is null").drop("__hot").join(right, key, how))
+        return left.join(right, keys, how)
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    warm = left.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return warm.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Classes in display order; others follow in text order.
+from matrica.session import cut_lineage
+
+# Classes in display order; others follow in text order.
 CLASS_ORDER = ("B", "SS", "dQC", "QC", "Dunn", "French", "LMU")
 
 
@@ -64,7 +66,9 @@ def missing_orders(samples: DataFrame) -> DataFrame:
     A gap is one row however long it is. Each order's successor comes from a window over a piece of the batch, and
     from the next piece's first order at its end.
     """
-    orders = samples.where("run_order is not null").select("batch", F.col("run_order").cast("bigint").alias("pos")).distinct().withColumn("piece", F.expr("pos div 65536"))
+    orders = samples.where("run_order is not null").select("batch", F.col("run_order").cast("bigint").alias("pos")).distinct()
+    parts = max(1, -(-orders.count() // 65_536))  # range partitions are pieces of equal counts, however sparse the orders
+    orders = cut_lineage(orders.repartitionByRange(parts, "batch", "pos").withColumn("piece", F.spark_partition_id()))
     nexts = orders.groupBy("batch", "piece").agg(F.min("pos").alias("first"))
     nexts = nexts.select("batch", "piece", F.lead("first").over(Window.partitionBy("batch").orderBy("piece")).alias("next_first"))
     local = orders.withColumn("next", F.lead("pos").over(Window.partitionBy("batch", "piece").orderBy("pos")))

@@ -10,13 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS, hot_keys, tidy_key
+from matrica.functions.keys import HOT_ROWS, hot_keys, join_skewed, tidy_key
+from matrica.operators.spikes import cut_pieces
 from matrica.session import cut_lineage
 
-#: Time slot within which a hot key's events are ordered; a key has few slots whatever its number of rows.
-SLOT_MICROS = 3_600_000_000
-
-
 @dataclass(frozen=True)
 class Relation:
     """A table of the foreign-key graph. key: the column by which others refer to it. at: its reference time."""
@@ -45,8 +42,9 @@ def coverage_gaps(refs: DataFrame, spans: DataFrame, hot_limit: int = HOT_ROWS)
     refs: key, at and further columns; spans: key, start, end (null: open). A span covers start <= at < end; spans
     without start, or that end before they start, cover nothing; a null ``at`` is covered by nothing.
     Starts count +1 and ends -1, so a running balance in time order tells whether any span is open, without a join
-    of the many spans of a key with its many references. Keys with more than ``hot_limit`` rows get the balance in
-    two levels, over time slots and within a slot, so no task holds a whole key.
+    of the many spans of a key with its many references. For keys with more than ``hot_limit`` rows the changes are
+    first summed per time, so a bulk load of one time is one row; the times are cut into pieces of equal counts, which
+    get the balance in two levels, and the references take it by a join that splits hot times.
     """
     keep = [c for c in refs.columns if c not in ("key", "at")]
     events = (
@@ -71,14 +69,15 @@ def coverage_gaps(refs: DataFrame, spans: DataFrame, hot_limit: int = HOT_ROWS)
     balance = F.sum("delta").over(Window.partitionBy("key").orderBy(*in_time).rowsBetween(*upto))
     missing = cold.withColumn("open", balance).where("row is not null and open <= 0").select("key", F.col("t").alias("at"), "row")
     if any_hot:
-        slotted = both.join(F.broadcast(hot), "key", "left_semi").withColumn("slot", F.expr(f"unix_micros(to_utc_timestamp(t, 'UTC')) div {SLOT_MICROS}"))
-        before = F.sum("net").over(Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-        opening = slotted.groupBy("key", "slot").agg(F.sum("delta").alias("net")).withColumn("opening", F.coalesce(before, F.lit(0))).drop("net")
-        within = F.sum("delta").over(Window.partitionBy("key", "slot").orderBy(*in_time).rowsBetween(*upto))
-        hot_missing = (
-            slotted.withColumn("open", within).where("row is not null").join(opening, ["key", "slot"]).where("open + opening <= 0")
-        )
-        missing = missing.unionByName(hot_missing.select("key", F.col("t").alias("at"), "row"))
+        warm = cut_lineage(both.join(F.broadcast(hot), "key", "left_semi"))
+        times = warm.groupBy("key", "t").agg(F.sum("delta").alias("net"))
+        times = cut_pieces(times, "t", hot_limit, series="key")
+        pieces = times.groupBy("key", "piece").agg(F.sum("net").alias("sum"))
+        before = F.sum("sum").over(Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+        within = F.sum("net").over(Window.partitionBy("key", "piece").orderBy("t").rowsBetween(*upto))
+        opening = pieces.select("key", "piece", F.coalesce(before, F.lit(0)).alias("opening"))
+        shut = times.withColumn("open", within).join(opening, ["key", "piece"]).where("open + opening <= 0").select("key", "t")
+        missing = missing.unionByName(join_skewed(warm.where("row is not null"), shut, ["key", "t"], limit=hot_limit).select("key", F.col("t").alias("at"), "row"))
     out = missing.select("key", "at", *([f"row.{c}" for c in keep] if keep else []))
     return out.unionByName(refs.where("at is null and key is not null").select("key", "at", *keep))
 
@@ -117,25 +116,26 @@ def orphan_cascade(relations: Sequence[Relation], references: Sequence[Reference
     columns = ["table_name", "row_id", "at", "parent"]
     orphans = reduce(DataFrame.unionByName, found).select(*columns, F.lit("direct").alias("kind"), F.lit(1).alias("depth"))
 
-    parents = {ref.parent for ref in references}
     inner = [r for r in references if any(x.child == r.parent for x in references)]
     if inner:  # only tables that are parent and child can hand a missing parent on
         orphans = new = cut_lineage(orphans)
+        # Of every such parent: its rows' keys, and how many of a key's rows are no orphans yet.
+        owned, alive = {}, {}
+        for name in {r.parent for r in inner}:
+            parent = tables[name]
+            owned[name] = cut_lineage(parent.df.select(tidy_key(parent.key).alias("key"), F.col(parent.row_id).cast("bigint").alias("row_id")).where("key is not null"))
+            alive[name] = owned[name].groupBy("key").agg(F.count(F.lit(1)).alias("left"))
         depth = 1
         while True:
             depth += 1
-            further = []
-            for ref in inner:
-                parent = tables[ref.parent]
-                fresh = new.where(F.col("table_name") == parent.name).select("row_id")
-                if ref.parent not in parents:
-                    continue
-                own = parent.df.select(tidy_key(parent.key).alias("key"), F.col(parent.row_id).cast("bigint").alias("row_id")).where("key is not null")
-                dead = orphans.where(F.col("table_name") == parent.name).select("row_id").distinct()
-                touched = own.join(fresh, "row_id", "left_semi").select("key").distinct()
-                alive = own.join(dead, "row_id", "left_anti").select("key").distinct()
-                gone = touched.join(alive, "key", "left_anti")
-                further.append(child_rows(ref).join(gone, "key", "left_semi").select(*columns))
+            gone = {}
+            for name, own in owned.items():
+                fresh = new.where(F.col("table_name") == name).select("row_id").distinct()
+                lost = own.join(fresh, "row_id", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("lost"))
+                alive[name] = cut_lineage(alive[name].join(lost, "key", "left").select("key", (F.col("left") - F.coalesce("lost", F.lit(0))).alias("left"), F.col("lost").isNotNull().alias("touched")))
+                gone[name] = alive[name].where("touched and left <= 0").select("key")
+                alive[name] = alive[name].select("key", "left")
+            further = [child_rows(ref).join(gone[ref.parent], "key", "left_semi").select(*columns) for ref in inner]
             step = reduce(DataFrame.unionByName, further).dropDuplicates(["table_name", "row_id"])
             step = step.join(orphans.select("table_name", "row_id"), ["table_name", "row_id"], "left_anti")
             new = cut_lineage(step.select(*columns, F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")))

@@ -181,3 +181,26 @@ def test_hot_medians_equal_plain_ones(spark):
     hot = medians(df, ["k"], {"mx": F.col("x"), "my": F.col("y")}, hot_limit=100)
     assert rows(plain, "k", "mx", "my") == rows(hot, "k", "mx", "my") == rows(df.groupBy("k").agg(F.median("x").alias("mx"), F.median("y").alias("my")), "k", "mx", "my")
     assert medians(df, [], {"m": F.col("x")}).count() == 1
+
+
+def test_nearest_standards_by_cells(spark):
+    import random
+
+    from matrica.operators import contamination
+
+    rng = random.Random(5)
+    feats = [(f"f{i:03d}", rng.uniform(100, 900), rng.uniform(0, 500)) for i in range(80)] + [("n", None, 1.0)]
+    stds = [(f"s{i:02d}", rng.uniform(50, 2000), rng.uniform(0, 900)) for i in range(40)] + [("far", 1e9, 1e9), ("none", None, 3.0)]
+    f = spark.createDataFrame(feats, "feature string, mz double, rt double")
+    s = spark.createDataFrame(stds, "compound_id string, mz double, rt double")
+    plain, cells = contamination.match_standards(f, s), contamination.match_standards(f, s, few=3)
+    assert rows(plain, *plain.columns) == rows(cells, *plain.columns) and plain.count() == 41
+
+
+@pytest.mark.parametrize("limit", [10**9, 3])
+def test_skewed_join(spark, limit):
+    from matrica.functions.keys import join_skewed
+
+    left = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 50), (3, 60), (None, 70)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
+    assert rows(join_skewed(left, right, "k", "left", limit=limit), "k", "v", "w") == rows(left.join(right, "k", "left"), "k", "v", "w")
