@@ -5,56 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import HOT_ROWS
+from matrica.functions.keys import HOT_ROWS, join_skewed
 from matrica.session import cut_lineage
 
 
-def _relabel(rows: DataFrame, column: str, mapping: DataFrame, hot_limit: int) -> DataFrame:
-    """rows with ``column`` replaced by its representative. Vertices with many edges meet a broadcast mapping.
+#: Joins of mappings that one plan holds at most.
+CHAIN = 3
+
+
+def _relabel(rows: DataFrame, column: str, mapping: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with ``column`` replaced by its representative. Vertices with many edges (``hot``) meet a broadcast mapping.
 
     At most edges/hot_limit vertices are hot, so that mapping has a bounded size.
     """
-    names = rows.columns
-    if mapping.where(F.col("degree") > hot_limit).isEmpty():
-        return rows.join(mapping.select(F.col("vertex").alias(column), "hook"), column).select(*[F.col("hook").alias(column) if c == column else F.col(c) for c in names])
-    new = [F.col("hook").alias(column) if c == column else F.col(c) for c in names]
-    hot = mapping.where(F.col("degree") > hot_limit).select(F.col("vertex").alias(column), "hook")
-    cold = mapping.where(F.col("degree") <= hot_limit).select(F.col("vertex").alias(column), "hook")
-    split = rows.join(F.broadcast(hot), column, "left")
+    new = [F.col("hook").alias(column) if c == column else F.col(c) for c in rows.columns]
+    own = mapping.select(F.col("vertex").alias(column), "hook")
+    if hot is None:
+        return rows.join(own, column).select(*new)
+    split = rows.join(F.broadcast(hot.select(F.col("vertex").alias(column), "hook")), column, "left")
     done = split.where(F.col("hook").isNotNull()).select(*new)
-    return done.unionByName(split.where(F.col("hook").isNull()).drop("hook").join(cold, column).select(*new))
+    return done.unionByName(split.where(F.col("hook").isNull()).drop("hook").join(own, column).select(*new))
+
+
+def _through(table: DataFrame, n: int, mapping: DataFrame, key: str, hot_limit: int) -> DataFrame:
+    """table (of n rows) joined with a mapping of unique keys; keys that hold many of the rows are split off."""
+    return join_skewed(table, mapping, key, "left", limit=hot_limit) if n > hot_limit else table.join(mapping, key, "left")
 
 
 def connected_groups(pairs: DataFrame, left: str, right: str, *, seed: int = 7, hot_limit: int = HOT_ROWS) -> DataFrame:
     """vertex, group: every linked vertex with the smallest vertex (in text order) of its group.
 
     Each round draws a fresh hash order, lets every vertex hook to the neighbour (or itself) that comes first in it,
-    relabels the edges by the hooks and drops loops and repeats; a round removes a constant share of the vertices on
-    average, so the rounds grow with the logarithm of the longest chain's size. Then the mappings of all rounds are expanded from
-    the smallest back to the first. Edges are written to the shared folder between rounds.
+    and follows the hook of that neighbour; then it relabels the edges by the hooks and drops loops and repeats. A
+    round removes a constant share of the vertices on average, so the rounds grow with the logarithm of the longest
+    chain's size. Then the mappings of all rounds are expanded from the smallest back to the first. Edges and mappings
+    are written to the shared folder between rounds; hooks and roots that many vertices share are joined by broadcast.
     Pairs with a null end link nothing; a pair of equal ends only makes its vertex known if another pair links it;
     repeated and reversed pairs count once; no pairs give no rows.
     """
     a, b = F.col(left), F.col(right)
     edges = pairs.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     edges = cut_lineage(edges)
-    mappings, turn = [], 0
-    while not edges.isEmpty():
+    mappings: list[tuple[DataFrame, int]] = []
+    turn, n = 0, edges.count()
+    while n:
         turn += 1
         order = lambda c: F.struct(F.xxhash64(F.lit(seed * 1_000_003 + turn), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         ends = edges.select(F.col("a").alias("vertex"), order("b").alias("o")).unionByName(edges.select(F.col("b").alias("vertex"), order("a").alias("o")))
         hooks = ends.groupBy("vertex").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("degree"))
-        hooks = cut_lineage(hooks.select("vertex", F.least(F.col("o"), order("vertex"))["v"].alias("hook"), "degree"))
-        mappings.append(hooks)
-        edges = _relabel(_relabel(edges, "a", hooks, hot_limit), "b", hooks, hot_limit)
+        hooks = hooks.select("vertex", F.least(F.col("o"), order("vertex"))["v"].alias("hook"), "degree")
+        if 2 * n > hot_limit:
+            hooks = cut_lineage(hooks)
+        next_hook = hooks.select(F.col("vertex").alias("hook"), F.col("hook").alias("next"))
+        hooks = cut_lineage(_through(hooks, 2 * n, next_hook, "hook", hot_limit).select("vertex", F.coalesce("next", "hook").alias("hook"), "degree"))
+        mappings.append((hooks.select("vertex", "hook"), 2 * n))
+        hot = hooks.where(F.col("degree") > hot_limit) if n > hot_limit else None
+        edges = _relabel(_relabel(edges, "a", hooks, hot), "b", hooks, hot)
         edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        n = edges.count()
     if not mappings:
-        empty = pairs.select(a.alias("vertex"), a.alias("group")).limit(0)
-        return empty
-    root = mappings[-1].select("vertex", F.col("hook").alias("root"))
-    for hooks in reversed(mappings[:-1]):
-        up = root.withColumnRenamed("vertex", "hook")
-        root = hooks.select("vertex", "hook").join(up, "hook", "left").select("vertex", F.coalesce("root", "hook").alias("root"))
+        return pairs.select(a.alias("vertex"), a.alias("group")).limit(0)
+    root = mappings[-1][0].withColumnRenamed("hook", "root")
+    for step, (hooks, size) in enumerate(reversed(mappings[:-1]), 1):
+        root = _through(hooks, size, root.withColumnRenamed("vertex", "hook"), "hook", hot_limit).select("vertex", F.coalesce("root", "hook").alias("root"))
+        root = cut_lineage(root) if step % CHAIN == 0 else root
     root = cut_lineage(root)
     names = root.groupBy("root").agg(F.min("vertex").alias("group"))
-    return root.join(names, "root").select("vertex", "group")
+    return _through(root, mappings[0][1], names, "root", hot_limit).select("vertex", "group")
