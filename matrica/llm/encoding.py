@@ -22,6 +22,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MEMO_WORDS, MEMO_CHARS = 400_000, 200
 
 
+#: Token pairs that a transducer remembers.
+PAIRS = 2_000_000
+
+
 class MergeTransducer:
     """Byte-pair merging as a transducer over bytes whose states are made when first met.
 
@@ -59,6 +63,8 @@ class MergeTransducer:
         if a < 0 or not self.whole[b]:
             return self.whole[b]
         if (a, b) not in self.apart:
+            if len(self.apart) >= PAIRS:  # forget pairs, so that a worker's memory stays bounded
+                self.apart.clear()
             self.apart[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return self.apart[a, b]
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrica.session import cut_lineage
+
 # Two-letter code, three-letter codes and English name of languages.
 LANGUAGES = (
     ("ar", "ara", "arabic"), ("bg", "bul", "bulgarian"), ("cs", "ces", "cze", "czech"), ("da", "dan", "danish"),
@@ -152,6 +154,16 @@ def _mixture(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(use), post
 
 
+def _confidence(scores: np.ndarray, letters: int, chosen: int | None = None) -> float:
+    """Posterior of the chosen (or likeliest) language, tempered by the square root of the letters.
+
+    n-grams of one text say much the same, so their summed log likelihoods would make any long text certain; as if
+    only the root of the letters were independent, a clear text still comes near 1 and a doubtful one does not.
+    """
+    post = np.exp((scores - scores.max()) / np.sqrt(max(letters, 1)))
+    return float(post[scores.argmax() if chosen is None else chosen] / post.sum())
+
+
 class LanguageModel:
     """Log probabilities of hashed n-grams per language."""
 
@@ -190,30 +202,30 @@ class LanguageModel:
             return [[] for _ in group]
         codes, starts, whole = _prepared(parts)
         scores = _scores(codes, starts, self.weights)
+        size = np.add.reduceat(codes != 32, starts)
         best = scores.argmax(1)
         out, at = [], 0
         for x in group:
-            own, good, top = scores[at : at + len(x)], whole[at : at + len(x)], best[at : at + len(x)]
+            part = slice(at, at + len(x))
             at += len(x)
-            out.append(self._document(own, good, top))
+            out.append(self._document(scores[part], size[part], whole[part], best[part]))
         return out
 
-    def _document(self, scores: np.ndarray, whole: np.ndarray, best: np.ndarray) -> list[tuple[str, float, int]]:
+    def _document(self, scores: np.ndarray, size: np.ndarray, whole: np.ndarray, best: np.ndarray) -> list[tuple[str, float, int]]:
         if not whole.any():
             total = scores.sum(0) if len(scores) else np.zeros(1)
             if not total.any():
                 return []
-            post = np.exp(total - total.max())
-            return [(self.languages[int(total.argmax())], float(post.max() / post.sum()), 0)]
+            return [(self.languages[int(total.argmax())], _confidence(total, size.sum()), 0)]
         scores, best = scores[whole], best[whole]
         if (best == best[0]).all():
-            two = np.partition(scores.sum(0), -2)[-2:] if scores.shape[1] > 1 else np.array([-np.inf, 0.0])
-            return [(self.languages[int(best[0])], float(1 / (1 + np.exp(min(0.0, two[0] - two[1])))), len(scores))]
+            return [(self.languages[int(best[0])], _confidence(scores.sum(0), size[whole].sum()), len(scores))]
         use, post = _mixture(scores)
         own = use[post.argmax(1)]
         cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         ends = np.r_[cuts[1:], len(own)]
-        return [(self.languages[int(own[a])], float(post[a:b].max(1).mean()), int(b - a)) for a, b in zip(cuts, ends)]
+        letters = size[whole]
+        return [(self.languages[int(own[a])], _confidence(scores[a:b].sum(0), letters[a:b].sum(), int(own[a])), int(b - a)) for a, b in zip(cuts, ends)]
 
 
 def fit_languages(df: DataFrame, text: str, label: str, *, key: str, sample: int = SAMPLE_PER_LANGUAGE, rounds: int = 2, min_documents: int = 2) -> LanguageModel:
@@ -230,7 +242,7 @@ def fit_languages(df: DataFrame, text: str, label: str, *, key: str, sample: int
     if not known:
         return LanguageModel(languages, np.zeros((ORDERS * BUCKETS, 0)))
     rates = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, sample / n * 1_000_000)])
-    chosen = labelled.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(rates, "lang")).select("text", "lang")
+    chosen = cut_lineage(labelled.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(rates, "lang")).select("text", "lang"))  # read once a round
     model = None
     for _ in range(rounds + 1):
         rows = chosen.mapInPandas(_counter(languages, model), "lang int, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()

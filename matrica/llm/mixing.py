@@ -17,7 +17,7 @@ from matrica.session import cut_lineage
 BUCKETS = 8192
 #: Labelled documents of a source that the classifier is fitted on, at most in expectation.
 SAMPLE_PER_SOURCE = 300
-#: Levels of a stored posterior: equal ones share a rate, so the fit runs over their sums.
+#: Levels of a posterior's key: documents of one key share a rate, while their exact posteriors are summed.
 LEVELS = 64
 #: Steps of the projected gradient at most, and the relative residual at which it stops.
 STEPS, CLOSE = 30, 1e-3
@@ -74,11 +74,20 @@ def fit_domains(df: DataFrame, row_id: str, text: str, source: str, names: Seque
     return DomainClassifier(counts)
 
 
+def _levels(posts: np.ndarray) -> np.ndarray:
+    """Posteriors as whole numbers that sum to LEVELS: the parts cut off go to the largest ones first."""
+    scaled = posts * LEVELS
+    low = np.floor(scaled)
+    lacking = np.rint(LEVELS - low.sum(1)).astype(int)
+    turn = np.argsort(np.argsort(low - scaled, axis=1, kind="stable"), axis=1, kind="stable")
+    return (low + (turn < lacking[:, None])).astype(np.uint8)
+
+
 def soft_membership(df: DataFrame, row_id: str, text: str, source: str, names: Sequence[str], classifier: DomainClassifier, *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """row_id, source, n_tokens, domains: each document's size in tokens and domain posteriors.
+    """row_id, source, n_tokens, domains, shares: each document's size in tokens and domain posteriors.
 
-    domains (binary) holds the posteriors in steps of 1/LEVELS, one byte per source, which keeps them narrow and lets
-    documents with equal ones be summed.
+    shares (array) holds the posteriors; domains (binary) their levels, one byte per source that sum to LEVELS, which
+    lets documents with nearly equal ones be summed and share a rate.
     """
     shared = df.sparkSession.sparkContext.broadcast(classifier)
 
@@ -89,17 +98,17 @@ def soft_membership(df: DataFrame, row_id: str, text: str, source: str, names: S
             for t in pdf["text"]:
                 ids = np.fromiter(codec.stream(t), dtype=np.int32)
                 sizes.append(len(ids))
-                posts.append(np.round(model.posterior(ids) * LEVELS).astype(np.uint8).tobytes())
-            yield pd.DataFrame({row_id: pdf[row_id], "source": pdf["source"], "n_tokens": sizes, "domains": posts})
+                posts.append(model.posterior(ids))
+            levels = _levels(np.array(posts)) if posts else []
+            yield pd.DataFrame({row_id: pdf[row_id], "source": pdf["source"], "n_tokens": sizes, "domains": [x.tobytes() for x in levels], "shares": [p.astype(np.float32) for p in posts]})
 
     rows = df.select(row_id, F.col(source).alias("source"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"`{row_id}` {dict(rows.dtypes)[row_id]}, source string, n_tokens bigint, domains binary")
+    return rows.mapInPandas(run, f"`{row_id}` {dict(rows.dtypes)[row_id]}, source string, n_tokens bigint, domains binary, shares array<float>")
 
 
 def _posteriors(stored: pd.Series) -> np.ndarray:
-    """Stored posteriors as rows that sum to 1."""
-    levels = np.frombuffer(b"".join(stored), dtype=np.uint8).reshape(len(stored), -1).astype(float)
-    return levels / np.maximum(levels.sum(1, keepdims=True), 1)
+    """The levels of stored posteriors as rows that sum to 1."""
+    return np.frombuffer(b"".join(stored), dtype=np.uint8).reshape(len(stored), -1) / LEVELS
 
 
 def _rates(posts: np.ndarray, caps: np.ndarray, steps: Sequence[np.ndarray]) -> np.ndarray:
@@ -110,12 +119,14 @@ def _rates(posts: np.ndarray, caps: np.ndarray, steps: Sequence[np.ndarray]) ->
     return r
 
 
-def fit_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], goals: np.ndarray, totals: np.ndarray) -> list[np.ndarray]:
-    """Steps of a projected gradient for the rates of documents whose expected domain totals meet ``goals``.
+def fit_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], goals: np.ndarray, totals: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """(steps, misfit): a projected gradient for the rates of documents whose expected domain totals meet ``goals``.
 
-    Minimises the squared misfit of sum(rate * tokens * posterior) over rates in [0, max_repeats]. A pass sums the
-    totals of the present rates on Spark; only one number per domain comes back. Each domain's step is scaled by its
-    tokens, and a document's rate follows from its posteriors and the steps so far, so no state is stored.
+    Minimises the squared misfit of sum(rate * tokens * posterior) over rates in [0, max_repeats]. members: documents
+    summed by source and levels, with the sums of tokens times exact posteriors. A pass sums the totals of the present
+    rates on Spark; only one number per domain comes back. Each domain's step is scaled by its tokens, and a
+    document's rate follows from its levels and the steps so far, so no state is stored. misfit: the largest
+    difference between an expected total and its goal, as a share of the goal, that the best of STEPS steps leaves.
     """
     steps: list[np.ndarray] = [goals / np.maximum(totals, 1)]
     best = (np.inf, list(steps))
@@ -128,7 +139,7 @@ def fit_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], go
         if worst < CLOSE:
             break
         steps.append(misfit / np.maximum(totals, 1))
-    return best[1]
+    return best[1], best[0]
 
 
 def _sum_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], steps: list[np.ndarray]) -> np.ndarray:
@@ -138,9 +149,8 @@ def _sum_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], s
         out = np.zeros(width)
         for pdf in batches:
             if len(pdf):
-                posts = _posteriors(pdf["domains"])
-                r = _rates(posts, pdf["source"].map(caps).fillna(1).to_numpy(dtype=float), steps)
-                out += (r * pdf["n_tokens"].to_numpy()) @ posts
+                r = _rates(_posteriors(pdf["domains"]), pdf["source"].map(caps).fillna(1).to_numpy(dtype=float), steps)
+                out += r @ np.stack(pdf["expected"].to_numpy())
         yield pd.DataFrame({"d": np.arange(width, dtype=np.int32), "t": out})
 
     rows = members.mapInPandas(total, "d int, t double").groupBy("d").agg(F.sum("t").alias("t")).collect()
@@ -151,12 +161,12 @@ def _sum_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], s
 
 
 def mix_sources(df: DataFrame, row_id: str, text: str, source: str, targets: Sequence[Target], *, size: int | None = None, sample: int = SAMPLE_PER_SOURCE, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """The mixture: row_id, source, n_tokens, rate, copies (at least 1) of each document in it.
+    """The mixture: row_id, source, n_tokens, rate, copies (at least 1) of each document in it, and soft_misfit.
 
-    Soft stage: a classifier fitted on labelled documents gives every document, labelled or not, domain posteriors;
-    a distributed projected gradient fits rates in [0, max_repeats] whose expected domain totals meet the targets.
-    Label stage: the rates of each labelled source are shifted by one number, so that its capped total meets the
-    target exactly; documents without a listed source take part in the soft fit and are not given out. Rounding:
+    Soft stage: a classifier fitted on labelled documents gives every document of a listed source domain posteriors; a
+    distributed projected gradient fits rates in [0, max_repeats] whose expected domain totals meet the targets as
+    nearly as these documents allow (soft_misfit, see fit_rates). Label stage: the rates of each source are shifted by
+    one number, so that its capped total meets the target exactly; documents without a listed source are left out. Rounding:
     every document gets the whole part of its rate, and the fractions go to documents in a hash order up to a
     threshold found by two histograms, so each source's tokens meet its target to about one document.
     ``size``: tokens of the mixture; by default the most that the caps allow. A source without tokens gets none, and
@@ -164,13 +174,14 @@ def mix_sources(df: DataFrame, row_id: str, text: str, source: str, targets: Seq
     taken; repeated texts under other ids are documents of their own. No targets or no tokens: an empty mixture.
     """
     names = [t.source for t in targets]
-    empty = df.select(row_id, F.lit("").alias("source"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
+    empty = df.select(row_id, F.lit("").alias("source"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0.0).alias("soft_misfit")).limit(0)
     if not names or df.where(F.col(source).isin(*names) & (F.col(text) != "")).isEmpty():
         return empty
     model = fit_domains(df, row_id, text, source, names, sample=sample, tokenizer=tokenizer, folder=folder)
-    members = cut_lineage(soft_membership(df, row_id, text, source, names, model, tokenizer=tokenizer, folder=folder).where("n_tokens > 0"))
+    listed = df.where(F.col(source).isin(*names))  # only these can be given out
+    members = cut_lineage(soft_membership(listed, row_id, text, source, names, model, tokenizer=tokenizer, folder=folder).where("n_tokens > 0"))
 
-    stock = {r["source"]: int(r["n"]) for r in members.where(F.col("source").isin(*names)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    stock = {r["source"]: int(r["n"]) for r in members.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     live = [t for t in targets if stock.get(t.source)]
     whole = sum(t.share for t in live)
     caps = {t.source: t.max_repeats for t in targets}
@@ -181,16 +192,17 @@ def mix_sources(df: DataFrame, row_id: str, text: str, source: str, targets: Seq
     goal = {t.source: t.share / whole * size for t in live}
     goals = np.array([goal.get(n, 0.0) for n in names])
 
-    alike = cut_lineage(members.groupBy("source", "domains").agg(F.sum("n_tokens").alias("n_tokens")))  # equal posteriors have equal rates
+    labelled = members.where(F.col("source").isin([t.source for t in live]))
+    expected = F.array(*[F.sum(F.col("n_tokens") * F.col("shares")[i].cast("double")) for i in range(len(names))])
+    alike = cut_lineage(labelled.groupBy("source", "domains").agg(expected.alias("expected")))  # equal levels have equal rates
     domains = _sum_rates(alike, names, {}, [np.full(len(names), 1e9)])  # rate 1 for all: the domains' tokens
-    steps = fit_rates(alike, names, caps, goals, domains)
+    steps, misfit = fit_rates(alike, names, caps, goals, domains)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             r = _rates(_posteriors(pdf["domains"]), pdf["source"].map(caps).to_numpy(dtype=float), steps) if len(pdf) else np.empty(0)
             yield pd.DataFrame({row_id: pdf[row_id], "source": pdf["source"], "n_tokens": pdf["n_tokens"], "soft": r})
 
-    labelled = members.where(F.col("source").isin([t.source for t in live]))
     soft = cut_lineage(labelled.mapInPandas(rates, f"`{row_id}` {dict(members.dtypes)[row_id]}, source string, n_tokens bigint, soft double"))
     shifts = _label_shifts(cut_lineage(soft.groupBy("source", "soft").agg(F.sum("n_tokens").alias("n_tokens"))), caps, goal)
     by_source = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))]), "source")
@@ -202,7 +214,17 @@ def mix_sources(df: DataFrame, row_id: str, text: str, source: str, targets: Seq
     rated = rated.withColumn("turn", F.when(part > 1e-9, 1 - F.pow(1 - spin, 1 / part))).withColumn("base", F.floor(F.col("rate") + 1e-9))
     edges = _turn_edges(rated, goal)
     copies = F.col("base") + F.coalesce(F.col("turn") < by_source(edges), F.lit(False)).cast("int")
-    return rated.withColumn("copies", copies.cast("int")).where("copies > 0").select(row_id, "source", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
+    return rated.withColumn("copies", copies.cast("int")).where("copies > 0").select(row_id, "source", "n_tokens", F.round("rate", 9).alias("rate"), "copies", F.lit(misfit).alias("soft_misfit"))
+
+
+def holdout_accuracy(df: DataFrame, row_id: str, text: str, source: str, names: Sequence[str], *, sample: int = SAMPLE_PER_SOURCE, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """source, n, accuracy of the domain classifier on half of the documents, fitted on a sample of the other half."""
+    half = F.pmod(F.xxhash64(F.col(row_id), F.lit("half")), F.lit(2))
+    model = fit_domains(df.where(half == 0), row_id, text, source, names, sample=sample, tokenizer=tokenizer, folder=folder)
+    held = df.where((half == 1) & F.col(source).isin(*names) & (F.col(text) != ""))
+    scored = soft_membership(held, row_id, text, source, names, model, tokenizer=tokenizer, folder=folder)
+    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("shares", F.array_max("shares")).cast("int"))
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg((best == F.col("source")).cast("int")).alias("accuracy"))
 
 
 def _label_shifts(soft: DataFrame, caps: dict[str, int], goal: dict[str, float]) -> dict[str, float]:
@@ -245,14 +267,14 @@ def _turn_edges(rated: DataFrame, goal: dict[str, float]) -> dict[str, float]:
 
 
 def mixture_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, tokens, documents, most_copies of every target source.
+    """source, target_share, actual_share, tokens, documents, most_copies of every target source, and the fit's misfit.
 
     targets: source and target_share. A source that the mixture lacks has share 0.
     """
-    per = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
-    all_tokens = per.agg(F.sum("tokens").alias("all"))
+    per = mixture.groupBy("source").agg(F.max("soft_misfit").alias("soft_misfit"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+    all_tokens = per.agg(F.sum("tokens").alias("all"), F.max("soft_misfit").alias("misfit"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     share = F.coalesce(F.try_divide(F.col("tokens"), F.col("all")), F.lit(0.0))
     return targets.select("source", "target_share").join(per, "source", "left").crossJoin(F.broadcast(all_tokens)).select(
-        "source", "target_share", F.round(share, 6).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_copies")
+        "source", "target_share", F.round(share, 6).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_copies"), F.round("misfit", 6).alias("soft_misfit")
     )

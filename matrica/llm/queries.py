@@ -10,7 +10,7 @@ from matrica.llm.duplicates import collapse_duplicates, composition_key, letters
 from matrica.llm.encoding import decode_ids, encode_texts
 from matrica.llm.groups import connected_groups
 from matrica.llm.languages import document_languages, fit_languages, language_of, language_segments
-from matrica.llm.mixing import Target, mix_sources, mixture_shares
+from matrica.llm.mixing import Target, holdout_accuracy, mix_sources, mixture_shares
 from matrica.llm.quantiles import build_sketches, grouped_quantiles, merge_sketches, rank_check, sketch_quantiles
 from matrica.llm.terms import mark_terms, ngram_counts
 from matrica.operators.packed import split_packed
@@ -128,6 +128,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture_shares(_mixture(spark, sf), read_table(spark, sf, "mix_targets"))
 
 
+def p9_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out accuracy of the classifier that the mixture's posteriors come from."""
+    names = [r["source"] for r in read_table(spark, sf, "mix_targets").orderBy("source").collect()]  # a short list that does not grow
+    return holdout_accuracy(read_table(spark, sf, "documents"), "doc_id", "text", "source", names).withColumn("accuracy", F.round("accuracy", 4))
+
+
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
     documents = read_table(spark, sf, "documents")
     return language_segments(documents, "doc_id", "text", fit_languages(documents, "text", "lang", key="doc_id"))
@@ -154,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_percentiles, p2_months, p2_error_check, p4_found, p4_groups, p5_found, p5_terms, p5_ngrams, p6_found, p6_records,
-        p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_segments, p10_documents,
+        p8_ids, p8_round_trip, p9_mixture, p9_shares, p9_classifier, p10_found, p10_segments, p10_documents,
     )
 }
 
