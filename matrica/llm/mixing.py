@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from matrica.session import cut_lineage
 
 #: Hash buckets of token ids that the domain classifier counts.
 BUCKETS = 8192
+#: Regularisation and iterations of the classifier.
+REGULAR, FITS = 0.003, 40
 #: Labelled documents of a source that the classifier is fitted on, at most in expectation.
 SAMPLE_PER_SOURCE = 300
 #: Levels of a posterior's key: documents of one key share a rate, while their exact posteriors are summed.
@@ -33,16 +37,14 @@ class Target:
 
 
 class DomainClassifier:
-    """Multinomial naive Bayes over hashed token ids; posteriors are tempered by the square root of the length."""
+    """Logistic model over the hashed token ids that a text has, with the sources' shares of all documents as prior."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        smooth = counts + 0.5
-        self.log = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32)
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, prior: np.ndarray) -> None:
+        self.weights = weights.T.astype(np.float32)
+        self.bias = bias + np.log(np.maximum(prior, 1e-12))
 
     def posterior(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids):
-            return np.full(self.log.shape[1], 1 / self.log.shape[1])
-        score = self.log[ids % BUCKETS].sum(0) / np.sqrt(len(ids))
+        score = self.bias + self.weights[np.unique(ids % BUCKETS)].sum(0) if len(ids) else self.bias
         post = np.exp(score - score.max())
         return post / post.sum()
 
@@ -50,28 +52,37 @@ class DomainClassifier:
 def fit_domains(df: DataFrame, row_id: str, text: str, source: str, names: Sequence[str], *, sample: int = SAMPLE_PER_SOURCE, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DomainClassifier:
     """A classifier fitted on at most ``sample`` documents of each source in expectation, drawn by a hash of row_id.
 
-    Counts are summed on Spark; the driver gets the table of BUCKETS counts per source.
+    Multinomial logistic regression on Spark, sources weighted equally; the prior comes from the counts of all
+    labelled documents. A source without a sampled document has weight 0 and its prior; fewer than two sampled
+    sources leave the prior alone.
     """
-    place = {s: i for i, s in enumerate(names)}
     labelled = df.select(F.col(text).alias("text"), F.col(source).alias("source"), F.xxhash64(row_id).alias("h")).where(F.col("source").isin(*names))
-    known = labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()
+    known = {r["source"]: r["n"] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not known:
         raise ValueError("no labelled documents to learn the sources from")
-    rates = F.create_map(*[F.lit(x) for r in known for x in (r["source"], sample / r["n"] * 1_000_000)])
+    prior = np.array([known.get(n, 0) for n in names], dtype=float)
+    rates = F.create_map(*[F.lit(x) for s, n in known.items() for x in (s, sample / n * 1_000_000)])
     chosen = labelled.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(rates, "source")).where("text <> ''").select("text", "source")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, totals = load_codec(tokenizer, folder), np.zeros((len(place), BUCKETS), dtype=np.int64)
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = load_codec(tokenizer, folder)
         for pdf in batches:
-            for t, s in zip(pdf["text"], pdf["source"]):
-                totals[place[s]] += np.bincount(np.array(codec.encode(t), dtype=np.int64) % BUCKETS, minlength=BUCKETS)
-        s, b = np.nonzero(totals)
-        yield pd.DataFrame({"s": s.astype(np.int32), "b": b.astype(np.int32), "n": totals[s, b]})
-
-    rows = chosen.mapInPandas(count, "s int, b int, n bigint").groupBy("s", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(names), BUCKETS))
-    counts[rows["s"], rows["b"]] = rows["n"]
-    return DomainClassifier(counts)
+            found = [np.unique(np.array(codec.encode(t), dtype=np.int64) % BUCKETS).astype(str) for t in pdf["text"]]
+            yield pd.DataFrame({"source": pdf["source"], "buckets": found})
+
+    rows = cut_lineage(chosen.mapInPandas(buckets, "source string, buckets array<string>"))
+    drawn = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    here = [n for n in names if n in drawn]
+    weights, bias = np.zeros((len(names), BUCKETS)), np.zeros(len(names))
+    if len(here) > 1:
+        number, weight = ({n: f(i, n) for i, n in enumerate(here)} for f in (lambda i, n: float(i), lambda i, n: sum(drawn.values()) / drawn[n] / len(here)))
+        by_source = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])[F.col("source")]
+        vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="buckets", outputCol="features").transform(rows)
+        data = cut_lineage(vectors.select("features", by_source(number).alias("label"), by_source(weight).alias("weight")))
+        model = LogisticRegression(family="multinomial", regParam=REGULAR, maxIter=FITS, weightCol="weight", standardization=False).fit(data)
+        at = [names.index(n) for n in here]
+        weights[at], bias[at] = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    return DomainClassifier(weights, bias, prior / prior.sum())
 
 
 def _levels(posts: np.ndarray) -> np.ndarray:
