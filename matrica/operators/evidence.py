@@ -25,7 +25,8 @@ def task_rows(obs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def univariate_evidence(obs: DataFrame, tasks: DataFrame, *, value: str = "intensity", raw: str | None = None, threshold: float = 0.0, hot_limit: int | None = HOT_ROWS) -> DataFrame:
     """Per task and feature: sizes, medians and mean difference, raw medians and their log2 ratio, detection rates,
-    Mann-Whitney U, p and q (Benjamini-Hochberg within the task), AUC, Cliff's delta, direction and rank.
+    Mann-Whitney U, p and q (Benjamini-Hochberg within the task) with its -log10, AUC, rank-biserial correlation and Cliff's
+    delta, differences of medians and detection rates, direction and rank.
 
     Ties take average ranks; a side without values leaves the statistics NULL.
     """
@@ -41,8 +42,15 @@ def univariate_evidence(obs: DataFrame, tasks: DataFrame, *, value: str = "inten
     u = mann_whitney(rows, ["task_name", "feature"], value, "positive", hot_limit=hot_limit).withColumn("p_value", erfc(F.col("z") / F.sqrt(F.lit(2.0))))
     out = bh_adjust(stats.join(u, ["task_name", "feature"]), ["task_name"], "p_value")
     out = out.withColumn("log2_ratio", F.log2((F.col("pos_raw_median") + 1) / (F.col("neg_raw_median") + 1))).withColumn("best_auc", F.greatest("auc", 1 - F.col("auc")))
-    out = out.withColumn("direction", F.when(F.col("pos_median") >= F.col("neg_median"), "pos > neg").otherwise("neg > pos")).withColumn("significant", F.coalesce(F.col("q_value") < 0.05, F.lit(False)))
-    order = Window.partitionBy("task_name").orderBy(F.col("q_value").asc_nulls_last(), F.col("best_auc").desc_nulls_last(), "feature")
+    out = out.withColumns({
+        "median_difference": F.col("pos_median") - F.col("neg_median"), "detection_rate_difference": F.col("pos_detection_rate") - F.col("neg_detection_rate"),
+        "rank_biserial": 2 * F.col("auc") - 1, "neg_log10_q": -F.log10(F.when(F.col("q_value").isNotNull(), F.greatest("q_value", F.lit(1e-300)))),
+        "significant": F.coalesce(F.col("q_value") < 0.05, F.lit(False)),
+    })
+    classes = F.broadcast(tasks.select("task_name", "positive_class", "negative_class"))  # one row per task
+    sign = F.when(F.col("median_difference") >= 0, " > ").otherwise(" < ")
+    out = out.join(classes, "task_name").withColumn("direction", F.concat("positive_class", sign, "negative_class")).drop("positive_class", "negative_class")
+    order = Window.partitionBy("task_name").orderBy(F.desc("significant"), F.col("q_value").asc_nulls_last(), F.col("best_auc").desc_nulls_last(), F.col("cliffs_delta").desc_nulls_last(), "feature")
     return out.withColumn("evidence_rank", F.row_number().over(order))
 
 
@@ -52,13 +60,39 @@ def first_per_cluster(evidence: DataFrame, by: Sequence[str], order: Sequence[st
     return evidence.groupBy(*by).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in columns], F.count(F.lit(1)).alias("n_members"))
 
 
-def selection_stability(coefficients: DataFrame, n_folds: int) -> DataFrame:
-    """Per task, space, model and feature: how often a feature was selected, its mean coefficients and sign consistency."""
-    keys = ["task_name", "feature_space", "model_name", "feature"]
+def cluster_evidence(evidence: DataFrame, members: DataFrame, *, task: str = "task_name") -> DataFrame:
+    """One row per task and cluster: the representative's evidence, and the cluster's strongest feature.
+
+    members: feature, cluster, is_representative. The strongest comes first by q, then AUC, Cliff's delta and name. A task
+    without any representative takes all its features. Columns of the representatives' rows are filled each on its own
+    with the first non-null value in that order. matches_best tells whether both are one feature; cluster_rank orders the
+    task's clusters, of which there are fewer than features.
+    """
+    rows = evidence.join(members.select("feature", "cluster", F.coalesce("is_representative", F.lit(False)).alias("is_representative")), "feature")
+    last = F.lit(float("inf"))
+    rows = rows.withColumns({"__q": F.coalesce("q_value", last), "__a": -F.coalesce("best_auc", -last), "__c": -F.coalesce("cliffs_delta", -last)})
+    order = ["__q", "__a", "__c", "feature"]
+    best = first_per_cluster(rows, [task, "cluster"], order, ["feature", "q_value", "best_auc", "cliffs_delta", "direction"])
+    best = best.select(task, "cluster", *[F.col(c).alias(f"best_{c}_in_cluster") for c in ("feature", "q_value", "best_auc", "cliffs_delta", "direction")], "n_members")
+    any_one = rows.groupBy(task).agg(F.bool_or("is_representative").alias("__any"))
+    chosen = rows.join(any_one, task).where("is_representative or not __any")
+    own = [c for c in evidence.columns if c not in (task, "evidence_rank")]
+    out = first_per_cluster(chosen, [task, "cluster"], order, own).drop("n_members").join(best, [task, "cluster"])
+    rank = Window.partitionBy(task).orderBy(F.col("q_value").asc_nulls_last(), F.col("best_q_value_in_cluster").asc_nulls_last(), F.col("best_auc").desc_nulls_last(), "cluster")
+    return out.withColumn("matches_best", F.col("feature") == F.col("best_feature_in_cluster")).withColumn("cluster_rank", F.row_number().over(rank))
+
+
+def selection_stability(coefficients: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Per task, space, model and feature: in how many of the folds a feature was selected, its mean coefficients, the share
+    of positive ones and the sign consistency. coefficients and metrics are those of models.cross_validate."""
+    keys = ["task_name", "feature_space", "model_name"]
+    folds = metrics.groupBy(*keys).agg(F.count_distinct("repeat", "fold").alias("n_folds"))
     positive = F.avg((F.col("coefficient") > 0).cast("int"))
-    return coefficients.groupBy(*keys).agg(
-        (F.count(F.lit(1)) / n_folds).alias("selection_frequency"), F.avg("coefficient").alias("mean_coefficient"), F.avg(F.abs("coefficient")).alias("mean_abs_coefficient"), F.abs(2 * positive - 1).alias("sign_consistency")
+    out = coefficients.groupBy(*keys, "feature").agg(
+        F.count(F.lit(1)).alias("n_selected"), F.avg("coefficient").alias("mean_coefficient"), F.avg(F.abs("coefficient")).alias("mean_abs_coefficient"), positive.alias("positive_fraction")
     )
+    out = out.join(folds, keys).withColumn("selection_frequency", F.col("n_selected") / F.col("n_folds"))
+    return out.withColumn("sign_consistency", F.abs(2 * F.col("positive_fraction") - 1))
 
 
 def tier_features(features: DataFrame, evidence: DataFrame, stability: DataFrame, *, model: str = "logreg_l1") -> DataFrame:

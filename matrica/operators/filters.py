@@ -105,12 +105,65 @@ def threshold_counts(metrics: DataFrame, criteria: dict[str, tuple[Column, str,
     return metrics.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def acceptance_flags(metrics: DataFrame, *, max_cv: float = 30.0, min_rate: float = 0.70, min_mz: float = 500.0) -> DataFrame:
+    """Add pass_cv, pass_detection (in every class) and pass_mz; a NULL metric passes nothing."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return metrics.withColumns({"pass_cv": yes(F.col("qc_cv") < max_cv), "pass_detection": yes(F.col("bio_detection_rate_min") >= min_rate), "pass_mz": yes(F.col("mz") > min_mz)})
+
+
 def retained_matrix(obs: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
     """Observations of the retained samples and features."""
     keep = features.select("feature").distinct()
     return obs.join(samples.select("sample").distinct(), "sample", "left_semi").join(keep, "feature", "left_semi")
 
 
+def retained_tables(transformed: DataFrame, review: DataFrame, filtered: DataFrame) -> dict[str, DataFrame]:
+    """What later studies start from: manifests of samples and of main and high-confidence features, the transformed
+    matrices over both, and a summary (artifact, n)."""
+    samples = review.where(~F.col("recommend_exclude"))
+    main, high = filtered.where("retained_main"), filtered.where("high_confidence")
+    count = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("artifact"), "n")
+    summary = reduce(DataFrame.unionByName, [count("retained_samples", samples), count("retained_main_features", main), count("retained_high_confidence_features", high)])
+    return {
+        "sample_manifest": samples, "feature_manifest_main": main, "feature_manifest_high": high, "matrix_main": retained_matrix(transformed, samples, main),
+        "matrix_high": retained_matrix(transformed, samples, high), "summary": summary,
+    }
+
+
+def decision_table(filtered: DataFrame, annotated: DataFrame) -> DataFrame:
+    """Every filtered feature with its redundancy: cluster, size, role, neighbours and is_representative.
+
+    annotated: the retained features of pairs.annotate_redundancy. Others stand alone: size 1, no neighbours, no
+    representative, role 'not_modeled'.
+    """
+    counts = [c for c in annotated.columns if c.startswith("n_")]
+    kept = annotated.select("feature", "cluster", "cluster_size", (F.col("redundancy_role") != "member").alias("is_representative"), "redundancy_role", *counts)
+    out = filtered.join(kept, "feature", "left").na.fill(0, counts).na.fill(1, ["cluster_size"]).na.fill("not_modeled", ["redundancy_role"])
+    return out.withColumn("is_representative", F.coalesce("is_representative", F.lit(False)))
+
+
+def handoff_tables(review: DataFrame, decisions: DataFrame, settings: dict[str, object]) -> dict[str, DataFrame]:
+    """Summaries that go with the retained tables: samples by class, features (metric, value), the given settings
+    (setting, value) and caveats (caveat, n)."""
+    spark, main = review.sparkSession, F.col("retained_main")
+    grouped, carried, chosen = main & (F.col("cluster_size") > 1), main & F.coalesce("carryover_flag", F.lit(False)), main & F.col("is_representative")
+    at_least = lambda *tiers: F.count_if(F.col("review_tier").isin(*tiers))
+    excluded = F.coalesce("recommend_exclude", F.lit(False))
+    samples = review.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(~excluded).alias("n_retained"), F.count_if(excluded).alias("n_excluded"),
+        at_least("minor_review", "review", "strong_review").alias("n_minor_or_worse"), at_least("review", "strong_review").alias("n_review_or_worse"),
+    )
+    features = key_values(decisions, {
+        "n_features": F.count_distinct("feature"), "n_main": F.count_if(main), "n_high_confidence": F.count_if("high_confidence"), "n_main_with_carryover": F.count_if(carried),
+        "n_main_in_clusters": F.count_if(grouped), "n_main_representatives": F.count_if(chosen),
+    })
+    config = spark.createDataFrame([(k, str(v)) for k, v in settings.items()], "setting string, value string")
+    one = review.agg(F.count_if(excluded).alias("n")).select(F.lit("excluded_samples").alias("caveat"), "n")
+    two = decisions.agg(F.count_if(carried).alias("main_features_with_carryover"), F.count_if(grouped).alias("main_features_in_clusters"))
+    caveats = one.unionByName(two.unpivot([], two.columns, "caveat", "n"))
+    return {"samples": samples, "features": features, "settings": config, "caveats": caveats}
+
+
 def handoff_counts(review: DataFrame) -> DataFrame:
     """Per class: samples retained, left out, and of each tier."""
     tiers = ("keep", "minor_review", "review", "strong_review")

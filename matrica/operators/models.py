@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,24 +57,46 @@ def _auc(score: np.ndarray, y: np.ndarray) -> float:
     return float((ranks[y > 0].sum() - p * (p + 1) / 2) / (p * n)) if p and n else float("nan")
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, features: Sequence[str], *, space: str, models: Sequence[str] = MODELS, k_best: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(metrics per fold, coefficients per fold) of all tasks, models, repeats and folds.
+def dense_vectors(cells: DataFrame, features: Sequence[str], keys: Sequence[str], value: str = "intensity") -> DataFrame:
+    """keys and x: the values of each row of keys in the order of ``features``, missing ones 0.
 
-    rows: task_name, sample, positive and the features in wide form. The task's samples are sent to each fold's
-    group, which standardises, keeps the k best features by F statistic and fits a small model in numpy: the studies
-    have many small fits. A task of more than MOST_SAMPLES samples does not fit one group and raises ValueError;
-    cross_validate_large fits it on Spark. Missing values are 0.
+    Every row meets the list of features once, so no wide table is planned whatever their number.
     """
-    large = rows.groupBy("task_name").count().where(F.col("count") > MOST_SAMPLES).take(1)
-    if large:
-        raise ValueError(f"{large[0]['task_name']} has more than {MOST_SAMPLES} samples; use cross_validate_large")
-    keys = "task_name string, feature_space string, model_name string, repeat int, fold int"
-    vector = F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features])
-    wide = rows.select("task_name", "sample", "positive", vector.alias("x"))
+    names = F.array(*map(F.lit, features))
+    grid = cells.select(*keys).distinct().select("*", F.posexplode(names).alias("j", "feature"))
+    held = cells.where(F.col("feature").isin(*features) if len(features) <= 100 else F.lit(True)).groupBy(*keys, "feature").agg(F.first(value).alias("v"))
+    full = grid.join(held, [*keys, "feature"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v")))).alias("e"))
+    return full.select(*keys, F.transform("e", lambda x: x["v"]).alias("x"))
+
+
+_KEYS = "task_name string, feature_space string, model_name string, repeat int, fold int"
+_METRICS = ("auroc", "balanced_accuracy", "f1", "precision", "recall")
+_FITTED = f"{_KEYS}, {', '.join(f'{m} double' for m in _METRICS)}, n_train bigint, n_test bigint, chosen array<string>, coefficient array<double>"
+
+
+def _rates_of(tp: int, fp: int, fn: int, tn: int) -> tuple[float, float, float, float]:
+    """Balanced accuracy, F1, precision and recall; a rate without cases is 0."""
+    rate = lambda a, b: float(a / b) if b else 0.0
+    return (rate(tp, tp + fn) + rate(tn, tn + fp)) / 2, rate(2 * tp, 2 * tp + fp + fn), rate(tp, tp + fp), rate(tp, tp + fn)
+
+
+def cross_validate(cells: DataFrame, folds: DataFrame, features: Sequence[str], *, space: str, models: Sequence[str] = MODELS, k_best: int = 20, most_samples: int = MOST_SAMPLES) -> tuple[DataFrame, DataFrame]:
+    """(metrics per fold, coefficients per fold of the selected features) of all tasks, models, repeats and folds.
+
+    cells: task_name, sample, positive, feature, intensity; folds: see fold_table. Every fold is standardised, keeps the
+    k best features by F statistic and fits the model with balanced classes. A task of up to ``most_samples`` samples has
+    many small fits, each in a Spark group of its own; a larger one is fitted over its distributed rows with Spark ML.
+    Missing values are 0; a fold whose training part lacks a class has no row.
+    """
+    spark, names = cells.sparkSession, list(features)
+    wide = cut_lineage(dense_vectors(cells, names, ["task_name", "sample", "positive"]))
+    sizes = {r["task_name"]: r["n"] for r in wide.groupBy("task_name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per task
+    large = [t for t, n in sizes.items() if n > most_samples]
     plan = folds.select("task_name", "repeat", "fold").distinct().withColumn("model_name", F.explode(F.array(*map(F.lit, models))))
     held = folds.select("task_name", "sample", "repeat", F.col("fold").alias("own"))
-    data = wide.join(held, ["task_name", "sample"]).join(F.broadcast(plan), ["task_name", "repeat"])  # repeats x folds x models rows
-    names = list(features)
+    small = wide.where(~F.col("task_name").isin(*large)) if large else wide
+    data = small.join(held, ["task_name", "sample"]).join(F.broadcast(plan), ["task_name", "repeat"])  # repeats x folds x models rows
+    columns = [c.split()[0] for c in _FITTED.split(", ")]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         task, repeat, fold, model = key
@@ -81,60 +105,68 @@ def cross_validate(rows: DataFrame, folds: DataFrame, features: Sequence[str], *
         z = (x - mean) / np.where(sd > 0, sd, 1)
         a, b = z[~test & y], z[~test & ~y]
         if not len(a) or not len(b):
-            return pd.DataFrame([], columns=["task_name", "feature_space", "model_name", "repeat", "fold", "auroc", "balanced_accuracy", "f1", "chosen", "coefficient"])
+            return pd.DataFrame([], columns=columns)
         within = ((a - a.mean(0)) ** 2).sum(0) + ((b - b.mean(0)) ** 2).sum(0)
         score = np.where(within > 0, (len(a) * a.mean(0) ** 2 + len(b) * b.mean(0) ** 2) / np.where(within > 0, within, 1), 0)
         best = np.sort(np.argsort(-score, kind="stable")[: min(max(2, k_best), len(names))])
         w, bias = _fit(z[~test][:, best], y[~test].astype(float), model)
         out = z[test][:, best] @ w + bias
         truth, guess = y[test], out > 0
-        tp, fp, fn, tn = (truth & guess).sum(), (~truth & guess).sum(), (truth & ~guess).sum(), (~truth & ~guess).sum()
-        rate = lambda p, q: p / q if q else 0.0
-        used = np.flatnonzero(w)
-        return pd.DataFrame([(task, space, model, repeat, fold, _auc(out, truth.astype(float)), (rate(tp, tp + fn) + rate(tn, tn + fp)) / 2, rate(2 * tp, 2 * tp + fp + fn), [names[best[i]] for i in used], w[used].tolist())], columns=["task_name", "feature_space", "model_name", "repeat", "fold", "auroc", "balanced_accuracy", "f1", "chosen", "coefficient"])
+        rates = _rates_of((truth & guess).sum(), (~truth & guess).sum(), (truth & ~guess).sum(), (~truth & ~guess).sum())
+        return pd.DataFrame([(task, space, model, repeat, fold, _auc(out, truth.astype(float)), *rates, int((~test).sum()), int(test.sum()), [names[i] for i in best], w.tolist())], columns=columns)
 
-    fitted = data.groupBy("task_name", "repeat", "fold", "model_name").applyInPandas(run, f"{keys}, auroc double, balanced_accuracy double, f1 double, chosen array<string>, coefficient array<double>")
+    fitted = data.groupBy("task_name", "repeat", "fold", "model_name").applyInPandas(run, _FITTED)
+    if large:
+        fitted = fitted.unionByName(_validate_large(wide.where(F.col("task_name").isin(*large)), folds, names, space, models, k_best))
     pairs = fitted.select("task_name", "feature_space", "model_name", "repeat", "fold", F.explode(F.arrays_zip("chosen", "coefficient")).alias("c"))
     return fitted.drop("chosen", "coefficient"), pairs.select("task_name", "feature_space", "model_name", "repeat", "fold", F.col("c.chosen").alias("feature"), "c.coefficient")
 
 
-def cross_validate_large(rows: DataFrame, folds: DataFrame, features: Sequence[str], *, space: str, models: Sequence[str] = MODELS, k_best: int = 20) -> DataFrame:
-    """Metrics per fold as cross_validate gives them, with each fit a Spark ML job over the distributed rows.
+def _validate_large(wide: DataFrame, folds: DataFrame, names: list[str], space: str, models: Sequence[str], k_best: int) -> DataFrame:
+    """One row per fold and model, each fit a Spark ML job over the task's rows.
 
     The loop runs over tasks, repeats, folds and models, whose number does not grow with the rows.
     """
-    spark, plan = rows.sparkSession, folds.select("task_name", "repeat", "fold").distinct().orderBy("task_name", "repeat", "fold").collect()
-    filled = rows.na.fill(0.0, list(features)).withColumn("label", F.col("positive").cast("double"))
     out = []
+    plan = folds.join(wide.select("task_name").distinct(), "task_name", "left_semi").select("task_name", "repeat", "fold").distinct().orderBy("task_name", "repeat", "fold").collect()
+    rows = wide.select("task_name", "sample", F.col("positive").cast("double").alias("label"), array_to_vector("x").alias("raw"))
     for task, repeat, fold in plan:
         own = folds.where((F.col("task_name") == task) & (F.col("repeat") == repeat)).select("sample", F.col("fold").alias("own"))
-        data = cut_lineage(filled.where(F.col("task_name") == task).join(own, "sample"))
+        data = cut_lineage(rows.where(F.col("task_name") == task).join(own, "sample"))
         train, test = data.where(F.col("own") != fold), data.where(F.col("own") == fold)
         n, p = train.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not p or p == n:
             continue
-        train = train.withColumn("weight", F.when(F.col("positive"), n / (2 * p)).otherwise(n / (2 * (n - p))))
+        train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * p)).otherwise(n / (2 * (n - p))))
         for name in models:
-            scored = linear_pipeline(features, name, k_best=k_best, n_rows=n).fit(train).transform(test)
+            fitted = linear_pipeline(name, n_features=len(names), k_best=k_best, n_rows=n).fit(train)
+            scored = fitted.transform(test)
             auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label").evaluate(scored)
             hit, guess = F.col("label") == 1, F.col("prediction") == 1
-            r = scored.agg(F.count_if(hit & guess).alias("tp"), F.count_if(~hit & guess).alias("fp"), F.count_if(hit & ~guess).alias("fn"), F.count_if(~hit & ~guess).alias("tn")).first()
-            rate = lambda a, b: a / b if b else 0.0
-            out.append((task, space, name, repeat, fold, auc, (rate(r["tp"], r["tp"] + r["fn"]) + rate(r["tn"], r["tn"] + r["fp"])) / 2, rate(2 * r["tp"], 2 * r["tp"] + r["fp"] + r["fn"])))
-    return spark.createDataFrame(out, "task_name string, feature_space string, model_name string, repeat int, fold int, auroc double, balanced_accuracy double, f1 double")
+            r = scored.agg(F.count_if(hit & guess), F.count_if(~hit & guess), F.count_if(hit & ~guess), F.count_if(~hit & ~guess)).first()
+            chosen, weights = fitted.stages[1].selectedFeatures, fitted.stages[2].coefficients.toArray()
+            out.append((task, space, name, repeat, fold, auc, *_rates_of(*r), n, sum(r), [names[i] for i in chosen], weights.tolist()))
+    return wide.sparkSession.createDataFrame(out, _FITTED)
 
 
 def benchmark_summary(metrics: DataFrame) -> DataFrame:
     """Means and standard deviations over the folds."""
+    means = [F.avg(m).alias(f"mean_{m}") for m in _METRICS]
     return metrics.groupBy("task_name", "feature_space", "model_name").agg(
-        F.avg("auroc").alias("mean_auroc"), F.stddev_samp("auroc").alias("std_auroc"), F.avg("balanced_accuracy").alias("mean_balanced_accuracy"), F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).alias("n_folds")
+        *means, F.stddev_samp("auroc").alias("std_auroc"), F.stddev_samp("balanced_accuracy").alias("std_balanced_accuracy"), F.count_distinct("repeat", "fold").alias("n_folds")
     )
 
 
-def linear_pipeline(features: Sequence[str], model: str, *, k_best: int = 20, n_rows: int = 100) -> Pipeline:
-    """A Spark ML pipeline for one fit over large data: scale, select by F statistic, fit with class weights in ``weight``."""
+def benchmark_spaces(cells: DataFrame, folds: DataFrame, spaces: dict[str, Sequence[str]], **how: object) -> tuple[DataFrame, DataFrame]:
+    """cross_validate over several feature spaces (name to features), put together; spaces without features are left out."""
+    parts = [cross_validate(cells, folds, features, space=name, **how) for name, features in spaces.items() if len(features)]
+    return reduce(DataFrame.unionByName, [m for m, _ in parts]), reduce(DataFrame.unionByName, [c for _, c in parts])
+
+
+def linear_pipeline(model: str, *, n_features: int, k_best: int = 20, n_rows: int = 100) -> Pipeline:
+    """A Spark ML pipeline over vectors in ``raw``: scale, select by F statistic, fit with class weights in ``weight``."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model}")
-    select = UnivariateFeatureSelector(featuresCol="scaled", labelCol="label", outputCol="features", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(max(2, k_best), len(features)))
+    select = UnivariateFeatureSelector(featuresCol="scaled", labelCol="label", outputCol="features", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(max(2, k_best), n_features))
     fit = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / n_rows, weightCol="weight", standardization=False) if model == "logreg_l1" else LinearSVC(regParam=1.0 / n_rows, weightCol="weight", standardization=False)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), select, fit])
+    return Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), select, fit])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from matrica.operators import blocks, contamination, embeddings, evidence, featu
 from matrica.plans import model
 from matrica.plans.analytics_sql import ORACLE
 from matrica.plans.model import BIO, BLANK, CLASSES, DQC, GROUPS, QC, TASKS, THRESHOLD
-from matrica.session import cut_lineage
+from matrica.session import cut_lineage, shared_folder
 from matrica.sources import read_table
+from matrica.sources.spaces import load_spaces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,8 +28,8 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All double columns rounded, for a comparison that must not hang on the order of sums."""
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    """All double columns rounded (and without a negative zero), for a comparison that must not hang on the order of sums."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 # Tables, subsets and audits
@@ -207,6 +209,12 @@ def nearest_standard(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(contamination.match_standards(model.features(spark, sf), model.standards(spark, sf), ppm=20_000, rt=1.0), 5)
 
 
+@_query
+def standard_readings(spark: SparkSession, sf: str) -> DataFrame:
+    matches = contamination.match_standards(model.features(spark, sf), model.standards(spark, sf), ppm=20_000, rt=1.0)
+    return rounded(contamination.standard_readings(model.observations(spark, sf), matches).select("compound_id", "feature", "sample", "class", "intensity", "log10_intensity"))
+
+
 @_query
 def standard_tracking(spark: SparkSession, sf: str) -> DataFrame:
     matches = contamination.match_standards(model.features(spark, sf), model.standards(spark, sf), ppm=20_000, rt=1.0)
@@ -232,7 +240,10 @@ def _brand_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def pair_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.pair_correlations(_brand_pairs(spark, sf), model.observations(spark, sf), {"all": None, "biological": BIO}))
+    subsets = {"all": None, "qc_like": [*QC, *DQC], "biological": BIO}
+    obs = model.observations(spark, sf)
+    every = pairs.pair_correlations(_brand_pairs(spark, sf), obs, subsets)
+    return rounded(every.unionByName(pairs.pair_correlations(_brand_pairs(spark, sf), obs.where("batch = 1"), {"biological_batch1": BIO})))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,6 +336,61 @@ def retained_observations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(filters.retained_matrix(model.observations(spark, sf), model.samples(spark, sf), kept).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("total")))
 
 
+@_query
+def acceptance_flags(spark: SparkSession, sf: str) -> DataFrame:
+    table = model.features(spark, sf).join(_tech_bio(spark, sf), "feature")
+    return filters.acceptance_flags(table, max_cv=24.0, min_rate=0.6, min_mz=948.0).select("feature", "pass_cv", "pass_detection", "pass_mz")
+
+
+def _retained(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    transformed = views.processing_view(model.observations(spark, sf), "tic_log1p")
+    return filters.retained_tables(transformed, cut_lineage(sample_review_flags(spark, sf)), cut_lineage(_filtered(spark, sf)))
+
+
+@_query
+def retained_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _retained(spark, sf)["summary"]
+
+
+@_query
+def loaded_spaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of the feature spaces that are loaded from the written manifests."""
+    tables, folder = _retained(spark, sf), f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    decisions = _decisions(spark, sf).where("retained_main")
+    written = {"retained_sample_manifest": tables["sample_manifest"], "retained_feature_manifest_main_annotated": decisions, "retained_feature_manifest_high": tables["feature_manifest_high"]}
+    for name, table in written.items():
+        table.write.parquet(f"{folder}/{name}.parquet")
+    obs = model.observations(spark, sf)
+    spaces = load_spaces(spark, folder, obs, views.processing_view(obs, "tic_log1p"))
+    out = spaces["cells"].groupBy("space").agg(F.count_distinct("sample").alias("n_samples"), F.count_distinct("feature").alias("n_features"), F.count(F.lit(1)).alias("n_cells"), F.sum("raw").alias("raw_total"), F.sum("intensity").alias("total"))
+    return rounded(out, 4)
+
+
+@_query
+def feature_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return _decisions(spark, sf).select("feature", "retained_main", "high_confidence", "cluster", "cluster_size", "is_representative", "redundancy_role", *[f"n_{k}" for k in pairs.RELATIONS])
+
+
+def _handoff(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    settings = {"selected_transform": "tic_log1p", "detection_threshold": THRESHOLD}
+    return filters.handoff_tables(cut_lineage(sample_review_flags(spark, sf)), cut_lineage(_decisions(spark, sf)), settings)
+
+
+@_query
+def handoff_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _handoff(spark, sf)["samples"]
+
+
+@_query
+def handoff_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _handoff(spark, sf)["features"]
+
+
+@_query
+def handoff_caveats(spark: SparkSession, sf: str) -> DataFrame:
+    return _handoff(spark, sf)["caveats"]
+
+
 @_query
 def acceptance_counts(spark: SparkSession, sf: str) -> DataFrame:
     return filters.threshold_counts(_tech_bio(spark, sf), {"qc_cv": (F.col("qc_cv"), "<", (20, 30, 40, 50)), "detection_min": (F.col("bio_detection_rate_min"), ">=", (0.4, 0.5, 0.6)), "d_ratio": (F.col("d_ratio_log"), "<", (0.75, 1.0, 1.25))})
@@ -368,10 +434,18 @@ def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def evidence_medians(spark: SparkSession, sf: str) -> DataFrame:
-    out = _evidence(spark, sf).select("task_name", "feature", "pos_median", "neg_median", "mean_difference", "log2_ratio", "pos_detection_rate", "neg_detection_rate", "direction")
+    out = _evidence(spark, sf).select("task_name", "feature", "pos_median", "neg_median", "mean_difference", "log2_ratio", "pos_detection_rate", "neg_detection_rate", "direction", "median_difference", "detection_rate_difference", "auc", "rank_biserial")
     return rounded(out)
 
 
+@_query
+def cluster_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of every cluster's representative beside its strongest feature."""
+    members = _decisions(spark, sf).where("retained_main").select("feature", "cluster", "is_representative")
+    out = evidence.cluster_evidence(_evidence(spark, sf), members)
+    return rounded(out.select("task_name", "cluster", "feature", "best_auc", "best_feature_in_cluster", "best_best_auc_in_cluster", "n_members", "matches_best"))
+
+
 @_query
 def cluster_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """Per mass cluster the first non-null values by retention time spread, each column on its own."""
@@ -379,17 +453,22 @@ def cluster_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evidence.first_per_cluster(members, ["cluster"], ["rt_std", "feature"], ["feature", "mz", "rt"]))
 
 
-def _features_for_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Features with the evidence of their tiers; clusters and representatives are those of the retained ones."""
-    filtered = cut_lineage(_filtered(spark, sf))
+def _annotated(spark: SparkSession, sf: str, filtered: DataFrame) -> DataFrame:
+    """Clusters and representatives of the retained features."""
     kept = filtered.where("retained_main").select("feature", "mz", "rt", "high_confidence", "qc_cv", "d_ratio_log", "bio_detection_rate_max")
-    obs = model.observations(spark, sf).join(kept.select("feature"), "feature")
-    edges = pairs.redundancy_edges(kept, obs).where("is_isomer or is_adduct or is_near_duplicate")
     order = [~F.col("high_confidence"), F.col("qc_cv").isNull(), F.col("qc_cv"), F.col("d_ratio_log").isNull(), F.col("d_ratio_log"), -F.col("bio_detection_rate_max")]
-    members = pairs.pick_representatives(pairs.clusters(kept, edges).join(kept, "feature"), order)
-    members = members.select("feature", "cluster", (F.col("redundancy_role") != "member").alias("is_representative"))
-    flags = filtered.select("feature", "high_confidence", (F.col("blank_veto") | F.col("carryover_flag")).alias("warning"), "retained_main")
-    out = flags.join(members, "feature", "left").withColumn("cluster", F.coalesce("cluster", "feature")).withColumn("is_representative", F.coalesce("is_representative", F.lit(False)))
+    return pairs.annotate_redundancy(kept, model.observations(spark, sf), order)[1]
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    filtered = cut_lineage(_filtered(spark, sf))
+    return filters.decision_table(filtered, _annotated(spark, sf, filtered))
+
+
+def _features_for_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Features with the evidence of their tiers; clusters and representatives are those of the retained ones."""
+    warning = (F.col("blank_veto") | F.col("carryover_flag")).alias("warning")
+    out = _decisions(spark, sf).select("feature", F.coalesce("cluster", "feature").alias("cluster"), "is_representative", "high_confidence", warning, "retained_main")
     return evidence.tier_features(out, _evidence(spark, sf), selection_stability(spark, sf))
 
 
@@ -431,16 +510,23 @@ def cv_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def selection_stability(spark: SparkSession, sf: str) -> DataFrame:
-    _, coefficients = _benchmark(spark, sf)
-    return rounded(evidence.selection_stability(coefficients, 10))
+    metrics, coefficients = _benchmark(spark, sf)
+    return rounded(evidence.selection_stability(coefficients, metrics))
+
+
+def _spaces(decisions: DataFrame) -> dict[str, list[str]]:
+    """Names of the features of the three spaces that models are compared over."""
+    conditions = {"main": "retained_main", "high": "high_confidence", "representative": "retained_main and is_representative"}
+    return {name: sorted(r["feature"] for r in decisions.where(c).select("feature").collect()) for name, c in conditions.items()}
 
 
 def _benchmark(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Ten repeats of five folds over the three spaces."""
     obs = views.processing_view(model.observations(spark, sf), "tic_log1p")
-    brands = model.feature_names(spark, sf)
-    rows = evidence.task_rows(obs, _tasks(spark)).groupBy("task_name", "sample", "positive").pivot("feature", brands).agg(F.first("intensity"))
-    folds = models.fold_table(evidence.task_rows(model.samples(spark, sf), _tasks(spark)).select("task_name", "sample", "positive"), repeats=2)
-    return models.cross_validate(rows, folds, brands, space="main", k_best=10)
+    cells = evidence.task_rows(obs, _tasks(spark)).select("task_name", "sample", "positive", "feature", "intensity")
+    folds = cut_lineage(models.fold_table(evidence.task_rows(model.samples(spark, sf), _tasks(spark)).select("task_name", "sample", "positive")))
+    metrics, coefficients = models.benchmark_spaces(cut_lineage(cells), folds, _spaces(_decisions(spark, sf)))
+    return cut_lineage(metrics), coefficients
 
 
 # Sequences
@@ -665,6 +751,25 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
     return neighborhood.top_terms(_neighbours(spark, sf), model.binding(spark, sf), key="vec_id", term="protein", n=4)
 
 
+@_query
+def rendered_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The anchors' first terms as one text."""
+    return neighborhood.render_terms(top_terms(spark, sf))
+
+
+@_query
+def top_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the first eight dimensions, the four with the largest positive means over an anchor's neighbours."""
+    values = read_table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)])
+    return rounded(neighborhood.top_means(_neighbours(spark, sf), values, key="vec_id", columns=[f"d{i}" for i in range(8)], n=4))
+
+
+@_query
+def neighbourhood_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances, shares, first proteins and mean Jaccard of every anchor's neighbours side by side."""
+    return context_layers(spark, sf).join(rendered_terms(spark, sf), "anchor", "left").join(jaccard_relevance(spark, sf).drop("n_neighbors"), "anchor", "left")
+
+
 @_query
 def context_layers(spark: SparkSession, sf: str) -> DataFrame:
     flags = read_table(spark, sf, "embeddings").select("vec_id", (F.col("label") < 6).alias("general"), (F.col("label") % 3 == 0).alias("disease"), (F.col("label") == 1).alias("specific"))
@@ -679,9 +784,11 @@ def protein_support(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def priority_scores(spark: SparkSession, sf: str) -> DataFrame:
-    layers, overlap = context_layers(spark, sf), neighbor_robustness(spark, sf)
-    parts = layers.join(overlap, "anchor").withColumn("confidence", neighborhood.distance_score(F.col("mean_distance"), 1.0))
-    out = neighborhood.priority_score(parts, {"confidence": 0.4, "general_fraction": 0.4, "jaccard": 0.2})
+    """Six weighted terms: closeness, labels, binding, the specific context, shared binding, robustness."""
+    parts = context_layers(spark, sf).join(neighbor_robustness(spark, sf), "anchor").join(jaccard_relevance(spark, sf).drop("n_neighbors"), "anchor", "left")
+    parts = parts.withColumn("confidence", neighborhood.distance_score(F.col("mean_distance"), 1.0)).withColumn("bound", F.col("mean_jaccard").isNotNull().cast("double"))
+    weights = {"confidence": 0.30, "general_fraction": 0.20, "bound": 0.15, "specific_fraction": 0.15, "mean_jaccard": 0.10, "jaccard": 0.10}
+    out = neighborhood.priority_score(parts, weights)
     return rounded(out.select("anchor", "confidence", "priority_score", "priority_tier"), 5)
 
 

@@ -34,28 +34,28 @@ prof AS (SELECT class, feature, median(x) AS md FROM logged GROUP BY 1, 2),
 ranked AS (SELECT sample, {_rank("sample", "x")} AS rx, {_rank("sample", "md")} AS ry FROM logged JOIN prof USING (class, feature)),
 rho AS (SELECT sample, {_corr("rx", "ry")} AS spearman_corr_to_class_median FROM ranked GROUP BY 1)"""
 
-def _components_of(rows: str, k: int) -> str:
+def _components_of(rows: str, k: int, p: str = "") -> str:
     """CTEs up to ``scores`` (sample, pc1, ...): components of ``rows`` (sample, feature, x) over standardised features.
 
     The first vector is the column space of a high power of the covariance, got by squaring it; the next ones follow
     after taking it out. Signs are arbitrary.
     """
-    grid = f"""grid AS MATERIALIZED (SELECT sample, feature, coalesce(x, 0) AS x FROM (SELECT DISTINCT sample FROM {rows}) CROSS JOIN (SELECT DISTINCT feature FROM {rows}) LEFT JOIN {rows} USING (sample, feature)),
-norms AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM grid GROUP BY 1 HAVING min(x) < max(x)),
-zs AS MATERIALIZED (SELECT sample, feature, (x - m) / s AS z FROM grid JOIN norms USING (feature)),
-cov1 AS MATERIALIZED (SELECT a.feature AS i, b.feature AS j, sum(a.z * b.z) AS v FROM zs a JOIN zs b USING (sample) GROUP BY 1, 2)"""
+    grid = f"""{p}grid AS MATERIALIZED (SELECT sample, feature, coalesce(x, 0) AS x FROM (SELECT DISTINCT sample FROM {rows}) CROSS JOIN (SELECT DISTINCT feature FROM {rows}) LEFT JOIN {rows} USING (sample, feature)),
+{p}norms AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM {p}grid GROUP BY 1 HAVING min(x) < max(x)),
+{p}zs AS MATERIALIZED (SELECT sample, feature, (x - m) / s AS z FROM {p}grid JOIN {p}norms USING (feature)),
+{p}cov1 AS MATERIALIZED (SELECT a.feature AS i, b.feature AS j, sum(a.z * b.z) AS v FROM {p}zs a JOIN {p}zs b USING (sample) GROUP BY 1, 2)"""
     parts = [grid]
     for n in range(1, k + 1):
-        last = f"cov{n}"
+        last = f"{p}cov{n}"
         for t in range(14):
-            parts.append(f"sq{n}_{t} AS MATERIALIZED (SELECT *, sum(v) FILTER (WHERE i = j) OVER () AS tr FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2))")
-            parts.append(f"pw{n}_{t} AS MATERIALIZED (SELECT i, j, v / tr AS v FROM sq{n}_{t})")
-            last = f"pw{n}_{t}"
-        parts.append(f"vec{n} AS MATERIALIZED (SELECT p.i AS feature, p.v / sqrt(d.v) AS w FROM {last} p JOIN (SELECT i, v FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1) d ON p.j = d.i)")
-        parts.append(f"cov{n + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - l.v * p.v AS v FROM cov{n} c JOIN {last} p USING (i, j), (SELECT sum(c.v * p.v) AS v FROM cov{n} c JOIN {last} p USING (i, j)) l)")
-        parts.append(f"sc{n} AS (SELECT sample, sum(z * w) AS pc{n} FROM zs JOIN vec{n} USING (feature) GROUP BY 1)")
-    joins = " ".join(f"JOIN sc{n} USING (sample)" for n in range(2, k + 1))
-    return ", ".join([*parts, f"scores AS MATERIALIZED (SELECT * FROM sc1 {joins})"])
+            parts.append(f"{p}sq{n}_{t} AS MATERIALIZED (SELECT *, sum(v) FILTER (WHERE i = j) OVER () AS tr FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2))")
+            parts.append(f"{p}pw{n}_{t} AS MATERIALIZED (SELECT i, j, v / tr AS v FROM {p}sq{n}_{t})")
+            last = f"{p}pw{n}_{t}"
+        parts.append(f"{p}vec{n} AS MATERIALIZED (SELECT p.i AS feature, p.v / sqrt(d.v) AS w FROM {last} p JOIN (SELECT i, v FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1) d ON p.j = d.i)")
+        parts.append(f"{p}cov{n + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - l.v * p.v AS v FROM {p}cov{n} c JOIN {last} p USING (i, j), (SELECT sum(c.v * p.v) AS v FROM {p}cov{n} c JOIN {last} p USING (i, j)) l)")
+        parts.append(f"{p}sc{n} AS (SELECT sample, sum(z * w) AS pc{n} FROM {p}zs JOIN {p}vec{n} USING (feature) GROUP BY 1)")
+    joins = " ".join(f"JOIN {p}sc{n} USING (sample)" for n in range(2, k + 1))
+    return ", ".join([*parts, f"{p}scores AS MATERIALIZED (SELECT * FROM {p}sc1 {joins})"])
 
 
 _LOW = ["log10_total_signal_plus1", "detected_features", "corr_to_class_median"]
@@ -248,7 +248,49 @@ evm AS (SELECT task_name, feature, median(x) FILTER (WHERE positive) AS pos_medi
   log2((median(raw) FILTER (WHERE positive) + 1) / (median(raw) FILTER (WHERE NOT positive) + 1)) AS log2_ratio,
   avg((raw > {_T})::INT) FILTER (WHERE positive) AS pos_detection_rate, avg((raw > {_T})::INT) FILTER (WHERE NOT positive) AS neg_detection_rate FROM ev GROUP BY 1, 2)"""
 
+_DECIDED = _FILTER.replace("WITH ", "WITH RECURSIVE ", 1) + ", main AS (SELECT feature, feats.mz, rt FROM filtered JOIN feats USING (feature) WHERE retained_main), ranks AS (SELECT sample, feature, " + _rank("feature", "intensity") + """ AS x FROM obs WHERE feature IN (SELECT feature FROM main)),
+""" + _related("main", f"rho AS (SELECT p.feature AS a, q.feature AS b, {_corr('p.x', 'q.x')} AS rho FROM ranks p JOIN ranks q ON p.sample = q.sample AND p.feature < q.feature GROUP BY 1, 2)", RedundancyRules()) + ", " + _components("main") + ", " + _NEIGHBOURS + """,
+grp AS (SELECT feature, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size, first_value(feature) OVER (PARTITION BY cluster ORDER BY NOT high_confidence, qc_cv NULLS LAST, d_ratio_log NULLS LAST, bio_detection_rate_max DESC, feature) AS rep FROM clusters JOIN filtered USING (feature)),
+dec AS (SELECT feature, retained_main, high_confidence, carryover_flag, cluster, coalesce(cluster_size, 1) AS cluster_size, coalesce(feature = rep, false) AS is_representative, CASE WHEN rep IS NULL THEN 'not_modeled' WHEN cluster_size = 1 THEN 'singleton' WHEN feature = rep THEN 'representative' ELSE 'member' END AS redundancy_role,
+  """ + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in RELATIONS) + """ FROM filtered LEFT JOIN grp USING (feature) LEFT JOIN near USING (feature))"""
+_REVIEWED = "review AS (" + _review() + " SELECT * FROM review)"
+
+_EVIDENCE = f"""{_EV}, {_MWU_BODY}, sd AS (SELECT task_name, max(class) FILTER (WHERE positive) AS p, max(class) FILTER (WHERE NOT positive) AS n FROM tasks GROUP BY 1),
+er AS (SELECT task_name, feature, CASE WHEN z > 0 THEN 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * sum(exp(2 * k * ln(2) + (2 * k + 1) * ln(z / sqrt(2)) + lgamma(k + 1) - lgamma(2 * k + 2))) WHEN z IS NOT NULL THEN 1.0 END AS p_value
+  FROM (SELECT task_name, feature, z, unnest(range(0, 200)) AS k FROM mwu) GROUP BY task_name, feature, z),
+raws AS (SELECT task_name, feature, median(raw) FILTER (WHERE positive) AS pos_raw_median, median(raw) FILTER (WHERE NOT positive) AS neg_raw_median FROM ev GROUP BY 1, 2),
+qr AS (SELECT *, p_value * count(p_value) OVER (PARTITION BY task_name) / row_number() OVER (PARTITION BY task_name ORDER BY p_value NULLS LAST) AS rawq FROM er),
+qv AS (SELECT task_name, feature, p_value, CASE WHEN p_value IS NOT NULL THEN least(1, min(rawq) OVER (PARTITION BY task_name ORDER BY p_value DESC NULLS FIRST, rawq ASC NULLS FIRST ROWS UNBOUNDED PRECEDING)) END AS q_value FROM qr),
+evid AS (SELECT *, greatest(auc, 1 - auc) AS best_auc, pos_median - neg_median AS median_difference, pos_detection_rate - neg_detection_rate AS detection_rate_difference, 2 * auc - 1 AS rank_biserial, -log10(greatest(q_value, 1e-300)) AS neg_log10_q,
+  coalesce(q_value < 0.05, false) AS significant, sd.p || CASE WHEN pos_median >= neg_median THEN ' > ' ELSE ' < ' END || sd.n AS direction FROM evm JOIN raws USING (task_name, feature) JOIN mwu USING (task_name, feature) JOIN qv USING (task_name, feature) JOIN sd USING (task_name))"""
+_CLASS_MEDIANS = """cm AS (SELECT feature, class, median(intensity / 1000) AS m FROM obs WHERE class IN ('ASIA', 'EUROPE', 'MIDDLE EAST') GROUP BY 1, 2),
+co AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY m, class) AS r, count(*) OVER (PARTITION BY feature) AS n FROM cm),
+cw AS (SELECT feature, any_value(n) AS n, max(m) FILTER (WHERE class = 'ASIA') AS median_ASIA, max(m) FILTER (WHERE class = 'EUROPE') AS median_EUROPE, max(m) FILTER (WHERE class = 'MIDDLE EAST') AS median_MIDDLE_EAST,
+  max(m) FILTER (WHERE r = n) AS m1, max(class) FILTER (WHERE r = n) AS c1, max(m) FILTER (WHERE r = n - 1) AS m2, max(m) FILTER (WHERE r = 1) AS l1, max(class) FILTER (WHERE r = 1) AS d1, max(m) FILTER (WHERE r = 2) AS l2 FROM co GROUP BY 1),
+cs AS (SELECT feature, count(*) FILTER (WHERE q_value <= 0.05 AND best_auc >= 0.85 AND abs(log2_ratio) >= 0.10) AS n_strong_tasks FROM evid GROUP BY 1)"""
+
+
+def _view_scores() -> str:
+    views = {"raw": "intensity", "log1p": "ln(1 + intensity)", "tic_log1p": "coalesce(ln(1 + intensity / CASE WHEN t.z > 0 THEN t.z END * tc.c), 0)", "median_log1p": "coalesce(ln(1 + intensity / CASE WHEN n.z > 0 THEN n.z END * nc.c), 0)"}
+    columns = ", ".join(f"{v} AS {k}" for k, v in views.items())
+    parts = [f"""{OBS_SQL}, t AS (SELECT sample, sum(intensity) AS z FROM obs GROUP BY 1), tc AS (SELECT median(z) AS c FROM t WHERE z > 0), n AS (SELECT sample, median(intensity) FILTER (WHERE intensity <> 0) AS z FROM obs GROUP BY 1), nc AS (SELECT median(z) AS c FROM n WHERE z > 0),
+every AS MATERIALIZED (SELECT obs.sample, feature, class, run_order, {columns} FROM obs JOIN t USING (sample) JOIN n USING (sample), tc, nc)"""]
+    rows = []
+    for i, v in enumerate(views):
+        parts.append(f"q{i} AS MATERIALIZED (SELECT sample, feature, run_order, {v} AS x FROM every WHERE class IN ({SQL_QC})), b{i} AS (SELECT sample, class, feature, {v} AS x FROM every WHERE class IN ({SQL_BIO}))")
+        parts.append(f"k{i} AS (SELECT sample, feature, {_rank('sample', 'ln(1 + x)')} AS r FROM q{i}), c{i} AS (SELECT {_corr('a.r', 'b.r')} AS rho FROM k{i} a JOIN k{i} b ON a.feature = b.feature AND a.sample < b.sample GROUP BY a.sample, b.sample)")
+        parts.append(f"m{i} AS (SELECT class, feature, median(x) AS m FROM b{i} GROUP BY 1, 2), br{i} AS (SELECT sample, {_rank('sample', 'x')} AS rx, {_rank('sample', 'm')} AS ry FROM b{i} JOIN m{i} USING (class, feature)), bc{i} AS (SELECT {_corr('rx', 'ry')} AS rho FROM br{i} GROUP BY sample)")
+        parts.append(_components_of(f"q{i}", 1, f"v{i}") + f", o{i} AS (SELECT {_rank('1', 'pc1')} AS rx, {_rank('1', 'run_order')} AS ry FROM v{i}scores JOIN (SELECT DISTINCT sample, run_order FROM q{i}) USING (sample)), s{i} AS (SELECT sum(x) AS t FROM q{i} GROUP BY sample)")
+        rows.append(f"SELECT '{v}' AS view, (SELECT median(rho) FROM c{i}) AS qc_median_rho, (SELECT min(rho) FROM c{i}) AS qc_min_rho, (SELECT median(rho) FROM bc{i}) AS bio_median_rho, (SELECT min(rho) FROM bc{i}) AS bio_min_rho, (SELECT 100 * stddev_samp(t) / avg(t) FROM s{i}) AS qc_signal_cv, (SELECT abs({_corr('rx', 'ry')}) FROM o{i}) AS abs_pc1_order_rho, (SELECT sum(pc1 ** 2) FROM v{i}scores) / (SELECT sum(v) FROM v{i}cov1 WHERE i = j) AS pc1_variance")
+    names = "qc_median_rho qc_min_rho bio_median_rho bio_min_rho qc_signal_cv abs_pc1_order_rho pc1_variance"
+    return ", ".join(parts) + f" SELECT view, {_r(names, 5)} FROM ({' UNION ALL '.join(rows)})"
+
+
 ORACLE = {
+    "evidence_table": _EVIDENCE + f" SELECT task_name, feature, n_pos, n_neg, significant, direction, row_number() OVER (PARTITION BY task_name ORDER BY significant DESC, q_value NULLS LAST, best_auc DESC NULLS LAST, cliffs_delta DESC NULLS LAST, feature) AS evidence_rank, {_r('mean_difference pos_detection_rate neg_detection_rate pos_median neg_median pos_raw_median neg_raw_median u_stat z auc cliffs_delta p_value q_value log2_ratio best_auc median_difference detection_rate_difference rank_biserial neg_log10_q')} FROM evid",
+    "class_profiles": f"{_EVIDENCE}, {_CLASS_MEDIANS}" + """ SELECT feature, round(median_ASIA, 6) AS "median_ASIA", round(median_EUROPE, 6) AS "median_EUROPE", round(median_MIDDLE_EAST, 6) AS "median_MIDDLE_EAST", coalesce(n_strong_tasks, 0) AS n_strong_tasks,
+CASE WHEN coalesce(n_strong_tasks, 0) = 0 OR n < 2 THEN 'no_clear_profile' WHEN m1 - m2 >= 0.05 THEN c1 || '_high' WHEN l2 - l1 >= 0.05 THEN d1 || '_low' ELSE 'mixed' END AS profile FROM cw LEFT JOIN cs USING (feature)""",
+    "view_scores": _view_scores(),
     "frozen_samples": "SELECT sample, class, batch, run_order::DOUBLE AS run_order FROM (SELECT sample, class, batch, run_order, row_number() OVER (PARTITION BY sample ORDER BY batch NULLS FIRST, run_order NULLS FIRST, class NULLS FIRST) AS r FROM acquisition_list WHERE class IN ('Dunn', 'French', 'LMU')) WHERE r = 1",
     "inventory_pivot": "SELECT batch, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS \"{c}\"" for c in ("B", "SS", "dQC", "QC", "Dunn", "French", "LMU")) + " FROM acquisition_list WHERE batch IS NOT NULL AND class IS NOT NULL GROUP BY 1",
     "inventory_counts": "SELECT batch, class, count(*) AS n_samples, coalesce(list_position(['B', 'SS', 'dQC', 'QC', 'Dunn', 'French', 'LMU'], class), 8) AS class_rank FROM acquisition_list WHERE batch IS NOT NULL AND class IS NOT NULL GROUP BY 1, 2",
@@ -288,6 +330,7 @@ SELECT sample, class, round(abs(pc1), 5) AS "PC1", round(abs(pc2), 5) AS "PC2",
     "contamination_metrics": f"{OBS_SQL}, {_CONT} SELECT feature, blank_dominant, {_r(' '.join(f'{n}_{c}' for n in ('blank', 'qc', 'bio') for c in ('mean', 'median', 'detection_rate')) + ' blank_to_qc_ratio blank_to_bio_ratio log10_blank_to_qc log10_blank_to_bio')} FROM contam",
     "carryover": f"{OBS_SQL}, {_CARRY} SELECT feature, round(carryover_rho, 6) AS carryover_rho, n_blank_contexts FROM carry",
     "nearest_standard": f"{_MATCH} SELECT compound_id, feature, {_r('score ppm_error rt_error', 5)}, abs(ppm_error) <= 20000 AND abs(rt_error) <= 1 AS within_tolerance FROM matches",
+    "standard_readings": f"{_MATCH} SELECT compound_id, feature, sample, class, round(intensity, 6) AS intensity, round(log10(intensity + 1), 6) AS log10_intensity FROM obs JOIN matches USING (feature)",
     "standard_tracking": f"{_MATCH} SELECT compound_id, feature, batch, class, count(*) AS n, round(avg(intensity), 6) AS mean_intensity, round(median(intensity), 6) AS median_intensity, round(avg(log10(intensity + 1)), 6) AS mean_log10 FROM obs JOIN matches USING (feature) GROUP BY 1, 2, 3, 4",
     "isomer_pairs": _PPM + ", z AS (SELECT a.mz AS ma, b.mz AS mb, p0.* FROM p0 JOIN f a ON a.feature = feature_a JOIN f b ON b.feature = feature_b) SELECT feature_a, feature_b, round((mb - ma) / ((ma + mb) / 2) * 1e6, 6) AS delta_ppm, round(delta_rt, 6) AS delta_rt FROM z WHERE abs(delta_rt) >= 0.1",
     "adduct_pairs": """WITH f AS (SELECT * FROM feature_metadata WHERE mz IS NOT NULL AND rt IS NOT NULL), s(i, shift, m) AS (VALUES (0, '13C1', 1.003355), (1, '13C2', 2.006710), (2, 'Na-H', 21.981943), (3, 'K-H', 37.955882), (4, 'O-like', 16.018724)),
@@ -296,9 +339,9 @@ p AS (SELECT CASE WHEN a.mz > b.mz THEN b.feature ELSE a.feature END AS feature_
 best AS (SELECT *, abs(delta_mz - m::DOUBLE) AS e FROM p, s QUALIFY row_number() OVER (PARTITION BY feature_a, feature_b ORDER BY e, i) = 1)
 SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, shift, round(e, 6) AS shift_error FROM best WHERE e <= 0.1""",
     "pair_correlations": f"""{OBS_SQL}, bp AS (SELECT a.feature AS feature_a, b.feature AS feature_b FROM feats a JOIN feats b ON (b.mz > a.mz OR (b.mz = a.mz AND b.feature > a.feature)) WHERE (b.mz - a.mz) / ((a.mz + b.mz) / 2) * 1e6 <= 20000),
-w AS (SELECT sample, feature, ln(1 + intensity) AS x, 'all' AS subset FROM obs UNION ALL SELECT sample, feature, ln(1 + intensity), 'biological' FROM obs WHERE class IN ({SQL_BIO})),
+w AS (SELECT sample, feature, ln(1 + intensity) AS x, 'all' AS subset FROM obs UNION ALL SELECT sample, feature, ln(1 + intensity), 'biological' FROM obs WHERE class IN ({SQL_BIO}) UNION ALL SELECT sample, feature, ln(1 + intensity), 'qc_like' FROM obs WHERE class IN ({SQL_QC}, {SQL_DQC}) UNION ALL SELECT sample, feature, ln(1 + intensity), 'biological_batch1' FROM obs WHERE class IN ({SQL_BIO}) AND batch = 1),
 r AS (SELECT sample, feature, subset, {_rank('subset, feature', 'x')} AS x FROM w)
-SELECT feature_a, feature_b, a.subset AS subset, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN {_corr('a.x', 'b.x')} END, 6) AS rho FROM bp JOIN r a ON a.feature = feature_a JOIN r b ON b.feature = feature_b AND a.subset = b.subset AND a.sample = b.sample GROUP BY 1, 2, 3""",
+SELECT feature_a, feature_b, a.subset AS subset, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN {_corr('a.x', 'b.x')} END, 6) + 0.0 AS rho FROM bp JOIN r a ON a.feature = feature_a JOIN r b ON b.feature = feature_b AND a.subset = b.subset AND a.sample = b.sample GROUP BY 1, 2, 3""",
     "redundancy_edges": _EDGES + " SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, round(delta_rt, 6) AS delta_rt, relation_type FROM edges",
     "redundancy_neighbours": _EDGES + ", " + _NEIGHBOURS + " SELECT * FROM near",
     "redundancy_types": _BRAND_EDGES + " SELECT feature_a, feature_b, round(delta_mz, 6) AS delta_mz, round(delta_rt, 6) AS delta_rt, round(rho, 6) AS rho, is_isomer, is_adduct, is_near_duplicate, is_correlated, relation_type FROM edges",
@@ -313,13 +356,20 @@ SELECT *, CASE WHEN cluster_size = 1 THEN 'singleton' WHEN feature = representat
 CASE WHEN retained_main THEN 'retained' ELSE concat_ws('; ', CASE WHEN NOT pass_mz THEN 'low m/z' END, CASE WHEN NOT pass_qc_cv THEN 'unstable in controls' END, CASE WHEN NOT pass_detection_any THEN 'rarely detected' END, CASE WHEN blank_veto THEN 'present in blanks' END) END AS exclusion_reason FROM filtered""",
     "filter_funnel": _FILTER + """ SELECT unnest(['all', 'pass_mz', 'pass_qc_cv', 'pass_detection', 'no_blank_veto', 'high_confidence']) AS metric, unnest([count(*), count(*) FILTER (WHERE pass_mz), count(*) FILTER (WHERE pass_mz AND pass_qc_cv), count(*) FILTER (WHERE pass_mz AND pass_qc_cv AND pass_detection_any), count(*) FILTER (WHERE retained_main), count(*) FILTER (WHERE high_confidence)])::DOUBLE AS value FROM filtered""",
     "retained_observations": _FILTER + " SELECT feature, count(*) AS n, round(sum(intensity), 6) AS total FROM obs JOIN filtered USING (feature) WHERE retained_main GROUP BY 1",
+    "acceptance_flags": f"{OBS_SQL}, {_tech('tb', 'intensity')} SELECT feature, coalesce(qc_cv < 24, false) AS pass_cv, coalesce(bio_detection_rate_min >= 0.6, false) AS pass_detection, coalesce(mz > 948, false) AS pass_mz FROM feats JOIN tb USING (feature)",
+    "retained_summary": f"WITH {_REVIEWED}, f AS ({_FILTER} SELECT * FROM filtered) SELECT 'retained_samples' AS artifact, count(*) FILTER (WHERE NOT recommend_exclude) AS n FROM review UNION ALL SELECT 'retained_main_features', count(*) FILTER (WHERE retained_main) FROM f UNION ALL SELECT 'retained_high_confidence_features', count(*) FILTER (WHERE high_confidence) FROM f",
+    "loaded_spaces": f"WITH {_REVIEWED}, d AS ({_DECIDED} SELECT * FROM dec), cells AS ({OBS_SQL}, {_TIC} SELECT sample, feature, intensity, x FROM tview), sp AS (SELECT 'main' AS space, feature FROM d WHERE retained_main UNION ALL SELECT 'high', feature FROM d WHERE high_confidence UNION ALL SELECT 'representative', feature FROM d WHERE is_representative) SELECT space, count(DISTINCT sample) AS n_samples, count(DISTINCT feature) AS n_features, count(*) AS n_cells, round(sum(intensity), 4) AS raw_total, round(sum(x), 4) AS total FROM sp JOIN cells USING (feature) JOIN (SELECT sample FROM review WHERE NOT recommend_exclude) USING (sample) GROUP BY 1",
+    "feature_decisions": _DECIDED + " SELECT * EXCLUDE (carryover_flag) FROM dec",
+    "handoff_samples": f"WITH {_REVIEWED} SELECT class, count(*) AS n_total, count(*) FILTER (WHERE NOT recommend_exclude) AS n_retained, count(*) FILTER (WHERE recommend_exclude) AS n_excluded, count(*) FILTER (WHERE review_tier <> 'keep') AS n_minor_or_worse, count(*) FILTER (WHERE review_tier IN ('review', 'strong_review')) AS n_review_or_worse FROM review GROUP BY 1",
+    "handoff_features": _DECIDED + " SELECT unnest(['n_features', 'n_main', 'n_high_confidence', 'n_main_with_carryover', 'n_main_in_clusters', 'n_main_representatives']) AS metric, unnest([count(*), count(*) FILTER (WHERE retained_main), count(*) FILTER (WHERE high_confidence), count(*) FILTER (WHERE retained_main AND carryover_flag), count(*) FILTER (WHERE retained_main AND cluster_size > 1), count(*) FILTER (WHERE retained_main AND is_representative)])::DOUBLE AS value FROM dec",
+    "handoff_caveats": f"WITH {_REVIEWED}, d AS ({_DECIDED} SELECT * FROM dec) SELECT 'excluded_samples' AS caveat, count(*) FILTER (WHERE recommend_exclude) AS n FROM review UNION ALL SELECT 'main_features_with_carryover', count(*) FILTER (WHERE retained_main AND carryover_flag) FROM d UNION ALL SELECT 'main_features_in_clusters', count(*) FILTER (WHERE retained_main AND cluster_size > 1) FROM d",
     "acceptance_counts": f"{OBS_SQL}, {_tech('tb', 'intensity')} " + " UNION ALL ".join(f"SELECT '{n}' AS criterion_type, {float(t)}::DOUBLE AS threshold, count(*) FILTER (WHERE {c} {t}) AS n_features FROM tb" for n, c, ts in (("qc_cv", "qc_cv <", (20, 30, 40, 50)), ("detection_min", "bio_detection_rate_min >=", (0.4, 0.5, 0.6)), ("d_ratio", "d_ratio_log <", (0.75, 1.0, 1.25))) for t in ts),
     "threshold_ablation": _FILTER + " " + " UNION ALL ".join(f"SELECT '{n}' AS criterion_type, {float(t)}::DOUBLE AS threshold, count(*) FILTER (WHERE NOT blank_veto AND {c} {t}) AS n_features FROM filtered" for n, c, ts in (("qc_cv", "qc_cv <", (20, 30, 40)), ("detection_max", "bio_detection_rate_max >=", (0.5, 0.7, 0.9)), ("d_ratio", "d_ratio_log <=", (0.75, 1.0, 1.25))) for t in ts),
     "mann_whitney_u": f"{OBS_SQL}, {_MWU} SELECT task_name, feature, n_pos, n_neg, {_r('u_stat z auc cliffs_delta')} FROM mwu",
     "bh_from_given_p": """WITH t AS (SELECT batch, class, threshold, round(1 / (1 + abs(median)), 6) AS p FROM threshold_table WHERE median IS NULL OR NOT isnan(median)),
 r AS (SELECT *, p * count(p) OVER (PARTITION BY class, threshold) / row_number() OVER (PARTITION BY class, threshold ORDER BY p NULLS LAST) AS raw FROM t)
 SELECT batch, class, threshold, p, CASE WHEN p IS NOT NULL THEN round(least(1, min(raw) OVER (PARTITION BY class, threshold ORDER BY p DESC NULLS FIRST, raw ASC NULLS FIRST ROWS UNBOUNDED PRECEDING)), 6) END AS q_value FROM r""",
-    "evidence_medians": f"{_EV} SELECT task_name, feature, {_r('pos_median neg_median mean_difference log2_ratio pos_detection_rate neg_detection_rate')}, CASE WHEN pos_median >= neg_median THEN 'pos > neg' ELSE 'neg > pos' END AS direction FROM evm",
+    "evidence_medians": f"{_EV}, {_MWU_BODY}, sd AS (SELECT task_name, max(class) FILTER (WHERE positive) AS p, max(class) FILTER (WHERE NOT positive) AS n FROM tasks GROUP BY 1) SELECT task_name, feature, {_r('pos_median neg_median mean_difference log2_ratio pos_detection_rate neg_detection_rate auc')}, round(pos_median - neg_median, 6) AS median_difference, round(pos_detection_rate - neg_detection_rate, 6) AS detection_rate_difference, round(2 * auc - 1, 6) AS rank_biserial, p || CASE WHEN pos_median >= neg_median THEN ' > ' ELSE ' < ' END || n AS direction FROM evm JOIN mwu USING (task_name, feature) JOIN sd USING (task_name)",
     "decision_pivot": f"{_EV}, {_MWU_BODY}, j AS (SELECT * FROM mwu JOIN evm USING (task_name, feature)) SELECT feature, " + ", ".join(f"round(max({c}) FILTER (WHERE task_name = '{p}_vs_{n}'), 6) AS {c}__{p.replace(' ', '_')}_vs_{n.replace(' ', '_')}" for p, n in _TASKS for c in ("auc", "mean_difference")) + " FROM j GROUP BY 1",
     "cluster_collapse": _CLUSTERS + """, c AS (SELECT cluster, m.* FROM clusters JOIN feature_metadata m USING (feature))
 SELECT cluster, arg_min(feature, (rt_std IS NOT NULL, coalesce(rt_std, 0), feature)) AS feature, round(arg_min(mz, (rt_std IS NOT NULL, coalesce(rt_std, 0), feature)) FILTER (WHERE mz IS NOT NULL), 6) AS mz, round(arg_min(rt, (rt_std IS NOT NULL, coalesce(rt_std, 0), feature)) FILTER (WHERE rt IS NOT NULL), 6) AS rt, count(*) AS n_members FROM c GROUP BY 1""",
@@ -356,9 +406,11 @@ SELECT unnest(['left', 'right', 'shared', 'left_only', 'right_only']) AS metric,
 d AS (SELECT x.vec_id, x.label, c.label AS other, sqrt(sum((x.x - c.x) ** 2)) AS d FROM x JOIN c USING (i) GROUP BY 1, 2, 3),
 s AS (SELECT vec_id, label, min(d) FILTER (WHERE other = label) AS a, min(d) FILTER (WHERE other <> label) AS b FROM d GROUP BY 1, 2) SELECT label, round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS n FROM s GROUP BY 1""",
     "top_terms": _KNN + f", {_BIND}, t AS (SELECT anchor, protein AS term, count(DISTINCT neighbor) AS n_neighbors FROM knn JOIN bind ON bind.vec_id = neighbor GROUP BY 1, 2) SELECT anchor, term, n_neighbors, row_number() OVER (PARTITION BY anchor ORDER BY n_neighbors DESC, term) AS rank FROM t QUALIFY rank <= 4",
+    "rendered_terms": "SELECT anchor, string_agg(term || ' (' || n_neighbors || ')', ' | ' ORDER BY rank) AS terms FROM (" + _KNN + f", {_BIND}, t AS (SELECT anchor, protein AS term, count(DISTINCT neighbor) AS n_neighbors FROM knn JOIN bind ON bind.vec_id = neighbor GROUP BY 1, 2) SELECT anchor, term, n_neighbors, row_number() OVER (PARTITION BY anchor ORDER BY n_neighbors DESC, term) AS rank FROM t QUALIFY rank <= 4" + ") GROUP BY 1",
+    "top_dimensions": _KNN + ", v AS (SELECT anchor, unnest(range(0, 8)) AS i, v FROM knn JOIN e ON vec_id = neighbor), m AS (SELECT anchor, 'd' || i AS column, avg(v[i + 1]) AS mean FROM v GROUP BY 1, i) SELECT anchor, \"column\", round(mean, 6) AS mean, row_number() OVER (PARTITION BY anchor ORDER BY round(mean, 9) DESC, \"column\") AS rank FROM m WHERE mean > 0 QUALIFY rank <= 4",
     "context_layers": _CONTEXT + f" SELECT anchor, n_neighbors, {_r('mean_distance max_distance general_fraction disease_fraction specific_fraction')}, CASE WHEN specific_fraction >= 0.2 AND general_fraction >= 0.5 THEN 'specific_context' WHEN disease_fraction >= 0.2 AND general_fraction >= 0.5 THEN 'disease_context' WHEN general_fraction >= 0.5 THEN 'general_context' ELSE 'weak_context' END AS profile FROM ctx",
     "protein_support": _KNN + f", {_BIND}, pre AS (SELECT vec_id AS neighbor, protein, avg(binding_value) AS v, count(*) AS n FROM bind GROUP BY 1, 2), s AS (SELECT anchor, protein, sum(1 / neighbor_rank) AS support, avg(v) AS mean_value, sum(n)::BIGINT AS n_rows FROM knn JOIN pre USING (neighbor) GROUP BY 1, 2) SELECT anchor, protein, round(support, 6) AS support, round(mean_value, 6) AS mean_value, n_rows, row_number() OVER (PARTITION BY anchor ORDER BY round(support, 9) DESC, protein) AS rank FROM s QUALIFY rank <= 4",
-    "priority_scores": _CONTEXT + _ROBUST + ", s AS (SELECT anchor, greatest(0, 1 - least(round(mean_distance, 6), 1)) AS confidence, round(general_fraction, 6) AS g, round(jaccard, 6) AS j FROM ctx JOIN robust USING (anchor)), t AS (SELECT *, confidence * 0.4 + g * 0.4 + j * 0.2 AS priority_score FROM s) SELECT anchor, round(confidence, 5) AS confidence, round(priority_score, 5) AS priority_score, CASE WHEN priority_score >= 0.65 THEN 'A' WHEN priority_score >= 0.45 THEN 'B' ELSE 'C' END AS priority_tier FROM t",
+    "priority_scores": _CONTEXT + _ROBUST + f", {_BIND}, sets AS (SELECT vec_id, list_distinct(list(protein)) AS m FROM bind WHERE binding_value > 45 GROUP BY 1), jr AS (SELECT anchor, avg(len(list_intersect(a.m, b.m)) / (len(a.m) + len(b.m) - len(list_intersect(a.m, b.m)))) AS mj FROM knn JOIN sets a ON a.vec_id = anchor JOIN sets b ON b.vec_id = neighbor GROUP BY 1)" + ", s AS (SELECT anchor, greatest(0, 1 - least(round(mean_distance, 6), 1)) AS confidence, round(general_fraction, 6) AS g, round(specific_fraction, 6) AS sp, round(jaccard, 6) AS j, round(mj, 6) AS mj FROM ctx JOIN robust USING (anchor) LEFT JOIN jr USING (anchor)), t AS (SELECT *, confidence * 0.3 + g * 0.2 + (mj IS NOT NULL)::INT * 0.15 + sp * 0.15 + coalesce(mj, 0) * 0.1 + j * 0.1 AS priority_score FROM s) SELECT anchor, round(confidence, 5) AS confidence, round(priority_score, 5) AS priority_score, CASE WHEN priority_score >= 0.65 THEN 'A' WHEN priority_score >= 0.45 THEN 'B' ELSE 'C' END AS priority_tier FROM t",
     "composition_features": "WITH " + _comp("glycan_list", "gly_id") + " SELECT * EXCLUDE (comp_fucose_ratio, comp_sialic_ratio, comp_hexnac_to_hex_ratio), " + ", ".join(f"round({c}, 6) AS {c}" for c in _SHARES) + " FROM comp",
     "canonical_master": _MASTER + " SELECT * EXCLUDE (glycan_sequence, composition, tissue_species, mean_binding_value, max_binding_value, comp_fucose_ratio, comp_sialic_ratio, comp_hexnac_to_hex_ratio), " + ", ".join(f"round({c}, 6) AS {c}" for c in (*_SHARES, "mean_binding_value", "max_binding_value")) + " FROM canon",
     "interpretation_set": _MASTER + " SELECT * FROM inter",

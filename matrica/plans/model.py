@@ -20,8 +20,6 @@ CLASSES = [*BLANK, *QC, *DQC, *BIO]
 THRESHOLD = 700.0
 #: No round decimal divisor, so that no sum lies on the border of two rounded values and hangs on the order of adding.
 UNIT = 997.0
-#: Columns of a wide matrix at most.
-MOST_COLUMNS = 4096
 TASKS = [("EUROPE", "MIDDLE EAST"), ("ASIA", "EUROPE"), ("AMERICA", "ASIA")]
 #: Limits at which every relation occurs among the brands, whose masses and correlations are close to each other.
 BRAND_RULES = RedundancyRules(isomer_mz=0.8, isomer_rt=2.0, adduct_rt=1.0, adduct_least_mz=1.0, adduct_most_mz=4.0, duplicate_mz=6.0, duplicate_rt=3.0, report_rho=0.05, join_rho=0.08)
@@ -49,14 +47,6 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("mz"), F.avg("p_size").alias("rt"))
 
 
-def feature_names(spark: SparkSession, sf: str) -> list[str]:
-    """Names of all features, for wide matrices; ValueError over MOST_COLUMNS."""
-    names = [r["feature"] for r in features(spark, sf).select("feature").where("feature is not null").orderBy("feature").take(MOST_COLUMNS + 1)]
-    if len(names) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} features for a wide matrix")
-    return names
-
-
 def standards(spark: SparkSession, sf: str) -> DataFrame:
     """compound_id, mz, rt of every part type."""
     return read_table(spark, sf, "part").groupBy(F.col("p_type").alias("compound_id")).agg(F.avg("p_retailprice").alias("mz"), F.avg("p_size").alias("rt"))

@@ -161,16 +161,28 @@ def test_blocks_and_scores(spark):
     assert scored["priority_score"] == 0.5 and scored["priority_tier"] == "B"
 
 
-def test_cross_validation_separates_separable_classes(spark):
-    data = [("t", i, i % 2 == 0, float(i % 2 == 0) * 4 + (i * 7 % 11) / 10, float(i % 5)) for i in range(40)]
-    df = spark.createDataFrame(data, "task_name string, sample int, positive boolean, good double, noise double")
-    folds = models.fold_table(df.select("task_name", "sample", "positive"), repeats=1)
-    metrics, coefficients = models.cross_validate(df, folds, ["good", "noise"], space="s", k_best=2)
-    assert metrics.count() == 10 and metrics.where("auroc < 1").isEmpty()
-    assert "good" in {r["feature"] for r in coefficients.collect()}
-    some = folds.where("fold = 0")
-    large = models.cross_validate_large(df, some.unionByName(folds.where("fold <> 0").withColumn("fold", F.lit(1))), ["good", "noise"], space="s")
-    assert large.count() == 4 and large.where("auroc < 0.95").isEmpty()
+@pytest.mark.parametrize("most", [20_000, 10])
+def test_cross_validation_separates_separable_classes(spark, most):
+    data = [("t", i, i % 2 == 0, f, v) for i in range(40) for f, v in (("good", float(i % 2 == 0) * 4 + (i * 7 % 11) / 10), ("noise", float(i % 5)))]
+    df = spark.createDataFrame(data, "task_name string, sample int, positive boolean, feature string, intensity double")
+    folds = models.fold_table(df.select("task_name", "sample", "positive").distinct(), repeats=1)
+    if most == 10:  # two folds suffice for the fits over distributed rows
+        folds = folds.withColumn("fold", F.least("fold", F.lit(1)))
+    metrics, coefficients = models.cross_validate(df, folds, ["good", "noise"], space="s", k_best=2, most_samples=most)
+    rows_ = metrics.collect()
+    assert len(rows_) == (10 if most > 10 else 4) and all(r["auroc"] > 0.95 and r["precision"] > 0.8 and r["recall"] > 0.8 and r["n_train"] + r["n_test"] == 40 for r in rows_)
+    stable = evidence.selection_stability(coefficients, metrics).collect()
+    assert {(r["feature"], r["selection_frequency"]) for r in stable} == {("good", 1.0), ("noise", 1.0)}
+    assert all(r["sign_consistency"] == 1.0 and r["mean_coefficient"] > 0 for r in stable if r["feature"] == "good")
+    assert {r["n_folds"] for r in models.benchmark_summary(metrics).collect()} == {5 if most > 10 else 2}
+
+
+def test_cluster_evidence_keeps_the_strongest(spark):
+    ev = spark.createDataFrame([("t", "a", 0.2, 0.6, 0.1, "x > y"), ("t", "b", 0.01, 0.9, 0.8, "x < y"), ("t", "c", None, 0.7, 0.3, None)], "task_name string, feature string, q_value double, best_auc double, cliffs_delta double, direction string")
+    members = spark.createDataFrame([("a", "k", True), ("b", "k", False), ("c", "m", True)], "feature string, cluster string, is_representative boolean")
+    got = {r["cluster"]: r for r in evidence.cluster_evidence(ev, members).collect()}
+    assert (got["k"]["feature"], got["k"]["best_feature_in_cluster"], got["k"]["matches_best"], got["k"]["n_members"]) == ("a", "b", False, 2)
+    assert got["m"]["matches_best"] and [got[k]["cluster_rank"] for k in "km"] == [1, 2]
 
 
 def test_hot_medians_equal_plain_ones(spark):
