@@ -6,9 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrica.session import cut_lineage
+
 #: Anchors in one block, which is what a task holds of the anchor side.
 BLOCK = 2048
 
@@ -16,29 +21,44 @@ BLOCK = 2048
 def cosine_neighbours(vectors: DataFrame, anchors: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """anchor, neighbor, cosine_distance, neighbor_rank: the k nearest other rows of each anchor, exactly.
 
-    Anchors are packed into blocks of about ``block`` rows by hash, however sparse their keys; each partition of the vectors meets each block once, as one
+    Anchors are packed into blocks of about ``block`` rows by hash, however sparse their keys; each block of rows meets each block of anchors once, as one
     matrix product, and hands on only its k best per anchor, so the pairs are never formed as rows. The partial
     lists then merge by anchor. A row is no neighbour of itself; ties go to the smaller key. Null and zero vectors
     have distance 1 to all others; null keys are left out.
     """
-    both = lambda d: d.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = both(anchors)
-    blocks = max(1, -(-asked.count() // block))
-    packed = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("block"))
-    parts = both(vectors).withColumn("p", F.spark_partition_id())
-    parts = parts.withColumn("chunk", F.floor(F.monotonically_increasing_id() / block)).groupBy("p", "chunk").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("rows")
-
-    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        width = max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
-        m = np.array([r["v"] if r["v"] is not None and len(r["v"]) == width else np.zeros(width) for r in rows], dtype=float)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.array([r["id"] for r in rows]), m / np.where(size > 0, size, 1)
+    asked = _vectors(anchors, key, vector)
+    packed = _packed(asked.withColumn("cell", F.lit(0)), block)
+    rows = _packed(_vectors(vectors, key, vector).withColumn("cell", F.lit(0)), block)
+    # Every block of anchors must see every row: packed blocks against packed blocks, not rows against rows.
+    return _merged(rows.withColumnRenamed("block", "rows").join(packed, "cell"), k)
+
+
+def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _packed(rows: DataFrame, block: int) -> DataFrame:
+    """cell and block: the rows of each cell in arrays of about ``block`` rows by hash, however sparse or hot their keys."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    numbered = rows.withColumn("turn", F.monotonically_increasing_id()).join(F.broadcast(sizes), "cell")  # one row per cell
+    return numbered.groupBy("cell", F.pmod(F.xxhash64("id", "turn"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("block")).select("cell", "block")
+
+
+def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    width = max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
+    m = np.array([r["v"] if r["v"] is not None and len(r["v"]) == width else np.zeros(width) for r in rows], dtype=float)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.array([r["id"] for r in rows]), m / np.where(size > 0, size, 1)
+
+
+def _merged(met: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each anchor from pairs of blocks (rows, block), each handing on only its own k best."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows, anchors_ in zip(pdf["rows"], pdf["block"]):
-                ids, m = matrix(rows)
-                a_ids, a = matrix(anchors_)
+                ids, m = _matrix(rows)
+                a_ids, a = _matrix(anchors_)
                 by_id = np.argsort(ids, kind="stable")  # then a stable sort puts the smaller key first among ties
                 ids, m = ids[by_id], m[by_id]
                 d = np.round(1 - a @ m.T, 12) if a.shape[1] == m.shape[1] else np.ones((len(a), len(m)))
@@ -48,10 +68,52 @@ def cosine_neighbours(vectors: DataFrame, anchors: DataFrame, k: int, *, key: st
                 keep = np.isfinite(far)
                 yield pd.DataFrame({"anchor": np.broadcast_to(a_ids[:, None], best.shape)[keep], "neighbor": ids[best][keep], "cosine_distance": far[keep]})
 
-    # Every block of anchors must see every row: packed blocks against packed chunks, not rows against rows.
-    met = parts.join(packed.select("block"), F.lit(True)).mapInPandas(nearest, "anchor bigint, neighbor bigint, cosine_distance double")
+    found = met.select("rows", "block").mapInPandas(nearest, "anchor bigint, neighbor bigint, cosine_distance double")
     order = Window.partitionBy("anchor").orderBy("cosine_distance", "neighbor")
-    return met.withColumn("neighbor_rank", F.row_number().over(order)).where(F.col("neighbor_rank") <= k)
+    return found.withColumn("neighbor_rank", F.row_number().over(order)).where(F.col("neighbor_rank") <= k)
+
+
+#: Rows that the cells of an index are fitted on, at most in expectation.
+INDEX_SAMPLE = 50_000
+
+
+def fit_cells(vectors: DataFrame, cells: int, *, key: str = "vec_id", vector: str = "embedding", sample: int = INDEX_SAMPLE, seed: int = 5) -> np.ndarray:
+    """Centres (unit rows) of ``cells`` cells by k-means over unit vectors, fitted on a bounded sample drawn by a hash of
+    the key. Null and zero vectors take no part."""
+    rows = _vectors(vectors, key, vector).where("v is not null")
+    share = min(1.0, sample / max(rows.count(), 1))
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select(array_to_vector("v").alias("features"))
+    unit = Normalizer(inputCol="features", outputCol="unit").transform(chosen)
+    centres = np.array(KMeans(k=cells, featuresCol="unit", seed=seed, maxIter=20).fit(unit).clusterCenters())
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+
+
+def indexed_neighbours(vectors: DataFrame, anchors: DataFrame, k: int, centres: np.ndarray, probes: int, *, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """As cosine_neighbours, but each anchor meets only the rows of the ``probes`` cells nearest to it.
+
+    Every row is in the cell of its nearest centre, so all are indexed; a cell that holds much of the table is cut into
+    blocks like any other. Neighbours in other cells are missed: measure the share found with ``recall``.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def placed(df: DataFrame, n: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                near = shared.value
+                m = np.array([v if v is not None and len(v) == near.shape[1] else np.zeros(near.shape[1]) for v in pdf["v"]], dtype=float).reshape(len(pdf), near.shape[1])
+                cells = np.argsort(-(m @ near.T), axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cells": list(cells.astype(np.int32))})
+
+        return _vectors(df, key, vector).mapInPandas(run, "id bigint, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
+
+    rows = _packed(cut_lineage(placed(vectors, 1)), block).withColumnRenamed("block", "rows")
+    return _merged(rows.join(_packed(cut_lineage(placed(anchors, min(probes, len(centres)))), block), "cell"), k)
+
+
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """One row, recall: the share of the exact neighbours that were found, over all anchors."""
+    hit = found.select("anchor", "neighbor", F.lit(1).alias("hit"))
+    return exact.join(hit, ["anchor", "neighbor"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
 def label_purity(neighbours: DataFrame, labels: DataFrame, *, key: str = "vec_id", label: str = "label") -> DataFrame:

@@ -45,6 +45,11 @@ def subset_samples(samples: DataFrame, *, batches: Sequence[int] | None = None,
     return out.groupBy("sample").agg(first.alias("__f")).select("sample", *[f"__f.{c}" for c in rest])
 
 
+def samples_of(samples: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """The distinct samples of the given classes."""
+    return samples.where(F.col("class").isin(*classes) & F.col("sample").isNotNull()).select("sample").distinct()
+
+
 def subset_observations(obs: DataFrame, samples: DataFrame) -> DataFrame:
     """Observations of the given samples."""
     return obs.join(samples.select("sample").distinct(), "sample", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from matrica.functions.keys import BROADCAST_ROWS, HOT_ROWS, hot_keys, join_counted, join_null_safe
 from matrica.functions.robust import MAD_TO_SD, with_median_mad
-from matrica.session import cut_lineage
+from matrica.session import cut_lineage, release
 
 #: Rows of a series that one task orders; longer series are cut into pieces that are joined at their ends.
 PIECE = 65_536
@@ -105,6 +105,7 @@ def phase_space_spikes(rows: DataFrame, *, limit: float = 6.0, max_iterations: i
         outside = F.coalesce(plane, F.pow("u", 2)) + F.pow(z1, 2) > F.pow(axis, 2)
         now = held.where(outside).select("series", "pos", "u", F.lit(iteration).alias("iteration"))
         now = cut_lineage(now)
+        release(near, spread, shape)
         n_now = now.count()
         found = now if found is None else found.unionByName(now)
         if not n_now or iteration == max_iterations:

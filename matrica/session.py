@@ -43,15 +43,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and go on from it; survives lost executors.
 
     A written table, and not checkpoint(), as a checkpoint hands the constraints of its plan on, which grow without
-    bound over the rounds of an iteration, and as a table's size is known to the planner. It goes when the
-    application ends.
+    bound over the rounds of an iteration, and as a table's size is known to the planner. It goes by release(), or
+    when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._matrica_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of cut_lineage whose every reader has been written in turn, so that rounds do not pile up."""
+    for table in tables:
+        path = getattr(table, "_matrica_path", None)
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ship_package(spark: SparkSession) -> None:
