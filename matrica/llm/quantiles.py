@@ -10,11 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrica.session import cut_lineage
+
 #: Section size of the compactors: larger is more exact and larger in memory.
 SECTION = 100
 #: Sketches that one merge task takes in for a group at a time.
 FAN_IN = 32
 
+#: Sketches that a task holds before it hands them on.
+MOST_HELD = 20_000
+
 SKETCH = "n bigint, high array<binary>, high_states array<bigint>, low array<binary>, low_states array<bigint>"
 
 
@@ -26,11 +31,12 @@ def capacity(n: int, section: int = SECTION) -> int:
 def relative_error(n: int, section: int = SECTION) -> float:
     """Three standard deviations of the rank error, as a share of the rank counted from the protected tail.
 
-    A compaction of level h moves a rank by at most 2**h and needs ``section`` new values below the protected ones,
-    so the variance at tail rank R is at most 4 R**2 / (section * capacity). Sketches of n <= capacity are exact.
+    A compaction of level h takes two sections of values below the protected ones on average and moves a rank by
+    2**h, up or down, if the rank splits a pair, which half of them do not; so the variance at tail rank R is about
+    R**2 / (section * capacity). Sketches of n <= capacity are exact.
     """
     full = capacity(n, section)
-    return 0.0 if n <= full else 3 * 2 / math.sqrt(section * full)
+    return 0.0 if n <= full else 3 / math.sqrt(section * full)
 
 
 class TailSketch:
@@ -132,9 +138,9 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def build_sketches(df: DataFrame, keys: Sequence[str], value: str, *, section: int = SECTION) -> DataFrame:
-    """One sketch per group and input partition, with the partition's number in ``part``: keys, part and SKETCH.
+    """Sketches of each group in each input partition, with the partition's number in ``part``: keys, part and SKETCH.
 
-    Only finite values count. NULL keys form groups of their own; groups without finite values have no sketch.
+    A partition of more than MOST_HELD groups may give a group several. Only finite values count. NULL keys form groups of their own; groups without finite values have no sketch.
     """
     keys = list(keys)
     x = F.col(value).cast("double")
@@ -155,10 +161,16 @@ def build_sketches(df: DataFrame, keys: Sequence[str], value: str, *, section: i
             if size > 200_000:
                 _settle(held, pending, section)
                 size = 0
+                if len(held) > MOST_HELD:
+                    yield from handed_on(held, part)
+                    held.clear()
         _settle(held, pending, section)
-        rows = [(*key, part, *s.row()) for key, s in held.items()]
-        for i in range(0, len(rows), 2000):
-            yield _frame(rows[i : i + 2000], names)
+        yield from handed_on(held, part)
+
+    def handed_on(held: dict[tuple, Sketch], part: int) -> Iterator[pd.DataFrame]:
+        items = list(held.items())
+        for i in range(0, len(items), 2000):
+            yield _frame([(*key, part, *s.row()) for key, s in items[i : i + 2000]], names)
 
     kinds = dict(rows.dtypes)
     return rows.mapInPandas(sketch, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + f"part int, {SKETCH}")
@@ -200,8 +212,9 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], parts: int, *, sect
         if done:
             yield _frame(done, names)
 
-    out = sketches.select(*names)
-    while parts > 1:
+    out, first = sketches.select(*names), True
+    while parts > 1 or first:
+        first = False
         parts = math.ceil(parts / FAN_IN)
         out = out.withColumn("part", (F.col("part") / FAN_IN).cast("int"))
         out = out.repartition(*keys, "part").sortWithinPartitions(*keys, "part").mapInPandas(merge, schema)
@@ -231,8 +244,14 @@ def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], probabilities: Se
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], *, section: int = SECTION) -> DataFrame:
     """Percentiles per group in one go: sketches by partition, merged in a tree, then asked."""
-    parts = df.rdd.getNumPartitions()
-    return sketch_quantiles(merge_sketches(build_sketches(df, keys, value, section=section), keys, parts, section=section), keys, probabilities, section=section)
+    return sketch_quantiles(merged_sketches(df, keys, value, section=section), keys, probabilities, section=section)
+
+
+def merged_sketches(df: DataFrame, keys: Sequence[str], value: str, *, section: int = SECTION) -> DataFrame:
+    """One sketch per group. The partitions' sketches are written, which runs df once and tells how many there are."""
+    parts = cut_lineage(build_sketches(df, keys, value, section=section))
+    most = parts.agg(F.max("part")).first()[0]
+    return merge_sketches(parts, keys, 1 if most is None else most + 1, section=section)
 
 
 def rank_check(df: DataFrame, estimates: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

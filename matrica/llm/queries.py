@@ -11,7 +11,7 @@ from matrica.llm.encoding import decode_ids, encode_texts
 from matrica.llm.groups import connected_groups
 from matrica.llm.languages import document_languages, fit_languages, language_of, language_segments
 from matrica.llm.mixing import Target, holdout_accuracy, mix_sources, mixture_shares
-from matrica.llm.quantiles import build_sketches, grouped_quantiles, merge_sketches, rank_check, sketch_quantiles
+from matrica.llm.quantiles import grouped_quantiles, merge_sketches, merged_sketches, rank_check, sketch_quantiles
 from matrica.llm.terms import mark_terms, ngram_counts
 from matrica.operators.packed import split_packed
 from matrica.operators.sequences import COMPOSITION_ITEM
@@ -23,15 +23,14 @@ PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of total_signal per class and batch and, merged from those sketches, per class; of median per class."""
     metrics = read_table(spark, sf, "sample_metrics")
-    parts = metrics.rdd.getNumPartitions()
-    per_batch = merge_sketches(build_sketches(metrics, ["class", "batch"], "total_signal"), ["class", "batch"], parts)
+    per_batch = merged_sketches(metrics, ["class", "batch"], "total_signal")
     per_batch = per_batch.withColumn("measure", F.lit("total_signal"))
     keys = ["measure", "class", "batch"]
     # A batch is one more level of the merge tree: groups of batches first, then the whole class.
     level = per_batch.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(32**3)).cast("int"))
     per_class = merge_sketches(level, ["measure", "class"], 32**3).withColumn("batch", F.lit(None).cast("bigint"))
     medians = read_table(spark, sf, "threshold_table")
-    table = merge_sketches(build_sketches(medians, ["class"], "median"), ["class"], medians.rdd.getNumPartitions())
+    table = merged_sketches(medians, ["class"], "median")
     table = table.withColumn("measure", F.lit("threshold_median")).withColumn("batch", F.lit(None).cast("bigint"))
     return sketch_quantiles(per_batch.unionByName(per_class).unionByName(table), keys, PERCENTILES)
 
@@ -39,7 +38,7 @@ def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def p2_months(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of total_signal per class over all months, merged from sketches of the months."""
     metrics = read_table(spark, sf, "sample_metrics").withColumn("month", F.date_format("computed_at", "yyyy-MM"))
-    months = merge_sketches(build_sketches(metrics, ["class", "month"], "total_signal"), ["class", "month"], metrics.rdd.getNumPartitions())
+    months = merged_sketches(metrics, ["class", "month"], "total_signal")
     level = months.withColumn("part", F.pmod(F.xxhash64("month"), F.lit(32**3)).cast("int"))
     return sketch_quantiles(merge_sketches(level, ["class"], 32**3), ["class"], PERCENTILES)
 
