@@ -12,6 +12,8 @@ from matrica.session import cut_lineage
 
 #: Bins of one narrowing step over a hot group.
 BINS = 4096
+#: The largest finite double, which stands for infinity while a hot group is narrowed.
+LARGEST = 1.7976931348623157e308
 #: Scale that makes the median absolute deviation a standard deviation under normality.
 MAD_TO_SD = 1.4826
 
@@ -19,7 +21,7 @@ MAD_TO_SD = 1.4826
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median", *, hot_limit: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Exact median of ``value`` per group: keys, ``into``, n (non-null values). NULL keys form groups of their own.
 
-    Nulls are left out; NaN must not occur. Groups of up to ``hot_limit`` values use the median aggregate. Larger
+    Nulls are left out; NaN must not occur, infinite values may. Groups of up to ``hot_limit`` values use the median aggregate. Larger
     ones are narrowed by histograms: each step counts BINS bins per group with map-side partial counts and keeps the
     bin that holds the wanted rank, until at most ``hot_limit`` values remain there, which are then ranked. The
     result is the same either way (the mean of the two middle values). hot: the keys of the larger groups, where the
@@ -37,6 +39,7 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "
 
 
 def _hot_medians(rows: DataFrame, keys: list[str], into: str, limit: int) -> DataFrame:
+    rows = rows.withColumn("v", F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("v"))))  # bins need finite ends
     spans = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     ranks = F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")))
     # One target per wanted rank: the value range that still holds it, its rank there, and how many values lie there.
@@ -53,7 +56,8 @@ def _hot_medians(rows: DataFrame, keys: list[str], into: str, limit: int) -> Dat
     place = F.row_number().over(Window.partitionBy(*keys, "asked").orderBy("v"))
     picked = near.withColumn("place", place).where("place = rank").select(*keys, "n", "asked", "v")
     single = targets.where("lo = hi").select(*keys, "n", "asked", F.col("lo").alias("v"))
-    return picked.unionByName(single).groupBy(*keys).agg(F.avg("v").alias(into), F.first("n").alias("n"))
+    both = picked.unionByName(single).withColumn("v", F.when(F.abs("v") == LARGEST, F.signum("v") * float("inf")).otherwise(F.col("v")))
+    return both.groupBy(*keys).agg(F.avg("v").alias(into), F.first("n").alias("n"))
 
 
 def median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, hot_limit: int = HOT_ROWS) -> DataFrame:

@@ -46,10 +46,10 @@ def qc_batch_cv(obs: DataFrame, classes: Sequence[str]) -> DataFrame:
 def summarise_qc(metrics: DataFrame, *, limit: float = 30.0, prefix: str = "qc") -> DataFrame:
     """One row: features, median and mean CV, number and share of CVs under the limit (an absent CV is not under it)."""
     under = F.coalesce(F.col(f"{prefix}_cv") < limit, F.lit(False))
-    return metrics.agg(
-        F.count(F.lit(1)).alias("n_features"), F.median(f"{prefix}_cv").alias("median_cv"), F.avg(f"{prefix}_cv").alias("mean_cv"),
-        F.count_if(under).alias("n_stable"), F.avg(under.cast("int")).alias("share_stable"), F.median(f"{prefix}_detection_rate").alias("median_detection_rate"),
-    )
+    stats = metrics.agg(
+        F.count(F.lit(1)).alias("n_features"), F.avg(f"{prefix}_cv").alias("mean_cv"), F.count_if(under).alias("n_stable"), F.avg(under.cast("int")).alias("share_stable")
+    )
+    return with_medians(stats, metrics, [], {"median_cv": F.col(f"{prefix}_cv"), "median_detection_rate": F.col(f"{prefix}_detection_rate")})
 
 
 def compare_qc(obs: DataFrame, first: Sequence[str], second: Sequence[str], *, limit: float = 30.0, threshold: float = 0.0) -> DataFrame:

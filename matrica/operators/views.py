@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrica.functions.keys import HOT_ROWS
-from matrica.functions.robust import medians
+from matrica.functions.robust import medians, with_medians
 from matrica.functions.stats import spearman
 from matrica.operators.feature_qc import pc1_order_rho, percent_cv, principal_components, sample_correlations
 from matrica.session import cut_lineage
@@ -53,11 +53,13 @@ def evaluate_views(views: DataFrame, control: Sequence[str], biological: Sequenc
     with their class median, CV% of the control samples' total signal, and of their first principal component the
     absolute Spearman with the run order and the explained variance (NULL under three samples or two varying features)."""
     pairs = sample_correlations(views, control, by=["view"])
-    qc = pairs.groupBy("view").agg(F.median("rho").alias("qc_median_rho"), F.min("rho").alias("qc_min_rho"))
+    pairs = cut_lineage(pairs)
+    qc = with_medians(pairs.groupBy("view").agg(F.min("rho").alias("qc_min_rho")), pairs, ["view"], {"qc_median_rho": F.col("rho")})
     bio = views.where(F.col("class").isin(*biological))
     profile = medians(bio, ["view", "class", "feature"], {"m": F.col("intensity")})
     close = spearman(bio.join(profile, ["view", "class", "feature"]), ["view", "sample"], "intensity", "m")
-    bio_rho = close.groupBy("view").agg(F.median("rho").alias("bio_median_rho"), F.min("rho").alias("bio_min_rho"))
+    close = cut_lineage(close)
+    bio_rho = with_medians(close.groupBy("view").agg(F.min("rho").alias("bio_min_rho")), close, ["view"], {"bio_median_rho": F.col("rho")})
     totals = views.where(F.col("class").isin(*control)).groupBy("view", "sample").agg(F.sum("intensity").alias("t"))
     signal = totals.groupBy("view").agg(percent_cv(F.stddev_samp("t"), F.avg("t")).alias("qc_signal_cv"))
     parts = []

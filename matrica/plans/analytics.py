@@ -592,8 +592,7 @@ def union_master(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def master_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _by_source(spark, sf)
-    out = master.canonical_master(master.grouped_reference([a], _MASTER), master.grouped_reference([b], _MASTER), _MASTER)
-    return out.groupBy("in_query", "in_reference").agg(F.count(F.lit(1)).alias("n"), F.count("composition").alias("n_composition"), F.count("tissue_species").alias("n_species"))
+    return master.canonical_master(master.grouped_reference([a], _MASTER), master.grouped_reference([b], _MASTER), _MASTER)
 
 
 def _canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -678,8 +677,7 @@ def _sequence_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def metadata_onehot(spark: SparkSession, sf: str) -> DataFrame:
-    block = blocks.onehot_block(_sequence_terms(spark, sf), "gly_id", ["residues", "source"], min_count=25)
-    return block.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    return blocks.onehot_block(_sequence_terms(spark, sf), "gly_id", ["residues", "source"], min_count=25)
 
 
 @_query
@@ -816,8 +814,7 @@ def handoff_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Features of the redundancy table with the smallest relation type of their representative, by sequence mode."""
     matches = read_table(spark, sf, "feature_redundancy")
     targets = matches.where("representative_feature is not null").select(F.col("representative_feature").alias("feature"), F.col("relation_type").alias("target_tier"))
-    out, _ = master.handoff(read_table(spark, sf, "feature_metadata").select("feature"), targets)
-    return out.groupBy("target_tier").agg(F.count(F.lit(1)).alias("n"))
+    return master.handoff(read_table(spark, sf, "feature_metadata").select("feature"), targets)[0]
 
 
 @_query

@@ -387,14 +387,13 @@ g AS (SELECT gly_id, unnest(list_concat(t, list_transform(range(1, len(t)), lamb
 SELECT token, count(*) AS df, sum(n)::BIGINT AS tf FROM c GROUP BY 1""",
     "word_counts": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, token, count(*) AS n FROM w GROUP BY 1, 2) SELECT token, count(*) AS df, sum(n)::BIGINT AS tf FROM c GROUP BY 1 HAVING count(*) >= 2",
     "union_master": _SOURCES + """ SELECT k AS glycan_sequence, """ + ", ".join(f"arg_min({c}, (rk, {c})) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("composition", "tissue_species", "tissue_sample")) + ", 0 AS is_n_glycan, array_to_string(list_sort(list_distinct(list(src))), '|') AS source_names FROM k GROUP BY 1",
-    "master_full_outer": _SOURCES + """, p AS (SELECT k, max((rk = 1)::INT) AS in_query, max((rk = 0)::INT) AS in_reference, max((composition IS NOT NULL)::INT) AS c, max((tissue_species IS NOT NULL)::INT) AS s FROM k GROUP BY 1)
-SELECT in_query, in_reference, count(*) AS n, sum(c)::BIGINT AS n_composition, sum(s)::BIGINT AS n_species FROM p GROUP BY 1, 2""",
+    "master_full_outer": _SOURCES + " SELECT k AS glycan_sequence, " + ", ".join(f"coalesce(min({c}) FILTER (WHERE rk = 1), min({c}) FILTER (WHERE rk = 0)) AS {c}" for c in ("composition", "tissue_species", "tissue_sample")) + ", CASE WHEN max((rk = 0)::INT) = 1 THEN 'df_glycan' END AS source_names, 0 AS is_n_glycan, max((rk = 1)::INT) AS in_query, max((rk = 0)::INT) AS in_reference FROM k GROUP BY 1",
     "overlap_counts": _SOURCES + """, p AS (SELECT k, bool_or(rk = 0) AS l, bool_or(rk = 1) AS r FROM k GROUP BY 1)
 SELECT unnest(['left', 'right', 'shared', 'left_only', 'right_only']) AS metric, unnest([count(*) FILTER (WHERE l), count(*) FILTER (WHERE r), count(*) FILTER (WHERE l AND r), count(*) FILTER (WHERE NOT r), count(*) FILTER (WHERE NOT l)]) AS n FROM p""",
     "source_coverage": _SEQ + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_present, round(count({c}) / count(*), 6) AS share_present, count(DISTINCT {c}) AS n_distinct FROM seq" for c in ("composition", "tissue_species", "tissue_sample", "disease", "source_name")),
     "modelling_subset": _SEQ + ", k AS (SELECT CASE WHEN contains(glycan_sequence, 'Neu5Gc') THEN 'chosen' WHEN tissue_species IS NOT NULL AND composition IS NOT NULL THEN 'labelled' ELSE 'background' END AS kind FROM seq) SELECT kind, CASE WHEN kind = 'background' THEN least(count(*), 50) ELSE count(*) END AS n FROM k GROUP BY 1",
     "binding_by_sequence": f"WITH {_BIND}, b AS (SELECT vec_id, count(DISTINCT protein) AS n, avg(binding_value) AS m, max(binding_value) AS x FROM bind GROUP BY 1) SELECT e.vec_id, label, coalesce(n, 0) AS exact_n_proteins, round(m, 6) AS exact_mean, round(x, 6) AS exact_max, (coalesce(n, 0) > 0)::INT AS has_binding_exact FROM embeddings e LEFT JOIN b USING (vec_id)",
-    "metadata_onehot": _SEQ + ", t AS (SELECT DISTINCT gly_id, 'residues::' || unnest(regexp_extract_all(glycan_sequence, '[A-Z][A-Za-z0-9]+')) AS col FROM seq UNION ALL SELECT gly_id, 'source::' || source_name FROM seq) SELECT col, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 25",
+    "metadata_onehot": _SEQ + ", t AS (SELECT DISTINCT gly_id, 'residues::' || unnest(regexp_extract_all(glycan_sequence, '[A-Z][A-Za-z0-9]+')) AS col FROM seq UNION ALL SELECT gly_id, 'source::' || source_name FROM seq) SELECT gly_id, col, 1.0::DOUBLE AS val FROM t WHERE col IN (SELECT col FROM t GROUP BY 1 HAVING count(*) >= 25)",
     "block_density": _SEQ + ", t AS (SELECT DISTINCT gly_id, unnest(regexp_extract_all(glycan_sequence, '[A-Z][A-Za-z0-9]+')) AS col FROM seq), k AS (SELECT * FROM t WHERE col IN (SELECT col FROM t GROUP BY 1 HAVING count(*) >= 25)) SELECT count(DISTINCT gly_id) AS n_rows, count(DISTINCT col) AS n_columns, count(*) AS n_entries, round(count(*) / (count(DISTINCT gly_id) * count(DISTINCT col)), 6) AS density, round(count(*) / count(DISTINCT gly_id), 6) AS mean_active FROM k",
     "binding_block": f"WITH {_BIND}, p AS (SELECT protein FROM bind GROUP BY 1 HAVING count(DISTINCT vec_id) >= 20 ORDER BY count(DISTINCT vec_id) DESC, protein LIMIT 8) SELECT vec_id, protein AS col, round(avg(binding_value), 6) AS val FROM bind JOIN p USING (protein) GROUP BY 1, 2",
     "knn_cosine": _KNN + " SELECT anchor, neighbor, round(cosine_distance, 6) AS cosine_distance, neighbor_rank FROM knn",
@@ -422,7 +421,7 @@ p AS (SELECT src, count(*) AS n_rows, count(DISTINCT glycan_sequence) AS n_uniqu
 SELECT src AS source, unnest(['n_rows', 'n_unique', 'fraction_with_composition', 'fraction_with_tissue_sample', 'fraction_with_tissue_species', 'fraction_with_disease']) AS metric, round(unnest([n_rows, n_unique, f1, f2, f3, 0]::DOUBLE[]), 6) AS value FROM p
 UNION ALL SELECT unnest(['union', 'glycan_list & df_glycan', 'glycan_list & n_glycans', 'df_glycan & n_glycans']), 'n_unique', unnest([count(*), count(*) FILTER (WHERE a AND b), count(*) FILTER (WHERE a AND c), count(*) FILTER (WHERE b AND c)]::DOUBLE[]) FROM k""",
     "sequence_qc": _SEQ + f" SELECT {_PLAUSIBLE} AS plausible, count(*) AS n_rows, count(DISTINCT s) AS n_distinct FROM (SELECT {_EXACT} AS s FROM seq) GROUP BY 1",
-    "handoff_tiers": "WITH t AS (SELECT representative_feature AS feature, min(relation_type) AS target_tier FROM feature_redundancy WHERE representative_feature IS NOT NULL GROUP BY 1) SELECT target_tier, count(*) AS n FROM feature_metadata LEFT JOIN t USING (feature) GROUP BY 1",
+    "handoff_tiers": "WITH t AS (SELECT representative_feature AS feature, min(relation_type) AS target_tier FROM feature_redundancy WHERE representative_feature IS NOT NULL GROUP BY 1) SELECT feature, target_tier FROM feature_metadata LEFT JOIN t USING (feature)",
     "validation_feasibility": _SEQ + " " + " UNION ALL ".join(f"SELECT '{t}' AS task, count(*) FILTER (WHERE {c}) AS n_eligible, round(count(*) FILTER (WHERE {c}) / count(*), 6) AS fraction FROM seq" for t, c in (*((c, f"{c} IS NOT NULL") for c in ("composition", "tissue_species", "tissue_sample")), ("n_glycan", _CORE.replace("contains(s,", "contains(glycan_sequence,")))),
     "balanced_sample": "SELECT label, least(count(*), 20) AS n, least(count(*), 20) AS n_distinct FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
     "token_presence": _KNN + f", {_BIND}, m AS (SELECT anchor, neighbor AS member FROM knn UNION ALL SELECT DISTINCT anchor, anchor FROM knn), t AS (SELECT anchor, protein AS token, count(DISTINCT member) AS n_rows FROM m JOIN bind ON vec_id = member GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n_rows DESC, token) AS rank FROM t QUALIFY rank <= 3",

@@ -93,4 +93,7 @@ def test_grouped_median_is_exact(spark, limit):
         want[k] = (median(own), len(own))
     assert got.keys() == want.keys()
     assert all(got[k][1] == want[k][1] and math.isclose(got[k][0], want[k][0], rel_tol=1e-12) for k in want)
+    inf = float("inf")
+    ends = spark.createDataFrame([("x", v) for v in [-inf] * 60 + [1.0, 2.0] + [inf] * 60] + [("y", inf)] * 90, "k string, v double")
+    assert {r["k"]: r["m"] for r in grouped_median(ends, ["k"], "v", "m", hot_limit=limit).collect()} == {"x": 1.5, "y": inf}
     assert grouped_median(spark.createDataFrame(rows, "k string, v double").where(F.lit(False)), ["k"], "v").count() == 0
