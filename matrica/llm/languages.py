@@ -16,12 +16,18 @@ from matrica.session import cut_lineage
 
 # Two-letter code, three-letter codes and English name of languages.
 LANGUAGES = (
-    ("ar", "ara", "arabic"), ("bg", "bul", "bulgarian"), ("cs", "ces", "cze", "czech"), ("da", "dan", "danish"),
-    ("de", "deu", "ger", "german"), ("el", "ell", "gre", "greek"), ("en", "eng", "english"), ("es", "spa", "spanish"),
-    ("fi", "fin", "finnish"), ("fr", "fra", "fre", "french"), ("hu", "hun", "hungarian"), ("it", "ita", "italian"),
-    ("ja", "jpn", "japanese"), ("ko", "kor", "korean"), ("nl", "nld", "dut", "dutch"), ("no", "nor", "norwegian"),
-    ("pl", "pol", "polish"), ("pt", "por", "portuguese"), ("ro", "ron", "rum", "romanian"), ("ru", "rus", "russian"),
-    ("sv", "swe", "swedish"), ("tr", "tur", "turkish"), ("uk", "ukr", "ukrainian"), ("zh", "zho", "chi", "chinese"),
+    ("af", "afr", "afrikaans"), ("ar", "ara", "arabic"), ("az", "aze", "azerbaijani"), ("be", "bel", "belarusian"), ("bg", "bul", "bulgarian"),
+    ("bn", "ben", "bengali"), ("bs", "bos", "bosnian"), ("ca", "cat", "catalan"), ("cs", "ces", "cze", "czech"), ("cy", "cym", "wel", "welsh"),
+    ("da", "dan", "danish"), ("de", "deu", "ger", "german"), ("el", "ell", "gre", "greek"), ("en", "eng", "english"), ("es", "spa", "spanish"),
+    ("et", "est", "estonian"), ("eu", "eus", "baq", "basque"), ("fa", "fas", "per", "persian"), ("fi", "fin", "finnish"), ("fr", "fra", "fre", "french"),
+    ("ga", "gle", "irish"), ("gl", "glg", "galician"), ("he", "heb", "hebrew"), ("hi", "hin", "hindi"), ("hr", "hrv", "croatian"),
+    ("hu", "hun", "hungarian"), ("hy", "hye", "arm", "armenian"), ("id", "ind", "indonesian"), ("is", "isl", "ice", "icelandic"), ("it", "ita", "italian"),
+    ("ja", "jpn", "japanese"), ("ka", "kat", "geo", "georgian"), ("kk", "kaz", "kazakh"), ("ko", "kor", "korean"), ("la", "lat", "latin"),
+    ("lt", "lit", "lithuanian"), ("lv", "lav", "latvian"), ("mk", "mkd", "mac", "macedonian"), ("mn", "mon", "mongolian"), ("ms", "msa", "may", "malay"),
+    ("mt", "mlt", "maltese"), ("nl", "nld", "dut", "dutch"), ("no", "nor", "norwegian"), ("pl", "pol", "polish"), ("pt", "por", "portuguese"),
+    ("ro", "ron", "rum", "romanian"), ("ru", "rus", "russian"), ("sk", "slk", "slo", "slovak"), ("sl", "slv", "slovenian"), ("sq", "sqi", "alb", "albanian"),
+    ("sr", "srp", "serbian"), ("sv", "swe", "swedish"), ("sw", "swa", "swahili"), ("ta", "tam", "tamil"), ("te", "tel", "telugu"), ("th", "tha", "thai"),
+    ("tr", "tur", "turkish"), ("uk", "ukr", "ukrainian"), ("ur", "urd", "urdu"), ("uz", "uzb", "uzbek"), ("vi", "vie", "vietnamese"), ("zh", "zho", "chi", "chinese"),
 )
 
 #: Hash buckets of each n-gram order, and the orders.
