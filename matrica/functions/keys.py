@@ -77,13 +77,17 @@ def join_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return join_null_safe(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
 
 
-def join_skewed(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner", *, limit: int = HOT_ROWS) -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner", *, limit: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """left joined with right, which has one row per key, where a few keys may hold much of left. NULL matches nothing.
 
+    rows: the number of left's rows, where known; up to ``limit`` no key can be hot and none is looked for.
+
     Keys with more than ``limit`` rows of left, at most rows/limit of them, are joined by broadcast, so no task gets
     such a key; the others by a shuffled join.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if rows is not None and rows <= limit:
+        return left.join(right, keys, how)
     hot = cut_lineage(hot_keys(left, keys, limit))
     if hot.isEmpty():
         return left.join(right, keys, how)

@@ -181,12 +181,12 @@ def clusters(nodes: DataFrame, edges: DataFrame, *, node: str = "feature", a: st
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = cut_lineage(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut_lineage(links.select(F.col("u").alias("n")).distinct().withColumn("label", F.col("n")))
-    held = labels
+    held, n = labels, links.count()
     while True:
-        least = join_skewed(links, labels.withColumnRenamed("n", "v"), "v", limit=hot_limit).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
+        least = join_skewed(links, labels.withColumnRenamed("n", "v"), "v", limit=hot_limit, rows=n).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
         near = cut_lineage(labels.join(least, "n").select("n", F.col("label").alias("old"), F.least("label", "m").alias("label")))
         jump = near.select(F.col("n").alias("label"), F.col("label").alias("far"))
-        step = cut_lineage(join_skewed(near, jump, "label", "left", limit=hot_limit).select("n", "old", F.coalesce("far", "label").alias("label")))
+        step = cut_lineage(join_skewed(near, jump, "label", "left", limit=hot_limit, rows=n).select("n", "old", F.coalesce("far", "label").alias("label")))
         release(near, held)
         labels, held = step.select("n", "label"), step
         if step.where("old <> label").isEmpty():
