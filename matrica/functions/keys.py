@@ -36,14 +36,6 @@ def tidy_key(name: str | Column, *, upper: bool = False) -> Column:
     return F.when(key != "", key)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on keys where NULL equals NULL."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys where NULL equals NULL, keeping the left side's key columns."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

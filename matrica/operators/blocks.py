@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA, MaxAbsScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,8 +94,3 @@ def linear_layout(vectors: DataFrame, row_id: str, vector: str = "embedding") ->
     centre = scores.agg(F.avg(F.col("p")[0]).alias("cx"), F.avg(F.col("p")[1]).alias("cy"))
     placed = scores.crossJoin(F.broadcast(centre)).select(row_id, (F.col("p")[0] - F.col("cx")).alias("x"), (F.col("p")[1] - F.col("cy")).alias("y"))
     return placed, model.explainedVariance.toArray()
-
-
-def scale_max_abs(vectors: DataFrame, column: str, into: str) -> DataFrame:
-    """Vectors over each dimension's largest absolute value."""
-    return MaxAbsScaler(inputCol=column, outputCol=into).fit(vectors).transform(vectors)

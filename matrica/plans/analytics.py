@@ -42,6 +42,32 @@ def frozen_samples(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("run_order", F.col("run_order").cast("double"))
 
 
+@_query
+def operational_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """Acquired samples of the first batch that are no blanks, one row each."""
+    rows = read_table(spark, sf, "acquisition_list").select("sample", "class", "batch", "run_order")
+    return matrix.subset_samples(rows, batches=[1], classes=["QC", "dQC", "Dunn", "French", "LMU"]).withColumn("run_order", F.col("run_order").cast("double"))
+
+
+@_query
+def control_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.samples_of(read_table(spark, sf, "acquisition_list"), ["QC", "dQC"])
+
+
+@_query
+def operational_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations of the first batch's control and biological samples."""
+    chosen = matrix.subset_samples(model.samples(spark, sf), batches=[1], classes=[*QC, *BIO])
+    return rounded(matrix.subset_observations(model.observations(spark, sf).select("sample", "feature", "intensity"), chosen))
+
+
+@_query
+def wide_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The observations through their wide form and back."""
+    names = [r["feature"] for r in model.features(spark, sf).select("feature").where("feature is not null").orderBy("feature").collect()]  # the columns of a wide table
+    return rounded(matrix.observations(matrix.wide_matrix(model.observations(spark, sf), names)))
+
+
 @_query
 def inventory_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.inventory_pivot(read_table(spark, sf, "acquisition_list"), matrix.CLASS_ORDER)
@@ -170,7 +196,7 @@ def _view(method: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-for _name in ("log1p", "tic_log1p", "median_log1p"):
+for _name in views.VIEWS:
     QUERIES[f"view_{_name}"] = _view(_name)
 
 
@@ -809,6 +835,13 @@ def sequence_qc(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.sequence_qc(once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence")), "s")
 
 
+@_query
+def rejected_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences that are not plausible."""
+    rows = once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence"))
+    return sequences.split_plausible(rows, "s")[1].select("gly_id", "s")
+
+
 @_query
 def handoff_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Features of the redundancy table with the smallest relation type of their representative, by sequence mode."""

@@ -292,6 +292,11 @@ ORACLE = {
 CASE WHEN coalesce(n_strong_tasks, 0) = 0 OR n < 2 THEN 'no_clear_profile' WHEN m1 - m2 >= 0.05 THEN c1 || '_high' WHEN l2 - l1 >= 0.05 THEN d1 || '_low' ELSE 'mixed' END AS profile FROM cw LEFT JOIN cs USING (feature)""",
     "view_scores": _view_scores(),
     "frozen_samples": "SELECT sample, class, batch, run_order::DOUBLE AS run_order FROM (SELECT sample, class, batch, run_order, row_number() OVER (PARTITION BY sample ORDER BY batch NULLS FIRST, run_order NULLS FIRST, class NULLS FIRST) AS r FROM acquisition_list WHERE class IN ('Dunn', 'French', 'LMU')) WHERE r = 1",
+    "operational_subset": "SELECT sample, class, batch, run_order::DOUBLE AS run_order FROM (SELECT sample, class, batch, run_order, row_number() OVER (PARTITION BY sample ORDER BY batch NULLS FIRST, run_order NULLS FIRST, class NULLS FIRST) AS r FROM acquisition_list WHERE batch = 1 AND class IN ('QC', 'dQC', 'Dunn', 'French', 'LMU')) WHERE r = 1",
+    "control_samples": "SELECT DISTINCT sample FROM acquisition_list WHERE class IN ('QC', 'dQC') AND sample IS NOT NULL",
+    "operational_observations": f"{OBS_SQL} SELECT sample, feature, round(intensity, 6) AS intensity FROM obs WHERE batch = 1 AND class IN ({SQL_QC}, {SQL_BIO})",
+    "rejected_sequences": _SEQ + f" SELECT gly_id, s FROM (SELECT gly_id, {_EXACT} AS s FROM seq) WHERE NOT {_PLAUSIBLE}",
+    "wide_round_trip": f"{OBS_SQL} SELECT s.sample, f.feature, round(intensity, 6) AS intensity FROM (SELECT DISTINCT sample FROM obs) s CROSS JOIN feats f LEFT JOIN obs ON obs.sample = s.sample AND obs.feature = f.feature",
     "inventory_pivot": "SELECT batch, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS \"{c}\"" for c in ("B", "SS", "dQC", "QC", "Dunn", "French", "LMU")) + " FROM acquisition_list WHERE batch IS NOT NULL AND class IS NOT NULL GROUP BY 1",
     "inventory_counts": "SELECT batch, class, count(*) AS n_samples, coalesce(list_position(['B', 'SS', 'dQC', 'QC', 'Dunn', 'French', 'LMU'], class), 8) AS class_rank FROM acquisition_list WHERE batch IS NOT NULL AND class IS NOT NULL GROUP BY 1, 2",
     "missing_orders": "WITH o AS (SELECT DISTINCT batch, run_order AS pos FROM acquisition_list WHERE run_order IS NOT NULL), n AS (SELECT batch, pos, lead(pos) OVER (PARTITION BY batch ORDER BY pos) AS nx FROM o) SELECT batch, pos + 1 AS first_missing, nx - 1 AS last_missing FROM n WHERE nx > pos + 1",
@@ -322,6 +327,7 @@ round(unnest([count(*), count(*) FILTER (WHERE qc_stable), avg(qc_stable::INT),
 dm AS (SELECT median(dist) AS md FROM d), da AS (SELECT median(abs(dist - md)) AS mad FROM d, dm), z AS (SELECT d.*, 0.6745 * (dist - md) / nullif(mad, 0) AS z FROM d, dm, da), g AS (SELECT class, avg(pc1) AS g1, avg(pc2) AS g2 FROM d GROUP BY 1)
 SELECT sample, class, round(abs(pc1), 5) AS "PC1", round(abs(pc2), 5) AS "PC2", round(dist, 5) AS pca_distance, round(z, 5) AS pca_robust_z, coalesce(abs(z) > 3.5, false) AS outlier_pca, round(sqrt((pc1 - g1) ** 2 + (pc2 - g2) ** 2), 5) AS pca_distance_to_class_centroid FROM z JOIN g USING (class)""",
     "pc1_drift": f"{OBS_SQL}, lg AS (SELECT sample, feature, ln(1 + intensity) AS x FROM obs), {_components_of('lg', 1)}, r AS (SELECT {_rank('1', 'pc1')} AS rx, {_rank('1', 'run_order')} AS ry FROM scores JOIN samples USING (sample)), v AS (SELECT (SELECT sum(pc1 ** 2) FROM scores) / (SELECT sum(v) FROM cov1 WHERE i = j) AS share) SELECT round(abs({_corr('rx', 'ry')}), 6) AS abs_pc1_order_rho, count(*) AS n, round(any_value(share), 6) AS pc1_variance FROM r, v",
+    "view_raw": f"{OBS_SQL} SELECT sample, feature, round(intensity, 6) AS intensity FROM obs",
     "view_log1p": f"{OBS_SQL} SELECT sample, feature, round(ln(1 + intensity), 6) AS intensity FROM obs",
     "view_tic_log1p": f"{OBS_SQL}, s AS (SELECT sample, sum(intensity) AS z FROM obs GROUP BY 1), c AS (SELECT median(z) AS c FROM s WHERE z > 0) SELECT sample, feature, round(coalesce(ln(1 + intensity / CASE WHEN z > 0 THEN z END * c), 0), 6) AS intensity FROM obs JOIN s USING (sample), c",
     "view_median_log1p": f"{OBS_SQL}, s AS (SELECT sample, median(intensity) FILTER (WHERE intensity <> 0) AS z FROM obs GROUP BY 1), c AS (SELECT median(z) AS c FROM s WHERE z > 0) SELECT sample, feature, round(coalesce(ln(1 + intensity / CASE WHEN z > 0 THEN z END * c), 0), 6) AS intensity FROM obs JOIN s USING (sample), c",
