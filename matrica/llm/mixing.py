@@ -18,13 +18,14 @@ from matrica.session import cut_lineage
 #: Hash buckets of token ids that the domain classifier counts.
 BUCKETS = 8192
 #: Regularisation and iterations of the classifier.
-REGULAR, FITS = 0.003, 40
+REGULAR, FITS = 0.003, 25
 #: Labelled documents of a source that the classifier is fitted on, at most in expectation.
 SAMPLE_PER_SOURCE = 300
 #: Levels of a posterior's key: documents of one key share a rate, while their exact posteriors are summed.
 LEVELS = 64
-#: Steps of the projected gradient at most, and the relative residual at which it stops.
-STEPS, CLOSE = 30, 1e-3
+#: Steps of the projected gradient at most, the relative residual at which it stops, and the steps without a better one
+#: (by that share of it) after which it does.
+STEPS, CLOSE, STALLED = 30, 1e-3, 5
 #: Bins of one pass of the rounding threshold; two passes resolve their square.
 BINS = 4096
 
@@ -78,7 +79,7 @@ def fit_domains(df: DataFrame, row_id: str, text: str, source: str, names: Seque
         number, weight = ({n: f(i, n) for i, n in enumerate(here)} for f in (lambda i, n: float(i), lambda i, n: sum(drawn.values()) / drawn[n] / len(here)))
         by_source = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])[F.col("source")]
         vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="buckets", outputCol="features").transform(rows)
-        data = cut_lineage(vectors.select("features", by_source(number).alias("label"), by_source(weight).alias("weight")))
+        data = cut_lineage(vectors.select("features", by_source(number).alias("label"), by_source(weight).alias("weight")).coalesce(4))  # a bounded sample
         model = LogisticRegression(family="multinomial", regParam=REGULAR, maxIter=FITS, weightCol="weight", standardization=False).fit(data)
         at = [names.index(n) for n in here]
         weights[at], bias[at] = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
@@ -140,14 +141,16 @@ def fit_rates(members: DataFrame, names: Sequence[str], caps: dict[str, int], go
     difference between an expected total and its goal, as a share of the goal, that the best of STEPS steps leaves.
     """
     steps: list[np.ndarray] = [goals / np.maximum(totals, 1)]
-    best = (np.inf, list(steps))
-    for _ in range(STEPS):
+    best, better = (np.inf, list(steps)), 0
+    for turn in range(STEPS):
         reached = _sum_rates(members, names, caps, steps)
         misfit = goals - reached
         worst = float(np.max(np.abs(misfit) / np.maximum(goals, 1)))
+        if worst < best[0] * (1 - CLOSE):
+            better = turn
         if worst < best[0]:
             best = (worst, list(steps))
-        if worst < CLOSE:
+        if worst < CLOSE or turn - better >= STALLED:
             break
         steps.append(misfit / np.maximum(totals, 1))
     return best[1], best[0]
