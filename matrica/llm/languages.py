@@ -99,15 +99,15 @@ def _ngrams(codes: np.ndarray) -> Iterator[np.ndarray]:
     yield mix((a << np.uint64(42)) ^ (b << np.uint64(21)) ^ c) + 2 * BUCKETS
 
 
-def _prepared(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of the joined parts, where each part begins, and whether each is a whole sentence."""
+def _prepared(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the joined parts, where each part begins, how many letters it has, and whether it is a whole sentence."""
     lower, wide = _letters()
     raw = np.frombuffer("\n".join([*parts, "\n"]).encode("utf-32-le", "replace"), dtype=np.uint32)
     starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
     codes = lower[raw]
     letters = np.add.reduceat(codes != 32, starts)
     ideographs = np.add.reduceat(wide[raw], starts)
-    return codes, starts, (letters >= MIN_LETTERS) | (ideographs >= MIN_IDEOGRAPHS)
+    return codes, starts, letters, (letters >= MIN_LETTERS) | (ideographs >= MIN_IDEOGRAPHS)
 
 
 def _scores(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -206,9 +206,8 @@ class LanguageModel:
         parts = [p for x in group for p in x]
         if not parts:
             return [[] for _ in group]
-        codes, starts, whole = _prepared(parts)
+        codes, starts, size, whole = _prepared(parts)
         scores = _scores(codes, starts, self.weights)
-        size = np.add.reduceat(codes != 32, starts)
         best = scores.argmax(1)
         out, at = [], 0
         for x in group:
@@ -268,7 +267,7 @@ def _counter(languages: list[str], model: LanguageModel | None):  # noqa: ANN202
                 parts = sentences(text)
                 if not parts or lang not in place:
                     continue
-                codes, starts, whole = _prepared(parts)
+                codes, starts, _, whole = _prepared(parts)
                 own = np.full(len(parts), place[lang]) if model is None else _scores(codes, starts, model.weights).argmax(1)
                 ends = np.r_[starts[1:], len(codes) - 2]
                 for i in range(len(languages)):
