@@ -9,6 +9,8 @@ from matrica.functions.keys import HOT_ROWS, join_skewed
 from matrica.session import cut_lineage, release
 
 
+#: Edges that one partition takes: rounds of fewer need no shuffle.
+SMALL = 50_000
 #: Joins of mappings that one plan holds at most.
 CHAIN = 3
 
@@ -70,6 +72,8 @@ def connected_groups(pairs: DataFrame, left: str, right: str, *, seed: int = 7,
     mappings: list[tuple[DataFrame, int]] = []
     while n:
         turn += 1
+        packed = (lambda df: df.coalesce(1)) if n <= SMALL else (lambda df: df)
+        edges, last = packed(edges), edges
         # A vertex' turn: a fresh hash in the upper bits, its number in the lower ones.
         order = lambda c: F.shiftleft(F.xxhash64(F.lit(seed * 1_000_003 + turn), c).bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col(c))  # noqa: B023, E731
         ends = edges.select(F.col("a").alias("vertex"), order("b").alias("o")).unionByName(edges.select(F.col("b").alias("vertex"), order("a").alias("o")))
@@ -80,8 +84,8 @@ def connected_groups(pairs: DataFrame, left: str, right: str, *, seed: int = 7,
         next_hook = hooks.select(F.col("vertex").alias("hook"), F.col("hook").alias("next"))
         hooks = cut_lineage(join_skewed(hooks, next_hook, "hook", "left", limit=hot_limit, rows=2 * n).select("vertex", F.coalesce("next", "hook").alias("hook"), "degree"))
         mappings.append((hooks.select("vertex", "hook"), 2 * n))
+        hooks = packed(hooks)
         hot = hooks.where(F.col("degree") > hot_limit) if n > hot_limit else None
-        last = edges
         edges = _relabel(_relabel(edges, "a", hooks, hot), "b", hooks, hot)
         edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         release(last)
