@@ -22,7 +22,7 @@ REGULAR, FITS = 0.003, 25
 #: Labelled documents of a source that the classifier is fitted on, at most in expectation.
 SAMPLE_PER_SOURCE = 300
 #: Levels of a posterior's key: documents of one key share a rate, while their exact posteriors are summed.
-LEVELS = 64
+LEVELS = 16
 #: Steps of the projected gradient at most, the relative residual at which it stops, and the steps without a better one
 #: (by that share of it) after which it does.
 STEPS, CLOSE, STALLED = 30, 1e-3, 5
