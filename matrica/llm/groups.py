@@ -74,8 +74,9 @@ def connected_groups(pairs: DataFrame, left: str, right: str, *, seed: int = 7,
         turn += 1
         packed = (lambda df: df.coalesce(1)) if n <= SMALL else (lambda df: df)
         edges, last = packed(edges), edges
-        # A vertex' turn: a fresh hash in the upper bits, its number in the lower ones.
-        order = lambda c: F.shiftleft(F.xxhash64(F.lit(seed * 1_000_003 + turn), c).bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col(c))  # noqa: B023, E731
+        # A vertex' turn: a fresh hash in the upper bits, its number in the lower ones. The seed is a text, as texts are no
+        # part of the code that Spark generates, which so stays the same over the rounds and is compiled once.
+        order = lambda c: F.shiftleft(F.xxhash64(F.lit(f"{seed}:{turn}"), c).bitwiseAND(F.lit((1 << (62 - bits)) - 1)), bits).bitwiseOR(F.col(c))  # noqa: B023, E731
         ends = edges.select(F.col("a").alias("vertex"), order("b").alias("o")).unionByName(edges.select(F.col("b").alias("vertex"), order("a").alias("o")))
         hooks = ends.groupBy("vertex").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("degree"))
         hooks = hooks.select("vertex", F.least(F.col("o"), order("vertex")).bitwiseAND(F.lit((1 << bits) - 1)).alias("hook"), "degree")
