@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrica.functions.keys import once
 from matrica.functions.linear import MOST_COLUMNS, singular_vectors
 from matrica.operators.sequences import COMPOSITION_PARTS, interpretable_tokens, joined_labels, token_counts
 from matrica.session import cut_lineage
@@ -26,7 +27,7 @@ def composition_block(master: DataFrame, row_id: str) -> DataFrame:
 
 def token_block(master: DataFrame, row_id: str, sequence: str = "canonical_sequence", *, max_n: int = 2, min_df: int = 1) -> DataFrame:
     """row_id, col, val: counts of the sequence tokens and of runs of up to ``max_n`` of them, as ``tok__<token>``."""
-    counts = token_counts(interpretable_tokens(master.select(row_id, sequence), sequence), row_id, "tokens", max_n=max_n, min_df=min_df)
+    counts = token_counts(once(master.select(row_id, sequence), tokens=interpretable_tokens(sequence)), row_id, "tokens", max_n=max_n, min_df=min_df)
     return counts.select(row_id, F.concat(F.lit("tok__"), "token").alias("col"), F.col("n").cast("double").alias("val"))
 
 

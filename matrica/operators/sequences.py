@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrica.functions.keys import once
+from matrica.functions.keys import let, once
 from matrica.operators.packed import split_packed
 from matrica.session import cut_lineage
 from matrica.sources.tables import resolve_column
@@ -49,11 +49,11 @@ def normalise_text(column: str) -> Column:
 
 def find_sequence_column(df: DataFrame, *, min_share: float = 0.3) -> str | None:
     """The column that holds sequences: by synonym, else the first text column of whose values at least ``min_share``
-    show a sign of a sequence (one pass over all rows), else the only column; None if there is none."""
+    show a sign of a sequence (one pass over all rows), else the only column, if it is text; None if there is none."""
     named = resolve_column(df, SYNONYMS["sequence"])
     texts = [c for c, kind in df.dtypes if kind == "string"]
     if named or not texts:
-        return named or (df.columns[0] if len(df.columns) == 1 else None)
+        return named
     sign = lambda c: F.avg(normalise_text(f"`{c}`").rlike("|".join(SEQUENCE_SIGNS)).cast("int"))
     shares = df.agg(*[sign(c).alias(str(i)) for i, c in enumerate(texts)]).first()
     like = [c for c, share in zip(texts, shares) if share is not None and share >= min_share]
@@ -142,19 +142,22 @@ def shorten_label(column: str, width: int = 55) -> Column:
     return F.when(text.isNull(), "NA").when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
 
 
-def interpretable_tokens(df: DataFrame, column: str, into: str = "tokens") -> DataFrame:
-    """Add the tokens of a canonical sequence: RES_ residues, LNK_ linkages, brackets and PAIR_ neighbours of residues,
-    in this order; NULL has none."""
+def interpretable_tokens(column: str) -> Column:
+    """RES_ residues, LNK_ linkages, brackets and PAIR_ neighbours of residues of a canonical sequence, in this order; NULL
+    has none."""
     text = F.coalesce(F.col(column), F.lit(""))
-    out = once(df, __residues=F.regexp_extract_all(text, F.lit("|".join(RESIDUES)), F.lit(0)), __linkages=F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), F.lit(1)))
-    residues, n = F.col("__residues"), F.greatest(F.size("__residues") - 1, F.lit(0))
+    linkages = F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), F.lit(1))
     bracket = lambda sign, name: F.array_repeat(F.lit(name), F.regexp_count(text, F.lit(sign)))
-    pairs = F.zip_with(F.slice(residues, F.lit(1), n), F.slice(residues, F.lit(2), n), lambda a, b: F.concat(F.lit("PAIR_"), a, F.lit("__"), b))
-    every = F.concat(
-        F.transform(residues, lambda r: F.concat(F.lit("RES_"), r)), F.transform("__linkages", lambda x: F.concat(F.lit("LNK_"), x)),
-        bracket(r"\[", "BRANCH_OPEN"), bracket(r"\]", "BRANCH_CLOSE"), pairs,
-    )
-    return once(out, **{into: every}).drop("__residues", "__linkages")
+
+    def tokens(residues: Column) -> Column:
+        n = F.greatest(F.size(residues) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(residues, F.lit(1), n), F.slice(residues, F.lit(2), n), lambda a, b: F.concat(F.lit("PAIR_"), a, F.lit("__"), b))
+        return F.concat(
+            F.transform(residues, lambda r: F.concat(F.lit("RES_"), r)), F.transform(linkages, lambda x: F.concat(F.lit("LNK_"), x)),
+            bracket(r"\[", "BRANCH_OPEN"), bracket(r"\]", "BRANCH_CLOSE"), pairs,
+        )
+
+    return let(F.regexp_extract_all(text, F.lit("|".join(RESIDUES)), F.lit(0)), tokens)
 
 
 def token_counts(df: DataFrame, row_id: str, tokens: str, *, max_n: int = 1, min_df: int = 1) -> DataFrame:

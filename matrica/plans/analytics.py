@@ -588,7 +588,7 @@ def structural_families(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and count of sequence tokens and their pairs."""
-    rows = sequences.interpretable_tokens(once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence")), "s")
+    rows = once(once(_sequences(spark, sf), s=sequences.canonical_exact("glycan_sequence")), tokens=sequences.interpretable_tokens("s"))
     counts = sequences.token_counts(rows, "gly_id", "tokens", max_n=2)
     return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 

@@ -434,3 +434,4 @@ UNION ALL SELECT unnest(['union', 'glycan_list & df_glycan', 'glycan_list & n_gl
     "bipartite_edges": _KNN + f", {_BIND}, pre AS (SELECT DISTINCT vec_id AS neighbor, protein FROM bind), s AS (SELECT anchor, protein, sum(1 / neighbor_rank) AS w FROM knn JOIN pre USING (neighbor) GROUP BY 1, 2) SELECT anchor, protein, round(w, 6) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY round(w, 9) DESC, protein) <= 3",
     "warning_free_features": _FILTER + " SELECT feature FROM filtered WHERE NOT carryover_flag AND NOT blank_veto",
 }
+ORACLE["neighbourhood_table"] = f"SELECT * FROM ({ORACLE['context_layers']}) LEFT JOIN ({ORACLE['rendered_terms']}) USING (anchor) LEFT JOIN (SELECT anchor, mean_jaccard FROM ({ORACLE['jaccard_relevance']})) USING (anchor)"
