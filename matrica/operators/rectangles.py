@@ -20,16 +20,25 @@ FIRST = 8
 PAIRS = 2_000_000
 
 
+#: Rows of a slab, as long as it stays wider than the rules reach.
+SLAB_ROWS = 250_000
+
+
 def slabs(rows: DataFrame, reach: float, beside: Sequence[int]) -> DataFrame:
-    """Rows (feature, mz, rt) with finite mass and any time in their own slab (``own``) and in those ``beside``,
-    one task or more apart by slab. Rows without mass or time are left out."""
-    slab = F.floor(F.col("mz") / (reach * 1.000001))
+    """Rows (feature, mz, rt) with finite mass and any time in their own slab (``own``) and in those ``beside`` that lie
+    within ``reach`` of them, one task or more apart by slab. Rows without mass or time are left out.
+
+    A slab is wider than ``reach``, as far as two slabs a core and SLAB_ROWS allow, so that few rows are sent twice.
+    """
     rows = rows.select("feature", F.col("mz").cast("double").alias("mz"), F.col("rt").cast("double").alias("rt"))
     held = rows.where(F.col("mz").isNotNull() & F.col("rt").isNotNull() & ~F.isnan("mz") & (F.abs("mz") < float("inf")))
-    held = held.select("feature", "mz", "rt", slab.alias("s"), F.explode(F.array(*map(F.lit, (0, *beside)))).alias("d"))
-    own = F.col("d") == 0
-    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
-    return held.select("feature", "mz", "rt", (F.col("s") + F.col("d")).alias("slab"), own.alias("own")).repartition(parts, "slab")
+    low, high, n = held.agg(F.min("mz"), F.max("mz"), F.count(F.lit(1))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    width = max(reach * 1.00001, (high - low) / max(2 * cores, n / SLAB_ROWS)) if n else reach
+    slab = lambda shift: F.floor((F.col("mz") + F.lit(shift * reach * 1.000001)) / width)
+    # a slab gets from the one after it (-1) what its own rows reach upwards, and from the one before it (1) downwards
+    held = held.select("feature", "mz", "rt", slab(0).alias("s"), F.explode(F.array_distinct(F.array(*map(slab, (0, *beside))))).alias("slab"))
+    return held.select("feature", "mz", "rt", "slab", (F.col("slab") == F.col("s")).alias("own")).repartition(4 * cores, "slab")
 
 
 def first_true(lo: np.ndarray, hi: np.ndarray, holds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -184,8 +193,9 @@ def _components(mz: np.ndarray, rt: np.ndarray, rules) -> np.ndarray:
 
 
 def range_groups(features: DataFrame, rules) -> DataFrame:
-    """feature and root: the smallest feature of the component that it is in within its slab and the next one, and within
-    the slab before and its own. Components that share a feature belong together; no pair is left out by that."""
+    """feature and root: the smallest feature of the component that it is in within its slab and what the next one has in
+    reach, and the same for the slab before, if that reaches it. Components that share a feature belong together; no pair
+    is left out by that."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("mz")
@@ -198,3 +208,17 @@ def range_groups(features: DataFrame, rules) -> DataFrame:
     kind = dict(features.dtypes)["feature"]
     held = slabs(features.where("feature is not null"), max(rules.isomer_mz, rules.adduct_most_mz, 1e-9), (-1,))
     return held.groupBy("slab").applyInArrow(run, f"feature {kind}, root {kind}")
+
+
+def joined_roots(links: DataFrame) -> DataFrame:
+    """root and cluster (the smallest root reachable) of all ends of links (a, b), by one task; for counted links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = pc.unique(pa.chunked_array([*table["a"].chunks, *table["b"].chunks]))
+        names = names.take(pc.sort_indices(names))
+        root = np.arange(len(names))
+        _join(root, *[pc.index_in(table[c], names).to_numpy() for c in ("a", "b")])
+        return pa.table({"root": names, "cluster": names.take(pa.array(root))})
+
+    kind = dict(links.dtypes)["a"]
+    return links.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, f"root {kind}, cluster {kind}")

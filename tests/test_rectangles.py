@@ -83,3 +83,15 @@ def test_representatives_and_collapse_over_slabs(spark, tmp_path):
     picked = {r["feature"]: (r["cluster"], r["cluster_size"], r["representative_feature"]) for r in analytics.representative_pick(spark, str(tmp_path)).collect()}
     assert picked == {f"f{i:02d}": ("f00", 8, "f07") for i in range(8)} | {"z": ("z", 1, "z")}
     assert {(r["cluster"], r["feature"], r["n_members"]) for r in analytics.cluster_collapse(spark, str(tmp_path)).collect()} == {("f00", "f00", 8), ("z", "z", 1)}
+
+
+@pytest.mark.parametrize("hot_limit", [1000, 0])
+def test_few_links_between_slabs_are_joined_without_rounds(spark, monkeypatch, hot_limit):
+    """Chains over seventy slabs, whose names do not ascend with their masses: one task joins them, or the rounds do."""
+    rounds, names = [], [f"f{i * 37 % 70:02d}" for i in range(70)]
+    clusters = pairs.clusters
+    monkeypatch.setattr(pairs, "clusters", lambda *a, **k: rounds.append(1) or clusters(*a, **k))
+    rows = [(f, 100.0 + 29.0 * i + 1000.0 * (i > 40), 1.0) for i, f in enumerate(names)] + [("z", 9000.0, 1.0), ("t", 100.0, None), (None, 100.0, 1.0)]
+    got = {r["feature"]: r["cluster"] for r in pairs.range_clusters(spark.createDataFrame(rows, SCHEMA), hot_limit=hot_limit).collect()}
+    assert got == {f: min(names[:41]) if i < 41 else min(names[41:]) for i, f in enumerate(names)} | {"z": "z", "t": "t"}
+    assert len(rounds) == (hot_limit == 0)
