@@ -95,3 +95,14 @@ def test_few_links_between_slabs_are_joined_without_rounds(spark, monkeypatch, h
     got = {r["feature"]: r["cluster"] for r in pairs.range_clusters(spark.createDataFrame(rows, SCHEMA), hot_limit=hot_limit).collect()}
     assert got == {f: min(names[:41]) if i < 41 else min(names[41:]) for i, f in enumerate(names)} | {"z": "z", "t": "t"}
     assert len(rounds) == (hot_limit == 0)
+
+
+def test_representatives_without_rounds(spark, monkeypatch, tmp_path):
+    """The registered query picks over clusters whose parts one task joins."""
+    from matrica.plans import analytics
+
+    rows = [(f"f{i:02d}", 100.0 + 29.0 * i, 1.0, float(30 - i)) for i in range(30)]
+    spark.createDataFrame(rows, "feature string, mz double, rt double, mz_std double").write.parquet(f"{tmp_path}/feature_metadata.parquet")
+    monkeypatch.setattr(pairs, "clusters", None)
+    picked = {r["feature"]: (r["cluster"], r["cluster_size"], r["representative_feature"]) for r in analytics.representative_pick(spark, str(tmp_path)).collect()}
+    assert picked == {f"f{i:02d}": ("f00", 30, "f29") for i in range(30)}
