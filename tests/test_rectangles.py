@@ -106,3 +106,13 @@ def test_representatives_without_rounds(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(pairs, "clusters", None)
     picked = {r["feature"]: (r["cluster"], r["cluster_size"], r["representative_feature"]) for r in analytics.representative_pick(spark, str(tmp_path)).collect()}
     assert picked == {f"f{i:02d}": ("f00", 30, "f29") for i in range(30)}
+
+
+def test_slabs_send_few_rows_twice(spark):
+    """Rows over many times the rules' reach: only those near a border go to a second slab, each into its own one once."""
+    from matrica.operators.rectangles import slabs
+
+    rows = spark.range(4100).selectExpr("concat('f', id) feature", "350.0 + id / 2 mz", "1.0 rt")
+    held = slabs(rows, 30.0, (-1, 1))
+    assert held.where("own").count() == 4100 and held.count() < 1.5 * 4100
+    assert held.groupBy("feature", "slab").count().where("count > 1").isEmpty()
