@@ -116,3 +116,17 @@ def test_slabs_send_few_rows_twice(spark):
     held = slabs(rows, 30.0, (-1, 1))
     assert held.where("own").count() == 4100 and held.count() < 1.5 * 4100
     assert held.groupBy("feature", "slab").count().where("count > 1").isEmpty()
+
+
+def test_edges_shuffle_few_copies_of_a_row(spark):
+    """Of rows over many cells, under seven go through the shuffles of both joins for each row of the table, not ten."""
+    rows = spark.range(6000).selectExpr("concat('f', id) feature", "350.0 + id * 0.34 mz", "60.0 + id * 7919 % 2040 rt")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    written = lambda: sum(s.shuffleWriteRecords() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)))
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs.redundancy_edges(rows, None).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 6000 < written() - before < 7 * 6000
