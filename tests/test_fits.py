@@ -46,3 +46,12 @@ def test_equal_spaces_are_fitted_once(spark, monkeypatch):
         for r in df.collect():
             by.setdefault(r["feature_space"], set()).add(str({c: r[c] for c in df.columns if c != "feature_space"}))
         assert set(by) == {"main", "high", "same"} and by["main"] == by["same"] != by["high"]
+
+
+def test_metrics_and_coefficients_read_the_same_fits(spark):
+    """What follows from both, as the tiers do, fits no fold twice."""
+    cells = spark.createDataFrame([("t", s, s % 2 == 0, f, float(s * 3 % 7)) for s in range(12) for f in "ab"], "task_name string, sample int, positive boolean, feature string, intensity double")
+    folds = models.fold_table(cells.select("task_name", "sample", "positive").distinct(), repeats=1, folds=2)
+    for df in models.cross_validate(cells, folds, ["a", "b"], space="main"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and df.count() > 0
