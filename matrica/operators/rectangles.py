@@ -6,11 +6,13 @@ neighbours as arrays. All limits are tested on the differences themselves, as th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import io
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,81 @@ PAIRS = 2_000_000
 
 #: Rows of a slab, as long as it stays wider than the rules reach.
 SLAB_ROWS = 250_000
-
-
-def slabs(rows: DataFrame, reach: float, beside: Sequence[int]) -> DataFrame:
+#: Bytes of rows that a task holds until it packs them.
+BLOCK_BYTES = 64 << 20
+#: Rows with counts in a bucket of features.
+BUCKET_ROWS = 100_000
+
+
+def _decimals(values: np.ndarray) -> tuple[np.ndarray, int | None]:
+    """The values as whole numbers of 32 bits and the decimals that they have, if they are these numbers exactly; else as they are."""
+    if len(values) and np.isfinite(values).all():
+        for d in range(7):
+            whole = np.rint(values * 10**d)
+            if np.abs(whole).max() >= 2**31:
+                break
+            if (whole / 10**d == values).all():
+                return whole.astype(np.int32), d
+    return values, None
+
+
+def _block(table: pa.Table) -> bytes:
+    """The table as compressed columns, its doubles as decimals where they are some; for ``unpacked``."""
+    names, columns, split = [], [], {}
+    for name, column in zip(table.column_names, table.columns):
+        if pa.types.is_float64(column.type) and not column.null_count:
+            values, d = _decimals(column.to_numpy())
+            name, column = name if d is None else f"{name}:{d}", pa.array(values)
+            split[name] = "BYTE_STREAM_SPLIT"
+        names.append(name)
+        columns.append(column)
+    whole = [n for n, c in zip(names, columns) if n not in split and pa.types.is_integer(c.type)]
+    out = io.BytesIO()
+    pq.write_table(pa.table(columns, names=names), out, compression="zstd", use_dictionary=whole, column_encoding=split or None, write_statistics=False)
+    return out.getvalue()
+
+
+def blocks(table: pa.Table, by: str, order: Sequence[str]) -> pa.Table:
+    """``by`` and block: the other columns of the rows of each value of ``by``, in this order."""
+    table = table.sort_by([(c, "ascending") for c in (by, *order)])
+    keys = table[by].to_numpy()
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    rest = table.drop_columns([by])
+    packed = [_block(rest.slice(a, b - a)) for a, b in zip(starts, np.r_[starts[1:], len(keys)])]
+    return pa.table({by: pa.array(keys[starts], table.schema.field(by).type), "block": pa.array(packed, pa.binary())})
+
+
+def packed(rows: DataFrame, by: str, order: Sequence[str], *, most: int = BLOCK_BYTES) -> DataFrame:
+    """``by`` and block: the rows of each task as ``blocks``, so that a shuffle by ``by`` takes less than a table of them does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield from blocks(pa.Table.from_batches(held), by, order).to_batches()
+                held, size = [], 0
+        if held:
+            yield from blocks(pa.Table.from_batches(held), by, order).to_batches()
+
+    return rows.mapInArrow(run, f"{by} {dict(rows.dtypes)[by]}, block binary")
+
+
+def unpacked(packed: pa.ChunkedArray) -> pa.Table:
+    """The rows of blocks, as they were."""
+
+    def table(block: pa.Scalar) -> pa.Table:
+        held = pq.read_table(pa.BufferReader(block.as_buffer()))
+        parts = [(n.partition(":"), c) for n, c in zip(held.column_names, held.columns)]
+        return pa.table({n: pa.array(c.to_numpy() / 10 ** int(d)) if d else c for (n, _, d), c in parts})
+
+    return pa.concat_tables([table(b) for b in packed])
+
+
+def slab_rows(rows: DataFrame, reach: float, beside: Sequence[int]) -> tuple[DataFrame, int]:
     """Rows (feature, mz, rt) with finite mass and any time in their own slab (``own``) and in those ``beside`` that lie
-    within ``reach`` of them, one task or more apart by slab. Rows without mass or time are left out.
+    within ``reach`` of them, and the number of rows without copies. Rows without mass or time are left out.
 
     A slab is wider than ``reach``, as far as two slabs a core and SLAB_ROWS allow, so that few rows are sent twice.
     """
@@ -38,7 +110,12 @@ def slabs(rows: DataFrame, reach: float, beside: Sequence[int]) -> DataFrame:
     slab = lambda shift: F.floor((F.col("mz") + F.lit(shift * reach * 1.000001)) / width)
     # a slab gets from the one after it (-1) what its own rows reach upwards, and from the one before it (1) downwards
     held = held.select("feature", "mz", "rt", slab(0).alias("s"), F.explode(F.array_distinct(F.array(*map(slab, (0, *beside))))).alias("slab"))
-    return held.select("feature", "mz", "rt", "slab", (F.col("slab") == F.col("s")).alias("own")).repartition(4 * cores, "slab")
+    return held.select("feature", "mz", "rt", "slab", (F.col("slab") == F.col("s")).alias("own")), n
+
+
+def slabs(rows: DataFrame, reach: float, beside: Sequence[int]) -> DataFrame:
+    """``slab_rows``, one task or more apart by slab."""
+    return slab_rows(rows, reach, beside)[0].repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "slab")
 
 
 def first_true(lo: np.ndarray, hi: np.ndarray, holds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -104,18 +181,29 @@ def _counts(mz: np.ndarray, rt: np.ndarray, asked: np.ndarray, rules) -> tuple[n
 
 
 def range_counts(features: DataFrame, rules) -> DataFrame:
-    """feature, n_isomer and n_adduct of every feature (feature, mz, rt) that has one: sums over its rectangles of mass and time."""
+    """feature, n_isomer and n_adduct of every feature (feature, mz, rt) that has one: sums over its rectangles of mass and time.
+
+    Rows go to their slabs, and counts to the other rows of their feature, as packed blocks."""
+    kind, tasks = dict(features.dtypes)["feature"], 4 * features.sparkSession.sparkContext.defaultParallelism
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("mz")
+        table = unpacked(table["block"]).sort_by("mz")
         own = table["own"].to_numpy()
         isomers, adducts = _counts(table["mz"].to_numpy(), table["rt"].to_numpy(), np.flatnonzero(own), rules)
-        out = pa.table({"feature": table["feature"].filter(pa.array(own)), "n_isomer": isomers.astype(np.int64), "n_adduct": adducts.astype(np.int64)})
-        return out.filter(pa.array(isomers + adducts > 0))
-
-    held = slabs(features, max(rules.isomer_mz, rules.adduct_most_mz, 1e-9), (-1, 1)).withColumn("feature", F.when(F.col("own"), F.col("feature")))
-    found = held.groupBy("slab").applyInArrow(run, f"feature {dict(features.dtypes)['feature']}, n_isomer bigint, n_adduct bigint")
-    return found.groupBy("feature").agg(F.sum("n_isomer").alias("n_isomer"), F.sum("n_adduct").alias("n_adduct"))
+        named = table.select(["bucket", "feature"]).filter(pa.array(own))
+        out = named.append_column("n_isomer", pa.array(isomers.astype(np.int64))).append_column("n_adduct", pa.array(adducts.astype(np.int64)))
+        return blocks(out.filter(pa.array(isomers + adducts > 0)), "bucket", ["feature"])
+
+    def total(table: pa.Table) -> pa.Table:
+        out = unpacked(table["block"]).group_by("feature").aggregate([("n_isomer", "sum"), ("n_adduct", "sum")])
+        return out.select(["feature", "n_isomer_sum", "n_adduct_sum"]).rename_columns(["feature", "n_isomer", "n_adduct"])
+
+    held, n = slab_rows(features, max(rules.isomer_mz, rules.adduct_most_mz, 1e-9), (-1, 1))
+    own = lambda c: F.when(F.col("own"), c)
+    bucket = F.pmod(F.xxhash64("feature"), F.lit(n // BUCKET_ROWS + 1)).cast("int")
+    held = held.withColumns({"bucket": own(bucket), "feature": own(F.col("feature"))})
+    found = packed(held, "slab", ["own", "mz", "rt"]).repartition(tasks, "slab").groupBy("slab").applyInArrow(run, "bucket int, block binary")
+    return found.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(total, f"feature {kind}, n_isomer bigint, n_adduct bigint")
 
 
 def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
