@@ -43,3 +43,13 @@ def test_a_feature_that_tells_the_classes_is_chosen(spark):
     assert {r["auroc"] for r in metrics.collect()} == {1.0}
     stable = {r["feature"]: r["selection_frequency"] for r in evidence.selection_stability(coefficients, metrics).collect()}
     assert stable["whole"] == 1.0
+
+
+def test_stability_does_not_depend_on_the_size_limit(spark):
+    held = []
+    for most in (1000, 0):
+        metrics, coefficients = results(spark, most)
+        stable = evidence.selection_stability(coefficients, metrics).collect()
+        held.append({(r["task_name"], r["model_name"], r["feature"]): [r[c] for c in ("selection_frequency", "sign_consistency", "mean_coefficient")] for r in stable})
+    assert held[0] and held[0].keys() == held[1].keys()
+    assert all(held[1][k] == pytest.approx(held[0][k], abs=1e-7, nan_ok=True) for k in held[0])
